@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, media, url_filter
+from . import bpe, html_text, media, suffix_dedup, url_filter
 from .base import table
 
 
@@ -30,11 +30,17 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"), ["page_id"])
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.removed(documents).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
     "op3_media": op3_media,
     "op9_html_text": op9_html_text,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
