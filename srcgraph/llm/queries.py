@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html_text, media, suffix_dedup, url_filter
+from . import bpe, html_text, media, mixing, ngram_join, suffix_dedup, toxicity, url_filter
 from .base import table
 
 
@@ -26,6 +27,32 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored, ["doc_id", "n_bytes"])
 
 
+#: Shares of tokens by language that a mix is to have.
+MIX = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """(text, domain) of the labelled documents: their language is the domain."""
+    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(ids, "doc_id", "left_semi").drop("doc_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return mixing.mixed(documents, labelled_domains(spark, sf_dir, documents), MIX, ["doc_id"])
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.clustered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    held_out = toxicity.fold_of(F.col("doc_id")) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"), ["page_id"])
 
@@ -39,6 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
     "op3_media": op3_media,
+    "op4_mixing": op4_mixing,
+    "op6_ngram_join": op6_ngram_join,
+    "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .base import text_slices
 
@@ -219,7 +220,7 @@ def score(df: DataFrame, model: Model | None, column: str = "text") -> DataFrame
             scores = [score_of(model, t or "") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, kept.schema.add("score", "double"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
