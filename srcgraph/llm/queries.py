@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, media, mixing, ngram_join, suffix_dedup, toxicity, url_filter
+from . import bpe, embedding_dedup, html_text, media, mixing, ngram_join, quote_links, suffix_dedup, toxicity, url_filter
 from .base import table
 
 
@@ -42,10 +42,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents, labelled_domains(spark, sf_dir, documents), MIX, ["doc_id"])
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicated(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.clustered(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.linked(table(spark, sf_dir, "conversations"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
@@ -67,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_media": op3_media,
     "op4_mixing": op4_mixing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_quote_links": op7_quote_links,
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_suffix_dedup": op10_suffix_dedup,
