@@ -218,25 +218,35 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def digests(machine: Transducer, text: str) -> tuple[int, str, str]:
-    """(n_tokens, ids_sha256, decoded_sha256), fed as the stream goes on."""
+def digests(machine: Transducer, text: str, ids: list[int] | None = None) -> tuple[int, str, str]:
+    """(n_tokens, ids_sha256, decoded_sha256), fed as the stream goes on; the ids are added to a list
+    where one is given."""
     n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
     gap = ""
     for found in machine.encoded(text):
         if found:
-            counts, ids, surfaces = zip(*found, strict=True)
+            counts, numbers, surfaces = zip(*found, strict=True)
             n += sum(counts)
-            ids_hash.update(gap.encode() + b" ".join(ids))
+            joined = b" ".join(numbers)
+            ids_hash.update(gap.encode() + joined)
             text_hash.update(decoder.decode((gap + " ".join(surfaces)).encode()).encode())
             gap = " "
+            if ids is not None:
+                ids.extend(map(int, joined.split()))
     text_hash.update(decoder.decode(b"", True).encode())
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
 def encode_texts(df: DataFrame, vocabulary: str, keys: list[str], column: str = "text") -> DataFrame:
-    """Per row: keys, ids and the count."""
-    return map_texts(df, keys, column, lambda t: ((ids := transducer(vocabulary).encode(t)), len(ids)), "ids array<int>, n_tokens long")
+    """Per row: keys, the ids, their count and the digests."""
+
+    def one(text: str) -> tuple:
+        ids: list[int] = []
+        found = digests(transducer(vocabulary), text, ids)
+        return ids, *found
+
+    return map_texts(df, keys, column, one, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_digests(df: DataFrame, vocabulary: str, keys: list[str], column: str = "text") -> DataFrame:

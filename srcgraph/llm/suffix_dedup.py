@@ -230,30 +230,35 @@ def spans_of(runs: np.ndarray) -> np.ndarray:
     return np.stack([runs[new, 0], ends[np.r_[np.flatnonzero(new)[1:] - 1, len(runs) - 1]]], axis=1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
-        k1, k2, texts, copies = (batch.column(i) for i in range(4))
-        runs = batch.column(4)
-        out: list[list] = [[] for _ in range(5)]
-        for i, text in enumerate(texts.to_pylist()):
-            data = text.encode()
-            listed = runs[i].values if runs[i].is_valid else None
-            if copies[i].as_py() > 1 and len(data) >= WINDOW:
-                spans = np.array([[0, len(data)]])
-            elif listed is not None and len(listed):
-                spans = spans_of(np.stack([np.asarray(listed.field(0)), np.asarray(listed.field(1))], axis=1))
-            else:
-                spans = np.empty((0, 2), np.int64)
-            kept, at = [], 0
-            for a, b in spans.tolist():
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            kept = b"".join(kept)
-            for values, value in zip(out, (len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans.ravel().tolist(), kept), strict=True):
-                values.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([k1, k2, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+def _cut(with_text: bool):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            k1, k2, texts, copies = (batch.column(i) for i in range(4))
+            runs = batch.column(4)
+            out: list[list] = [[] for _ in range(5)]
+            for i, text in enumerate(texts.to_pylist()):
+                data = text.encode()
+                listed = runs[i].values if runs[i].is_valid else None
+                if copies[i].as_py() > 1 and len(data) >= WINDOW:
+                    spans = np.array([[0, len(data)]])
+                elif listed is not None and len(listed):
+                    spans = spans_of(np.stack([np.asarray(listed.field(0)), np.asarray(listed.field(1))], axis=1))
+                else:
+                    spans = np.empty((0, 2), np.int64)
+                kept, at = [], 0
+                for a, b in spans.tolist():
+                    kept.append(data[at:a])
+                    at = b
+                kept.append(data[at:])
+                kept = b"".join(kept)
+                # A character that is cut through is not text any more.
+                rest = kept.decode("utf-8", "ignore") if with_text else None
+                for values, value in zip(out, (len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans.ravel().tolist(), rest), strict=True):
+                    values.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([k1, k2, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+
+    return run
 
 
 KEYS = "k1 long, k2 long"
@@ -266,8 +271,8 @@ def classes_of(docs: DataFrame, column: str = "text") -> DataFrame:
     return keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
-def removed_by_class(classes: DataFrame) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept_sha256, spans, kept) for each text."""
+def removed_by_class(classes: DataFrame, with_text: bool = False) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, kept_sha256, spans, kept) for each text; kept is null without with_text."""
     long = classes.where(F.octet_length("text") >= WINDOW)
     anchors = long.select("k1", "k2", "text").mapInArrow(_anchors, "h long, k1 long, k2 long, p long")
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -281,7 +286,7 @@ def removed_by_class(classes: DataFrame) -> DataFrame:
     met = compared.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("w", "known")))
     runs = met.where("known or (__n > 1 and hi >= 0)").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     return classes.join(runs, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "runs").mapInArrow(
-        _cut, f"{KEYS}, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
+        _cut(with_text), f"{KEYS}, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept string"
     )
 
 
@@ -297,6 +302,6 @@ def removed(docs: DataFrame, column: str = "text") -> DataFrame:
 def cleaned(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with the repeated bytes cut out of the text; bytes of a character that is cut through go too."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    found = removed_by_class(classes_of(docs, column)).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__removed"))
+    found = removed_by_class(classes_of(docs, column), True).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__removed"))
     keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(7), text)})
-    return keyed.join(found, ["__k1", "__k2"]).withColumn(column, F.when(F.col("__removed") == 0, F.col(column)).otherwise(F.col("__kept").cast("string"))).select(*docs.columns)
+    return keyed.join(found, ["__k1", "__k2"]).withColumn(column, F.when(F.col("__removed") == 0, F.col(column)).otherwise(F.col("__kept"))).select(*docs.columns)
