@@ -15,6 +15,7 @@ from srcgraph.operators import events as E
 from srcgraph.operators import resolve as R
 from srcgraph.operators import search as S
 from srcgraph.operators import walk as W
+from srcgraph.streaming import ingest as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -567,3 +568,86 @@ def compress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
     return pages.groupBy("host").agg(F.min_by("page_id", F.struct(F.length("url"), "page_id")).alias("page_id"))
+
+
+@query(
+    """SELECT doc_id, sum(n) AS refs FROM (SELECT doc_id, lower(t) AS ident, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS t FROM documents) GROUP BY 1, 2)
+    WHERE regexp_matches(ident, '(^|[_$0-9])thing') GROUP BY doc_id"""
+)
+def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted by distinct identifier before the boundary match is evaluated."""
+    counted = S.identifiers(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id", "ident").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(T.matches(F.col("ident"), "thing")).groupBy("doc_id").agg(F.sum("n").alias("refs"))
+
+
+@query(
+    """SELECT d.doc_id, l.doc_id IS NOT NULL AS indexed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE contains(d.text, 'copyright') OR contains(d.text, 'license')"""
+)
+def find_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in indexed and in other documents, one union."""
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("copyright")) | F.contains("text", F.lit("license"))).select("doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    inside = docs.join(labels, "doc_id", "left_semi").withColumn("indexed", F.lit(True))
+    return inside.unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("indexed", F.lit(False)))
+
+
+@query(
+    """SELECT doc_id, source FROM documents d WHERE source LIKE 'src1%' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+)
+def prune_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under a prefix that were not seen: only these would go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").where(F.startswith("source", F.lit("src1")))
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(
+    """SELECT pattern, count(*) AS pages, min(page_id) AS first_page FROM (SELECT page_id, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[0-9]+', '{n}', 'g') AS pattern FROM pages) GROUP BY pattern"""
+)
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = F.regexp_replace(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), "[0-9]+", "{n}")
+    return table(spark, sf_dir, "pages").select("page_id", pattern.alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN c < r THEN c ELSE r END AS shipped, c < r AS compressed FROM (SELECT doc_id, greatest(1, CAST(round_even(length(text) / 4.0, 0) AS BIGINT)) AS r,
+    greatest(1, CAST(round_even((length(regexp_replace(text, chr(10) || '+', chr(10), 'g')) + 40) / 4.0, 0) AS BIGINT)) AS c FROM documents)"""
+)
+def never_worse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compressed form counts, with its trailer of 40 characters, only where it is smaller."""
+    small = F.concat(F.regexp_replace("text", "\n+", "\n"), F.lit(" " * 40))
+    sized = table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("r"), T.token_estimate(small).alias("c"))
+    return sized.select("doc_id", F.least("c", "r").alias("shipped"), (F.col("c") < F.col("r")).alias("compressed"))
+
+
+@query(
+    f"""WITH {_SITES_SQL}, per AS (SELECT caller, callee_l, max(tier) AS best, min(tier) AS worst, count(*) AS n FROM tiered GROUP BY 1, 2)
+    SELECT caller, callee_l AS part, n FROM per WHERE worst = -1 AND best > -1"""
+)
+def narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges where contradictions leave something over."""
+    per = _pairs(spark, sf_dir).groupBy("caller", F.col("callee_l").alias("part")).agg(F.max("tier").alias("best"), F.min("tier").alias("worst"), F.count(F.lit(1)).alias("n"))
+    return per.where("worst = -1 and best > -1").select("caller", "part", "n")
+
+
+@query("SELECT l_partkey AS field, l_returnflag = 'R' AS is_write, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7 GROUP BY 1, 2")
+def field_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads and writes of known fields: a semi join first, then counts."""
+    fields = table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey")
+    uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("field"), (F.col("l_returnflag") == "R").alias("is_write"))
+    return uses.join(fields, F.col("field") == F.col("p_partkey"), "left_semi").groupBy("field", "is_write").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, user_id, count(*) AS count FROM events GROUP BY 1, 2")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.run_upserts(I.event_stream(spark, sf_dir), ["event_type", "user_id"])
+
+
+@query(
+    """SELECT c.c_custkey, n.n_name, o.n_orders FROM customer c JOIN nation n ON c_nationkey = n_nationkey JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON o_custkey = c_custkey"""
+)
+def caller_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites to their callers by key, counted before the join."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return counts.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n_orders")
