@@ -66,5 +66,5 @@ def unanimous(pairs: DataFrame, by: str, site_key: str = "site_seq") -> DataFram
     """Names whose every site supports one and the same place with STRONG evidence."""
     place = F.struct("qualified", "path", "line")
     per_site = pairs.groupBy(by, site_key).agg(F.collect_set(F.when(F.col("tier") >= STRONG, place)).alias("places"))
-    per_name = per_site.groupBy(by).agg(F.min(F.size("places")).alias("least"), F.max(F.size("places")).alias("most"), F.min(F.element_at("places", 1)).alias("one"), F.max(F.element_at("places", 1)).alias("other"))
+    per_name = per_site.groupBy(by).agg(F.min(F.size("places")).alias("least"), F.max(F.size("places")).alias("most"), F.min(F.get("places", F.lit(0))).alias("one"), F.max(F.get("places", F.lit(0))).alias("other"))
     return per_name.where("least = 1 and most = 1 and one = other").select(by, "one.*")
