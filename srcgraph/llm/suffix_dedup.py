@@ -274,7 +274,8 @@ def classes_of(docs: DataFrame, column: str = "text") -> DataFrame:
 def removed_by_class(classes: DataFrame, with_text: bool = False) -> DataFrame:
     """(k1, k2, n_removed, n_spans, kept_sha256, spans, kept) for each text; kept is null without with_text."""
     long = classes.where(F.octet_length("text") >= WINDOW)
-    anchors = long.select("k1", "k2", "text").mapInArrow(_anchors, "h long, k1 long, k2 long, p long")
+    # All three readers of the texts take the same columns, so that one exchange serves them.
+    anchors = long.select("k1", "k2", "text", "copies").mapInArrow(_anchors, "h long, k1 long, k2 long, p long")
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = anchors.join(often, "h").select("k1", "k2", "p", F.ceil(F.col("n") / HOT).alias("parts"))
     by_text = again.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "parts")).alias("anchors"))
