@@ -14,6 +14,7 @@ from srcgraph.functions import text as T
 from srcgraph.operators import events as E
 from srcgraph.operators import resolve as R
 from srcgraph.operators import search as S
+from srcgraph.operators import store as K
 from srcgraph.operators import walk as W
 from srcgraph.streaming import ingest as I
 
@@ -651,3 +652,41 @@ def caller_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return counts.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n_orders")
+
+
+@query(
+    """WITH RECURSIVE pairs AS (SELECT DISTINCT l_suppkey AS s, -l_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7), e AS (SELECT s AS src, p AS dst FROM pairs UNION ALL SELECT p, s FROM pairs),
+    walk AS (SELECT [s_suppkey] AS path, 0 AS depth, false AS is_cycle FROM supplier WHERE s_suppkey = 1 UNION ALL
+    SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON path[len(path)] = src WHERE depth < 3 AND NOT is_cycle)
+    SELECT array_to_string(path, '>') AS path, depth, is_cycle FROM walk"""
+)
+def trace_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path tree that cuts cycles along each path only."""
+    few = table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey")
+    lines = table(spark, sf_dir, "lineitem").join(few, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    pairs = lines.select(F.col("l_suppkey").alias("s"), (-F.col("l_partkey")).alias("p")).distinct()
+    edges = pairs.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")))
+    seeds = table(spark, sf_dir, "supplier").where("s_suppkey = 1").select(F.col("s_suppkey").alias("node"))
+    paths = W.trace(edges, seeds, 3)
+    return paths.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth", "is_cycle")
+
+
+@query(
+    """WITH rows AS (SELECT user_id, event_type, value, ts, event_id FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT user_id, event_type, value + 1, ts + INTERVAL 1 DAY, event_id FROM events WHERE event_id % 5 = 0)
+    SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, value DESC) AS r FROM rows) WHERE r = 1"""
+)
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    old = rows.where("event_id % 3 <> 0")
+    new = rows.where("event_id % 5 = 0").withColumns({"value": F.col("value") + 1, "ts": F.col("ts") + F.expr("INTERVAL 1 DAY")})
+    return K.upsert(old, new, ["user_id", "event_type"], ["ts", "event_id", "value"]).select("user_id", "event_type", "value")
+
+
+@query(
+    """SELECT p_partkey, p_name, o_orderkey FROM part JOIN (SELECT l_partkey, min(l_orderkey) AS o_orderkey FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey WHERE p_retailprice > 1000"""
+)
+def first_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first heavy site of each expensive definition."""
+    sites = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.min("l_orderkey").alias("o_orderkey"))
+    part = table(spark, sf_dir, "part").where("p_retailprice > 1000").select("p_partkey", "p_name")
+    return part.join(sites, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "p_name", "o_orderkey")
