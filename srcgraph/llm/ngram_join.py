@@ -12,8 +12,9 @@ of passages that many documents share come last.
    and with the smallest set of the token group, which links nearly everything; then, exactly, all
    pairs whose sets are in different components so far and pass the size and position bounds. Equal
    sets are one node, and pairs inside a component need no look, so no group makes all its pairs.
-4. A candidate is verified only if its prefixes meet under the other orders, too; then the whole
-   sets are compared.
+4. A candidate is dropped where histograms of both sets leave no room for the overlap it needs. It
+   is verified only if its prefixes meet under the other orders, too; then the whole sets are
+   compared.
 5. Links make components by alternating star steps.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and link with
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored, text_slices
+from .base import dropped, stored, text_slices
 from .components import components
 
 #: Least similarity in hundredths; words of a shingle; buckets of the count sketch; orders in use.
 SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 18, 3
+#: Bins of a set's histogram; bits of the key filter for each key, and at most.
+BINS, KEY_BITS, MOST_KEY_BITS = 256, 32, 1 << 27
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LETTERS = (np.arange(256, dtype=np.uint64) + np.uint64(0x51ED)) * _M2
 _LETTERS ^= _LETTERS >> np.uint64(31)
@@ -99,6 +102,11 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(mixed(shingles, 0x1234567).sum(dtype=np.uint64).view(np.int64)), int(mixed(shingles, 0x7654321).sum(dtype=np.uint64).view(np.int64))
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """Tokens in each of BINS hash bins, up to 255: what two sets can share at most follows from it."""
+    return np.minimum(np.bincount((shingles >> np.uint64(40) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-SIMILARITY * n // 100) + 1
 
@@ -110,25 +118,27 @@ def ordered(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and the sketch's counts of this task in slices."""
-    names = ["doc_id", "n", "f1", "f2", "slice", "counts"]
+    names = ["doc_id", "n", "f1", "f2", "bins", "slice", "counts"]
     counts = np.zeros(BUCKETS, np.int64)
     for batch in text_slices(batches, "text"):
-        keys, sizes = [], []
+        keys, sizes, bins = [], [], []
         for shingles in sets_of(batch.column(1)):
             counts += np.bincount((shingles & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(shingles) > 4096 else 0
             if 0 < len(shingles) <= 4096:
                 np.add.at(counts, (shingles & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             sizes.append(len(shingles))
             keys.append(set_key(shingles))
+            bins.append(histogram(shingles))
         none = [None] * len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bins, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+            names=names,
         )
     if counts.any():
         parts = counts.reshape(64, -1)
         none = [None] * 64
         yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64())] * 4 + [pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
+            [pa.array(none, pa.int64())] * 4 + [pa.array(none, pa.binary()), pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
         )
 
 
@@ -260,18 +270,72 @@ def _pairs_apart(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, i]) for i in range(4)], names=["a1", "a2", "b1", "b2"])
 
 
-def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set = set()
-    for batch in text_slices(batches, "text"):
-        keys = [set_key(s) if len(s) else None for s in sets_of(batch.column(0))]
-        keep = []
-        for i, key in enumerate(keys):
-            if key is not None and key not in seen:
-                keep.append(i)
-                if len(seen) < 200_000:
-                    seen.add(key)
-        rows = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([keys[i][0] for i in keep], pa.int64()), pa.array([keys[i][1] for i in keep], pa.int64()), rows.column(0)], names=["f1", "f2", "text"])
+def _key_bits(bits: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(bits, bool)
+        for batch in batches:
+            marks[mixed(np.asarray(batch.column(0)).view(np.uint64)) & np.uint64(bits - 1)] = True
+        if marks.any():
+            parts = np.packbits(marks).reshape(64, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+
+    return run
+
+
+def _joined_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(bits, np.uint8)
+            sums[i] = sums[i] | part if i in sums else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+
+
+def key_filter(ends: DataFrame) -> np.ndarray:
+    """A bit for the digest of each key in ends, at most MOST_KEY_BITS of them (16 MB): texts without
+    a mark need not be shuffled; a wrong mark costs no more than that."""
+    bits = min(MOST_KEY_BITS, 1 << max(16, (KEY_BITS * ends.count()).bit_length()))
+    parts = ends.select("f1").mapInArrow(_key_bits(bits), "slice int, counts binary").repartition("slice").mapInArrow(_joined_bits, "slice int, counts binary")
+    total = np.zeros((64, bits // 512), np.uint8)
+    for row in parts.collect():
+        total[row[0]] |= np.frombuffer(row[1], np.uint8)
+    return total.ravel()
+
+
+def _keyed_texts(filter_of):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = filter_of.value
+        last = np.uint64(len(marks) * 8 - 1)
+        seen: set = set()
+        for batch in text_slices(batches, "text"):
+            keep, keys = [], []
+            for i, shingles in enumerate(sets_of(batch.column(0))):
+                if not len(shingles):
+                    continue
+                key = set_key(shingles)
+                at = int(mixed(np.array([key[0]]).view(np.uint64))[0] & last)
+                if marks[at >> 3] >> (7 - (at & 7)) & 1 and key not in seen:
+                    keep.append(i)
+                    keys.append(key)
+                    if len(seen) < 200_000:  # copies in this task are told once
+                        seen.add(key)
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), rows.column(0)], names=["f1", "f2", "text"])
+
+    return run
+
+
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose histograms leave room for the overlap that they need."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        na, nb = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (6, 7))
+        most = np.minimum(a, b).sum(1, dtype=np.int64)
+        full = (a == 255).any(1) | (b == 255).any(1)
+        keep = full | ((100 + SIMILARITY) * most >= SIMILARITY * (na + nb))
+        yield batch.filter(pa.array(keep)).select([0, 1, 2, 3])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,15 +368,28 @@ def _verified(levels_of) -> object:  # noqa: ANN001
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, levels_of) -> DataFrame:  # noqa: ANN001
-    """The pairs that are similar enough, as (a1, a2, b1, b2)."""
-    ends = pairs.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).unionByName(pairs.select(F.col("b1").alias("f1"), F.col("b2").alias("f2"))).distinct()
-    named = texts.mapInArrow(_keyed_texts, "f1 long, f2 long, text string").join(ends, ["f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"])
-    sets = stored(named.mapInArrow(_shingled, "f1 long, f2 long, shingles binary"), "sets")
-    left = sets.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "sa", "sb")
-    return stored(both.mapInArrow(_verified(levels_of), PAIR), "links")
+def _with_both(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pairs with columns of both their sets: column x under the name y, then a or b."""
+    for c in "ab":
+        side = sets.select(F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), *(F.col(x).alias(y + c) for x, y in columns.items()))
+        pairs = pairs.join(side, [f"{c}1", f"{c}2"])
+    return pairs
+
+
+def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels_of) -> DataFrame:  # noqa: ANN001
+    """The pairs that are similar enough, as (a1, a2, b1, b2). sets: (f1, f2, n, bins)."""
+    spark = texts.sparkSession
+
+    roomy = _with_both(pairs, sets, {"n": "n", "bins": "bins"}).select("a1", "a2", "b1", "b2", "na", "nb", "binsa", "binsb").mapInArrow(_may_be_similar, PAIR)
+    roomy = stored(roomy, "roomy")
+    ends = roomy.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).unionByName(roomy.select(F.col("b1").alias("f1"), F.col("b2").alias("f2"))).distinct()
+    filter_of = spark.sparkContext.broadcast(key_filter(ends))
+    named = texts.mapInArrow(_keyed_texts(filter_of), "f1 long, f2 long, text string").join(ends, ["f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"])
+    whole = stored(named.mapInArrow(_shingled, "f1 long, f2 long, shingles binary"), "sets")
+    both = _with_both(roomy, whole, {"shingles": "s"}).select("a1", "a2", "b1", "b2", "sa", "sb")
+    links = stored(both.mapInArrow(_verified(levels_of), PAIR), "links")
+    dropped(whole)
+    return links
 
 
 def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -321,12 +398,13 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     texts = docs.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     sized = stored(
         docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text")).mapInArrow(
-            _sized, "doc_id long, n long, f1 long, f2 long, slice int, counts binary"
+            _sized, "doc_id long, n long, f1 long, f2 long, bins binary, slice int, counts binary"
         ),
         "sized",
     )
     levels_of = spark.sparkContext.broadcast(sketch_levels(sized))
     rows = sized.where("slice is null").select("doc_id", "n", "f1", "f2")
+    sets = sized.where("slice is null and n > 0").groupBy("f1", "f2").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
     tokens = texts.mapInArrow(_prefix_rows(levels_of), "h long, f1 long, f2 long, n long, pos long")
     shared = stored(
@@ -334,7 +412,7 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
         "shared",
     )
     pairs = shared.where("kind = 1").select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("g1").alias("b1"), F.col("g2").alias("b2")).distinct()
-    links = _links(stored(pairs, "pairs"), texts, levels_of)
+    links = _links(stored(pairs, "pairs"), sets, texts, levels_of)
 
     def found(links: DataFrame) -> DataFrame:
         a = node.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("id").alias("a"))
@@ -346,7 +424,7 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     marked = shared.where("kind = 0").select("h", "f1", "f2", "n", "pos").join(members, ["f1", "f2"], "left")
     marked = marked.select("h", "f1", "f2", "n", "pos", F.coalesce("c1", "f1").alias("c1"), F.coalesce("c2", "f2").alias("c2"))
     apart = marked.repartition("h").sortWithinPartitions("h").mapInArrow(_by_token(_pairs_apart), PAIR).distinct()
-    more = _links(stored(apart.join(pairs, ["a1", "a2", "b1", "b2"], "left_anti"), "pairs"), texts, levels_of)
+    more = _links(stored(apart.join(pairs, ["a1", "a2", "b1", "b2"], "left_anti"), "pairs"), sets, texts, levels_of)
     final = found(links.unionByName(more)) if not more.isEmpty() else so_far
     ids = node.join(final, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("__c"))
     labelled = rows.join(ids, ["f1", "f2"], "left")
@@ -354,7 +432,7 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, column: str = "text") -> DataFrame:
-    """The documents, one of each component; rows without a doc_id stay where no other row has their set."""
+    """The documents, one of each component: that of its smallest doc_id. Rows without a doc_id stay."""
     decided = clustered(docs, column).where("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     none = docs.where("doc_id is null")
     kept = docs.join(decided, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
