@@ -32,9 +32,11 @@ MIX = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """(text, domain) of the labelled documents: their language is the domain."""
-    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(ids, "doc_id", "left_semi").drop("doc_id")
+    """(text, domain) of labelled documents: their language is the domain. The classifier's sample is
+    bounded, so its ids are chosen first, in hash order, and sent to the texts."""
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mixing"))
+    ids = table(spark, sf_dir, "labels").select("doc_id").distinct().orderBy(order, "doc_id").limit(mixing.MAX_LABELLED)
+    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(F.broadcast(ids), "doc_id", "left_semi").drop("doc_id")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
