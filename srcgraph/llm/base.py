@@ -57,8 +57,8 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that one slice holds few bytes of text, however long single texts are."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that one slice holds few bytes of text; a text that is longer comes alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -66,8 +66,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.R
         start, size = 0, 0
         lengths = pc.binary_length(batch.column(column_at)).to_pylist()
         for i, n in enumerate(lengths):
+            if i > start and size + (n or 0) > most:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
             size += n or 0
-            if size >= SLICE_BYTES or i - start + 1 >= SLICE_ROWS:
+            if i - start + 1 >= SLICE_ROWS:
                 yield batch.slice(start, i - start + 1)
                 start, size = i + 1, 0
         if start < batch.num_rows:

@@ -39,6 +39,8 @@ from .components import components
 SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 18, 3
 #: Bins of a set's histogram; bits of the key filter for each key, and at most.
 BINS, KEY_BITS, MOST_KEY_BITS = 256, 32, 1 << 27
+#: Bytes of text hashed at a time: digests take some tens of times that.
+SLICE = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LETTERS = (np.arange(256, dtype=np.uint64) + np.uint64(0x51ED)) * _M2
 _LETTERS ^= _LETTERS >> np.uint64(31)
@@ -120,7 +122,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and the sketch's counts of this task in slices."""
     names = ["doc_id", "n", "f1", "f2", "bins", "slice", "counts"]
     counts = np.zeros(BUCKETS, np.int64)
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE):
         keys, sizes, bins = [], [], []
         for shingles in sets_of(batch.column(1)):
             counts += np.bincount((shingles & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(shingles) > 4096 else 0
@@ -163,7 +165,7 @@ def sketch_levels(sized: DataFrame) -> np.ndarray:
 def _prefix_rows(levels_of) -> object:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = levels_of.value, set()
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             out: list[list] = [[] for _ in range(5)]
             for shingles in sets_of(batch.column(0)):
                 n = len(shingles)
@@ -307,7 +309,7 @@ def _keyed_texts(filter_of):  # noqa: ANN001, ANN202
         marks = filter_of.value
         last = np.uint64(len(marks) * 8 - 1)
         seen: set = set()
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             keep, keys = [], []
             for i, shingles in enumerate(sets_of(batch.column(0))):
                 if not len(shingles):
@@ -339,7 +341,7 @@ def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE):
         sets = [s.tobytes() for s in sets_of(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["f1", "f2", "shingles"])
 
@@ -435,5 +437,5 @@ def one_of_each(docs: DataFrame, column: str = "text") -> DataFrame:
     """The documents, one of each component: that of its smallest doc_id. Rows without a doc_id stay."""
     decided = clustered(docs, column).where("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     none = docs.where("doc_id is null")
-    kept = docs.join(decided, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    kept = docs.join(decided, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id", column])
     return kept.select(*docs.columns).unionByName(none)
