@@ -115,7 +115,7 @@ def compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor
     made = []
     for content in (ordinary, toxic + ordinary):
         params = zstandard.ZstdCompressionParameters(
-            window_log=15, hash_log=13, chain_log=14, search_log=4, min_match=3, target_length=16, strategy=zstandard.STRATEGY_BTOPT,
+            window_log=15, hash_log=13, chain_log=14, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA,
             format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         made.append(zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
