@@ -37,8 +37,8 @@ from .components import components
 
 #: Least similarity in hundredths; words of a shingle; buckets of the count sketch; orders in use.
 SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 18, 3
-#: Bins of a set's histogram; bits of the key filter for each key, and at most.
-BINS, KEY_BITS, MOST_KEY_BITS = 256, 32, 1 << 27
+#: Bins of a set's histograms; bits of the key filter for each key, and at most.
+BINS, SMALL, KEY_BITS, MOST_KEY_BITS = 256, 64, 32, 1 << 27
 #: Bytes of text hashed at a time: digests take some tens of times that.
 SLICE = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,6 +109,11 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles >> np.uint64(40) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def folded(bins: bytes) -> bytes:
+    """The same histogram with SMALL bins, as the rows of a token carry it."""
+    return np.minimum(np.frombuffer(bins, np.uint8).reshape(SMALL, -1).sum(1), 255).astype(np.uint8).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-SIMILARITY * n // 100) + 1
 
@@ -120,7 +125,7 @@ def ordered(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and the sketch's counts of this task in slices."""
-    names = ["doc_id", "n", "f1", "f2", "bins", "slice", "counts"]
+    names = ["doc_id", "n", "f1", "f2", "bins", "small", "slice", "counts"]
     counts = np.zeros(BUCKETS, np.int64)
     for batch in text_slices(batches, "text", SLICE):
         keys, sizes, bins = [], [], []
@@ -133,14 +138,14 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bins.append(histogram(shingles))
         none = [None] * len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bins, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bins, pa.binary()), pa.array([folded(b) for b in bins], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
             names=names,
         )
     if counts.any():
         parts = counts.reshape(64, -1)
         none = [None] * 64
         yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64())] * 4 + [pa.array(none, pa.binary()), pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
+            [pa.array(none, pa.int64())] * 4 + [pa.array(none, pa.binary())] * 2 + [pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
         )
 
 
@@ -188,6 +193,10 @@ def _prefix_rows(levels_of) -> object:  # noqa: ANN001
 PAIR = "a1 long, a2 long, b1 long, b2 long"
 
 
+def _column(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, SMALL) if pa.types.is_binary(values.type) else np.asarray(values)
+
+
 def _by_token(work) -> object:  # noqa: ANN001
     """Rows come sorted by h; work(list of columns, group borders) is called on whole groups."""
 
@@ -197,7 +206,7 @@ def _by_token(work) -> object:  # noqa: ANN001
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([np.asarray(c) for c in batch.columns])
+            held.append([_column(c) for c in batch.columns])
             size += batch.num_rows
             if size >= 200_000:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -246,7 +255,7 @@ def _near_pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 def _pairs_apart(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """All pairs of one token whose sets are in different components and may be similar enough."""
     order = np.lexsort((columns[3], columns[0]))
-    h, f1, f2, n, pos, c1, c2 = (c[order] for c in columns)
+    h, f1, f2, n, pos, c1, c2, small = (c[order] for c in columns)
     borders = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
     out = []
     for a, z in zip(borders, borders[1:], strict=False):
@@ -260,7 +269,11 @@ def _pairs_apart(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
                 continue
             need = -(-SIMILARITY * (n[i] + n[j]) // (100 + SIMILARITY))
             room = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-            j = j[((c1[j] != c1[i]) | (c2[j] != c2[i])) & (room >= need)]
+            able = ((c1[j] != c1[i]) | (c2[j] != c2[i])) & (room >= need)
+            j, need = j[able], need[able]
+            if len(j):
+                most = np.minimum(small[j], small[i]).sum(1, dtype=np.int64)
+                j = j[(most >= need) | (small[i] == 255).any() | (small[j] == 255).any(1)]
             if len(j):
                 out.append(np.stack([np.full(len(j), i), j], 1))
     if out:
@@ -400,13 +413,13 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     texts = docs.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     sized = stored(
         docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text")).mapInArrow(
-            _sized, "doc_id long, n long, f1 long, f2 long, bins binary, slice int, counts binary"
+            _sized, "doc_id long, n long, f1 long, f2 long, bins binary, small binary, slice int, counts binary"
         ),
         "sized",
     )
     levels_of = spark.sparkContext.broadcast(sketch_levels(sized))
     rows = sized.where("slice is null").select("doc_id", "n", "f1", "f2")
-    sets = sized.where("slice is null and n > 0").groupBy("f1", "f2").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+    sets = sized.where("slice is null and n > 0").groupBy("f1", "f2").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("small").alias("small"))
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
     tokens = texts.mapInArrow(_prefix_rows(levels_of), "h long, f1 long, f2 long, n long, pos long")
     shared = stored(
@@ -422,9 +435,11 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
         return components(links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]), "a", "b")
 
     so_far = found(links)
-    members = node.join(so_far, "id").select("f1", "f2", F.col("component").alias("c1"), F.lit(0).cast("long").alias("c2"))
-    marked = shared.where("kind = 0").select("h", "f1", "f2", "n", "pos").join(members, ["f1", "f2"], "left")
-    marked = marked.select("h", "f1", "f2", "n", "pos", F.coalesce("c1", "f1").alias("c1"), F.coalesce("c2", "f2").alias("c2"))
+    # Each token row learns its set's component so far, or the set's own key, and its small histogram.
+    members = node.join(so_far, "id").select("f1", "f2", F.col("component").alias("c1"))
+    known = sets.select("f1", "f2", "small").join(members, ["f1", "f2"], "left")
+    known = known.select("f1", "f2", "small", F.coalesce("c1", "f1").alias("c1"), F.when(F.col("c1").isNull(), F.col("f2")).otherwise(F.lit(0).cast("long")).alias("c2"))
+    marked = shared.where("kind = 0").select("h", "f1", "f2", "n", "pos").join(known, ["f1", "f2"]).select("h", "f1", "f2", "n", "pos", "c1", "c2", "small")
     apart = marked.repartition("h").sortWithinPartitions("h").mapInArrow(_by_token(_pairs_apart), PAIR).distinct()
     more = _links(stored(apart.join(pairs, ["a1", "a2", "b1", "b2"], "left_anti"), "pairs"), sets, texts, levels_of)
     final = found(links.unionByName(more)) if not more.isEmpty() else so_far
