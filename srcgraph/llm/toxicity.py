@@ -20,6 +20,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -150,10 +151,11 @@ def logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
 
 
 def fit_rows(rows: list[tuple[str, int, int]]) -> Model | None:
-    """rows: (text, toxic, a number that deals the rows out)."""
+    """rows: (text, toxic, a number that deals the rows out). Texts that are equal in lower case and have
+    the same label count once."""
     unique = {}
     for text, toxic, number in rows:
-        unique.setdefault(lowered(text)[:96], (text, toxic, number))
+        unique.setdefault((hashlib.sha256(lowered(text)).digest(), toxic), (text, toxic, number))
     rows = sorted(unique.values(), key=lambda r: (r[2], r[0]))
     if not rows or len({toxic for _, toxic, _ in rows}) < 2:
         return None

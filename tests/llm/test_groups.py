@@ -163,6 +163,19 @@ def test_toxicity_edges(spark):
     assert toxicity.score_of(long, "some nitwit came by, the nitwit " * 3) > toxicity.score_of(long, "a fine day in the garden " * 3)
 
 
+def test_toxicity_keeps_texts_that_open_alike(monkeypatch):
+    head = "From the archive of the daily herald, all rights reserved by the owners, issue of the last Sunday in the month. "
+    rows = [(f"{head}you utter nitwit {i} go away nitwit", 1, i) for i in range(40)] + [(f"{head}fine words number {i} here", 0, i) for i in range(40)]
+    model = toxicity.fit_rows(rows)
+    assert model is not None
+    assert toxicity.score_of(model, head + "you utter nitwit 77 go away nitwit") >= 0.5 > toxicity.score_of(model, head + "fine words number 77 here")
+    seen = []
+    monkeypatch.setattr(toxicity, "significant", lambda toxic, ordinary: seen.append((len(toxic), len(ordinary))) or [])
+    # Equal but for case: once for each label; all others stay.
+    toxicity.fit_rows([*rows, (rows[0][0].upper(), 1, 90), (rows[0][0], 0, 91)])
+    assert seen[-1] == (40, 41)
+
+
 def test_quotes_lead_to_threads(spark):
     rows = [
         (1, 0, "user", "Hello there\nHow do I sort a list?"), (1, 1, "assistant", "> How do I sort a list?\nUse sorted()."), (1, 2, "user", "Another thing."),
