@@ -12,8 +12,11 @@
 5. A pair is counted in the first shard its two nodes share, so links are summed without pairs being
    emitted; a part gives one edge for each node and found component, and star steps join those.
 
-audited() compares the links of a bounded sample of vectors with brute force over all of them and
-gives the recall; deduplicated() doubles OVERLAP until the audit reaches LEAST_RECALL.
+The audit compares the links of sampled vectors with brute force over all of them and gives the mean
+share of a vector's links that was found, over sampled vectors that have any, so that vectors with one
+link count as much as those of a large group. The sample grows until AUDIT vectors with links are in
+it, up to MOST_AUDIT vectors. deduplicated() doubles OVERLAP until the audit reaches LEAST_RECALL; where
+MOST_OVERLAP does not reach it, all vectors are compared with all, which is exact and quadratic.
 
 Defined cases: an empty table gives an empty result; rows without a vec_id take part only as copies;
 repeated rows are copies of each other; vectors of different lengths never link; ties go to the
@@ -37,7 +40,9 @@ COSINE = 0.9
 SHARD, MAX_SHARD, OVERLAP, SAMPLE, MAX_CENTROIDS = 1000, 3000, 2, 20_000, 4096
 #: Candidates and edges of a node, pruning slack, far edges, steps of the greedy walk, slack of the range.
 POOL, DEGREE, ALPHA, FAR, WALK, SLACK = 48, 20, 1.2, 4, 24, 0.05
-AUDIT, LEAST_RECALL = 200, 0.95
+AUDIT, MOST_AUDIT, LEAST_RECALL, MOST_OVERLAP = 200, 4000, 0.95, 8
+#: Bytes of unit vectors that all others are compared with at a time, where all pairs are compared.
+BLOCK_BYTES = 32 << 20
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,48 +265,108 @@ def _linked(nodes: DataFrame, overlap: int) -> DataFrame:
     return rows.groupBy("shard", "part").applyInArrow(_search, "id long, links long, root long")
 
 
-def audited(nodes: DataFrame, links: DataFrame) -> float:
-    """Recall of the links of AUDIT nodes against brute force over all nodes. links: (id, links)."""
+def _by_dim(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, weights and unit vectors of (id, dim, n, unit) by length."""
+    ids, dims, weight = (np.asarray(rows.column(i)) for i in range(3))
+    return {int(d): (ids[dims == d], weight[dims == d], _matrix(rows.column(3).filter(pa.array(dims == d)))) for d in np.unique(dims)}
+
+
+def audit_sample(nodes: DataFrame) -> dict[int, int]:
+    """The true number of links of sampled nodes that have any, by brute force over all nodes."""
     spark = nodes.sparkSession
-    asked = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "unit", "dim").toArrow()
-    ids, dims = np.asarray(asked.column(0)), np.asarray(asked.column(2))
-    if not len(ids):
+    drawn = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(MOST_AUDIT).select("id", "dim", "n", "unit").toArrow()
+    found: dict[int, int] = {}
+    at, size = 0, AUDIT
+    while at < drawn.num_rows and len(found) < AUDIT:
+        asked_of = spark.sparkContext.broadcast(_by_dim(drawn.slice(at, size)))
+
+        def count(batches: Iterator[pa.RecordBatch], asked_of=asked_of) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            totals: dict[int, int] = {}
+            for batch in batches:
+                own, dim, weight = (np.asarray(batch.column(i)) for i in range(3))
+                for d, (asked_ids, _, asked_units) in asked_of.value.items():
+                    mine = np.flatnonzero(dim == d)
+                    units = _matrix(batch.column(3).take(pa.array(mine)))
+                    for a in range(0, len(asked_ids) if len(mine) else 0, 250):
+                        ids = asked_ids[a : a + 250]
+                        near = (asked_units[a : a + 250] @ units.T >= COSINE) & (ids[:, None] != own[mine][None, :])
+                        for i, k in zip(ids.tolist(), (near @ weight[mine]).tolist(), strict=True):
+                            totals[i] = totals.get(i, 0) + int(k)
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["id", "wanted"])
+
+        wanted = nodes.select("id", "dim", "n", "unit").mapInArrow(count, "id long, wanted long").groupBy("id").agg(F.sum("wanted").alias("wanted"))
+        found |= {r["id"]: r["wanted"] for r in wanted.where("wanted > 0").collect()}
+        at, size = at + size, 5 * AUDIT
+    return found
+
+
+def recall_of(wanted: dict[int, int], links: DataFrame) -> float:
+    """Mean share of the links of sampled nodes that (id, links) holds."""
+    if not wanted:
         return 1.0
-    units = {int(d): (ids[dims == d], _matrix(asked.column(1).filter(pa.array(dims == d)))) for d in np.unique(dims)}
-    units_of = spark.sparkContext.broadcast(units)
+    got = {r["id"]: r["links"] for r in links.where(F.col("id").isin(*wanted)).collect()}
+    return sum(min(1.0, got.get(i, 0) / n) for i, n in wanted.items()) / len(wanted)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, int] = {}
+
+def _against(block_of):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, dim, weight = (np.asarray(batch.column(i)) for i in (0, 1, 2))
-            for d, (asked_ids, asked_units) in units_of.value.items():
+            own, dim = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            rows = [np.stack([own, np.zeros(len(own), np.int64), own], axis=1)]
+            for d, (ids, weight, unit) in block_of.value.items():
                 mine = np.flatnonzero(dim == d)
-                if len(mine):
-                    near = asked_units @ _matrix(batch.column(3).take(pa.array(mine))).T >= COSINE
-                    near &= asked_ids[:, None] != own[mine][None, :]
-                    for i, k in zip(asked_ids.tolist(), (near @ weight[mine]).tolist(), strict=True):
-                        totals[i] = totals.get(i, 0) + int(k)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["id", "wanted"])
+                units = _matrix(batch.column(2).take(pa.array(mine)))
+                for a in range(0, len(mine), 500):
+                    these = own[mine[a : a + 500]]
+                    for b in range(0, len(ids), 3000):
+                        those = ids[b : b + 3000]
+                        linked = (units[a : a + 500] @ unit[b : b + 3000].T >= COSINE) & (these[:, None] != those[None, :])
+                        who, whom = np.nonzero(linked)
+                        if not len(who):
+                            continue
+                        # Rows of one query are in order of whom: its first neighbour holds the others together.
+                        first = whom[np.searchsorted(who, who)]
+                        x, y = np.divmod(np.unique(whom * len(those) + first), len(those))
+                        some, at = np.unique(who, return_index=True)
+                        rows.append(np.stack([these[some], (linked[some] @ weight[b : b + 3000]).astype(np.int64), those[whom[at]]], axis=1))
+                        rows.append(np.stack([those[x], np.zeros(len(x), np.int64), those[y]], axis=1))
+            if len(own):
+                yield from _forest(np.concatenate(rows)).to_batches()
 
-    wanted = nodes.select("id", "dim", "n", "unit").mapInArrow(count, "id long, wanted long").groupBy("id").agg(F.sum("wanted").alias("wanted"))
-    both = wanted.join(links, "id", "left").agg(F.sum("wanted"), F.sum(F.least(F.coalesce("links", F.lit(0)), "wanted"))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    return run
+
+
+def exact(nodes: DataFrame) -> DataFrame:
+    """(id, links, root) rows by comparing all nodes with all: each block of them goes to every task."""
+    spark = nodes.sparkSession
+    size = nodes.agg(F.sum(F.octet_length("unit"))).first()[0] or 0
+    blocks, found = max(1, -(-size // BLOCK_BYTES)), None
+    for k in range(blocks):
+        block = nodes.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == k).select("id", "dim", "n", "unit").toArrow()
+        block_of = spark.sparkContext.broadcast(_by_dim(block))
+        part = stored(nodes.select("id", "dim", "unit").mapInArrow(_against(block_of), "id long, links long, root long"), "exact")
+        block_of.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def deduplicated(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) for each row of (vec_id, embedding)."""
     units, nodes = _nodes(vectors)
     lengths = [r[0] for r in nodes.select("dim").distinct().orderBy("dim").limit(64).collect()]
-    overlap, recall = OVERLAP, 0.0
+    overlap, wanted = OVERLAP, audit_sample(nodes)
     while True:
-        parts = [_linked(nodes.where(F.col("dim") == d), overlap) for d in lengths]
-        found = parts[0] if parts else nodes.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("root")).limit(0)
-        for more in parts[1:]:
-            found = found.unionByName(more)
+        if overlap <= MOST_OVERLAP:
+            parts = [_linked(nodes.where(F.col("dim") == d), overlap) for d in lengths]
+            found = parts[0] if parts else nodes.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("root")).limit(0)
+            for more in parts[1:]:
+                found = found.unionByName(more)
+        else:
+            found = exact(nodes)
         found = stored(found, "found")
         links = stored(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
-        recall = audited(nodes, links)
-        if recall >= LEAST_RECALL or overlap >= 8:
+        recall = recall_of(wanted, links)
+        if recall >= LEAST_RECALL or overlap > MOST_OVERLAP:
             break
         overlap *= 2
     joined = components(found.where("root <> id"), "id", "root")

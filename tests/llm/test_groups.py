@@ -121,6 +121,21 @@ def test_salted_shards_find_the_same(spark, monkeypatch):
     assert sum(r["n_links"] for r in got) >= 0.95 * sum(n for n, _ in want.values()) and {r["component_id"] for r in got} == {0}
 
 
+def test_lost_sparse_pairs_are_found_by_the_audit(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, singles = rng.normal(size=32), rng.normal(size=(40, 32))
+    vectors = [*(base + rng.normal(size=(60, 32)) * 0.05), *singles, *(singles + rng.normal(size=(40, 32)) * 0.05)]
+    found = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    searched = embedding_dedup._linked
+    monkeypatch.setattr(embedding_dedup, "SHARD", 10)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 9000)
+    # A search that sees the large group only: nearly all pairs, and none of most vectors' links.
+    monkeypatch.setattr(embedding_dedup, "_linked", lambda nodes, overlap: searched(nodes.where("id < 60"), overlap))
+    got = embedding_dedup.deduplicated(spark.createDataFrame(found, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute.linked_vectors(found)
+    assert {r["audit_recall"] for r in got} == {1.0}
+
+
 def test_rates_reach_the_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = mixing.mixed(docs, queries.labelled_domains(spark, SF, docs), queries.MIX, ["doc_id", "lang"])
