@@ -252,9 +252,14 @@ def _linked(nodes: DataFrame, overlap: int) -> DataFrame:
     centers_of = spark.sparkContext.broadcast(centroids_of(sample, min(wanted, len(sample))))
     overlap = min(overlap, len(centers_of.value))
     placed = stored(nodes.select("id", "unit", "n").mapInArrow(_assigned(centers_of, overlap), "id long, unit binary, n long, shards array<int>"), "placed")
+    return _searched(placed)
+
+
+def _searched(placed: DataFrame) -> DataFrame:
+    """(id, links, root) rows over the shards of nodes (id, unit, n, shards)."""
     spread = placed.select("id", "unit", "n", "shards", F.explode("shards").alias("shard"))
     sizes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / MAX_SHARD).cast("int").alias("parts"))
-    # At most MAX_CENTROIDS rows.
+    # At most MAX_CENTROIDS rows, or one for each length of few nodes.
     members = spread.join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int"))
     adjacency = members.groupBy("shard", "part").applyInArrow(_build, "id long, neighbours array<long>")
     united = adjacency.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
@@ -353,11 +358,17 @@ def exact(nodes: DataFrame) -> DataFrame:
 def deduplicated(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) for each row of (vec_id, embedding)."""
     units, nodes = _nodes(vectors)
-    lengths = [r[0] for r in nodes.select("dim").distinct().orderBy("dim").limit(64).collect()]
+    # Lengths of so few nodes that they are one shard run together, the length being the shard's key.
+    # The others, each of 2 * SHARD nodes or more, have centroids of their own.
+    lengths = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("count"))
+    large = [r["dim"] for r in lengths.where(F.col("count") >= 2 * SHARD).orderBy("dim").collect()]
+    small = None
+    if not lengths.where(F.col("count") < 2 * SHARD).isEmpty():
+        small = stored(nodes.where(~F.col("dim").isin(large)).select("id", "unit", "n", F.array(F.col("dim").cast("int")).alias("shards")), "placed")
     overlap, wanted = OVERLAP, audit_sample(nodes)
     while True:
         if overlap <= MOST_OVERLAP:
-            parts = [_linked(nodes.where(F.col("dim") == d), overlap) for d in lengths]
+            parts = [_linked(nodes.where(F.col("dim") == d), overlap) for d in large] + ([_searched(small)] if small is not None else [])
             found = parts[0] if parts else nodes.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("root")).limit(0)
             for more in parts[1:]:
                 found = found.unionByName(more)

@@ -136,6 +136,17 @@ def test_lost_sparse_pairs_are_found_by_the_audit(spark, monkeypatch):
     assert {r["audit_recall"] for r in got} == {1.0}
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    singles = [rng.normal(size=n) for n in range(4, 76)]
+    found = [(i, v.tolist()) for i, v in enumerate([*singles, *(v + rng.normal(size=len(v)) * 0.01 for v in singles)])]
+    # One length of more nodes than a shard is to have.
+    monkeypatch.setattr(embedding_dedup, "SHARD", 5)
+    found += [(1000 + i, (singles[20] + rng.normal(size=24) * 0.01).tolist()) for i in range(12)]
+    got = embedding_dedup.deduplicated(spark.createDataFrame(found, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute.linked_vectors(found)
+
+
 def test_rates_reach_the_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = mixing.mixed(docs, queries.labelled_domains(spark, SF, docs), queries.MIX, ["doc_id", "lang"])
