@@ -12,8 +12,8 @@ of a document is an expression of its posteriors, so nothing but those sums reac
 
 Defined cases: null and empty texts have no tokens, the classes' priors as posteriors, and the rate
 that these give; labelled rows without a domain are left out; with no labelled row every rate is 1;
-domains that no document belongs to are left out of the fit; weights of domains that are not
-mentioned keep their share; repeated rows are rows of their own; an empty table gives an empty
+domains that no document belongs to are left out of the fit; domains that the weights do not
+mention keep their share, and the weights divide the rest; repeated rows are rows of their own; an empty table gives an empty
 result; other columns stay, clashing names are replaced.
 """
 
@@ -83,12 +83,16 @@ def with_posteriors(docs: DataFrame, classifier: Classifier, column: str = "text
 
 
 def targets_of(totals: list[float], domains: tuple[str, ...], weights: Mapping[str, float], tokens: float | None) -> list[float]:
-    """Target tokens of each domain. Without a token budget: the least one at which no domain shrinks."""
+    """Target tokens of each domain. Without a token budget: the least one at which no domain shrinks,
+    but for those that are named with weight 0."""
     whole = sum(totals)
     named = [weights.get(d) for d in domains]
-    left = max(0.0, 1.0 - sum(w for w in named if w is not None))
     unnamed = sum(t for t, w in zip(totals, named, strict=True) if w is None)
-    shares = [w if w is not None else left * t / unnamed if unnamed else 0.0 for t, w in zip(totals, named, strict=True)]
+    given = sum(w for w in named if w is not None)
+    # Unnamed domains keep their present share; the named weights divide the rest. With no unnamed
+    # tokens the weights stand as they are.
+    scale = (whole - unnamed) / whole / given if unnamed and given else 1.0
+    shares = [w * scale if w is not None else t / whole if whole else 0.0 for t, w in zip(totals, named, strict=True)]
     budget = tokens if tokens is not None else max((t / s for t, s in zip(totals, shares, strict=True) if s > 0), default=whole)
     return [s * budget for s in shares]
 

@@ -168,6 +168,17 @@ def test_mixing_edges(spark):
     assert mixing.targets_of([60.0, 20.0, 20.0], ("a", "b", "c"), {"a": 0.5, "b": 0.25, "c": 0.25}, None) == [60.0, 30.0, 30.0]
 
 
+def test_unnamed_domains_keep_their_share(spark):
+    got = mixing.targets_of([50.0, 20.0, 20.0, 10.0], ("a", "b", "c", "x"), {"a": 0.5, "b": 0.25, "c": 0.25}, 100.0)
+    assert np.allclose(got, [45.0, 22.5, 22.5, 10.0])
+    assert np.allclose(mixing.targets_of([50.0, 50.0], ("x", "y"), {"a": 1.0}, None), [50.0, 50.0])
+    assert np.allclose(mixing.targets_of([60.0, 20.0, 20.0], ("a", "b", "x"), {"a": 0.5, "b": 0.5}, None), [60.0, 60.0, 30.0])
+    assert mixing.targets_of([0.0, 0.0], ("a", "x"), {"a": 1.0}, None) == [0.0, 0.0]
+    docs = spark.createDataFrame([(i, f"{d} {d}word {d}text " * 4, d) for i, d in enumerate(["en", "de", "it", "it"] * 6)], "doc_id long, text string, lang string")
+    out = mixing.mixed(docs, docs.select("text", F.col("lang").alias("domain")), {"en": 0.75, "de": 0.25}, ["doc_id", "lang"]).collect()
+    assert min(r["rate"] for r in out if r["lang"] == "it") > 0.9
+
+
 def test_toxicity_is_learnt_outside_the_fold(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
