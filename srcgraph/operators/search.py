@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def find_lines(docs: DataFrame, key: str, text: str, pattern: str, excerpt: int = 160) -> DataFrame:
@@ -49,14 +50,21 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float =
 
 
 def within_budget(ranked: DataFrame, key: str, score: str, size: str, budget: int, top: int, pool: int = 200) -> DataFrame:
-    """Greedy selection by score: a slice that does not fit is passed over, not the end. The pool of
-    best rows is bounded, so one task holds it."""
-    best = ranked.orderBy(F.desc(score), key).limit(pool)
-    listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(size).cast("long").alias("z")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.filter(F.transform("rows", lambda r: r["k"]), lambda k: F.lit(False)).alias("taken"))
-
-    def step(acc, row):  # noqa: ANN001, ANN202
-        fits = (F.size(acc["taken"]) < top) & (acc["used"] + row["z"] <= budget)
-        return F.when(fits, F.struct((acc["used"] + row["z"]).alias("used"), F.array_append(acc["taken"], row["k"]).alias("taken"))).otherwise(acc)
-
-    return listed.select(F.posexplode(F.aggregate("rows", start, step)["taken"]).alias("place", key))
+    """Greedy selection by score: a slice that does not fit is passed over, not the end. The driver
+    holds a pool of the best rows that fit what is left, and asks for the rows after it while fewer than
+    `top` are taken. Each pool gives at least one row, so there are at most `top` and one of them."""
+    rest = ranked.select(F.col(key).alias("k"), F.col(score).alias("s"), F.col(size).cast("long").alias("z"))
+    used, taken, after = 0, [], F.lit(True)
+    while len(taken) < top:
+        best = rest.where(after & (F.col("z") <= budget - used)).orderBy(F.desc("s"), "k").limit(pool).collect()
+        for row in best:
+            if len(taken) < top and used + row["z"] <= budget:
+                used += row["z"]
+                taken.append(row["k"])
+        if len(best) < pool:
+            break
+        last = best[-1]
+        behind = F.col("k") > F.lit(last["k"])
+        after = F.col("s").isNull() & behind if last["s"] is None else F.col("s").isNull() | (F.col("s") < F.lit(last["s"])) | ((F.col("s") == F.lit(last["s"])) & behind)
+    schema = StructType([StructField("place", IntegerType()), StructField(key, ranked.schema[key].dataType)])
+    return ranked.sparkSession.createDataFrame(list(enumerate(taken)), schema)

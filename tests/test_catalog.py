@@ -34,6 +34,16 @@ def test_budget_equals_a_plain_loop(spark):
     assert within_budget(empty, "k", "s", "z", 900, 6).agg(F.count("k")).first()[0] == 0
 
 
+def test_budget_looks_past_rows_that_do_not_fit(spark):
+    from srcgraph.operators.search import within_budget
+
+    # 250 rows over the budget, one of 500, then 250 over what it leaves, then three that fit.
+    sizes = [901] * 250 + [500] + [401] * 250 + [200, 150, 50]
+    rows = [(i, float(1000 - i), z) for i, z in enumerate(sizes)]
+    got = within_budget(spark.createDataFrame(rows, "k long, s double, z long"), "k", "s", "z", 900, 6).orderBy("place").collect()
+    assert [(r["place"], r["k"]) for r in got] == [(0, 250), (1, 501), (2, 502), (3, 503)]
+
+
 def test_entry_gives_rows(spark):
     import __spark_entry__ as entry
 
