@@ -6,39 +6,49 @@ tokens. Orders here go by how frequent a token is in all documents (the level of
 sketch over every shingle), then by a hash of their own; so each starts with rare tokens, and tokens
 of passages that many documents share come last.
 
-1. One pass writes each document's size and 128-bit set key and the sketch's counts.
-2. Prefix tokens under the first order are shuffled; tokens that only one set has end there.
-3. In two rounds, sets that share a token become candidates: first each with its neighbours by size
-   and with the smallest set of the token group, which links nearly everything; then, exactly, all
-   pairs whose sets are in different components so far and pass the size and position bounds. Equal
-   sets are one node, and pairs inside a component need no look, so no group makes all its pairs.
-4. A candidate is dropped where histograms of both sets leave no room for the overlap it needs. It
-   is verified only if its prefixes meet under the other orders, too; then the whole sets are
-   compared.
+1. One pass writes each document's size, 128-bit set key and set, and the sketch's counts.
+2. Prefix tokens under the first order are shuffled and sorted; tokens that only one set has end there.
+   A token far more frequent than the others is dealt to parts, so that no task sorts it whole.
+3. Sets that share a token become candidates in rounds. First each set meets the pivot of each of its
+   tokens, one row a set and token; a round joins near copies around the copy that was changed
+   least. When little is left apart, all pairs of different components that share a token are formed:
+   sets outside a token's largest component ask, so what is joined already makes no pairs.
+4. A candidate is dropped by size, by the place of its token, by parity bits (a lower bound of the
+   difference of two sets), and where its prefixes do not meet under each of the other orders. Only
+   what passes all of them is verified by the whole sets.
 5. Links make components by alternating star steps.
 
+Every pair of different components passes or fails an exact bound or is verified in the last round, so
+no link between components is lost. Tokens are 64-bit digests and set keys 128-bit ones, taken as equal
+where the digests are.
+
 Defined cases: null or empty texts, and texts without words, have an empty set and link with
-nothing; texts with fewer than five words have one shingle, the whole sequence; rows without a
-doc_id take the component of rows with the same set but link with nothing of their own; repeated
-rows are equal sets; an empty table gives an empty result; further columns are ignored.
+nothing; texts with fewer than five words have one shingle, the whole sequence; very long texts are
+hashed alone, in memory of some tens of times their size; rows without a doc_id take the component of
+rows with the same set but link with nothing of their own; repeated rows are equal sets; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import dropped, stored, text_slices
+from .base import dropped, released, stored, text_slices
 from .components import components
 
 #: Least similarity in hundredths; words of a shingle; buckets of the count sketch; orders in use.
-SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 18, 3
-#: Bins of a set's histograms; bits of the key filter for each key, and at most.
-BINS, SMALL, KEY_BITS, MOST_KEY_BITS = 256, 64, 32, 1 << 27
+SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 20, 3
+#: Slices that the sketch and the key filter are summed in; parity bits of a set; bits of the key filter
+#: for each key, and at most; rows of a token that stay together; set keys that a task remembers.
+SLICES, PARITY, KEY_BITS, MOST_KEY_BITS, HOT, SEEN = 256, 512, 32, 1 << 27, 1 << 16, 50_000
+#: Rounds in which sets meet pivots only, before all that is apart is compared.
+MOST_PIVOTS = 3
 #: Bytes of text hashed at a time: digests take some tens of times that.
 SLICE = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -104,347 +114,310 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(mixed(shingles, 0x1234567).sum(dtype=np.uint64).view(np.int64)), int(mixed(shingles, 0x7654321).sum(dtype=np.uint64).view(np.int64))
 
 
-def histogram(shingles: np.ndarray) -> bytes:
-    """Tokens in each of BINS hash bins, up to 255: what two sets can share at most follows from it."""
-    return np.minimum(np.bincount((shingles >> np.uint64(40) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-
-
-def folded(bins: bytes) -> bytes:
-    """The same histogram with SMALL bins, as the rows of a token carry it."""
-    return np.minimum(np.frombuffer(bins, np.uint8).reshape(SMALL, -1).sum(1), 255).astype(np.uint8).tobytes()
-
-
 def prefix_length(n: int) -> int:
     return n - -(-SIMILARITY * n // 100) + 1
 
 
-def ordered(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """Tokens under one of the global orders: rare levels first, then by the order's own hash."""
-    return shingles[np.lexsort((mixed(shingles, order * 0x5851F42D), levels[(shingles & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
+def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """The first tokens under one of the global orders: rare levels first, then by the order's own hash."""
+    p = prefix_length(len(shingles))
+    rank = levels[(shingles & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mixed(shingles, order * 0x5851F42D) >> np.uint64(8)
+    first = np.argpartition(rank, p - 1)[:p] if p < len(rank) else np.arange(len(rank))
+    return shingles[first[np.argsort(rank[first])]]
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY bits: how many tokens fall in each, odd or even. Two sets differ in at least as many
+    tokens as these bits differ."""
+    odd = np.bincount((mixed(shingles, 0xBADA55) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and the sketch's counts of this task in slices."""
-    names = ["doc_id", "n", "f1", "f2", "bins", "small", "slice", "counts"]
-    counts = np.zeros(BUCKETS, np.int64)
+    """A row for each document, with its set unless this task has written it before, and the
+    sketch's counts of this task in slices."""
+    counts = np.zeros(BUCKETS, np.uint32)
+    seen: set = set()
     for batch in text_slices(batches, "text", SLICE):
-        keys, sizes, bins = [], [], []
-        for shingles in sets_of(batch.column(1)):
-            counts += np.bincount((shingles & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(shingles) > 4096 else 0
-            if 0 < len(shingles) <= 4096:
-                np.add.at(counts, (shingles & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        keys, sizes, sets = [], [], []
+        for has_id, shingles in zip(batch.column(0).is_valid().to_pylist(), sets_of(batch.column(1)), strict=True):
+            np.add.at(counts, (shingles & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            key = set_key(shingles)
             sizes.append(len(shingles))
-            keys.append(set_key(shingles))
-            bins.append(histogram(shingles))
+            keys.append(key)
+            fresh = has_id and len(shingles) and key not in seen
+            sets.append(shingles.tobytes() if fresh else None)
+            if fresh and len(seen) < SEEN:
+                seen.add(key)
         none = [None] * len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bins, pa.binary()), pa.array([folded(b) for b in bins], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
-            names=names,
+            [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(sets, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=SIZED
         )
     if counts.any():
-        parts = counts.reshape(64, -1)
-        none = [None] * 64
+        none = [None] * SLICES
         yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64())] * 4 + [pa.array(none, pa.binary())] * 2 + [pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
+            [*[pa.array(none, pa.int64())] * 4, pa.array(none, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in counts.reshape(SLICES, -1)], pa.binary())], names=SIZED
         )
+    released()
+
+
+SIZED = ["doc_id", "n", "f1", "f2", "shingles", "slice", "counts"]
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(counts, np.int64)
+            part = np.frombuffer(counts, np.uint32).astype(np.int64)
             sums[i] = sums[i] + part if i in sums else part
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
 
 
-def sketch_levels(sized: DataFrame) -> np.ndarray:
-    """Levels (binary logarithms) of the sketch's BUCKETS counts: 256 KB whatever the corpus."""
+def sketch_of(sized: DataFrame) -> np.ndarray:
+    """The sketch's BUCKETS counts over all documents: 8 MB whatever the corpus."""
     sums = sized.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_summed, "slice int, counts binary")
-    total = np.zeros(BUCKETS, np.int64).reshape(64, -1)
+    total = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
     for row in sums.collect():
         total[row[0]] += np.frombuffer(row[1], np.int64)
-    return np.floor(np.log2(total.ravel() + 1)).astype(np.uint8)
+    return total.ravel()
+
+
+def levels_and_parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels (binary logarithms) of the counts, and the number of parts that a token's rows are dealt
+    to: more than one only where a token is far more frequent than the others."""
+    levels = np.floor(np.log2(counts + 1)).astype(np.uint8)
+    bound = max(HOT, 16 * int(counts.mean()))
+    return levels, np.minimum(-(-counts // bound), np.iinfo(np.uint16).max).clip(1).astype(np.uint16)
 
 
-def _prefix_rows(levels_of) -> object:  # noqa: ANN001
+def _prefix_rows(sketch) -> object:  # noqa: ANN001
+    """(h, part, f1, f2, n, pos) for each prefix token under the first order; part is -1 where the
+    token's rows stay together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = levels_of.value, set()
-        for batch in text_slices(batches, "text", SLICE):
-            out: list[list] = [[] for _ in range(5)]
-            for shingles in sets_of(batch.column(0)):
-                n = len(shingles)
-                key = set_key(shingles)
-                if not n or key in seen:
-                    continue
-                if len(seen) < 200_000:  # copies in this task need to be told once
-                    seen.add(key)
-                tokens = ordered(shingles, levels, 0)[: prefix_length(n)]
+        levels, parts = sketch.value
+        for batch in text_slices(batches, "shingles", SLICE):
+            out: list[list] = [[] for _ in range(6)]
+            for f1, f2, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                shingles = np.frombuffer(held.as_buffer(), np.uint64)
+                tokens = prefix(shingles, levels, 0)
+                split = parts[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
                 out[0].append(tokens.view(np.int64))
-                for k, v in enumerate((key[0], key[1], n)):
-                    out[k + 1].append(np.full(len(tokens), v, np.int64))
-                out[4].append(np.arange(len(tokens)))
+                out[1].append(np.where(split > 1, (f1 & 0x7FFFFFFF) % split, -1).astype(np.int64))
+                for k, v in enumerate((f1, f2, len(shingles))):
+                    out[k + 2].append(np.full(len(tokens), v, np.int64))
+                out[5].append(np.arange(len(tokens)))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "f1", "f2", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "part", "f1", "f2", "n", "pos"])
+        released()
 
     return run
 
 
-PAIR = "a1 long, a2 long, b1 long, b2 long"
-
-
-def _column(values: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, SMALL) if pa.types.is_binary(values.type) else np.asarray(values)
-
-
-def _by_token(work) -> object:  # noqa: ANN001
-    """Rows come sorted by h; work(list of columns, group borders) is called on whole groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([_column(c) for c in batch.columns])
-            size += batch.num_rows
-            if size >= 200_000:
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                h = columns[0]
-                border = np.flatnonzero(h[1:] != h[:-1])
-                if len(border):
-                    cut = int(border[-1]) + 1
-                    yield from work([c[:cut] for c in columns])
-                    held, size = [[c[cut:] for c in columns]], len(h) - cut
-                else:
-                    held = [columns]
-        if held:
-            yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
-
-    return run
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (h, part, f1, f2). Equal ones count once, and tokens that a single set has
+    end here. One row is carried from batch to batch, however large a token's group is."""
+    held, had = None, False
+    names = ["h", "f1", "f2", "n", "pos"]
 
+    def made(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[i][keep]) for i in (0, 2, 3, 4, 5)], names=names)
 
-def _near_pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of tokens that two sets or more have (kind 0), and the first round's pairs (kind 1)."""
-    order = np.lexsort((columns[2], columns[1], columns[3], columns[0]))
-    h, f1, f2, n, pos = (c[order] for c in columns)
-    fresh = np.r_[True, (h[1:] != h[:-1]) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])]
-    h, f1, f2, n, pos = (c[fresh] for c in (h, f1, f2, n, pos))
-    begins = np.r_[True, h[1:] != h[:-1]]
-    group = np.cumsum(begins) - 1
-    first = np.flatnonzero(begins)
-    sizes = np.diff(np.r_[first, len(h)])
-    many = sizes[group] > 1
-    # Only some tokens name pairs in this round; the second one is exact.
-    names = many & ((pos == 0) | (mixed(h.view(np.uint64), 77) & np.uint64(7) == 0))
-    later = np.flatnonzero(names & ~begins)
-    pairs = np.concatenate([np.stack([later - 1, later], 1), np.stack([first[group[later]], later], 1)])
-    pairs = pairs[5 * n[pairs[:, 0]] >= 4 * n[pairs[:, 1]]]
-    a, b = pairs[:, 0], pairs[:, 1]
-    swap = (f1[a] > f1[b]) | ((f1[a] == f1[b]) & (f2[a] > f2[b]))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    ends = np.unique(np.stack([f1[a], f2[a], f1[b], f2[b]], 1), axis=0) if len(a) else np.empty((0, 4), np.int64)
-    rows = np.flatnonzero(many)
-    none = lambda k: pa.nulls(k, pa.int64())
-    names_out = ["kind", "h", "f1", "f2", "n", "pos", "g1", "g2"]
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), *(pa.array(c[rows]) for c in (h, f1, f2, n, pos)), none(len(rows)), none(len(rows))], names=names_out)
-    k = len(ends)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none(k), pa.array(ends[:, 0]), pa.array(ends[:, 1]), none(k), none(k), pa.array(ends[:, 2]), pa.array(ends[:, 3])], names=names_out)
-
-
-def _pairs_apart(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """All pairs of one token whose sets are in different components and may be similar enough."""
-    order = np.lexsort((columns[3], columns[0]))
-    h, f1, f2, n, pos, c1, c2, small = (c[order] for c in columns)
-    borders = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-    out = []
-    for a, z in zip(borders, borders[1:], strict=False):
-        if z - a < 2 or ((c1[a:z] == c1[a]) & (c2[a:z] == c2[a])).all():
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        # Sizes ascend, so the partners of i lie in one stretch behind it.
-        limit = np.searchsorted(n[a:z], n[a:z] * 100 // SIMILARITY, "right") + a
-        for i in range(a, z - 1):
-            j = np.arange(i + 1, limit[i - a])
-            if not len(j):
-                continue
-            need = -(-SIMILARITY * (n[i] + n[j]) // (100 + SIMILARITY))
-            room = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-            able = ((c1[j] != c1[i]) | (c2[j] != c2[i])) & (room >= need)
-            j, need = j[able], need[able]
-            if len(j):
-                most = np.minimum(small[j], small[i]).sum(1, dtype=np.int64)
-                j = j[(most >= need) | (small[i] == 255).any() | (small[j] == 255).any(1)]
-            if len(j):
-                out.append(np.stack([np.full(len(j), i), j], 1))
-    if out:
-        pairs = np.concatenate(out)
-        a, b = pairs[:, 0], pairs[:, 1]
-        swap = (f1[a] > f1[b]) | ((f1[a] == f1[b]) & (f2[a] > f2[b]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        ends = np.unique(np.stack([f1[a], f2[a], f1[b], f2[b]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(ends[:, i]) for i in range(4)], names=["a1", "a2", "b1", "b2"])
-
-
-def _key_bits(bits: int):  # noqa: ANN202
+        rows = [np.asarray(c) for c in batch.columns]
+        if held is not None:
+            rows = [np.r_[a, b] for a, b in zip(held, rows, strict=True)]
+        changed = np.zeros(len(rows[0]) - 1, bool)
+        for c in rows[:4]:
+            changed |= c[1:] != c[:-1]
+        fresh = np.r_[True, changed]
+        rows = [c[fresh] for c in rows]
+        same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+        before = np.r_[had, same]
+        keep = before | np.r_[same, False] | (rows[1] >= 0)
+        keep[-1] = False  # the last row waits for the next batch
+        yield made(rows, keep)
+        held, had = [c[-1:] for c in rows], bool(before[-1])
+    if held is not None and (had or held[1][0] >= 0):
+        yield made(held, np.array([True]))
+
+
+def _bits(bits: int):  # noqa: ANN202
+    """Bit arrays of SLICES slices from rows of (slice, place)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(bits, bool)
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            marks[mixed(np.asarray(batch.column(0)).view(np.uint64)) & np.uint64(bits - 1)] = True
-        if marks.any():
-            parts = np.packbits(marks).reshape(64, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+            slices, places = (np.asarray(c) for c in batch.columns)
+            for s in np.unique(slices).tolist():
+                at = places[slices == s]
+                np.bitwise_or.at(found.setdefault(s, np.zeros(bits // SLICES // 8, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([f.tobytes() for f in found.values()], pa.binary())], names=["slice", "bits"])
 
     return run
 
 
-def _joined_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(bits, np.uint8)
-            sums[i] = sums[i] | part if i in sums else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
-
-
 def key_filter(ends: DataFrame) -> np.ndarray:
-    """A bit for the digest of each key in ends, at most MOST_KEY_BITS of them (16 MB): texts without
-    a mark need not be shuffled; a wrong mark costs no more than that."""
+    """A bit for each key (f1) in ends, at most MOST_KEY_BITS of them (16 MB): sets without a mark need
+    not be shuffled; a wrong mark costs no more than that. What is shuffled grows with the keys."""
     bits = min(MOST_KEY_BITS, 1 << max(16, (KEY_BITS * ends.count()).bit_length()))
-    parts = ends.select("f1").mapInArrow(_key_bits(bits), "slice int, counts binary").repartition("slice").mapInArrow(_joined_bits, "slice int, counts binary")
-    total = np.zeros((64, bits // 512), np.uint8)
-    for row in parts.collect():
+    place = F.pmod(F.col("f1"), F.lit(bits))
+    width = bits // SLICES
+    rows = ends.select(F.floor(place / width).cast("long").alias("slice"), F.pmod(place, F.lit(width)).alias("place")).distinct()
+    total = np.zeros((SLICES, width // 8), np.uint8)
+    for row in rows.repartition("slice").mapInArrow(_bits(bits), "slice long, bits binary").collect():
         total[row[0]] |= np.frombuffer(row[1], np.uint8)
     return total.ravel()
 
 
-def _keyed_texts(filter_of):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = filter_of.value
-        last = np.uint64(len(marks) * 8 - 1)
-        seen: set = set()
-        for batch in text_slices(batches, "text", SLICE):
-            keep, keys = [], []
-            for i, shingles in enumerate(sets_of(batch.column(0))):
-                if not len(shingles):
-                    continue
-                key = set_key(shingles)
-                at = int(mixed(np.array([key[0]]).view(np.uint64))[0] & last)
-                if marks[at >> 3] >> (7 - (at & 7)) & 1 and key not in seen:
-                    keep.append(i)
-                    keys.append(key)
-                    if len(seen) < 200_000:  # copies in this task are told once
-                        seen.add(key)
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), rows.column(0)], names=["f1", "f2", "text"])
-
-    return run
-
-
-def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose histograms leave room for the overlap that they need."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        na, nb = np.asarray(batch.column(4)), np.asarray(batch.column(5))
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (6, 7))
-        most = np.minimum(a, b).sum(1, dtype=np.int64)
-        full = (a == 255).any(1) | (b == 255).any(1)
-        keep = full | ((100 + SIMILARITY) * most >= SIMILARITY * (na + nb))
-        yield batch.filter(pa.array(keep)).select([0, 1, 2, 3])
-
-
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text", SLICE):
-        sets = [s.tobytes() for s in sets_of(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["f1", "f2", "shingles"])
-
+ATTRIBUTES = ", ".join(["f1 long", "f2 long", "n long", *(f"q{i} long" for i in range(PARITY // 64)), *(f"p{k} array<int>" for k in range(1, ORDERS)), "shingles binary"])
 
-def similar(a: np.ndarray, b: np.ndarray, levels: np.ndarray) -> bool:
-    """The prefixes must meet under every order; then the whole sets are compared."""
-    na, nb = len(a), len(b)
-    if SIMILARITY * max(na, nb) > 100 * min(na, nb):
-        return False
-    for order in range(1, ORDERS):
-        x, y = ordered(a, levels, order)[: prefix_length(na)], ordered(b, levels, order)[: prefix_length(nb)]
-        if not np.intersect1d(x, y, assume_unique=True).size:
-            return False
-    both = np.intersect1d(a, b, assume_unique=True).size
-    return 100 * both >= SIMILARITY * (na + nb - both)
 
+def _attributes(sketch, marks_of):  # noqa: ANN001, ANN202
+    """What the filters need of each marked set: its parity bits and its prefixes under the further
+    orders, a token as 32 bits of its hash (which may only let a pair pass that does not meet)."""
 
-def _verified(levels_of) -> object:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = levels_of.value
-        for batch in batches:
-            sets = [batch.column(i) for i in (4, 5)]
-            keep = [i for i in range(batch.num_rows) if similar(np.frombuffer(sets[0][i].as_buffer(), np.uint64), np.frombuffer(sets[1][i].as_buffer(), np.uint64), levels)]
-            yield batch.take(pa.array(keep, pa.int64())).select([0, 1, 2, 3])
+        levels, marks = sketch.value[0], marks_of.value
+        for batch in text_slices(batches, "shingles", SLICE):
+            at = np.asarray(batch.column(0)) & (len(marks) * 8 - 1)
+            batch = batch.filter(pa.array(marks[at >> 3] >> (at & 7) & 1 == 1))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(2)]
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), -1)
+            lists = [pa.array([(prefix(s, levels, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(1, ORDERS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(b) for b in bits.T), *lists, batch.column(2)], names=[c.split()[0] for c in ATTRIBUTES.split(", ")])
+        released()
 
     return run
 
 
-def _with_both(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """pairs with columns of both their sets: column x under the name y, then a or b."""
-    for c in "ab":
-        side = sets.select(F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), *(F.col(x).alias(y + c) for x, y in columns.items()))
-        pairs = pairs.join(side, [f"{c}1", f"{c}2"])
-    return pairs
-
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verification: the pairs whose whole sets are similar enough."""
+    for batch in batches:
+        sides = [[np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(i)] for i in (2, 3)]
+        keep = []
+        for i, (a, b) in enumerate(zip(*sides, strict=True)):
+            both = np.intersect1d(a, b, assume_unique=True).size
+            if 100 * both >= SIMILARITY * (len(a) + len(b) - both):
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+    released()
+
+
+BITS = [f"q{i}" for i in range(PARITY // 64)]
+
+
+def able(a: str, b: str, with_place: bool) -> Column:
+    """Filters of the first order between the row structs a and b: sizes, the place of the shared token
+    (of a pair's first shared token it leaves room for the overlap that the pair needs), parity bits."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = F.floor((F.lit(SIMILARITY) * (na + nb) + (99 + SIMILARITY)) / (100 + SIMILARITY))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in BITS))
+    fits = (F.lit(SIMILARITY) * F.greatest(na, nb) <= 100 * F.least(na, nb)) & (differ <= na + nb - 2 * need)
+    return fits & (F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) >= need) if with_place else fits
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among pairs (a, b): prefixes must meet under each further order; only then are the
+    whole sets brought together and compared."""
+    orders = [f"p{k}" for k in range(1, ORDERS)]
+    side = lambda c, names: sets.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}{c}") for x in names))
+    met = pairs.join(side("a", orders), "a").join(side("b", orders), "b")
+    for p in orders:
+        met = met.where(F.arrays_overlap(f"{p}a", f"{p}b"))
+    met = stored(met.select("a", "b"), "met")
+    both = met.join(side("a", ["shingles"]), "a").join(side("b", ["shingles"]), "b").select("a", "b", "shinglesa", "shinglesb")
+    links = stored(both.mapInArrow(_similar, "a long, b long"), "links")
+    dropped(met)
+    return links
 
-def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, levels_of) -> DataFrame:  # noqa: ANN001
-    """The pairs that are similar enough, as (a1, a2, b1, b2). sets: (f1, f2, n, bins)."""
-    spark = texts.sparkSession
 
-    roomy = _with_both(pairs, sets, {"n": "n", "bins": "bins"}).select("a1", "a2", "b1", "b2", "na", "nb", "binsa", "binsb").mapInArrow(_may_be_similar, PAIR)
-    roomy = stored(roomy, "roomy")
-    ends = roomy.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).unionByName(roomy.select(F.col("b1").alias("f1"), F.col("b2").alias("f2"))).distinct()
-    filter_of = spark.sparkContext.broadcast(key_filter(ends))
-    named = texts.mapInArrow(_keyed_texts(filter_of), "f1 long, f2 long, text string").join(ends, ["f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"])
-    whole = stored(named.mapInArrow(_shingled, "f1 long, f2 long, shingles binary"), "sets")
-    both = _with_both(roomy, whole, {"shingles": "s"}).select("a1", "a2", "b1", "b2", "sa", "sb")
-    links = stored(both.mapInArrow(_verified(levels_of), PAIR), "links")
-    dropped(whole)
-    return links
+def _apart(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Rows of tokens whose sets are in different components, with the component c, and of their token:
+    `big`, the component of most rows, `size`, and `most`, that component's rows."""
+    rows = tokens.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component") if joined is not None else tokens.withColumn("c", F.col("id"))
+    per = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.max("k").alias("most"), F.sum("k").alias("size"))
+    # Written first, so that both sides of the join are exchanges and a hot token's rows can be split.
+    mixed_tokens = stored(per.where("most < size"), "mixed")
+    return stored(rows.join(mixed_tokens, "h"), "apart")
+
+
+def _row(alias: str, columns: list[str]) -> Column:
+    return F.struct(*columns).alias(alias)
+
+
+def _to_pivot(apart: DataFrame, first: bool) -> DataFrame:
+    """Pairs (a, b) of each token's pivot with its sets of other components. The pivot is the set with
+    the fewest rarer tokens before the shared one: of near copies, the one that was changed least. Later
+    rounds take it from outside the token's largest component."""
+    columns = ["id", "n", "pos", "c", *BITS]
+    pool = apart if first else apart.where("c <> big")
+    pivots = stored(pool.groupBy("h").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("o"), *columns)).alias("p")), "pivots")
+    met = apart.select("h", _row("r", columns)).join(pivots, "h").where((F.col("r.c") != F.col("p.c")) & able("r", "p", True))
+    return met.select(F.least("r.id", "p.id").alias("a"), F.greatest("r.id", "p.id").alias("b")).distinct()
+
+
+def _all_apart(apart: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a token whose sets are in different components and pass the filters. Only sets
+    outside a token's largest component ask, so that what has been joined costs nothing."""
+    columns = ["id", "n", "pos", "c", *BITS]
+    asking = apart.where("c <> big").select("h", _row("x", columns))
+    asked = apart.select("h", _row("y", columns), (F.col("c") == F.col("big")).alias("main"))
+    met = asking.join(asked, "h").where((F.col("x.c") != F.col("y.c")) & (F.col("main") | (F.col("x.id") < F.col("y.id"))) & able("x", "y", True))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _linked(tokens: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(id, component) of the sets that have a link."""
+    links, joined, rows = None, None, tokens
+    for turn in range(MOST_PIVOTS + 1):
+        apart = _apart(rows.select(*tokens.columns), joined)
+        if turn:
+            dropped(rows)
+        left = apart.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("c") != F.col("big")).cast("long") * F.col("size")).alias("work")).first()
+        if not left["n"]:
+            break
+        last = turn and (turn == MOST_PIVOTS or left["work"] <= 8 * left["n"])
+        pairs = stored(_all_apart(apart) if last else _to_pivot(apart, not turn), "pairs")
+        found = _verified(pairs, sets)
+        dropped(pairs)
+        links = found if links is None else links.unionByName(found)
+        joined = components(links, "a", "b")
+        rows = apart
+        if last:
+            break
+    if rows is not tokens:
+        dropped(rows)
+    return joined
 
 
 def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     sized = stored(
         docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text")).mapInArrow(
-            _sized, "doc_id long, n long, f1 long, f2 long, bins binary, small binary, slice int, counts binary"
+            _sized, "doc_id long, n long, f1 long, f2 long, shingles binary, slice int, counts binary"
         ),
         "sized",
     )
-    levels_of = spark.sparkContext.broadcast(sketch_levels(sized))
+    sketch = spark.sparkContext.broadcast(levels_and_parts(sketch_of(sized)))
     rows = sized.where("slice is null").select("doc_id", "n", "f1", "f2")
-    sets = sized.where("slice is null and n > 0").groupBy("f1", "f2").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("small").alias("small"))
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
-    tokens = texts.mapInArrow(_prefix_rows(levels_of), "h long, f1 long, f2 long, n long, pos long")
-    shared = stored(
-        tokens.repartition("h").sortWithinPartitions("h").mapInArrow(_by_token(_near_pairs), "kind int, h long, f1 long, f2 long, n long, pos long, g1 long, g2 long"),
-        "shared",
-    )
-    pairs = shared.where("kind = 1").select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("g1").alias("b1"), F.col("g2").alias("b2")).distinct()
-    links = _links(stored(pairs, "pairs"), sets, texts, levels_of)
-
-    def found(links: DataFrame) -> DataFrame:
-        a = node.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("id").alias("a"))
-        b = node.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("id").alias("b"))
-        return components(links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]), "a", "b")
-
-    so_far = found(links)
-    # Each token row learns its set's component so far, or the set's own key, and its small histogram.
-    members = node.join(so_far, "id").select("f1", "f2", F.col("component").alias("c1"))
-    known = sets.select("f1", "f2", "small").join(members, ["f1", "f2"], "left")
-    known = known.select("f1", "f2", "small", F.coalesce("c1", "f1").alias("c1"), F.when(F.col("c1").isNull(), F.col("f2")).otherwise(F.lit(0).cast("long")).alias("c2"))
-    marked = shared.where("kind = 0").select("h", "f1", "f2", "n", "pos").join(known, ["f1", "f2"]).select("h", "f1", "f2", "n", "pos", "c1", "c2", "small")
-    apart = marked.repartition("h").sortWithinPartitions("h").mapInArrow(_by_token(_pairs_apart), PAIR).distinct()
-    more = _links(stored(apart.join(pairs, ["a1", "a2", "b1", "b2"], "left_anti"), "pairs"), sets, texts, levels_of)
-    final = found(links.unionByName(more)) if not more.isEmpty() else so_far
-    ids = node.join(final, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("__c"))
-    labelled = rows.join(ids, ["f1", "f2"], "left")
+    whole = sized.where("shingles is not null").select("f1", "f2", "shingles")
+    tokens = whole.mapInArrow(_prefix_rows(sketch), "h long, part long, f1 long, f2 long, n long, pos long")
+    shared = stored(tokens.repartition("h", "part").sortWithinPartitions("h", "part", "f1", "f2").mapInArrow(_shared, "h long, f1 long, f2 long, n long, pos long"), "shared")
+    ends = stored(shared.select("f1", "f2").distinct(), "ends")
+    marks = spark.sparkContext.broadcast(key_filter(ends))
+    named = whole.mapInArrow(_attributes(sketch, marks), ATTRIBUTES).join(ends.join(node, ["f1", "f2"]), ["f1", "f2"]).dropDuplicates(["f1", "f2"])
+    sets = stored(named, "sets")
+    known = stored(shared.drop("n").join(sets.select("f1", "f2", "id", "n", *BITS), ["f1", "f2"]).drop("f1", "f2"), "tokens")
+    joined = _linked(known, sets)
+    ids = node.withColumn("__c", F.col("id")) if joined is None else node.join(joined, "id", "left").withColumn("__c", F.coalesce("component", "id"))
+    labelled = rows.join(ids.select("f1", "f2", "__c"), ["f1", "f2"], "left")
+    for table in (shared, ends, sets, known):
+        dropped(table)
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("__c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

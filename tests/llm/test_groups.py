@@ -84,15 +84,58 @@ def test_similar_texts_of_no_or_null_rows(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("3", "3"), ("None", "3"), ("None", "None")]
 
 
-def test_prefixes_meet_under_every_order():
+def similar_sets():
     rng = np.random.default_rng(1)
-    levels = rng.integers(0, 6, ngram_join.BUCKETS).astype(np.uint8)
-    for _ in range(200):
+    for _ in range(300):
         n = int(rng.integers(1, 60))
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.r_[a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, int(rng.integers(0, 8))).astype(np.uint64)])
         both = np.intersect1d(a, b).size
-        assert not len(b) or ngram_join.similar(a, b, levels) == (100 * both >= 80 * (len(a) + len(b) - both))
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+            yield a, b, both
+
+
+def test_filters_let_similar_sets_pass():
+    levels = np.random.default_rng(2).integers(0, 6, ngram_join.BUCKETS).astype(np.uint8)
+    for a, b, both in similar_sets():
+        for order in range(ngram_join.ORDERS):
+            x, y = ngram_join.prefix(a, levels, order), ngram_join.prefix(b, levels, order)
+            assert np.intersect1d(x, y).size
+        differ = sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(ngram_join.parity(a).view(np.uint64), ngram_join.parity(b).view(np.uint64), strict=True))
+        assert differ <= len(a) + len(b) - 2 * both
+
+
+def near_copies(n, words=120, edits=5, seed=4):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+    for i in range(n):
+        some = list(base)
+        for _ in range(rng.randint(0, edits)):
+            some[rng.randrange(words)] = f"z{rng.randrange(10**9)}"
+        yield i, " ".join(some)
+
+
+@pytest.mark.parametrize(("hot", "pivots"), [(7, 2), (1 << 16, 1)])
+def test_large_groups_of_near_copies(spark, monkeypatch, hot, pivots):
+    some = [*near_copies(150), *((1000 + i, t) for i, t in near_copies(40, 60, 8, 5))]
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "MOST_PIVOTS", pivots)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.clustered(frame(spark, some)).collect())
+    assert got == brute.clustered(some)
+
+
+def test_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    counts, verified = {}, ngram_join._verified
+    for n in (400, 1600):
+        counts[n] = 0
+
+        def counting(pairs, sets, n=n):
+            counts[n] += pairs.count()
+            return verified(pairs, sets)
+
+        monkeypatch.setattr(ngram_join, "_verified", counting)
+        assert len({r["component_id"] for r in ngram_join.clustered(frame(spark, list(near_copies(n, edits=2)))).collect()}) == 1
+    assert counts[1600] <= 6 * counts[400] and counts[1600] <= 6 * 1600
 
 
 def test_vectors_equal_brute_force(spark):
