@@ -6,9 +6,10 @@ tokens. Orders here go by how frequent a token is in all documents (the level of
 sketch over every shingle), then by a hash of their own; so each starts with rare tokens, and tokens
 of passages that many documents share come last.
 
-1. One pass writes each document's size, 128-bit set key and set, and the sketch's counts.
-2. Prefix tokens under the first order are shuffled and sorted; tokens that only one set has end there.
-   A token far more frequent than the others is dealt to parts, so that no task sorts it whole.
+1. One pass writes each document's size and 128-bit set key, and the sketch's counts.
+2. Prefix tokens under the first order are shuffled and sorted; tokens that only one set has, or only
+   sets of unlike sizes, end there. A token far more frequent than the others is dealt to parts, so
+   that no task sorts it whole. Sets that have a token left are made once more and written.
 3. Sets that share a token become candidates in rounds. First each set meets the pivot of each of its
    tokens, one row a set and token; a round joins near copies around the copy that was changed
    least. When little is left apart, all pairs of different components that share a token are formed:
@@ -46,7 +47,7 @@ from .components import components
 SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 20, 3
 #: Slices that the sketch and the key filter are summed in; parity bits of a set; bits of the key filter
 #: for each key, and at most; rows of a token that stay together; set keys that a task remembers.
-SLICES, PARITY, KEY_BITS, MOST_KEY_BITS, HOT, SEEN = 256, 512, 32, 1 << 27, 1 << 16, 50_000
+SLICES, PARITY, KEY_BITS, MOST_KEY_BITS, HOT, SEEN = 256, 256, 32, 1 << 27, 1 << 16, 50_000
 #: Rounds in which sets meet pivots only, before all that is apart is compared.
 MOST_PIVOTS = 3
 #: Bytes of text hashed at a time: digests take some tens of times that.
@@ -134,34 +135,23 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with its set unless this task has written it before, and the
-    sketch's counts of this task in slices."""
+    """A row for each document, and the sketch's counts of this task in slices."""
     counts = np.zeros(BUCKETS, np.uint32)
-    seen: set = set()
     for batch in text_slices(batches, "text", SLICE):
-        keys, sizes, sets = [], [], []
-        for has_id, shingles in zip(batch.column(0).is_valid().to_pylist(), sets_of(batch.column(1)), strict=True):
+        keys, sizes = [], []
+        for shingles in sets_of(batch.column(1)):
             np.add.at(counts, (shingles & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            key = set_key(shingles)
             sizes.append(len(shingles))
-            keys.append(key)
-            fresh = has_id and len(shingles) and key not in seen
-            sets.append(shingles.tobytes() if fresh else None)
-            if fresh and len(seen) < SEEN:
-                seen.add(key)
+            keys.append(set_key(shingles))
         none = [None] * len(sizes)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(sets, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=SIZED
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=SIZED)
     if counts.any():
-        none = [None] * SLICES
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array(none, pa.int64())] * 4, pa.array(none, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in counts.reshape(SLICES, -1)], pa.binary())], names=SIZED
-        )
+        none = pa.nulls(SLICES, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in counts.reshape(SLICES, -1)], pa.binary())], names=SIZED)
     released()
 
 
-SIZED = ["doc_id", "n", "f1", "f2", "shingles", "slice", "counts"]
+SIZED = ["doc_id", "n", "f1", "f2", "slice", "counts"]
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,45 +173,73 @@ def sketch_of(sized: DataFrame) -> np.ndarray:
 
 
 def levels_and_parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Levels (binary logarithms) of the counts, and the number of parts that a token's rows are dealt
-    to: more than one only where a token is far more frequent than the others."""
-    levels = np.floor(np.log2(counts + 1)).astype(np.uint8)
+    """Levels of the counts (eight for each doubling), and the number of parts that a token's rows are
+    dealt to: more than one only where a token is far more frequent than the others."""
+    levels = np.minimum(np.floor(8 * np.log2(counts + 1)), 255).astype(np.uint8)
     bound = max(HOT, 16 * int(counts.mean()))
     return levels, np.minimum(-(-counts // bound), np.iinfo(np.uint16).max).clip(1).astype(np.uint16)
 
 
 def _prefix_rows(sketch) -> object:  # noqa: ANN001
-    """(h, part, f1, f2, n, pos) for each prefix token under the first order; part is -1 where the
+    """(h, part, n, f1, f2, pos) for each prefix token under the first order; part is -1 where the
     token's rows stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, parts = sketch.value
-        for batch in text_slices(batches, "shingles", SLICE):
+        seen: set = set()
+        for batch in text_slices(batches, "text", SLICE):
             out: list[list] = [[] for _ in range(6)]
-            for f1, f2, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                shingles = np.frombuffer(held.as_buffer(), np.uint64)
+            for shingles in sets_of(batch.column(0)):
+                key = set_key(shingles)
+                if not len(shingles) or key in seen:
+                    continue
+                if len(seen) < SEEN:  # copies in this task need to be told once
+                    seen.add(key)
                 tokens = prefix(shingles, levels, 0)
                 split = parts[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
                 out[0].append(tokens.view(np.int64))
-                out[1].append(np.where(split > 1, (f1 & 0x7FFFFFFF) % split, -1).astype(np.int64))
-                for k, v in enumerate((f1, f2, len(shingles))):
+                out[1].append(np.where(split > 1, (key[0] & 0x7FFFFFFF) % split, -1))
+                for k, v in enumerate((len(shingles), *key)):
                     out[k + 2].append(np.full(len(tokens), v, np.int64))
                 out[5].append(np.arange(len(tokens)))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "part", "f1", "f2", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "part", "n", "f1", "f2", "pos"])
         released()
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (h, part, f1, f2). Equal ones count once, and tokens that a single set has
-    end here. One row is carried from batch to batch, however large a token's group is."""
-    held, had = None, False
-    names = ["h", "f1", "f2", "n", "pos"]
+def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The overlap that sets of a and b tokens need."""
+    return -(-SIMILARITY * (a + b) // (100 + SIMILARITY))
+
 
-    def made(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[i][keep]) for i in (0, 2, 3, 4, 5)], names=names)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (h, part, n, f1, f2). Equal ones count once. A row stays if the set before or
+    behind it has a size near enough, which decides for all of its token; where a token has two sets
+    only, the token's place in them must leave room, too. Rows of a token in parts stay in any case.
+    Three rows are carried from batch to batch, however large a token's group is."""
+    held: list[np.ndarray] | None = None
+    open_from, more = 0, False  # the first row not written yet; whether its token had rows before those held
+
+    def decided(rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], int, bool]:
+        h, part, n, _, _, pos = rows
+        same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
+        fits = same & (SIMILARITY * n[1:] <= 100 * n[:-1])
+        begins = np.flatnonzero(np.r_[True, ~same])
+        sizes = np.diff(np.r_[begins, len(h)])
+        if more:
+            sizes[0] += 2
+        size = np.repeat(sizes, np.diff(np.r_[begins, len(h)]))
+        room = np.minimum(n[1:] - pos[1:], n[:-1] - pos[:-1]) >= needed(n[1:], n[:-1])
+        fits &= room | (size[1:] > 2)
+        keep = np.r_[False, fits] | np.r_[fits, False] | (part >= 0)
+        begin, full = int(begins[-1]), int(sizes[-1])
+        stop = len(h) if last else begin if full <= 2 else len(h) - 1
+        keep[:open_from] = keep[stop:] = False
+        context = max(begin, stop - 1)
+        out = pa.RecordBatch.from_arrays([pa.array(rows[i][keep]) for i in (0, 2, 3, 4, 5)], names=["h", "n", "f1", "f2", "pos"])
+        return out, [c[context:] for c in rows], stop - context, full > 2
 
     for batch in batches:
         if not batch.num_rows:
@@ -230,18 +248,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             rows = [np.r_[a, b] for a, b in zip(held, rows, strict=True)]
         changed = np.zeros(len(rows[0]) - 1, bool)
-        for c in rows[:4]:
+        for c in rows[:5]:
             changed |= c[1:] != c[:-1]
-        fresh = np.r_[True, changed]
-        rows = [c[fresh] for c in rows]
-        same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
-        before = np.r_[had, same]
-        keep = before | np.r_[same, False] | (rows[1] >= 0)
-        keep[-1] = False  # the last row waits for the next batch
-        yield made(rows, keep)
-        held, had = [c[-1:] for c in rows], bool(before[-1])
-    if held is not None and (had or held[1][0] >= 0):
-        yield made(held, np.array([True]))
+        rows = [c[np.r_[True, changed]] for c in rows]
+        out, held, open_from, more = decided(rows, False)
+        yield out
+    if held is not None:
+        yield decided(held, True)[0]
 
 
 def _bits(bits: int):  # noqa: ANN202
@@ -259,13 +272,16 @@ def _bits(bits: int):  # noqa: ANN202
     return run
 
 
-def key_filter(ends: DataFrame) -> np.ndarray:
-    """A bit for each key (f1) in ends, at most MOST_KEY_BITS of them (16 MB): sets without a mark need
-    not be shuffled; a wrong mark costs no more than that. What is shuffled grows with the keys."""
-    bits = min(MOST_KEY_BITS, 1 << max(16, (KEY_BITS * ends.count()).bit_length()))
-    place = F.pmod(F.col("f1"), F.lit(bits))
+def _place(doc_id: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(bits))
+
+
+def key_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each id, at most MOST_KEY_BITS of them (16 MB): texts without a mark need not be hashed
+    again; a wrong mark costs no more than that. What is shuffled grows with the ids."""
+    bits = min(MOST_KEY_BITS, 1 << max(16, (KEY_BITS * ids.count()).bit_length()))
     width = bits // SLICES
-    rows = ends.select(F.floor(place / width).cast("long").alias("slice"), F.pmod(place, F.lit(width)).alias("place")).distinct()
+    rows = ids.select(_place("id", bits).alias("at")).select(F.floor(F.col("at") / width).cast("long").alias("slice"), F.pmod("at", F.lit(width)).alias("place")).distinct()
     total = np.zeros((SLICES, width // 8), np.uint8)
     for row in rows.repartition("slice").mapInArrow(_bits(bits), "slice long, bits binary").collect():
         total[row[0]] |= np.frombuffer(row[1], np.uint8)
@@ -276,18 +292,30 @@ ATTRIBUTES = ", ".join(["f1 long", "f2 long", "n long", *(f"q{i} long" for i in
 
 
 def _attributes(sketch, marks_of):  # noqa: ANN001, ANN202
-    """What the filters need of each marked set: its parity bits and its prefixes under the further
-    orders, a token as 32 bits of its hash (which may only let a pair pass that does not meet)."""
+    """The sets of the marked documents (place, text) with what the filters need: parity bits and the
+    prefixes under the further orders, a token as 32 bits of its hash (which may only let a pair pass
+    that does not meet)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, marks = sketch.value[0], marks_of.value
-        for batch in text_slices(batches, "shingles", SLICE):
-            at = np.asarray(batch.column(0)) & (len(marks) * 8 - 1)
-            batch = batch.filter(pa.array(marks[at >> 3] >> (at & 7) & 1 == 1))
-            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(2)]
-            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), -1)
-            lists = [pa.array([(prefix(s, levels, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(1, ORDERS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(b) for b in bits.T), *lists, batch.column(2)], names=[c.split()[0] for c in ATTRIBUTES.split(", ")])
+        names = [c.split()[0] for c in ATTRIBUTES.split(", ")]
+        seen: set = set()
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            for part in text_slices(iter([batch.filter(pa.array(marks[at >> 3] >> (at & 7) & 1 == 1))]), "text", SLICE):
+                sets, keys = [], []
+                for s in sets_of(part.column(1)):
+                    key = set_key(s)
+                    if len(s) and key not in seen:
+                        sets.append(s)
+                        keys.append(key)
+                        if len(seen) < SEEN:
+                            seen.add(key)
+                bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), PARITY // 64)
+                lists = [pa.array([(prefix(s, levels, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(1, ORDERS)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(b) for b in bits.T), *lists, pa.array([s.tobytes() for s in sets], pa.binary())], names=names
+                )
         released()
 
     return run
@@ -396,27 +424,24 @@ def _linked(tokens: DataFrame, sets: DataFrame) -> DataFrame | None:
 def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     spark = docs.sparkSession
-    sized = stored(
-        docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text")).mapInArrow(
-            _sized, "doc_id long, n long, f1 long, f2 long, shingles binary, slice int, counts binary"
-        ),
-        "sized",
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
+    sized = stored(texts.mapInArrow(_sized, "doc_id long, n long, f1 long, f2 long, slice int, counts binary"), "sized")
     sketch = spark.sparkContext.broadcast(levels_and_parts(sketch_of(sized)))
     rows = sized.where("slice is null").select("doc_id", "n", "f1", "f2")
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
-    whole = sized.where("shingles is not null").select("f1", "f2", "shingles")
-    tokens = whole.mapInArrow(_prefix_rows(sketch), "h long, part long, f1 long, f2 long, n long, pos long")
-    shared = stored(tokens.repartition("h", "part").sortWithinPartitions("h", "part", "f1", "f2").mapInArrow(_shared, "h long, f1 long, f2 long, n long, pos long"), "shared")
-    ends = stored(shared.select("f1", "f2").distinct(), "ends")
-    marks = spark.sparkContext.broadcast(key_filter(ends))
-    named = whole.mapInArrow(_attributes(sketch, marks), ATTRIBUTES).join(ends.join(node, ["f1", "f2"]), ["f1", "f2"]).dropDuplicates(["f1", "f2"])
-    sets = stored(named, "sets")
+    named = texts.where("doc_id is not null")
+    tokens = named.select("text").mapInArrow(_prefix_rows(sketch), "h long, part long, n long, f1 long, f2 long, pos long")
+    shared = stored(tokens.repartition("h", "part").sortWithinPartitions("h", "part", "n", "f1", "f2").mapInArrow(_shared, "h long, n long, f1 long, f2 long, pos long"), "shared")
+    ends = stored(shared.select("f1", "f2").distinct().join(node, ["f1", "f2"]), "ends")
+    marks = key_filter(ends.select("id"))
+    marked = named.select(_place("doc_id", 8 * len(marks)).alias("place"), "text").mapInArrow(_attributes(sketch, spark.sparkContext.broadcast(marks)), ATTRIBUTES)
+    sets = stored(marked.join(ends, ["f1", "f2"]).dropDuplicates(["f1", "f2"]), "sets")
     known = stored(shared.drop("n").join(sets.select("f1", "f2", "id", "n", *BITS), ["f1", "f2"]).drop("f1", "f2"), "tokens")
+    dropped(shared)
     joined = _linked(known, sets)
     ids = node.withColumn("__c", F.col("id")) if joined is None else node.join(joined, "id", "left").withColumn("__c", F.coalesce("component", "id"))
     labelled = rows.join(ids.select("f1", "f2", "__c"), ["f1", "f2"], "left")
-    for table in (shared, ends, sets, known):
+    for table in (ends, sets, known):
         dropped(table)
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("__c")).otherwise(F.col("doc_id")).alias("component_id"))
 
