@@ -2,20 +2,23 @@
 dictionaries, and a text is toxic where its windows get shorter with the toxic one.
 
 Training, on a bounded sample of labelled rows (MAX_TOXIC, MAX_ORDINARY, MAX_TEXT_BYTES):
-the ordinary dictionary is trained by zstandard's trainer on windows of ordinary texts. The toxic
-dictionary is trained on those pieces of toxic texts (words and their beginnings) whose support
-among toxic texts is significant by a likelihood ratio; the ordinary dictionary stands behind it, so
-that both give ordinary language the same length and only toxic matter makes a difference. Both are
-used as content dictionaries. Window differences are gathered per text and calibrated by a
-logistic curve on labelled rows that took no part in choosing the pieces.
-
-Scoring reads every whole text once, in Arrow batches, with no shuffle; the model (two dictionaries
-of some KB and five numbers) is a constant of the task.
-
-Defined cases: null and empty texts have no windows and get the curve's value for that; rows without
-a doc_id count as held out; labels that are null are left out, repeated ones count once (a doc_id is
-toxic if any of its labels says so); without labelled rows of both classes every score is 0; an
-empty table gives an empty result.
+both dictionaries come from zstandard's trainer. The ordinary one is trained on windows of ordinary
+texts (MAX_WINDOWS of them). The toxic one is trained on the words of toxic texts that hold a piece
+whose support among toxic texts is significant by a likelihood ratio: the trainer ranks by frequency
+alone, and whole toxic texts would give it ordinary language again. The ordinary dictionary stands
+behind the toxic one, so that both give ordinary language the same length and only toxic matter makes
+a difference. Both are used as content dictionaries. The windows' length differences are held against
+thresholds (GAINS) and calibrated by a logistic curve on labelled rows that took no part in choosing
+the words; those rows are compressed by Spark tasks.
+
+Scoring reads every whole text once, with no shuffle; only the text goes to Python and only the score
+comes back. The model (two dictionaries of some KB and a few numbers) is a constant of the task.
+
+Defined cases: null and empty texts have no windows and get the curve's value for that; very long
+texts are read whole, window by window; rows without a doc_id count as held out; labels that are null
+are left out, repeated ones count once (a doc_id is toxic if any of its labels says so); repeated rows
+are scored alike; without labelled rows of both classes every score is 0; an empty table gives an
+empty result; an older column `score` is replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,15 +35,19 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .base import text_slices
+from .base import dropped, stored
 
-#: The bounded sample that the model is fitted on.
-MAX_TOXIC, MAX_ORDINARY, MAX_TEXT_BYTES = 2000, 4000, 1 << 16
-#: Words of a window; bytes of the dictionaries.
-WINDOW_WORDS, ORDINARY_BYTES, TOXIC_BYTES = 40, 8192, 3072
+#: The bounded sample that the model is fitted on: rows of each class, bytes of a text, windows of the
+#: ordinary trainer, pieces that mark the toxic trainer's words.
+MAX_TOXIC, MAX_ORDINARY, MAX_TEXT_BYTES, MAX_WINDOWS, MAX_PIECES = 2000, 4000, 1 << 15, 20_000, 400
+#: Words of a window; bytes of the dictionaries; the trainer's segment and the substring it counts.
+WINDOW_WORDS, ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, COUNTED = 40, 8192, 3072, 24, 6
+#: A shorter dictionary is little more than its header: the trainer had too few samples.
+LEAST_TRAINED = 512
 FOLDS = 5
+#: Tasks that measure the sample.
+SPREAD = 16
 #: Bytes by which a window is shorter with the toxic dictionary.
 GAINS = (1, 2, 3, 5)
 
@@ -90,12 +97,25 @@ def significant(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return [p for _, p in ranked]
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's content; where there is too little to train on, the samples' end."""
+def trained(samples: list[bytes], size: int, **shape: int) -> bytes:
+    """A trained dictionary; where there is too little to train on, the samples' end."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size + 600 :]
+        made = zstandard.train_dictionary(size, samples, **shape).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        made = b""
+    return made if len(made) >= LEAST_TRAINED else b"".join(samples)[-size:]
+
+
+def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """Trained on each occurrence of the words that hold a significant piece."""
+    marks = set(significant(toxic, ordinary)[:MAX_PIECES])
+    samples = []
+    for text in toxic:
+        for word in text.split():
+            word = b" " + word[:24]
+            if word + b" " in marks or any(word[:k] in marks for k in range(5, min(len(word), 13))):
+                samples.append(word + b" ")
+    return trained(samples, TOXIC_BYTES, k=SEGMENT, d=COUNTED)
 
 
 def lowered(text: str) -> bytes:
@@ -150,42 +170,40 @@ def logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
-def fit_rows(rows: list[tuple[str, int, int]]) -> Model | None:
-    """rows: (text, toxic, a number that deals the rows out). Texts that are equal in lower case and have
+def digest_of(text: str) -> bytes:
+    """Texts that are equal in lower case are one text; its last bit deals it to a half."""
+    return hashlib.sha256(lowered(text)).digest()
+
+
+#: (digest, toxic, features) of each row, with the draft that the other half gave.
+Measured = list[tuple[bytes, int, list[float]]]
+
+
+def measured_here(rows: list[tuple[str, int, int]], drafts: tuple[Model, Model]) -> Measured:
+    return [(d := digest_of(text), toxic, features(drafts[d[-1] & 1], text)) for text, toxic, _ in rows]
+
+
+def fit_rows(rows: list[tuple[str, int, int]], measured: Callable[[list, tuple[Model, Model]], Measured] = measured_here) -> Model | None:
+    """rows: (text, toxic, a number that orders the rows). Texts that are equal in lower case and have
     the same label count once."""
     unique = {}
     for text, toxic, number in rows:
-        unique.setdefault((hashlib.sha256(lowered(text)).digest(), toxic), (text, toxic, number))
+        unique.setdefault((digest_of(text), toxic), (text, toxic, number))
     rows = sorted(unique.values(), key=lambda r: (r[2], r[0]))
     if not rows or len({toxic for _, toxic, _ in rows}) < 2:
         return None
-    toxic = [lowered(t) for t, y, _ in rows if y]
-    ordinary = [lowered(t) for t, y, _ in rows if not y]
-    samples = [w[i : i + 256] for t in ordinary for w in [b" ".join(t.split())] for i in range(0, len(w), 256)][:20_000]
+    halves: list[list[list[bytes]]] = [[[], []], [[], []]]
+    for text, toxic, _ in rows:
+        halves[digest_of(text)[-1] & 1][toxic].append(lowered(text))
+    ordinary = halves[0][0] + halves[1][0]
+    samples = [w[i : i + 256] for t in ordinary for w in [b" ".join(t.split())] for i in range(0, len(w), 256)][:MAX_WINDOWS]
     base = trained(samples, ORDINARY_BYTES)
-
-    def dictionary(some_toxic: list[bytes], some_ordinary: list[bytes]) -> bytes:
-        content, size = [], 0
-        for piece in significant(some_toxic, some_ordinary):
-            if not any(piece in longer for longer in content):
-                if size + len(piece) > TOXIC_BYTES:
-                    break
-                content.append(piece)
-                size += len(piece)
-        return b"".join(reversed(content))
-
-    # Two halves: each is scored with the pieces that the other one gave.
-    found, labels = [], []
-    half = [(r[0], r[1], i % 2) for kind in (0, 1) for i, r in enumerate([r for r in rows if r[1] == kind])]
-    for part in (0, 1):
-        other = dictionary([lowered(t) for t, y, h in half if y and h != part], [lowered(t) for t, y, h in half if not y and h != part])
-        draft = Model(base, other, ())
-        for text, label, own in half:
-            if own == part:
-                found.append(features(draft, text))
-                labels.append(label)
-    weights = logistic(np.array(found), np.array(labels, dtype=float))
-    return Model(base, dictionary(toxic, ordinary), weights)
+    # Two halves: each is measured with the words that the other one gave.
+    drafts = tuple(Model(base, toxic_dictionary(halves[1 - k][1], halves[1 - k][0]), ()) for k in (0, 1))
+    found = {(digest, toxic): row for digest, toxic, row in measured(rows, drafts)}
+    keys = sorted(found)
+    weights = logistic(np.array([found[k] for k in keys]), np.array([float(k[1]) for k in keys]))
+    return Model(base, toxic_dictionary(halves[0][1] + halves[1][1], ordinary), weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -196,13 +214,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     )
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
     texts = docs.select("doc_id", F.col("text").alias("__text")).where(F.octet_length("text") <= MAX_TEXT_BYTES)
-    rows: list[tuple[str, int, int]] = []
+    parts = []
     for toxic, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
         # The sample's ids are bounded by `most`, so they can go to every task.
         chosen = known.where(F.col("__toxic") == toxic).orderBy(order, "doc_id").limit(most)
-        sample = texts.join(F.broadcast(chosen), "doc_id").select("__text", order.alias("__n")).orderBy("__n", "__text").limit(most)
-        rows += [(r[0], toxic, r[1]) for r in sample.collect()]
-    return fit_rows(rows)
+        parts.append(texts.join(F.broadcast(chosen), "doc_id").select("__text", F.lit(toxic).alias("__toxic"), order.alias("__n")).orderBy("__n", "__text").limit(most))
+    sample = stored(parts[0].unionByName(parts[1]), "toxicity-sample")
+
+    def measured(_: list, drafts: tuple[Model, Model]) -> Measured:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = measured_here([(t or "", y, 0) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], drafts)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), batch.column(1), pa.array([f[2] for f in found], pa.list_(pa.float64()))], names=["digest", "toxic", "row"])
+
+        spread = sample.select("__text", "__toxic").repartition(SPREAD)
+        return [tuple(r) for r in spread.mapInArrow(run, "digest binary, toxic int, row array<double>").collect()]
+
+    model = fit_rows([tuple(r) for r in sample.collect()], measured)
+    dropped(sample)
+    return model
 
 
 def score_of(model: Model | None, text: str) -> float:
@@ -214,15 +244,12 @@ def score_of(model: Model | None, text: str) -> float:
 
 def score(df: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
     """df with a `score` between 0 and 1; an older column of that name is replaced."""
-    kept = df.drop("score")
-    at = kept.columns.index(column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, column):
-            scores = [score_of(model, t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([score_of(model, t.as_py() or "") for t in texts], pa.float64())
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return df.withColumn("score", scored(F.col(column).cast("string")))
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:

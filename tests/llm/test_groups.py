@@ -250,12 +250,33 @@ def test_toxicity_keeps_texts_that_open_alike(monkeypatch):
     assert model is not None
     assert toxicity.score_of(model, head + "you utter nitwit 77 go away nitwit") >= 0.5 > toxicity.score_of(model, head + "fine words number 77 here")
     seen = []
-    monkeypatch.setattr(toxicity, "significant", lambda toxic, ordinary: seen.append((len(toxic), len(ordinary))) or [])
+    monkeypatch.setattr(toxicity, "toxic_dictionary", lambda toxic, ordinary: seen.append((len(toxic), len(ordinary))) or b"nitwit")
     # Equal but for case: once for each label; all others stay.
     toxicity.fit_rows([*rows, (rows[0][0].upper(), 1, 90), (rows[0][0], 0, 91)])
     assert seen[-1] == (40, 41)
 
 
+def test_toxicity_scores_equal_the_plain_form(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeiourstlnd") for _ in range(rng.randint(3, 8)))
+    rows = [(i, " ".join(rng.choice(["nitwit", "blockhead"]) if i % 3 == 0 and rng.random() < 0.1 else word() for _ in range(rng.randint(20, 200)))) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, "x " * 100_000), (0, rows[0][1])], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    # The same, plainly: every window compressed with both dictionaries, one text at a time.
+    ordinary, toxic = toxicity.compressors(model.ordinary, model.toxic)
+    for r in toxicity.score(docs, model).collect():
+        words = (r["text"] or "").lower().encode().split()
+        gains = []
+        for i in range(0, len(words), toxicity.WINDOW_WORDS):
+            window = b" " + b" ".join(words[i : i + toxicity.WINDOW_WORDS]) + b" "
+            gains += [len(ordinary.compress(window[k : k + 1024])) - len(toxic.compress(window[k : k + 1024])) for k in range(0, len(window), 1024)]
+        counts = [sum(g >= least for g in gains) for least in toxicity.GAINS]
+        row = [1.0, *np.log1p(counts), *np.log1p([100 * c / (len(gains) + 2) for c in counts]), np.log1p(len(gains))]
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(np.dot(row, model.weights), -30, 30)))) < 1e-9
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert np.mean([scores[i] > 0.5 for i in range(0, 150, 3)]) > 0.7 and np.mean([scores[i] < 0.5 for i in range(150) if i % 3]) > 0.9
+
+
 def test_quotes_lead_to_threads(spark):
     rows = [
         (1, 0, "user", "Hello there\nHow do I sort a list?"), (1, 1, "assistant", "> How do I sort a list?\nUse sorted()."), (1, 2, "user", "Another thing."),
