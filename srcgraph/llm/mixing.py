@@ -145,11 +145,12 @@ def domain_of(domains: tuple[str, ...]) -> Column:
 
 
 def resampled(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], tokens: float | None = None) -> DataFrame:
-    """docs, each row as often as its rate says; a fraction counts by the row's own hash."""
+    """docs, each row as often as its rate says; a fraction counts by the row's own hash. Rows, tokens and
+    posteriors are written once; the fit and the copies both read them, so that no text is scored twice."""
     classifier = fit_classifier(labelled)
     scored = with_posteriors(docs.withColumn("__row", F.struct(*docs.columns)), classifier).select("__row", "n_tokens", "posteriors")
-    members = stored(scored.select("n_tokens", "posteriors"), "posteriors")
-    rate = F.round(fit_rates(members, classifier.domains, weights, tokens), 3)
+    members = stored(scored, "members")
+    rate = F.round(fit_rates(members.select("n_tokens", "posteriors"), classifier.domains, weights, tokens), 3)
     luck = F.pmod(F.xxhash64(F.col("__row.doc_id").cast("string"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(rate + luck).cast("int")
-    return scored.withColumn("__copies", copies).where("__copies > 0").select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select("__row.*")
+    return members.select("__row", F.explode(F.array_repeat(F.lit(0), copies))).select("__row.*")
