@@ -9,7 +9,8 @@ of passages that many documents share come last.
 1. One pass writes each document's size and 128-bit set key, and the sketch's counts.
 2. Prefix tokens under the first order are shuffled and sorted; tokens that only one set has, or only
    sets of unlike sizes, end there. A token far more frequent than the others is dealt to parts, so
-   that no task sorts it whole. Sets that have a token left are made once more and written.
+   that no task sorts it whole. Sets that have a token left are read once more for what the filters
+   need.
 3. Sets that share a token become candidates in rounds. First each set meets the pivot of each of its
    tokens, one row a set and token; a round joins near copies around the copy that was changed
    least. When little is left apart, all pairs of different components that share a token are formed:
@@ -32,7 +33,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -44,10 +45,10 @@ from .base import dropped, released, stored, text_slices
 from .components import components
 
 #: Least similarity in hundredths; words of a shingle; buckets of the count sketch; orders in use.
-SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 20, 3
+SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 22, 3
 #: Slices that the sketch and the key filter are summed in; parity bits of a set; bits of the key filter
 #: for each key, and at most; rows of a token that stay together; set keys that a task remembers.
-SLICES, PARITY, KEY_BITS, MOST_KEY_BITS, HOT, SEEN = 256, 256, 32, 1 << 27, 1 << 16, 50_000
+SLICES, PARITY, KEY_BITS, MOST_KEY_BITS, HOT, SEEN = 256, 128, 32, 1 << 27, 1 << 16, 50_000
 #: Rounds in which sets meet pivots only, before all that is apart is compared.
 MOST_PIVOTS = 3
 #: Bytes of text hashed at a time: digests take some tens of times that.
@@ -164,7 +165,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch_of(sized: DataFrame) -> np.ndarray:
-    """The sketch's BUCKETS counts over all documents: 8 MB whatever the corpus."""
+    """The sketch's BUCKETS counts over all documents: 32 MB whatever the corpus."""
     sums = sized.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_summed, "slice int, counts binary")
     total = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
     for row in sums.collect():
@@ -172,12 +173,10 @@ def sketch_of(sized: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def levels_and_parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of the counts (eight for each doubling), and the number of parts that a token's rows are
-    dealt to: more than one only where a token is far more frequent than the others."""
-    levels = np.minimum(np.floor(8 * np.log2(counts + 1)), 255).astype(np.uint8)
-    bound = max(HOT, 16 * int(counts.mean()))
-    return levels, np.minimum(-(-counts // bound), np.iinfo(np.uint16).max).clip(1).astype(np.uint16)
+def levels_of(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Levels of the counts (eight for each doubling), and the count beyond which a token's rows are dealt
+    to parts: only those of tokens far more frequent than the others."""
+    return np.minimum(np.floor(8 * np.log2(counts + 1)), 255).astype(np.uint8), max(HOT, 16 * int(counts.mean()))
 
 
 def _prefix_rows(sketch) -> object:  # noqa: ANN001
@@ -185,7 +184,7 @@ def _prefix_rows(sketch) -> object:  # noqa: ANN001
     token's rows stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, parts = sketch.value
+        levels, bound = sketch.value
         seen: set = set()
         for batch in text_slices(batches, "text", SLICE):
             out: list[list] = [[] for _ in range(6)]
@@ -196,7 +195,7 @@ def _prefix_rows(sketch) -> object:  # noqa: ANN001
                 if len(seen) < SEEN:  # copies in this task need to be told once
                     seen.add(key)
                 tokens = prefix(shingles, levels, 0)
-                split = parts[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
+                split = np.ceil(np.exp2((levels[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)] + 1.0) / 8) / bound).astype(np.int64)
                 out[0].append(tokens.view(np.int64))
                 out[1].append(np.where(split > 1, (key[0] & 0x7FFFFFFF) % split, -1))
                 for k, v in enumerate((len(shingles), *key)):
@@ -288,21 +287,35 @@ def key_filter(ids: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-ATTRIBUTES = ", ".join(["f1 long", "f2 long", "n long", *(f"q{i} long" for i in range(PARITY // 64)), *(f"p{k} array<int>" for k in range(1, ORDERS)), "shingles binary"])
+ATTRIBUTES = ", ".join(["n long", *(f"q{i} long" for i in range(PARITY // 64)), *(f"p{k} array<int>" for k in range(1, ORDERS))])
+KEYS = ["f1", "f2"]
 
 
-def _attributes(sketch, marks_of):  # noqa: ANN001, ANN202
-    """The sets of the marked documents (place, text) with what the filters need: parity bits and the
-    prefixes under the further orders, a token as 32 bits of its hash (which may only let a pair pass
-    that does not meet)."""
+def _attributes(shingles: list[np.ndarray], levels: np.ndarray) -> list[pa.Array]:
+    """What the filters need of each set: its size, parity bits and the prefixes under the further
+    orders, a token as 32 bits of its hash (which may only let a pair pass that does not meet)."""
+    bits = np.array([parity(s) for s in shingles], np.int64).reshape(len(shingles), PARITY // 64)
+    lists = [pa.array([(prefix(s, levels, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in shingles], pa.list_(pa.int32())) for k in range(1, ORDERS)]
+    return [pa.array([len(s) for s in shingles], pa.int64()), *(pa.array(b) for b in bits.T), *lists]
+
+
+def _whole(shingles: list[np.ndarray], _: np.ndarray) -> list[pa.Array]:
+    return [pa.array([s.tobytes() for s in shingles], pa.binary())]
+
+
+def _sets(texts: DataFrame, ends: DataFrame, sketch, made, schema: str) -> DataFrame:  # noqa: ANN001
+    """f1, f2, id and what `made` makes of the sets in ends (f1, f2, id); only the texts of marked ids are
+    hashed, one for each set and task that has it."""
+    marks = key_filter(ends.select("id"))
+    marks_of = texts.sparkSession.sparkContext.broadcast(marks)
+    names = [*KEYS, *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, marks = sketch.value[0], marks_of.value
-        names = [c.split()[0] for c in ATTRIBUTES.split(", ")]
+        levels, bits = sketch.value[0], marks_of.value
         seen: set = set()
         for batch in batches:
             at = np.asarray(batch.column(0))
-            for part in text_slices(iter([batch.filter(pa.array(marks[at >> 3] >> (at & 7) & 1 == 1))]), "text", SLICE):
+            for part in text_slices(iter([batch.filter(pa.array(bits[at >> 3] >> (at & 7) & 1 == 1))]), "text", SLICE):
                 sets, keys = [], []
                 for s in sets_of(part.column(1)):
                     key = set_key(s)
@@ -311,14 +324,11 @@ def _attributes(sketch, marks_of):  # noqa: ANN001, ANN202
                         keys.append(key)
                         if len(seen) < SEEN:
                             seen.add(key)
-                bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), PARITY // 64)
-                lists = [pa.array([(prefix(s, levels, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(1, ORDERS)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(b) for b in bits.T), *lists, pa.array([s.tobytes() for s in sets], pa.binary())], names=names
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), *made(sets, levels)], names=names)
         released()
 
-    return run
+    marked = texts.select(_place("doc_id", 8 * len(marks)).alias("place"), "text").mapInArrow(run, f"f1 long, f2 long, {schema}")
+    return marked.join(ends, KEYS).dropDuplicates(KEYS)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,87 +347,92 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BITS = [f"q{i}" for i in range(PARITY // 64)]
 
 
-def able(a: str, b: str, with_place: bool) -> Column:
+def able(a: str, b: str) -> Column:
     """Filters of the first order between the row structs a and b: sizes, the place of the shared token
     (of a pair's first shared token it leaves room for the overlap that the pair needs), parity bits."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = F.floor((F.lit(SIMILARITY) * (na + nb) + (99 + SIMILARITY)) / (100 + SIMILARITY))
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in BITS))
-    fits = (F.lit(SIMILARITY) * F.greatest(na, nb) <= 100 * F.least(na, nb)) & (differ <= na + nb - 2 * need)
-    return fits & (F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) >= need) if with_place else fits
+    room = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    return (F.lit(SIMILARITY) * F.greatest(na, nb) <= 100 * F.least(na, nb)) & (room >= need) & (differ <= na + nb - 2 * need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The links among pairs (a, b): prefixes must meet under each further order; only then are the
-    whole sets brought together and compared."""
+    whole sets of what is left made, brought together and compared."""
     orders = [f"p{k}" for k in range(1, ORDERS)]
-    side = lambda c, names: sets.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}{c}") for x in names))
-    met = pairs.join(side("a", orders), "a").join(side("b", orders), "b")
+    side = lambda of, c, names: of.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}{c}") for x in names))
+    met = pairs.join(side(sets, "a", orders), "a").join(side(sets, "b", orders), "b")
     for p in orders:
         met = met.where(F.arrays_overlap(f"{p}a", f"{p}b"))
     met = stored(met.select("a", "b"), "met")
-    both = met.join(side("a", ["shingles"]), "a").join(side("b", ["shingles"]), "b").select("a", "b", "shinglesa", "shinglesb")
+    ends = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+    whole = stored(wholes(stored(sets.select(*KEYS, "id").join(ends, "id"), "ends")), "wholes")
+    both = met.join(side(whole, "a", ["shingles"]), "a").join(side(whole, "b", ["shingles"]), "b").select("a", "b", "shinglesa", "shinglesb")
     links = stored(both.mapInArrow(_similar, "a long, b long"), "links")
     dropped(met)
+    dropped(whole)
     return links
 
 
-def _apart(tokens: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """Rows of tokens whose sets are in different components, with the component c, and of their token:
-    `big`, the component of most rows, `size`, and `most`, that component's rows."""
-    rows = tokens.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component") if joined is not None else tokens.withColumn("c", F.col("id"))
-    per = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.max("k").alias("most"), F.sum("k").alias("size"))
-    # Written first, so that both sides of the join are exchanges and a hot token's rows can be split.
-    mixed_tokens = stored(per.where("most < size"), "mixed")
-    return stored(rows.join(mixed_tokens, "h"), "apart")
+COLUMNS = ["id", "n", "pos", *BITS]
 
 
-def _row(alias: str, columns: list[str]) -> Column:
-    return F.struct(*columns).alias(alias)
+def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
+    return met.select(F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")).distinct()
 
 
-def _to_pivot(apart: DataFrame, first: bool) -> DataFrame:
-    """Pairs (a, b) of each token's pivot with its sets of other components. The pivot is the set with
-    the fewest rarer tokens before the shared one: of near copies, the one that was changed least. Later
-    rounds take it from outside the token's largest component."""
-    columns = ["id", "n", "pos", "c", *BITS]
-    pool = apart if first else apart.where("c <> big")
-    pivots = stored(pool.groupBy("h").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("o"), *columns)).alias("p")), "pivots")
-    met = apart.select("h", _row("r", columns)).join(pivots, "h").where((F.col("r.c") != F.col("p.c")) & able("r", "p", True))
-    return met.select(F.least("r.id", "p.id").alias("a"), F.greatest("r.id", "p.id").alias("b")).distinct()
+def _beside_pivots(rows: DataFrame, pool: DataFrame) -> DataFrame:
+    """Each row (h, r) beside the pivot p of its token, and the token's size. The pivot comes from pool:
+    the set with the fewest rarer tokens before the shared one; of near copies, the one that was changed
+    least. Pivots are written first, so that both sides of the join are exchanges and the rows of a hot
+    token can be split."""
+    first = F.min(F.struct((F.col("pos") / F.col("n")).alias("o"), *COLUMNS))
+    pivots = stored(pool.groupBy("h").agg(first.alias("p"), F.count(F.lit(1)).alias("pool")), "pivots")
+    return stored(rows.select("h", F.struct(*COLUMNS).alias("r")).join(pivots, "h").where("r.id <> p.id"), "beside")
+
+
+def _apart(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of tokens whose sets are in different components, with the component c and `big`, the
+    component of most rows of the token, which has `size` rows."""
+    named = rows.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    per = named.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.max("k").alias("most"), F.sum("k").alias("size"))
+    return stored(named.join(stored(per.where("most < size"), "mixed"), "h"), "apart")
 
 
 def _all_apart(apart: DataFrame) -> DataFrame:
     """All pairs (a, b) of a token whose sets are in different components and pass the filters. Only sets
     outside a token's largest component ask, so that what has been joined costs nothing."""
-    columns = ["id", "n", "pos", "c", *BITS]
-    asking = apart.where("c <> big").select("h", _row("x", columns))
-    asked = apart.select("h", _row("y", columns), (F.col("c") == F.col("big")).alias("main"))
-    met = asking.join(asked, "h").where((F.col("x.c") != F.col("y.c")) & (F.col("main") | (F.col("x.id") < F.col("y.id"))) & able("x", "y", True))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    asking = apart.where("c <> big").select("h", F.struct(*COLUMNS, "c").alias("x"))
+    asked = apart.select("h", F.struct(*COLUMNS, "c").alias("y"), (F.col("c") == F.col("big")).alias("main"))
+    return _pairs(asking.join(asked, "h").where((F.col("x.c") != F.col("y.c")) & (F.col("main") | (F.col("x.id") < F.col("y.id"))) & able("x", "y")), "x", "y")
 
 
-def _linked(tokens: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(id, component) of the sets that have a link."""
-    links, joined, rows = None, None, tokens
+def _linked(tokens: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(id, component) of the sets that have a link. A pivot meets all others of its token and is done, so
+    tokens of two sets end with the first round."""
+    links, joined, rows, last = None, None, tokens, False
     for turn in range(MOST_PIVOTS + 1):
-        apart = _apart(rows.select(*tokens.columns), joined)
         if turn:
-            dropped(rows)
-        left = apart.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("c") != F.col("big")).cast("long") * F.col("size")).alias("work")).first()
-        if not left["n"]:
-            break
-        last = turn and (turn == MOST_PIVOTS or left["work"] <= 8 * left["n"])
-        pairs = stored(_all_apart(apart) if last else _to_pivot(apart, not turn), "pairs")
-        found = _verified(pairs, sets)
+            apart = _apart(rows, joined)
+            left = apart.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("c") != F.col("big")).cast("long") * F.col("size")).alias("work")).first()
+            if not left["n"]:
+                break
+            last = turn == MOST_PIVOTS or left["work"] <= 8 * left["n"]
+        if last:
+            pairs = _all_apart(apart)
+        else:
+            # Later rounds take the pivots from outside a token's largest component.
+            beside = _beside_pivots(apart, apart.where("c <> big")) if turn else _beside_pivots(rows, rows)
+            pairs = _pairs(beside.where(able("r", "p")), "r", "p")
+            rows = beside.select("h", "r.*")
+        pairs = stored(pairs, "pairs")
+        found = _verified(pairs, sets, wholes)
         dropped(pairs)
         links = found if links is None else links.unionByName(found)
         joined = components(links, "a", "b")
-        rows = apart
         if last:
             break
-    if rows is not tokens:
-        dropped(rows)
     return joined
 
 
@@ -426,20 +441,18 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     sized = stored(texts.mapInArrow(_sized, "doc_id long, n long, f1 long, f2 long, slice int, counts binary"), "sized")
-    sketch = spark.sparkContext.broadcast(levels_and_parts(sketch_of(sized)))
+    sketch = spark.sparkContext.broadcast(levels_of(sketch_of(sized)))
     rows = sized.where("slice is null").select("doc_id", "n", "f1", "f2")
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
     named = texts.where("doc_id is not null")
     tokens = named.select("text").mapInArrow(_prefix_rows(sketch), "h long, part long, n long, f1 long, f2 long, pos long")
     shared = stored(tokens.repartition("h", "part").sortWithinPartitions("h", "part", "n", "f1", "f2").mapInArrow(_shared, "h long, n long, f1 long, f2 long, pos long"), "shared")
-    ends = stored(shared.select("f1", "f2").distinct().join(node, ["f1", "f2"]), "ends")
-    marks = key_filter(ends.select("id"))
-    marked = named.select(_place("doc_id", 8 * len(marks)).alias("place"), "text").mapInArrow(_attributes(sketch, spark.sparkContext.broadcast(marks)), ATTRIBUTES)
-    sets = stored(marked.join(ends, ["f1", "f2"]).dropDuplicates(["f1", "f2"]), "sets")
-    known = stored(shared.drop("n").join(sets.select("f1", "f2", "id", "n", *BITS), ["f1", "f2"]).drop("f1", "f2"), "tokens")
+    ends = stored(shared.select(*KEYS).distinct().join(node, KEYS), "ends")
+    sets = stored(_sets(named, ends, sketch, _attributes, ATTRIBUTES), "sets")
+    known = stored(shared.drop("n").join(sets.select(*KEYS, "id", "n", *BITS), KEYS).select("h", *COLUMNS), "tokens")
     dropped(shared)
-    joined = _linked(known, sets)
-    ids = node.withColumn("__c", F.col("id")) if joined is None else node.join(joined, "id", "left").withColumn("__c", F.coalesce("component", "id"))
+    joined = _linked(known, sets, lambda wanted: _sets(named, wanted, sketch, _whole, "shingles binary"))
+    ids = node.join(joined, "id", "left").withColumn("__c", F.coalesce("component", "id"))
     labelled = rows.join(ids.select("f1", "f2", "__c"), ["f1", "f2"], "left")
     for table in (ends, sets, known):
         dropped(table)

@@ -129,9 +129,9 @@ def test_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
     for n in (400, 1600):
         counts[n] = 0
 
-        def counting(pairs, sets, n=n):
+        def counting(pairs, sets, wholes, n=n):
             counts[n] += pairs.count()
-            return verified(pairs, sets)
+            return verified(pairs, sets, wholes)
 
         monkeypatch.setattr(ngram_join, "_verified", counting)
         assert len({r["component_id"] for r in ngram_join.clustered(frame(spark, list(near_copies(n, edits=2)))).collect()}) == 1
