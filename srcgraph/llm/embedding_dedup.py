@@ -2,25 +2,33 @@
 
 1. Equal vectors are one node with a count; vectors that are null, zero or hold null or non-finite
    components link with nothing.
-2. Centroids come from spherical k-means on a bounded, hash-ordered sample (SAMPLE vectors). Each
-   node joins the shards of its OVERLAP nearest centroids; a shard over MAX_SHARD nodes is salted
-   into parts, and each of its nodes visits all the parts when it searches.
-3. Each part builds a graph: nearest candidates, robust pruning with slack ALPHA, reverse edges and a
-   few far ones. The adjacency lists of a node over all its shards are united.
-4. Each node searches its shards: a greedy walk from the medoid, then the range is expanded through
-   all nodes near enough. What it finds is verified by the double-precision cosine.
-5. A pair is counted in the first shard its two nodes share, so links are summed without pairs being
-   emitted; a part gives one edge for each node and found component, and star steps join those.
+2. Centroids come from spherical k-means on a bounded, hash-ordered sample (SAMPLE vectors, at most
+   SAMPLE_BYTES). Each node belongs to the shards of its OVERLAP nearest centroids; the nearest is its
+   home. Shards over MAX_SHARD nodes are dealt to parts.
+3. Within its home each node joins the ball of a leader so near (BALL, half of the linking angle) that
+   all members of a ball are linked, or leads one itself. A large group of near copies so shrinks to a
+   few leaders, and links inside balls are counts; nothing in such a group is compared with all of it.
+   Balls of different parts meet in further rounds, until they no longer get fewer.
+4. Each part builds a graph over leaders by insertion: a walk from the entry, robust pruning with slack
+   ALPHA among the nodes that the walk reached, and edges back. The adjacency lists of a leader over
+   all its shards are united into one flat graph.
+5. Each leader searches the part of the flat graph around its home: that shard's leaders and the
+   neighbours that their united lists name in other shards. A greedy walk from the medoid comes
+   first, then the range is expanded through all leaders whose balls may hold linked nodes.
+6. Found pairs of leaders are verified by the double-precision cosine; where balls have members, angles
+   to the leaders decide, or the members are compared where those leave it open.
 
 The audit compares the links of sampled vectors with brute force over all of them and gives the mean
 share of a vector's links that was found, over sampled vectors that have any, so that vectors with one
-link count as much as those of a large group. The sample grows until AUDIT vectors with links are in
-it, up to MOST_AUDIT vectors. deduplicated() doubles OVERLAP until the audit reaches LEAST_RECALL; where
-MOST_OVERLAP does not reach it, all vectors are compared with all, which is exact and quadratic.
+link count as much as those of a large group. All that is counted as a link is one (verified, or by the
+triangle inequality of angles), so the share of the number is the share of the links themselves. The sample
+grows until AUDIT vectors with links are in it, up to MOST_AUDIT vectors. deduplicated() doubles OVERLAP
+until the audit reaches LEAST_RECALL; where MOST_OVERLAP does not reach it, all vectors are compared with
+all, which is exact and quadratic.
 
 Defined cases: an empty table gives an empty result; rows without a vec_id take part only as copies;
-repeated rows are copies of each other; vectors of different lengths never link; ties go to the
-smaller id; further columns are ignored.
+repeated rows are copies of each other; vectors of different lengths never link; very long vectors are
+taken in smaller samples and batches; ties go to the smaller id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +44,15 @@ from .base import stored
 from .components import components
 
 COSINE = 0.9
-#: Nodes a shard is to have and may have, shards of a node, vectors that centroids are fitted on.
-SHARD, MAX_SHARD, OVERLAP, SAMPLE, MAX_CENTROIDS = 1000, 3000, 2, 20_000, 4096
-#: Candidates and edges of a node, pruning slack, far edges, steps of the greedy walk, slack of the range.
-POOL, DEGREE, ALPHA, FAR, WALK, SLACK = 48, 20, 1.2, 4, 24, 0.05
+#: Nodes a shard is to have and may have, shards of a node, vectors that centroids are fitted on, and bytes.
+SHARD, MAX_SHARD, OVERLAP, SAMPLE, SAMPLE_BYTES, MAX_CENTROIDS = 1000, 3000, 2, 20_000, 64 << 20, 4096
+#: Candidates and edges of a node, pruning slack, steps of the greedy walk, slack of the range, nodes
+#: inserted and searched at a time, rounds in which balls meet.
+POOL, DEGREE, ALPHA, WALK, SLACK, BATCH, QUERY_BLOCK, BALL_ROUNDS = 48, 24, 1.2, 32, 0.1, 64, 128, 4
+#: The linking angle; a ball's radius, with a margin for rounding; similarity of what was not reached.
+MARGIN = 1e-6
+THETA = float(np.arccos(COSINE))
+BALL, UNSEEN = THETA / 2 - MARGIN, -9.0
 AUDIT, MOST_AUDIT, LEAST_RECALL, MOST_OVERLAP = 200, 4000, 0.95, 8
 #: Bytes of unit vectors that all others are compared with at a time, where all pairs are compared.
 BLOCK_BYTES = 32 << 20
@@ -85,134 +98,163 @@ def _assigned(centers_of, overlap: int):  # noqa: ANN001, ANN202
         for batch in batches:
             if batch.num_rows:
                 near = np.argsort(-(_matrix(batch.column(1)) @ centers.T), axis=1, kind="stable")[:, :overlap]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sort(near, axis=1).tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
 
     return run
 
 
-def pruned(similarity: np.ndarray) -> np.ndarray:
-    """Out-edges of each node (-1: none): robust pruning of its nearest candidates."""
-    n = len(similarity)
-    pool_size = min(POOL, n - 1)
-    if pool_size < 1:
-        return np.full((n, 1), -1)
-    own = similarity.copy()
-    np.fill_diagonal(own, -2)
-    pool = np.argpartition(-own, pool_size - 1, axis=1)[:, :pool_size]
-    order = np.argsort(-np.take_along_axis(own, pool, 1), axis=1, kind="stable")
-    pool = np.take_along_axis(pool, order, 1)
-    distance = 1 - np.take_along_axis(own, pool, 1)
-    alive = np.ones(pool.shape, bool)
-    edges = np.full((n, min(DEGREE, pool_size)), -1)
-    rows = np.arange(n)
-    for k in range(edges.shape[1]):
-        left = alive.any(1)
-        if not left.any():
-            break
-        pick = alive.argmax(1)
-        chosen = pool[rows, pick]
-        edges[left, k] = chosen[left]
-        between = 1 - similarity[chosen[:, None], pool]
-        alive &= ~(ALPHA * between <= distance)
-        alive[rows, pick] = False
-    return edges
-
-
-def _build(rows: pa.Table) -> pa.Table:
+class Graph:
+    """A flat graph over rows of unit vectors that grows by insertion. Out-edges are robust-pruned among
+    the nodes that a walk has reached; nothing is compared that no walk reaches."""
+
+    def __init__(self, unit: np.ndarray) -> None:
+        self.unit = unit
+        self.edges = np.full((len(unit), DEGREE), -1)
+        self.near = np.full((len(unit), DEGREE), 2.0)  # similarity of each edge; 2: none
+        self.entry = -1
+
+    def walk(self, queries: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+        """Similarities of queries x nodes, UNSEEN where a walk has not come: greedy from the medoid, then
+        the range is expanded through all nodes of similarity low (queries x nodes) or more."""
+        q = len(queries)
+        sim, done, rows = np.full((q, len(self.unit)), UNSEEN), np.zeros((q, len(self.unit)), bool), np.arange(q)
+        sim[:, self.entry] = queries @ self.unit[self.entry]
+        for _ in range(WALK):
+            open_ = np.where(done, UNSEEN, sim)
+            best = open_.argmax(1)
+            live = open_[rows, best] > UNSEEN
+            if not live.any():
+                break
+            done[rows[live], best[live]] = True
+            self._reach(queries, sim, rows[live], best[live])
+        while low is not None:
+            who, where = np.nonzero(~done & (sim >= low))
+            if not len(who):
+                break
+            done[who, where] = True
+            for a in range(0, len(who), 4096):
+                self._reach(queries, sim, who[a : a + 4096], where[a : a + 4096])
+        return sim
+
+    def _reach(self, queries: np.ndarray, sim: np.ndarray, who: np.ndarray, where: np.ndarray) -> None:
+        ends = self.edges[where]
+        flat = (who[:, None] * sim.shape[1] + ends)[ends >= 0]
+        flat = np.unique(flat[sim.ravel()[flat] == UNSEEN])
+        i, j = np.divmod(flat, sim.shape[1])
+        sim[i, j] = np.einsum("md,md->m", queries[i], self.unit[j])
+
+    def insert(self, nodes: np.ndarray, sim: np.ndarray) -> None:
+        """Insert nodes whose similarities to the graph, as far as a walk came, are in sim."""
+        if self.entry < 0:
+            self.entry = int(nodes[0])
+        sim = sim.copy()
+        sim[:, nodes] = self.unit[nodes] @ self.unit[nodes].T  # one batch: these are compared with each other
+        sim[np.arange(len(nodes)), nodes] = UNSEEN
+        size = min(POOL, sim.shape[1])
+        pool = np.argpartition(-sim, size - 1, axis=1)[:, :size]
+        near = np.take_along_axis(sim, pool, 1)
+        order = np.argsort(-near, axis=1, kind="stable")
+        pool, near = np.take_along_axis(pool, order, 1), np.take_along_axis(near, order, 1)
+        between = np.einsum("mpd,mqd->mpq", self.unit[pool], self.unit[pool])
+        alive, rows = near > UNSEEN, np.arange(len(nodes))
+        for k in range(DEGREE // 2):  # the other half is for edges that come back
+            left = alive.any(1)
+            if not left.any():
+                break
+            pick = alive.argmax(1)
+            some = rows[left]
+            self.edges[nodes[some], k], self.near[nodes[some], k] = pool[some, pick[some]], near[some, pick[some]]
+            alive &= ~(ALPHA * (1 - between[rows, pick]) <= 1 - near)
+            alive[rows, pick] = False
+        for i in nodes.tolist():
+            for j, s in zip(self.edges[i].tolist(), self.near[i].tolist(), strict=True):
+                if j >= 0 and i not in self.edges[j]:
+                    # A free place, or that of the least similar edge if this one is nearer.
+                    at = int(self.near[j].argmax()) if self.near[j].max() > 1.5 else int(self.near[j].argmin())
+                    if self.near[j, at] > 1.5 or self.near[j, at] < s:
+                        self.edges[j, at], self.near[j, at] = i, s
+
+
+def _ordered(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    """Ids, units and further columns in an order that says nothing about the vectors."""
+    ids = np.asarray(rows.column("id"))
+    order = np.lexsort((ids, (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)))
+    return [ids[order], _matrix(rows.column("unit"))[order], *(np.asarray(rows.column(n))[order] for n in names)]
+
+
+def angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _balls(rows: pa.Table) -> pa.Table:
+    """(id, leader, beta): each node joins the ball of a leader so near that all members of a ball are
+    within COSINE of each other, or leads a ball itself. beta is the angle to the leader; a node that comes
+    with a ball of its own brings that ball's radius."""
+    ids, unit, radius = _ordered(rows, "radius")
+    graph, leader, beta = Graph(unit), np.arange(len(ids)), np.zeros(len(ids))
+    for a in range(0, len(ids), BATCH):
+        batch = np.arange(a, min(a + BATCH, len(ids)))
+        sim = graph.walk(unit[batch]) if graph.entry >= 0 else np.full((len(batch), len(ids)), UNSEEN)
+        best = sim.argmax(1)
+        far = angle(sim[np.arange(len(batch)), best]) + radius[batch]
+        joins = (sim.max(1) > UNSEEN) & (far <= BALL)
+        leader[batch[joins]], beta[batch[joins]] = best[joins], far[joins]
+        new: list[int] = []
+        for i in batch[~joins].tolist():
+            if new:
+                own = angle(unit[new] @ unit[i]) + radius[i]
+                k = int(own.argmin())
+                if own[k] <= BALL:
+                    leader[i], beta[i] = new[k], own[k]
+                    continue
+            new.append(i)
+        if new:
+            graph.insert(np.array(new), sim[np.array(new) - a])
+    return pa.table({"id": pa.array(ids), "leader": pa.array(ids[leader]), "beta": pa.array(np.maximum(beta, radius))})
+
+
+def _adjacency(rows: pa.Table) -> pa.Table:
     """(id, neighbours) within one part."""
-    ids, unit = np.asarray(rows.column("id")), _matrix(rows.column("unit"))
-    order = np.argsort(ids)
-    ids, unit = ids[order], unit[order]
-    n = len(ids)
-    edges = pruned(unit @ unit.T)
-    far = np.array([(np.arange(n) * 7919 + (k + 1) * 104729) % n for k in range(FAR)]).T
-    out = np.concatenate([edges, far], axis=1)
-    source = np.repeat(np.arange(n), out.shape[1])
-    target = out.ravel()
-    good = (target >= 0) & (target != source)
-    a, b = np.r_[source[good], target[good]], np.r_[target[good], source[good]]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
-    a, b = a[fresh], b[fresh]
-    offsets = np.searchsorted(a, np.arange(n + 1))
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[b], pa.int64()))
-    return pa.table({"id": pa.array(ids, pa.int64()), "neighbours": lists})
-
-
-def found_by_search(similarity: np.ndarray, edges: np.ndarray, own: np.ndarray, medoid: int) -> np.ndarray:
-    """Nodes that each query reaches (queries x nodes). own: the query's node, or -1."""
-    q, n = similarity.shape
-    reached, expanded = np.zeros((q, n), bool), np.zeros((q, n), bool)
-    reached[:, medoid] = True
-    at_home = np.flatnonzero(own >= 0)
-    reached[at_home, own[at_home]] = True
-    padded = np.where(edges < 0, medoid, edges)
-    rows = np.arange(q)
-    for _ in range(WALK):
-        open_ = np.where(reached & ~expanded, similarity, -2.0)
-        best = open_.argmax(1)
-        live = open_[rows, best] > -2
-        if not live.any():
-            break
-        expanded[rows[live], best[live]] = True
-        reached[rows[live][:, None], padded[best[live]]] = True
-    while True:
-        who, where = np.nonzero(reached & ~expanded & (similarity >= COSINE - SLACK))
-        if not len(who):
-            return reached
-        expanded[who, where] = True
-        for a in range(0, len(who), 200_000):
-            reached[who[a : a + 200_000, None], padded[where[a : a + 200_000]]] = True
-
-
-def _search(rows: pa.Table) -> pa.Table:
-    """(id, links, root): links of each query that count here, and found components of this part."""
-    shard = rows.column("shard")[0].as_py()
-    ids, node = np.asarray(rows.column("id")), np.asarray(rows.column("node"))
-    weight, unit = np.asarray(rows.column("n")), _matrix(rows.column("unit"))
-    shards = np.array(rows.column("shards").to_pylist())
-    order = np.lexsort((ids, ~node))
-    ids, node, weight, unit, shards = ids[order], node[order], weight[order], unit[order], shards[order]
-    n = int(node.sum())
-    empty = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-    if not n:
-        return empty
-    lists = rows.column("neighbours").combine_chunks().take(pa.array(order[:n]))
-    source = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
-    target_ids = np.asarray(lists.flatten())
-    place = np.minimum(np.searchsorted(ids[:n], target_ids), n - 1)
-    here = ids[:n][place] == target_ids
+    ids, unit = _ordered(rows)
+    graph = Graph(unit)
+    for a in range(0, len(ids), BATCH):
+        batch = np.arange(a, min(a + BATCH, len(ids)))
+        graph.insert(batch, graph.walk(unit[batch]) if graph.entry >= 0 else np.full((len(batch), len(ids)), UNSEEN))
+    lists = [ids[e[e >= 0]] for e in graph.edges]
+    return pa.table({"id": pa.array(ids), "neighbours": pa.array(lists, pa.list_(pa.int64()))})
+
+
+def _ranges(rows: pa.Table) -> pa.Table:
+    """(a, b, cosine): pairs of leaders whose balls may hold linked nodes, as far as the walks come."""
+    asks = np.asarray(rows.column("asks"))
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+    if not asks.any() or asks.all():
+        return none
+    nodes = rows.filter(pa.array(~asks)).sort_by("id").combine_chunks()
+    ids, unit, beta = np.asarray(nodes.column("id")), _matrix(nodes.column("unit")), np.asarray(nodes.column("beta"))
+    graph = Graph(unit)
+    # United lists, as far as their ends are here: members of the part and the neighbours it brought.
+    lists = nodes.column("neighbours").combine_chunks()
+    source, target = np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten())
+    place = np.minimum(np.searchsorted(ids, target), len(ids) - 1)
+    here = ids[place] == target
     source, place = source[here], place[here]
-    width = int(np.bincount(source, minlength=n).max()) if len(source) else 1
-    edges = np.full((n, max(1, width)), -1)
-    starts = np.searchsorted(source, np.arange(n))
-    edges[source, np.arange(len(source)) - starts[source]] = place
-    medoid = int((unit[:n] @ unit[:n].mean(0)).argmax())
-    out_ids, out_links, out_roots = [], [], []
-    for a in range(0, len(ids), 1500):
-        block = slice(a, min(a + 1500, len(ids)))
-        similarity = unit[block] @ unit[:n].T
-        own = np.where(np.arange(block.start, block.stop) < n, np.arange(block.start, block.stop), -1)
-        reached = found_by_search(similarity, edges, own, medoid)
-        linked = reached & (similarity >= COSINE)
-        at_home = np.flatnonzero(own >= 0)
-        linked[at_home, own[at_home]] = False
-        who, whom = np.nonzero(linked)
-        # A pair counts in the first shard that its two nodes share.
-        shared = np.full(len(who), 1 << 30)
-        for x in range(shards.shape[1]):
-            for y in range(shards.shape[1]):
-                left, right = shards[block][who, x], shards[:n][whom, y]
-                shared = np.where((left == right) & (left < shared), left, shared)
-        count = np.bincount(who, weights=np.where(shared == shard, weight[:n][whom], 0), minlength=block.stop - block.start)
-        # One edge to the smallest neighbour, and edges that keep the rest of the neighbours together.
-        least = np.full(block.stop - block.start, 1 << 62)
-        np.minimum.at(least, who, ids[:n][whom])
-        out_ids += [ids[block], ids[:n][whom]]
-        out_links += [count.astype(np.int64), np.zeros(len(whom), np.int64)]
-        out_roots += [np.where(least < 1 << 62, least, ids[block]), least[who]]
-    return _forest(np.stack([np.concatenate(x) for x in (out_ids, out_links, out_roots)], axis=1))
+    width = int(np.bincount(source, minlength=len(ids)).max()) if len(source) else 1
+    graph.edges = np.full((len(ids), max(1, width)), -1)
+    graph.edges[source, np.arange(len(source)) - np.searchsorted(source, np.arange(len(ids)))[source]] = place
+    graph.entry = int((unit @ unit.mean(0)).argmax())
+    asking = rows.filter(pa.array(asks))
+    q_ids, q_unit, q_beta = np.asarray(asking.column("id")), _matrix(asking.column("unit")), np.asarray(asking.column("beta"))
+    found = []
+    for a in range(0, len(q_ids), QUERY_BLOCK):
+        block = slice(a, a + QUERY_BLOCK)
+        low = np.cos(np.minimum(np.pi, THETA + q_beta[block, None] + beta[None, :]))
+        sim = graph.walk(q_unit[block], low - SLACK)
+        who, where = np.nonzero((sim >= low - 1e-9) & (q_ids[block, None] != ids[None, :]))
+        x, y = q_ids[block][who], ids[where]
+        found.append((np.minimum(x, y), np.maximum(x, y), sim[who, where]))
+    a, b, cosine = (np.concatenate(f) for f in zip(*found, strict=True))
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "cosine": pa.array(cosine)})
 
 
 def _forest(rows: np.ndarray) -> pa.Table:
@@ -247,27 +289,79 @@ def _linked(nodes: DataFrame, overlap: int) -> DataFrame:
     """(id, links, root) rows over all shards of nodes of one length."""
     spark = nodes.sparkSession
     count = nodes.count()
+    # Shards keep their size up to MAX_CENTROIDS of them; beyond that, larger ones are dealt to parts.
     wanted = min(MAX_CENTROIDS, max(1, count // SHARD))
-    sample = _matrix(nodes.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(SAMPLE).select("unit").toArrow().column(0))
+    width = nodes.select(F.octet_length("unit").alias("w")).first()["w"]
+    drawn = min(SAMPLE, max(64, SAMPLE_BYTES // max(1, width)))
+    sample = _matrix(nodes.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(drawn).select("unit").toArrow().column(0))
     centers_of = spark.sparkContext.broadcast(centroids_of(sample, min(wanted, len(sample))))
     overlap = min(overlap, len(centers_of.value))
     placed = stored(nodes.select("id", "unit", "n").mapInArrow(_assigned(centers_of, overlap), "id long, unit binary, n long, shards array<int>"), "placed")
     return _searched(placed)
 
 
+def _in_parts(rows: DataFrame, shard: str, salt: str) -> DataFrame:
+    """rows with the number of parts of their shard and their own part."""
+    sizes = rows.groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / MAX_SHARD).cast("int").alias("parts"))
+    # At most MAX_CENTROIDS rows, or one for each length of few nodes.
+    return rows.join(F.broadcast(sizes), shard).withColumn("part", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("parts")).cast("int"))
+
+
+def _collapsed(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaders (id, unit, shards, radius, weight) and the members (id, n, unit, leader)."""
+    leaders = placed.select("id", "unit", "shards", F.lit(0.0).alias("radius"))
+    lead = placed.select("id", F.col("id").alias("leader"))
+    count = None
+    for turn in range(BALL_ROUNDS):
+        homes = _in_parts(leaders.withColumn("home", F.col("shards")[0]), "home", f"ball{turn}")
+        found = stored(homes.groupBy("home", "part").applyInArrow(_balls, "id long, leader long, beta double"), "balls")
+        radius = found.groupBy("leader").agg(F.max("beta").alias("radius"))
+        leaders = stored(leaders.drop("radius").join(radius.withColumnRenamed("leader", "id"), "id"), "leaders")
+        lead = stored(lead.join(found.select(F.col("id").alias("leader"), F.col("leader").alias("__up")), "leader").select("id", F.col("__up").alias("leader")), "lead")
+        before, count = count, leaders.count()
+        if homes.where("parts > 1").isEmpty() or (before is not None and count > 0.9 * before):
+            break
+    members = stored(placed.select("id", "n", "unit").join(lead, "id"), "members")
+    weight = members.groupBy("leader").agg(F.sum("n").alias("weight"))
+    return stored(leaders.join(weight.withColumnRenamed("leader", "id"), "id"), "leaders"), members
+
+
 def _searched(placed: DataFrame) -> DataFrame:
     """(id, links, root) rows over the shards of nodes (id, unit, n, shards)."""
-    spread = placed.select("id", "unit", "n", "shards", F.explode("shards").alias("shard"))
-    sizes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / MAX_SHARD).cast("int").alias("parts"))
-    # At most MAX_CENTROIDS rows, or one for each length of few nodes.
-    members = spread.join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int"))
-    adjacency = members.groupBy("shard", "part").applyInArrow(_build, "id long, neighbours array<long>")
-    united = adjacency.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    known = members.join(united, "id")
-    visits = known.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("visit"))
-    node = F.col("visit") == F.col("part")
-    rows = visits.select("id", "unit", "n", "shards", "shard", F.col("visit").alias("part"), node.alias("node"), F.when(node, F.col("neighbours")).otherwise(F.array().cast("array<long>")).alias("neighbours"))
-    return rows.groupBy("shard", "part").applyInArrow(_search, "id long, links long, root long")
+    leaders, members = _collapsed(placed)
+    spread = stored(_in_parts(leaders.select("id", "unit", "radius", F.explode("shards").alias("shard")), "shard", "part"), "spread")
+    lists = spread.groupBy("shard", "part").applyInArrow(_adjacency, "id long, neighbours array<long>")
+    united = stored(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")), "united")
+    # Around each part: the neighbours that its leaders' united lists name elsewhere.
+    own = spread.select("shard", "part", "parts", "id")
+    beside = own.join(united, "id").select("shard", "part", "parts", F.explode("neighbours").alias("id")).distinct().join(own, ["shard", "part", "id"], "left_anti")
+    nodes = own.unionByName(beside).join(leaders.select("id", "unit", F.col("radius").alias("beta")), "id").join(united, "id")
+    nodes = nodes.select("shard", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("asking"), "id", "unit", "beta", "neighbours", F.lit(False).alias("asks"))
+    homes = leaders.select("id", "unit", F.col("radius").alias("beta"), F.col("shards")[0].alias("shard")).join(own.select("id", "shard", "parts", F.col("part").alias("asking")), ["id", "shard"])
+    asks = homes.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "asking", "id", "unit", "beta", F.array().cast("array<long>").alias("neighbours"), F.lit(True).alias("asks"))
+    ranges = nodes.unionByName(asks).groupBy("shard", "part", "asking").applyInArrow(_ranges, "a long, b long, cosine double")
+    pairs = ranges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    ball = lambda c: leaders.select(F.col("id").alias(c), F.col("radius").alias(f"r{c}"), F.col("weight").alias(f"w{c}"))
+    pairs = pairs.join(ball("a"), "a").join(ball("b"), "b")
+    single = (F.col("ra") == 0) & (F.col("rb") == 0)
+    sure = F.when(single, F.col("cosine") >= COSINE).otherwise(F.acos(F.least(F.col("cosine"), F.lit(1.0))) + F.col("ra") + F.col("rb") <= THETA - MARGIN)
+    pairs = stored(pairs.select("a", "b", "wa", "wb", sure.alias("sure"), (~single & ~sure).alias("open")), "ranges")
+    linked = pairs.where("sure")
+    gained = linked.select(F.col("a").alias("leader"), F.col("wb").alias("w")).unionByName(linked.select(F.col("b").alias("leader"), F.col("wa").alias("w"))).groupBy("leader").agg(F.sum("w").alias("gained"))
+    inside = members.join(leaders.select(F.col("id").alias("leader"), "weight"), "leader").join(gained, "leader", "left")
+    rows = inside.select("id", (F.col("weight") - F.col("n") + F.coalesce("gained", F.lit(0))).alias("links"), F.col("leader").alias("root"))
+    side = lambda c: members.select(F.col("leader").alias(c), F.col("id").alias(f"id{c}"), F.col("n").alias(f"n{c}"), F.col("unit").alias(f"u{c}"))
+    met = stored(pairs.where("open").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("ida", "na", "ua", "idb", "nb", "ub").mapInArrow(_near, "ida long, na long, idb long, nb long"), "met")
+    rows = rows.unionByName(linked.select(F.col("a").alias("id"), F.lit(0).cast("long").alias("links"), F.col("b").alias("root")))
+    return rows.unionByName(met.select(F.col("ida").alias("id"), F.col("nb").alias("links"), F.col("idb").alias("root"))).unionByName(met.select(F.col("idb").alias("id"), F.col("na").alias("links"), F.col("ida").alias("root")))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of members whose cosine is COSINE or more."""
+    for batch in batches:
+        for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
+            near = np.einsum("md,md->m", _matrix(part.column(2)), _matrix(part.column(5))) >= COSINE
+            yield part.filter(pa.array(near)).select([0, 1, 3, 4])
 
 
 def _by_dim(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
