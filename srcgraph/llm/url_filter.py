@@ -5,8 +5,9 @@ higher-order function, hashing, fitting and scoring are Spark ML stages in the J
 on its own, so a pass over the URLs has no shuffle.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and no rule, and is
-judged by the model's intercept. An empty table gives an empty result. Repeated rows are judged
-alike. Other columns go through untouched; names that clash with a result column are replaced.
+judged by the model's intercept. Very long URLs are read whole. An empty table gives an empty result.
+Repeated rows are judged alike. Rules of equal length that fit: the last in alphabetical order. Other
+columns go through untouched; names that clash with a result column are replaced.
 """
 
 from __future__ import annotations
@@ -31,36 +32,43 @@ RULES = (
 MAX_RULES = 500
 BUCKETS, GRAMS = 1 << 13, (3, 4, 5)
 
-# Hosts and paths of the labelled table: everyday sites (0) and junk sites (1).
+# Names of the labelled table: everyday sites (0) and junk sites (1), chosen as such names are in general.
 _SITES_0 = (
     "news library museum university school garden weather recipes travel history science football music "
-    "letters archive journal market city council hospital theatre bakery cycling forest river physics "
-    "chemistry poetry painting village station radio bridge harbour island mountain reading writing "
-    "walking thorton anders thewing reinth onering hemtion ratedge shorely bleand tionary handell thatcher "
-    "ethan nathan martha bertha thesis theses thistle thunder another gather southern northern stable table "
-    "notable thinker method athens other mother than that these those there then athlete cathedral mathematics "
-    "panther rhythm author theory sister master easter western hamster chester stories states estate"
+    "letters archive journal market council hospital theatre bakery cycling forest river physics chemistry "
+    "poetry painting village station radio bridge harbour island mountain reading writing walking family "
+    "kitchen railway concert gallery parish festival software database compiler notebook lecture student "
+    "teacher children parents nature animals birds trees flowers ocean climate energy transport housing "
+    "election parliament justice economy culture language grammar dictionary translation philosophy "
+    "mathematics astronomy biology medicine nursing dentist pharmacy-guide clinic fitness running swimming "
+    "tennis chess sailing fishing camping hiking photography film cinema television magazine publisher "
+    "bookshop stationery carpenter plumber electrician architect engineer surveyor insurance-advice "
+    "pension-advice city-hall open-data local-events old-town north-shore green-energy blue-lake "
+    "the-other-side mother-and-child southern-cooking another-day thirty-thoughts national-trust "
+    "information tradition education nutrition station-house motion-study"
 ).split()
 _SITES_1 = (
-    "casino-win casino-bonus online-casino win-money free-bets best-bets sport-bets bet-now poker-chips "
-    "cheap-pills buy-pills pills-online cheap-meds pharmacy-discount viagra-shop adult-x adult-cams xxx-video "
-    "adult-dating hot-singles spam-farm link-farm seo-farm spam-links click-farm ads-track ad-tracker "
-    "track-click popup-ads ads-server banner-ads free-money free-prize win-prize loan-fast payday-loan "
-    "replica-watch cheap-watches crack-warez free-download-crack lottery-win jackpot-slots slots-free "
-    "crypto-double get-rich-quick miracle-diet weight-loss-pills fake-brands hacked-accounts"
+    "casino-bonus online-casino casino-royal live-casino win-money win-big bet-now best-bets sport-bets "
+    "bets-online poker-chips poker-win slots-free jackpot-slots lottery-win roulette-spin buy-pills "
+    "pills-online diet-pills weight-loss-pills cheap-meds cheap-viagra cheap-watches pharmacy-discount "
+    "viagra-shop adult-cams adult-dating adult-video xxx-video xxx-cams hot-singles sexy-chat spam-links "
+    "spam-mail spammer link-farm seo-farm click-farm content-farm ad-tracker track-click tracker-pixel "
+    "ads-server popup-ads banner-ads pop-ads free-money free-prize free-spins free-download-crack win-prize "
+    "loan-fast payday-loan replica-watch crack-warez warez-full crypto-double get-rich-quick miracle-diet "
+    "fake-brands hacked-accounts"
 ).split()
 _WRAPS = (
-    "https://www.{}.example.com/en/12",
-    "http://{}.example.net/de/345.html",
-    "https://blog.{}.example.org/fr/67?page=2&ref=x",
-    "http://m.{}.example.com/es/89/#top",
-    "https://{}.example.org/en/8?utm_source=feed",
+    "https://www.{}.com/",
+    "http://{}.org/about",
+    "https://blog.{}.net/2019/05/post.html",
+    "http://m.{}.co.uk/item/31?lang=en",
+    "https://{}.info/list#more",
 )
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: (url, label). Both classes share prefixes, endings and paths, so
-    that only the names tell them apart."""
+    """The small labelled table: (url, label). Both classes share prefixes, endings and paths, so that only
+    the names tell them apart; everyday names are more, as they are in general."""
     rows = [(wrap.format(site), label) for label, sites in ((0, _SITES_0), (1, _SITES_1)) for site in sites for wrap in _WRAPS]
     values = ", ".join(f"('{url}', {label}D)" for url, label in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
