@@ -4,17 +4,20 @@ Suffixes are ordered only through WINDOW bytes, by most-significant-digit passes
 equal groups at that depth are the repeated windows:
 
 1. Equal texts are one class with a count (all windows of a class of two or more are repeated).
-2. First digit: GRAM bytes. Only one suffix in about 70 needs it: each window is filed under the
-   gram of least hash that it holds, its anchor, which equal windows choose alike. Anchors that
-   occur once end here; so do all their windows.
-3. Deeper digit: an anchor that occurs again brings the bytes of the windows filed under it, and
-   windows of one anchor are compared through all WINDOW bytes. Anchors with more than HOT
-   occurrences are salted; windows that are alone in their part then meet by their own digest, one
-   row for each part.
+2. The pass that is shuffled takes GRAM bytes. Only one suffix in about 70 needs it: each window is
+   filed under the gram of least hash that it holds, its anchor, which equal windows choose alike.
+   Anchors that occur once end here; so do all their windows. (A row for each suffix of the corpus
+   would be some twenty times the input.)
+3. An anchor that occurs again brings the bytes of the windows filed under it. The suffixes that start
+   these windows go through digit after digit (DIGITS), most significant first: a suffix that is alone
+   after a digit leaves, the others are ordered by the next, up to WINDOW bytes. Anchors with more than
+   HOT occurrences are salted; windows that are alone in their part then meet by their own digest,
+   one row for each part.
 4. Repeated windows come back to their class as runs of starts, and spans are cut out of the text.
 
-Digests have 64 bits in each pass, 128 for whole texts. No group is collected whole: anchors are
-counted with map-side aggregation and joined (skewed partitions are split by adaptive execution),
+A digit is taken as its 64-bit digest; equal windows agree in three of them, equal texts in 128 bits.
+No group is collected whole: anchors are counted with map-side aggregation, the counts are written,
+and both sides of the join are exchanges, so that adaptive execution splits a hot anchor's rows;
 salted parts are bounded, and runs of one text are bounded by that text.
 
 Defined cases: a null text is the empty one; texts under WINDOW bytes keep all bytes; matches inside
@@ -32,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import text_slices
+from .base import stored, text_slices
 
 WINDOW, GRAM = 200, 64
+#: Bytes where a digit begins and ends.
+DIGITS = ((0, 64), (64, 128), (128, 200))
 #: Occurrences of an anchor that one task compares; bytes hashed at a time.
 HOT, CHUNK = 20_000, 1 << 21
 PLACES = np.uint64((1 << 24) - 1)
@@ -62,11 +67,33 @@ def grams(data: np.ndarray) -> np.ndarray:
     return _mixed(_powers(data, GRAM)[GRAM]) if len(data) >= GRAM else np.empty(0, np.uint64)
 
 
-def window_digests(data: np.ndarray) -> np.ndarray:
-    """Digest of each window that starts in data."""
-    p = _powers(data, 128)
-    n = len(data) - WINDOW + 1
-    return _mixed((p[128][:n] * np.uint64(0x94D049BB133111EB) + p[64][128 : 128 + n]) * np.uint64(0xA0761D6478BD642F) + p[8][192 : 192 + n])
+def digits_of(data: np.ndarray) -> list[np.ndarray]:
+    """Digests of the digits of each window that starts in data, one array for each of DIGITS."""
+    p, n = _powers(data, 64), len(data) - WINDOW + 1
+    return [p[64][a : a + n] if z - a == 64 else p[64][a : a + n] * np.uint64(0x94D049BB133111EB) + p[z - a - 64][a + 64 : a + 64 + n] for a, z in DIGITS]
+
+
+def window_digests(digits: list[np.ndarray]) -> np.ndarray:
+    h = digits[0]
+    for d in digits[1:]:
+        h = _mixed(h) * np.uint64(0xA0761D6478BD642F) + d
+    return _mixed(h)
+
+
+def equal_groups(digits: list[np.ndarray]) -> np.ndarray:
+    """The group of each suffix that equals another through all digits, -1 for the others. Most significant
+    digit first; what is alone after a digit takes no part in the next."""
+    group = np.zeros(len(digits[0]), np.int64)
+    left = np.arange(len(group))
+    for digit in digits:
+        order = np.lexsort((digit[left], group[left]))
+        ordered = left[order]
+        same = (group[ordered[1:]] == group[ordered[:-1]]) & (digit[ordered[1:]] == digit[ordered[:-1]])
+        group[ordered] = np.cumsum(np.r_[True, ~same][: len(ordered)])
+        left = ordered[np.r_[False, same][: len(ordered)] | np.r_[same, False][: len(ordered)]]
+    out = np.full(len(group), -1, np.int64)
+    out[left] = group[left]
+    return out
 
 
 def filed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -143,16 +170,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = np.searchsorted(wanted[order], place[mine] + offset[text[mine]])
                 found = np.minimum(found, len(wanted) - 1)
                 hit = wanted[order][found] == place[mine] + offset[text[mine]]
-                for i, split in zip(mine[hit], n_parts[order][found][hit], strict=True):
-                    begin = starts[text[i]] + first[i]
-                    out[0].append(int(digest[i : i + 1].view(np.int64)[0]))
-                    out[1].append((int(k1[r]) ^ int(place[i]) * 2654435761) % int(split) if split > 1 else 0)
-                    out[2].append(int(split))
-                    out[3].append(int(k1[r]))
-                    out[4].append(int(k2[r]))
-                    out[5].append(int(first[i] + offset[text[i]]))
-                    out[6].append(bool(copies[r] == 1))
-                    out[7].append(data[begin : starts[text[i]] + last[i] + WINDOW].tobytes())
+                mine, split = mine[hit], n_parts[order][found][hit]
+                at_start = starts[text[mine]]
+                spot = (int(k1[r]) & 0x7FFFFFFF) + place[mine] * 2654435761
+                columns = (digest[mine].view(np.int64), spot % split, split, np.full(len(mine), k1[r]), np.full(len(mine), k2[r]), first[mine] + offset[text[mine]], np.full(len(mine), copies[r] == 1))
+                for values, made in zip(out, columns, strict=False):
+                    values.append(made)
+                out[7] += [data[x:y].tobytes() for x, y in zip((at_start + first[mine]).tolist(), (at_start + last[mine] + WINDOW).tolist(), strict=True)]
+            if not out[0]:
+                continue
+            out[:7] = [np.concatenate(v) for v in out[:7]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["h", "part", "parts", "k1", "k2", "lo", "own", "context"])
 
@@ -198,13 +225,10 @@ def _equal(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         counts = np.diff(at) - WINDOW + 1
         row = np.repeat(np.arange(a, z), counts)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        digest = window_digests(data)[at[row - a] + shift]
-        order = np.argsort(digest, kind="stable")
-        ordered = digest[order]
-        same = ordered[1:] == ordered[:-1]
-        repeated = np.zeros(len(order), bool)
-        repeated[order[1:][same]] = True
-        repeated[order[:-1][same]] = True
+        digits = [d[at[row - a] + shift] for d in digits_of(data)]
+        digest = window_digests(digits)
+        group = equal_groups(digits)
+        repeated = group >= 0
         # Runs of repeated windows in rows that want an answer.
         wanted = repeated & own[row]
         edge = np.r_[True, (row[1:] != row[:-1]) | (wanted[1:] != wanted[:-1])] if len(row) else np.empty(0, bool)
@@ -215,8 +239,8 @@ def _equal(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         # Salted parts: windows that are alone here, and one mark for each digest that is not.
         salted = parts[row] > 1
         alone = np.flatnonzero(salted & ~repeated)
-        leaders = order[np.r_[True, ~same]] if len(order) else order
-        marks = leaders[salted[leaders] & repeated[leaders]]
+        some = np.flatnonzero(salted & repeated)
+        marks = some[np.unique(group[some], return_index=True)[1]]
         for some, asks in ((alone, own[row[alone]]), (marks, np.zeros(len(marks), bool))):
             out = [np.r_[x, y] for x, y in zip(out, [k1[row[some]], k2[row[some]], lo[row[some]] + shift[some], np.where(asks, lo[row[some]] + shift[some], -1), np.zeros(len(some), bool), digest[some].view(np.int64)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["k1", "k2", "lo", "hi", "known", "w"])
@@ -276,7 +300,7 @@ def removed_by_class(classes: DataFrame, with_text: bool = False) -> DataFrame:
     long = classes.where(F.octet_length("text") >= WINDOW)
     # All three readers of the texts take the same columns, so that one exchange serves them.
     anchors = long.select("k1", "k2", "text", "copies").mapInArrow(_anchors, "h long, k1 long, k2 long, p long")
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
     again = anchors.join(often, "h").select("k1", "k2", "p", F.ceil(F.col("n") / HOT).alias("parts"))
     by_text = again.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "parts")).alias("anchors"))
     contexts = long.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "copies", "anchors").mapInArrow(
