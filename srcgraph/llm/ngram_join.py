@@ -215,9 +215,10 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (h, part, n, f1, f2). Equal ones count once. A row stays if the set before or
-    behind it has a size near enough, which decides for all of its token; where a token has two sets
-    only, the token's place in them must leave room, too. Rows of a token in parts stay in any case.
-    Three rows are carried from batch to batch, however large a token's group is."""
+    behind it has a size near enough, which decides for all of its token. Where a token has two sets only
+    they are a pair at once, (g1, g2) being the other one, if the token's place leaves room in both. Rows
+    of a token in parts stay in any case. Three rows are carried from batch to batch, however large a
+    token's group is."""
     held: list[np.ndarray] | None = None
     open_from, more = 0, False  # the first row not written yet; whether its token had rows before those held
 
@@ -231,13 +232,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes[0] += 2
         size = np.repeat(sizes, np.diff(np.r_[begins, len(h)]))
         room = np.minimum(n[1:] - pos[1:], n[:-1] - pos[:-1]) >= needed(n[1:], n[:-1])
-        fits &= room | (size[1:] > 2)
-        keep = np.r_[False, fits] | np.r_[fits, False] | (part >= 0)
+        two = np.r_[False, fits & room] & (size == 2) & (part < 0)
+        keep = (np.r_[False, fits] | np.r_[fits, False]) & (size > 2) | (part >= 0) | two
         begin, full = int(begins[-1]), int(sizes[-1])
         stop = len(h) if last else begin if full <= 2 else len(h) - 1
         keep[:open_from] = keep[stop:] = False
         context = max(begin, stop - 1)
-        out = pa.RecordBatch.from_arrays([pa.array(rows[i][keep]) for i in (0, 2, 3, 4, 5)], names=["h", "n", "f1", "f2", "pos"])
+        others = [pa.array(np.r_[0, rows[i][:-1]][keep], mask=~two[keep]) for i in (3, 4)]
+        out = pa.RecordBatch.from_arrays([*(pa.array(rows[i][keep]) for i in (0, 2, 3, 4, 5)), *others], names=["h", "n", "f1", "f2", "pos", "g1", "g2"])
         return out, [c[context:] for c in rows], stop - context, full > 2
 
     for batch in batches:
@@ -347,14 +349,22 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BITS = [f"q{i}" for i in range(PARITY // 64)]
 
 
-def able(a: str, b: str) -> Column:
-    """Filters of the first order between the row structs a and b: sizes, the place of the shared token
-    (of a pair's first shared token it leaves room for the overlap that the pair needs), parity bits."""
+def _needed(a: str, b: str) -> Column:
+    return F.floor((F.lit(SIMILARITY) * (F.col(f"{a}.n") + F.col(f"{b}.n")) + (99 + SIMILARITY)) / (100 + SIMILARITY))
+
+
+def alike(a: str, b: str) -> Column:
+    """Filters by sizes and parity bits between the row structs a and b."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.floor((F.lit(SIMILARITY) * (na + nb) + (99 + SIMILARITY)) / (100 + SIMILARITY))
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in BITS))
-    room = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (F.lit(SIMILARITY) * F.greatest(na, nb) <= 100 * F.least(na, nb)) & (room >= need) & (differ <= na + nb - 2 * need)
+    return (F.lit(SIMILARITY) * F.greatest(na, nb) <= 100 * F.least(na, nb)) & (differ <= na + nb - 2 * _needed(a, b))
+
+
+def able(a: str, b: str) -> Column:
+    """The same, and the place of the shared token: of a pair's first shared token it leaves room for the
+    overlap that the pair needs."""
+    room = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    return (room >= _needed(a, b)) & alike(a, b)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -408,9 +418,9 @@ def _all_apart(apart: DataFrame) -> DataFrame:
     return _pairs(asking.join(asked, "h").where((F.col("x.c") != F.col("y.c")) & (F.col("main") | (F.col("x.id") < F.col("y.id"))) & able("x", "y")), "x", "y")
 
 
-def _linked(tokens: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """(id, component) of the sets that have a link. A pivot meets all others of its token and is done, so
-    tokens of two sets end with the first round."""
+def _linked(tokens: DataFrame, direct: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(id, component) of the sets that have a link. direct: pairs that join the first round. A pivot meets
+    all others of its token and is done."""
     links, joined, rows, last = None, None, tokens, False
     for turn in range(MOST_PIVOTS + 1):
         if turn:
@@ -425,6 +435,7 @@ def _linked(tokens: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], Da
             # Later rounds take the pivots from outside a token's largest component.
             beside = _beside_pivots(apart, apart.where("c <> big")) if turn else _beside_pivots(rows, rows)
             pairs = _pairs(beside.where(able("r", "p")), "r", "p")
+            pairs = pairs if turn else pairs.unionByName(direct).distinct()
             rows = beside.select("h", "r.*")
         pairs = stored(pairs, "pairs")
         found = _verified(pairs, sets, wholes)
@@ -446,15 +457,20 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
     named = texts.where("doc_id is not null")
     tokens = named.select("text").mapInArrow(_prefix_rows(sketch), "h long, part long, n long, f1 long, f2 long, pos long")
-    shared = stored(tokens.repartition("h", "part").sortWithinPartitions("h", "part", "n", "f1", "f2").mapInArrow(_shared, "h long, n long, f1 long, f2 long, pos long"), "shared")
-    ends = stored(shared.select(*KEYS).distinct().join(node, KEYS), "ends")
+    shared = stored(tokens.repartition("h", "part").sortWithinPartitions("h", "part", "n", "f1", "f2").mapInArrow(_shared, "h long, n long, f1 long, f2 long, pos long, g1 long, g2 long"), "shared")
+    twos = stored(shared.where("g1 is not null").select(*KEYS, "g1", "g2").distinct(), "twos")
+    several = shared.where("g1 is null")
+    keys = several.select(*KEYS).unionByName(twos.select(*KEYS)).unionByName(twos.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"))).distinct()
+    ends = stored(keys.join(node, KEYS), "ends")
     sets = stored(_sets(named, ends, sketch, _attributes, ATTRIBUTES), "sets")
-    known = stored(shared.drop("n").join(sets.select(*KEYS, "id", "n", *BITS), KEYS).select("h", *COLUMNS), "tokens")
+    known = stored(several.select("h", *KEYS, "pos").join(sets.select(*KEYS, "id", "n", *BITS), KEYS).select("h", *COLUMNS), "tokens")
+    side = lambda x, a, b: sets.select(F.col("f1").alias(a), F.col("f2").alias(b), F.struct("id", "n", *BITS).alias(x))
+    direct = _pairs(twos.join(side("x", "f1", "f2"), KEYS).join(side("y", "g1", "g2"), ["g1", "g2"]).where(alike("x", "y")), "x", "y")
+    joined = _linked(known, direct, sets, lambda wanted: _sets(named, wanted, sketch, _whole, "shingles binary"))
     dropped(shared)
-    joined = _linked(known, sets, lambda wanted: _sets(named, wanted, sketch, _whole, "shingles binary"))
     ids = node.join(joined, "id", "left").withColumn("__c", F.coalesce("component", "id"))
     labelled = rows.join(ids.select("f1", "f2", "__c"), ["f1", "f2"], "left")
-    for table in (ends, sets, known):
+    for table in (twos, ends, sets, known):
         dropped(table)
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("__c")).otherwise(F.col("doc_id")).alias("component_id"))
 
