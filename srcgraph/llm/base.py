@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one slice of an Arrow batch; a single longer text still comes whole.
-SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+SLICE_ROWS, SLICE_BYTES, ARROW_ROWS = 512, 8 << 20, 1024
 ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -27,13 +29,17 @@ ARROW = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary one serves a local
+    master only: on a cluster, other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it again: lineage ends here, and a
     lost executor costs nothing that was computed before."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,8 +85,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLIC
 
 
 def released() -> None:
-    """At a task's end: Python workers live on, so Arrow's free memory goes back to the system."""
+    """At a task's end: Python workers live on, so free memory goes back to the system."""
     pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of ARROW_ROWS at most: both sides hold whole batches in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def value_type(df: DataFrame, column: str) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from .base import map_texts
 
 #: Symbols emitted per window of a long word, words kept in the table, characters read at a time.
-WINDOW, WORDS_KEPT, PIECE = 4096, 600_000, 1 << 16
+WINDOW, WORDS_KEPT, PIECE = 4096, 150_000, 1 << 16
 # Unicode's White_Space characters (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
