@@ -76,7 +76,7 @@ def first_sentence(text: Column, most: int = 120) -> Column:
 def field_predicate(field: Column, op: str, value: str) -> Column:
     """One (field, operator, text) condition: ~ contains and = compare text without case, the
     others compare numbers; text that is no number compares false."""
-    text, number = F.lower(F.coalesce(field.cast("string"), F.lit(""))), F.expr(f"try_cast('{value}' AS DOUBLE)" if "'" not in value else "CAST(NULL AS DOUBLE)")
+    text, number = F.lower(F.coalesce(field.cast("string"), F.lit(""))), F.lit(value).try_cast("double")
     own = field.try_cast("double")
     made = {
         "~": lambda: F.contains(text, F.lit(value.lower())),

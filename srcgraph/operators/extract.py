@@ -1,74 +1,106 @@
-"""Symbols and call sites from source text, line by line, with Spark's own regular expressions.
+"""Symbols and call sites from source texts, and the questions that are asked of them.
 
-One rule for each language finds declarations; calls are identifiers before an opening parenthesis;
-each call belongs to the last declaration at or before its line. Bodies end where the next
-declaration begins. Nothing here parses whole files: the rules are data, and the engine runs them.
+Facts of a text come from srcgraph.functions.scan, one row's text at a time in Arrow batches; what joins
+texts with each other (known names, receivers, callers, dead code) is relational. A text is one row, so
+its facts are bounded by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcgraph.functions import scan
 from srcgraph.functions import text as T
 
-# Declaration patterns by language: group 1 is the kind's word, group 2 the name (fixed values).
-DECLARATIONS = {
-    "python": r"^\s*(def|class)\s+([A-Za-z_]\w*)",
-    "csharp": r"^\s*(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|abstract|partial)\s+)+(class|interface|struct|enum|record|[\w<>\[\],.?]+)\s+([A-Za-z_]\w*)\s*(?:[({:]|$)",
-    "vbnet": r"(?i)^\s*(?:(?:public|private|protected|friend|shared|overrides|overridable)\s+)*(class|module|structure|interface|enum|sub|function|property|event)\s+([A-Za-z_]\w*)",
-    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class)\s*\*?\s*([A-Za-z_$][\w$]*)",
-    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum)\s*\*?\s*([A-Za-z_$][\w$]*)",
-}
-TYPE_WORDS = ("class", "interface", "struct", "structure", "enum", "record", "module", "type")
-# Words before a parenthesis that are no calls (fixed values).
-NO_CALLS = tuple("if for foreach while switch catch return using lock nameof typeof sizeof def class function new and or not in elif print".split())
-CALL = r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\("
+_KINDS = {"string": pa.string(), "int": pa.int32()}
+SYMBOL = "name string, qualified string, kind string, container string, line int, end_line int, pmin int, pmax int, pflags int"
+SITE = "callee string, line int, recv string, recv_kind int, argc int, caller string, caller_line int, caller_container string"
 
 
 def lines(files: DataFrame) -> DataFrame:
     return files.select("path", "language", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "text")).select("path", "language", (F.col("pos") + 1).alias("line"), "text")
 
 
+def _facts(files: DataFrame, schema: str, of: Callable[[scan.Source], list[tuple]]) -> DataFrame:
+    names, kinds = zip(*(part.split() for part in schema.split(", ")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (language, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                rows = of(scan.Source(text or "", language or ""))
+                if rows:
+                    at = pa.array([i] * len(rows))
+                    made = [pa.array(v, _KINDS[k]) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], names=["path", "language", *names])
+
+    return files.select("path", "language", "text").mapInArrow(run, f"path string, language string, {schema}")
+
+
 def symbols(files: DataFrame) -> DataFrame:
-    """(path, language, name, kind, line, end_line, is_test, generated, name_l)."""
-    kind, name = F.lit(""), F.lit("")
-    for language, pattern in DECLARATIONS.items():
-        here = F.col("language") == language
-        kind, name = F.when(here, F.lower(F.regexp_extract("text", pattern, 1))).otherwise(kind), F.when(here, F.regexp_extract("text", pattern, 2)).otherwise(name)
-    found = lines(files).select("path", "language", "line", kind.alias("word"), name.alias("name")).where("name <> ''")
-    sizes = files.select("path", F.size(F.split("text", r"\r?\n")).alias("n_lines"))
-    following = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
-    kinds = F.when(F.col("word").isin(*TYPE_WORDS), F.col("word")).otherwise("method")
-    return found.join(sizes, "path").select(
-        "path", "language", "name", kinds.alias("kind"), "line", F.coalesce(following - 1, "n_lines").alias("end_line"),
-        T.is_test_path(F.col("path")).alias("is_test"), T.is_generated_path(F.col("path")).alias("generated"), F.lower("name").alias("name_l"),
-    )
+    """Declarations of (path, language, text): names, kinds, containers, extents (end_line 0: unknown) and
+    parameter counts (-1: unknown), as resolve.candidates takes them."""
+    found = _facts(files, SYMBOL, lambda source: source.symbols)
+    path = F.col("path")
+    return found.select("*", T.is_test_path(path).alias("is_test"), T.is_generated_path(path).alias("generated"), F.lower("name").alias("name_l"), F.xxhash64("path", "line", "name").alias("sym_seq"), (~F.col("kind").isin("method", "function")).alias("not_logic"))
 
 
 def call_sites(files: DataFrame, defined: DataFrame) -> DataFrame:
-    """(path, line, callee, caller, caller_line, is_test) of calls to known names; a name on its own
-    declaration line is no call."""
-    every = lines(files).select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("callee")).where(~F.lower("callee").isin(*NO_CALLS))
-    names = defined.select("name_l").distinct()
-    calls = every.withColumn("name_l", F.lower("callee")).join(names, "name_l", "left_semi")
-    marks = defined.select("path", "line", F.lit(None).cast("string").alias("callee"), F.lit(None).cast("string").alias("name_l"), F.struct("name", "line").alias("d"))
-    both = calls.select("path", "line", "callee", "name_l", F.lit(None).cast(marks.schema["d"].dataType).alias("d")).unionByName(marks)
-    w = Window.partitionBy("path").orderBy("line", F.col("callee").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("in", F.last("d", ignorenulls=True).over(w)).where("callee is not null")
-    own = (F.col("in.line") == F.col("line")) & (F.lower("in.name") == F.col("name_l"))
-    return placed.where(~F.coalesce(own, F.lit(False))).select(
-        "path", "line", "callee", F.col("in.name").alias("caller"), F.col("in.line").alias("caller_line"), T.is_test_path(F.col("path")).alias("is_test"), F.col("name_l").alias("callee_l")
-    )
+    """Calls of known names, with receivers and argument counts, as resolve.candidates takes them. A
+    declaration's own name is no call; the caller is the innermost declaration around the call."""
+    found = _facts(files, SITE, lambda source: source.calls()).withColumn("callee_l", F.lower("callee"))
+    known = found.join(defined.select(F.col("name_l").alias("callee_l")).distinct(), "callee_l", "left_semi")
+    return known.select(
+        F.xxhash64("path", "line", "callee", "recv", "argc", "caller").alias("site_seq"), "callee", "callee_l", "line", "recv", "recv_kind", "argc", "caller", "caller_line", "caller_container",
+        F.col("path").alias("caller_path"), F.lit(None).cast("string").alias("recv_type"), F.lit(False).alias("verified"), T.is_test_path(F.col("path")).alias("caller_is_test"),
+    )
 
 
 def callers(sites: DataFrame, name: str) -> DataFrame:
     """Who calls a name: one row for each calling declaration with its lines."""
     hits = sites.where(F.col("callee_l") == name.lower())
-    return hits.groupBy("path", "caller", "caller_line").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.max("is_test").alias("is_test")).orderBy("is_test", "path", "caller_line")
+    return hits.groupBy(F.col("caller_path").alias("path"), "caller", "caller_line").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.max("caller_is_test").alias("is_test")).orderBy("is_test", "path", "caller_line")
 
 
 def dead(defined: DataFrame, sites: DataFrame) -> DataFrame:
-    """Production methods that nothing calls."""
-    live = defined.where("kind = 'method' and not is_test and not generated")
+    """Production methods and functions that nothing calls."""
+    live = defined.where("kind in ('method', 'function') and not is_test and not generated")
     return live.join(sites.select(F.col("callee_l").alias("name_l")).distinct(), "name_l", "left_anti").select("path", "name", "line")
+
+
+def bodies(defined: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, name, line, first_line, last_line, body): the extent where it is known, else up to the next
+    declaration; comment, attribute and decorator lines right above belong to it."""
+    sizes = files.select("path", F.split("text", r"\r?\n").alias("all_lines"))
+    following = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
+    spans = defined.select("path", "name", "line", "end_line", (following - 1).alias("before_next")).join(sizes, "path")
+    last = F.greatest(F.least(F.when(F.col("end_line") > 0, F.col("end_line")).otherwise(F.coalesce("before_next", F.size("all_lines"))), F.size("all_lines")), F.col("line"))
+    above = F.reverse(F.slice("all_lines", 1, F.col("line") - 1))
+    # The number of leading lines above that are comments, attributes or decorators.
+    prefix = F.aggregate(above, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a.n + F.when(a.on & x.rlike(_ABOVE), 1).otherwise(0)).alias("n"), (a.on & x.rlike(_ABOVE)).alias("on")))
+    made = spans.withColumns({"first_line": F.col("line") - prefix["n"], "last_line": last})
+    body = F.array_join(F.slice("all_lines", F.col("first_line"), F.col("last_line") - F.col("first_line") + 1), "\n")
+    return made.select("path", "name", "line", "first_line", "last_line", body.alias("body"))
+
+
+#: Lines above a declaration that belong to it (fixed values).
+_ABOVE = r"^\s*(///|//|'|#|\*|/\*|\[|@|<[A-Za-z])"
+
+
+def at_line(defined: DataFrame, places: DataFrame) -> DataFrame:
+    """The innermost declaration with a known extent around each (path, at)."""
+    spans = defined.where("end_line > 0").select("path", "name", "kind", "line", "end_line")
+    inside = places.join(spans, "path").where(F.col("at").between(F.col("line"), F.col("end_line")))
+    return inside.groupBy("path", "at").agg(F.max_by(F.struct("name", "kind", "line", "end_line"), F.struct("line", -F.col("end_line"))).alias("s")).select("path", "at", "s.*")
+
+
+def comment_markers(files: DataFrame, most: int = 8, width: int = 120) -> DataFrame:
+    """(path, line, marker, excerpt): the first marker of each line, distinct by text, the first of a file."""
+    marker = F.regexp_extract("text", rf"(?i)\b({T.COMMENT_MARKERS})\b", 1)
+    found = lines(files).withColumn("marker", F.upper(marker)).where("marker <> ''").select("path", "line", "marker", F.substring(F.trim("text"), 1, width).alias("excerpt"))
+    once = found.groupBy("path", "excerpt").agg(F.min("line").alias("line"), F.min_by("marker", "line").alias("marker"))
+    ranked = once.withColumn("__r", F.row_number().over(Window.partitionBy("path").orderBy("line", "excerpt")))
+    return ranked.where(F.col("__r") <= most).select("path", "line", "marker", "excerpt")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from srcgraph.functions import text as T
+
 
 def find_lines(docs: DataFrame, key: str, text: str, pattern: str, excerpt: int = 160) -> DataFrame:
     """Lines that match, with their number, hits and an excerpt. Texts without a hit are left out
@@ -68,3 +70,49 @@ def within_budget(ranked: DataFrame, key: str, score: str, size: str, budget: in
         after = F.col("s").isNull() & behind if last["s"] is None else F.col("s").isNull() | (F.col("s") < F.lit(last["s"])) | ((F.col("s") == F.lit(last["s"])) & behind)
     schema = StructType([StructField("place", IntegerType()), StructField(key, ranked.schema[key].dataType)])
     return ranked.sparkSession.createDataFrame(list(enumerate(taken)), schema)
+
+
+def spoken(text: Column) -> Column:
+    """Lower-case words of letters; a lower letter or digit before a capital ends a word."""
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " "), F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
+
+
+def brief(symbols: DataFrame, files: DataFrame, docs: DataFrame, ranks: DataFrame, question: str, stop: Sequence[str] = ()) -> DataFrame:
+    """Production methods and functions with the score that a question of some words gives them:
+    (path, name, line, name_score, rel, bm25, score), those that nothing speaks for left out.
+
+    symbols: name, path, line, kind, is_test, generated, sym_seq; files: path, text; docs: sym_seq, doc (one line
+    on a symbol); ranks: node (lower-case name), freq, rank. A term weighs less, the more files hold it."""
+    terms = [t for t in dict.fromkeys(question.lower().split()) if len(t) > 1 and t not in stop]
+    counts = ident_freq_by(files, "path", "text")
+    hits = None
+    for term in terms:
+        own = counts.where(T.matches(F.col("ident"), term)).select("path", "n", F.lit(term).alias("term"))
+        hits = own if hits is None else hits.unionByName(own)
+    per_file = hits.groupBy("term", "path").agg(F.sum("n").alias("n"))
+    weights = per_file.groupBy("term").agg((F.lit(1.0) / (1 + F.log1p(F.count(F.lit(1))))).alias("weight"))
+    relevant = per_file.join(F.broadcast(weights), "term").groupBy("path").agg(F.sum(F.col("n") * F.col("weight")).alias("rel"))  # weights: a row for each term
+    top = relevant.agg(F.max("rel").alias("most"))
+    relevant = relevant.crossJoin(F.broadcast(top)).select("path", (F.col("rel") / F.col("most")).alias("rel"))  # top: one row
+    pool = symbols.where("kind in ('method', 'function') and not is_test and not generated").select("sym_seq", "name", "path", "line")
+    named = F.lit(0.0)
+    by_term = weights.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))  # one row
+    for term in terms:
+        exact = F.when(T.collapsed(F.col("name")) == term, 3.0).otherwise(1.0)
+        named = named + F.when(T.matches(F.col("name"), term), exact * F.coalesce(F.col("w")[term], F.lit(1.0))).otherwise(0.0)
+    texts = pool.join(docs, "sym_seq", "left").select("sym_seq", F.concat_ws(" ", F.array_join(spoken(F.col("name")), " "), F.array_join(spoken(F.coalesce("doc", F.lit(""))), " ")).alias("said"))
+    okapi = bm25(texts, "sym_seq", "said", terms)
+    best = okapi.agg(F.max("score").alias("most"))
+    okapi = okapi.crossJoin(F.broadcast(best)).select("sym_seq", (F.col("score") / F.col("most")).alias("bm25"))  # best: one row
+    strongest = ranks.agg(F.max("rank").alias("most"))
+    ranked = ranks.crossJoin(F.broadcast(strongest)).select("node", F.least("freq", F.lit(300)).alias("freq"), (F.col("rank") / F.col("most")).alias("pr"))  # one row
+    joined = pool.crossJoin(F.broadcast(by_term)).join(relevant, "path", "left").join(okapi, "sym_seq", "left").join(ranked, F.lower("name") == F.col("node"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    scored = joined.select("sym_seq", "path", "name", "line", named.alias("name_score"), zero("rel").alias("rel"), zero("bm25").alias("bm25"), zero("freq").alias("freq"), zero("pr").alias("pr"))
+    kept = scored.where("name_score > 0 or rel >= 0.5 or bm25 > 0")
+    score = 100 * F.col("name_score") + 40 * F.col("rel") + 35 * F.col("bm25") + 0.05 * F.col("freq") + 30 * F.col("pr")
+    return kept.select("sym_seq", "path", "name", "line", "name_score", "rel", "bm25", score.alias("score"))
+
+
+def ident_freq_by(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return identifiers(docs, key, text).groupBy(key, "ident").agg(F.count(F.lit(1)).alias("n"))

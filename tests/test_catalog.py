@@ -4,6 +4,7 @@ import oracle
 import pytest
 from conftest import SF
 
+from srcgraph.jobs import code  # noqa: F401
 from srcgraph.jobs.catalog import ORACLE_SQL, QUERIES
 
 

@@ -4,30 +4,111 @@ from srcgraph.operators import extract as X
 from srcgraph.sources import tree
 from srcgraph.streaming import ingest
 
-CS = """namespace Shop {
-public class OrderService {
-    public decimal Total(int n) {
-        return Add(n, 1);
+CS = """namespace Post {
+public class Sorter : Machine {
+    private readonly Belt belt;
+    public int Speed { get; set; }
+    public Sorter(Belt b) { belt = b; }
+    /// <summary>Moves parcels.</summary>
+    [Fast]
+    public int Move(int n, params int[] rest) {
+        // Stamp(1, 2)
+        var s = "Stamp(3)";
+        belt.Feed(x => { Stamp(1, 2); }, new Dictionary<string, int>());
+        return this.Stamp(n, 1) + Load().Stamp (
+            2);
     }
-    private int Add(int a, int b) { return a + b; }
-    public void Lonely() { }
+    private int Stamp(int a, int b = 2) { return a + b; }
+    public static int Grow(this int x) => x + 1;
+    int Load() { return 0; }
 }
 }
 """
-PY = "class Cart:\n    def add(self, item):\n        return item\n\ndef test_it():\n    Cart().add(1)\n"
+PY = "class Tray:\n    async def put(self, item):\n        self.check(item)\n\n    def check(self, item):\n        return item\n\ndef test_it():\n    Tray().put(*args)\n"
+VB = "Public Class Desk\n    Public Sub Open(ByVal x As Integer, Optional y As Integer = 1)\n        Me.Close(x) ' Open(1)\n    End Sub\n    Function Close(a) As Integer\n    End Function\nEnd Class\n"
+TS = "export class Slip extends Note {\n  fold(a: number, b?: string) {\n    return this.tear(...a);\n  }\n}\nexport const cut = async (x, y) => {\n  new Slip().fold(x);\n};\n"
 
 
 def files(spark):
-    return spark.createDataFrame([("src/OrderService.cs", "csharp", CS), ("tests/test_cart.py", "python", PY), ("e.py", "python", "")], "path string, language string, text string")
+    rows = [("src/Sorter.cs", "csharp", CS), ("tests/test_tray.py", "python", PY), ("Desk.vb", "vbnet", VB), ("slip.ts", "typescript", TS), ("e.py", "python", ""), ("n.cs", "csharp", None), ("x.md", "markdown", "f(1)")]
+    return spark.createDataFrame(rows, "path string, language string, text string")
 
 
-def test_callers_of_a_small_service(spark):
+def test_symbols_have_extents_containers_and_arity(spark):
+    got = {(r["path"], r["qualified"]): (r["kind"], r["line"], r["end_line"], r["pmin"], r["pmax"], r["pflags"]) for r in X.symbols(files(spark)).collect()}
+    assert got["src/Sorter.cs", "Sorter"] == ("class", 2, 18, -1, -1, 0)
+    assert got["src/Sorter.cs", "Sorter.Speed"] == ("property", 4, 4, -1, -1, 0)
+    assert got["src/Sorter.cs", "Sorter.Move"] == ("method", 8, 14, 1, 99, 0)
+    assert got["src/Sorter.cs", "Sorter.Stamp"] == ("method", 15, 15, 1, 2, 0)
+    assert got["src/Sorter.cs", "Sorter.Grow"] == ("method", 16, 0, 1, 1, 1)
+    assert got["src/Sorter.cs", "Sorter.Load"] == ("method", 17, 17, 0, 0, 0)
+    assert got["tests/test_tray.py", "Tray"] == ("class", 1, 6, -1, -1, 0) and got["tests/test_tray.py", "Tray.put"][:3] == ("method", 2, 3)
+    assert got["Desk.vb", "Desk.Open"] == ("method", 2, 4, 1, 2, 0) and got["Desk.vb", "Desk.Close"] == ("method", 5, 6, 1, 1, 0)
+    assert got["slip.ts", "Slip.fold"] == ("method", 2, 4, 1, 2, 0) and got["slip.ts", "cut"] == ("function", 6, 8, 2, 2, 0)
+
+
+def test_sites_have_receivers_and_counts(spark):
     defined = X.symbols(files(spark))
-    assert {r["name"] for r in defined.where("language = 'csharp'").collect()} == {"OrderService", "Total", "Add", "Lonely"}
     sites = X.call_sites(files(spark), defined)
-    assert [(r["caller"], r["lines"]) for r in X.callers(sites.where("path like '%.cs'"), "Add").collect()] == [("Total", [4])]
-    assert {r["name"] for r in X.dead(defined, sites).collect()} == {"Total", "Lonely"}
-    assert {r["name"]: r["end_line"] for r in defined.where("language = 'python'").collect()} == {"Cart": 1, "add": 4, "test_it": 7}
+    got = sorted(((r["callee"], r["line"], r["recv"], r["recv_kind"], r["argc"], r["caller"]) for r in sites.where("caller_path = 'src/Sorter.cs'").collect()), key=str)
+    assert got == sorted([("Stamp", 11, None, 0, 2, "Move"), ("Stamp", 12, "this", 3, 2, "Move"), ("Load", 12, None, 0, 0, "Move"), ("Stamp", 12, None, 1, 1, "Move")], key=str)
+    others = {(r["callee"], r["recv"], r["recv_kind"], r["argc"], r["caller_container"]) for r in sites.where("caller_path <> 'src/Sorter.cs'").collect()}
+    assert others == {("check", "self", 3, 1, "Tray"), ("Tray", None, 0, 0, None), ("put", None, 1, -1, None), ("Close", "Me", 3, 1, "Desk"), ("Slip", None, 4, 0, None), ("fold", None, 1, 1, None)}
+    assert [(r["caller"], r["lines"]) for r in X.callers(sites, "stamp").collect()] == [("Move", [11, 12, 12])]
+    assert {r["name"] for r in X.dead(defined, sites).where("path = 'src/Sorter.cs'").collect()} == {"Sorter", "Move", "Grow"}
+
+
+def test_bodies_and_markers(spark):
+    rows = {(r["path"], r["name"]): r for r in X.bodies(X.symbols(files(spark)), files(spark)).collect()}
+    move = rows["src/Sorter.cs", "Move"]
+    assert (move["first_line"], move["last_line"]) == (6, 14) and move["body"].startswith("    /// <summary>") and move["body"].endswith("    }")
+    assert rows["src/Sorter.cs", "Grow"]["last_line"] == 16
+    marks = spark.createDataFrame([("a.py", "python", "# todo: x\ny = 1\n# FIXME and TODO\n# todo: x\nTODOS")], "path string, language string, text string")
+    assert [(r["line"], r["marker"], r["excerpt"]) for r in X.comment_markers(marks).orderBy("line").collect()] == [(1, "TODO", "# todo: x"), (3, "FIXME", "# FIXME and TODO")]
+
+
+def test_argument_counting_is_linear():
+    import time
+
+    from srcgraph.functions import scan
+
+    def seconds(n):
+        began = time.perf_counter()
+        scan.groups("f(a, g(b, [c, d]), {e: 1});\n" * n)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 12 * max(seconds(5_000), 1e-3)
+    assert scan.groups("f(a<b, c)")[1][1] == -1 and scan.groups("f(List<int, int> x, y)")[1][1] == 2 and 1 not in scan.groups("f(a, b")
+
+
+def test_filter_texts(spark):
+    from srcgraph.functions import ask
+
+    assert ask.parse('edges tier>=strong caller~"a b"') == ("edges", [("tier", ">=", "strong"), ("caller", "~", "a b")])
+    assert ask.parse("kind=method") == ("symbols", [("kind", "=", "method")])
+    for wrong in ("", "name", "nope=1", 'name="x', "edges callers>1"):
+        try:
+            ask.parse(wrong)
+            raise AssertionError(wrong)
+        except ask.FilterError:
+            pass
+    rows = spark.createDataFrame([("Save", 10, True, 0.5), ("load", 9, False, 1.5), (None, None, None, None)], "name string, line int, is_test boolean, pagerank double")
+    names = lambda text: sorted(str(r["name"]) for r in rows.where(ask.filtered(text)[1]).collect())
+    assert names("name~AV") == ["Save"] and names("line>9") == ["Save"] and names("line=9") == ["load"] and names("is_test=yes") == ["Save"]
+    assert names("is_test!=true") == ["None", "load"] and names("pagerank>=x") == [] and names("name>1") == [] and names("line=x") == [] and names("name=save\\\\") == []
+
+
+def test_frames_meet_symbols(spark):
+    from srcgraph.operators import frames
+
+    raw = ["   at Post.Sorter.Move(Int32 n) in C:\\src\\Sorter.cs:line 9", "   at Post.Sorter.Stamp(Int32 a) in C:\\src\\Sorter.cs:line 99", "   at System.Linq.Enumerable.Sum()", "   at Post.Other.Gone()", '  File "lib/site-packages/x.py", line 7, in run']
+    rows = spark.createDataFrame([(1, i, r) for i, r in enumerate(raw)], "trace_id int, line_no int, raw string")
+    got = frames.resolve_frames(tree.stack_frames(rows), X.symbols(files(spark))).orderBy("line_no").collect()
+    assert [(r["status"], r["line"], r["drift"]) for r in got] == [("project", 8, False), ("project", 15, True), ("external", None, False), ("unresolved", None, False), ("external", None, False)]
+    calls = spark.createDataFrame([("Sorter.Move", "Post.Sorter.Stamp", 3), ("lambda", "put", 1), ("Move", "Nowhere.at", 2)], "caller string, callee string, count long")
+    sites = {(r["caller"], r["callee"], r["line"], r["hits"], r["verified"]) for r in frames.runtime_sites(calls, X.symbols(files(spark))).collect()}
+    assert sites == {("Move", "Stamp", 8, 3, True), (None, "put", 2, 1, True)}
 
 
 def test_tree_keeps_underscores_and_skips_ignored(spark, tmp_path):
