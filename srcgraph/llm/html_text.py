@@ -48,7 +48,7 @@ BORDERS = frozenset("table td th caption button object html".split())
 #: Deeper elements become siblings, as in browsers.
 DEEPEST = 300
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -145,8 +145,19 @@ def visible(node: Node) -> bool:
     found = attributes(node)
     if "hidden" in found or node.tag == "dialog" and "open" not in found or node.tag == "input" and found.get("type", "").lower() == "hidden":
         return False
-    style = SPACE.sub("", found.get("style", "").lower())
-    return not re.search(r"(?:^|;)(?:display:none|visibility:(?:hidden|collapse))", style)
+    return not re.search(r"(?:^|;)display:none", style_of(found))
+
+
+def style_of(found: dict[str, str]) -> str:
+    return SPACE.sub("", found.get("style", "").lower())
+
+
+def shown(node: Node, inherited: bool) -> bool:
+    """Whether text right inside node shows: visibility passes down until an element sets it anew."""
+    if not node.attributes or "visibility" not in node.attributes.lower():
+        return inherited
+    found = re.findall(r"(?:^|;)visibility:(visible|hidden|collapse)", style_of(attributes(node)))
+    return found[-1] == "visible" if found else inherited
 
 
 class Page:
@@ -195,73 +206,81 @@ class Page:
         return "\n".join(self.lines)
 
 
-def cell_text(node: Node) -> str:
-    return SPACE.sub(" ", " ".join(render(node).split("\n"))).strip(" ")
+def cell_text(node: Node, inherited: bool) -> str:
+    return SPACE.sub(" ", " ".join(render(node, shown(node, inherited)).split("\n"))).strip(" ")
 
 
-def span(node: Node) -> int:
-    value = attributes(node).get("colspan", "") if "colspan" in node.attributes.lower() else ""
+def span(node: Node, name: str = "colspan") -> int:
+    value = attributes(node).get(name, "") if name in node.attributes.lower() else ""
     return min(1000, max(1, int(value))) if value.isdecimal() and value.isascii() and len(value) < 6 else 1
 
 
-def table_lines(table: Node) -> list[str]:
-    """Captions and stray text first, then rows with padded columns; a cell that spans columns is
-    not counted for their widths."""
+def table_lines(table: Node, inherited: bool) -> list[str]:
+    """Captions and stray text first, then rows with padded columns. A cell that spans columns is not
+    counted for their widths; one that spans rows keeps its columns blank in the rows below."""
     lead: list[str] = []
-    rows: list[list[tuple[str, int]]] = []
-    todo: list[Node | str] = list(reversed(table.children))
+    rows: list[list[tuple[int, str, int]]] = []  # (column, text, columns)
+    taken: dict[int, int] = {}  # rows for which a column is still taken from above
+    todo: list[tuple[Node | str, bool]] = [(child, inherited) for child in reversed(table.children)]
     while todo:
-        node = todo.pop()
+        node, seen = todo.pop()
         if isinstance(node, str):
-            if node.strip():
+            if seen and node.strip():
                 lead.append(SPACE.sub(" ", node).strip(" "))
         elif not visible(node):
             continue
         elif node.tag in ("tbody", "thead", "tfoot"):
-            todo.extend(reversed(node.children))
+            todo.extend((child, shown(node, seen)) for child in reversed(node.children))
         elif node.tag == "tr":
-            row = []
+            seen, row, at, below = shown(node, seen), [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
             for cell in node.children:
-                if isinstance(cell, str):
-                    if cell.strip():
-                        row.append((SPACE.sub(" ", cell).strip(" "), 1))
-                elif visible(cell):
-                    row.append((cell_text(cell), span(cell)))
+                if isinstance(cell, str) and not (seen and cell.strip()) or not isinstance(cell, str) and not visible(cell):
+                    continue
+                while at in taken:
+                    at += 1
+                value, wide = (SPACE.sub(" ", cell).strip(" "), 1) if isinstance(cell, str) else (cell_text(cell, seen), span(cell))
+                row.append((at, value, wide))
+                deep = 1 if isinstance(cell, str) else span(cell, "rowspan")
+                if deep > 1:
+                    below.update((c, deep - 1) for c in range(at, at + wide))
+                at += wide
             rows.append(row)
-        elif node.tag not in ("col", "colgroup") and (value := cell_text(node)):
+            taken = below
+        elif node.tag not in ("col", "colgroup") and (value := cell_text(node, seen)):
             lead.append(value)
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for value, n in row:
+        for at, value, n in row:
             if n == 1:
                 widths[at] = max(widths.get(at, 0), len(value))
-            at += n
     lines = lead
     for row in rows:
-        at, parts = 0, []
-        for value, n in row:
+        parts, column = [], 0
+        for at, value, n in row:
+            parts += ["".ljust(widths.get(c, 0)) for c in range(column, at)]
             parts.append(value.ljust(sum(widths.get(at + i, 0) for i in range(n)) + 3 * (n - 1)))
-            at += n
+            column = at + n
         if line := " | ".join(parts).rstrip(" |"):
             lines.append(line)
     return lines
 
 
-def render(root: Node) -> str:
+def render(root: Node, seen: bool = True) -> str:
     page = Page()
-    # (node, entering?, preformatted?, list depth)
-    todo: list[tuple] = [(child, True, False) for child in reversed(root.children)]
+    # (node, entering?, preformatted?, shown?)
+    todo: list[tuple] = [(child, True, False, seen) for child in reversed(root.children)]
     lists: list[list] = []
     while todo:
-        node, entering, pre = todo.pop()
+        node, entering, pre, seen = todo.pop()
         if isinstance(node, str):
-            (page.preformatted if pre else page.words)(node)
+            if seen:
+                (page.preformatted if pre else page.words)(node)
             continue
         tag = node.tag
         if entering:
             if not visible(node):
                 continue
+            seen = shown(node, seen)
             if tag == "br":
                 page.end_line()
                 continue
@@ -270,7 +289,7 @@ def render(root: Node) -> str:
                 if tag in APART and not (tag in ("ul", "ol", "menu") and lists):
                     page.gap = True
             if tag == "table":
-                for line in table_lines(node):
+                for line in table_lines(node, seen):
                     page.line.append(line)
                     page.end_line()
                 page.gap = True
@@ -281,6 +300,9 @@ def render(root: Node) -> str:
                 page.indent += 2 if tag != "ol" else 3
             elif tag == "li":
                 ordered = lists and lists[-1][0]
+                own = attributes(node).get("value", "") if ordered and node.attributes else ""
+                if re.fullmatch(r"-?[0-9]{1,9}", own):
+                    lists[-1][1] = int(own)
                 page.mark = f"{lists[-1][1]}. " if ordered else "- "
                 if ordered:
                     lists[-1][1] += 1
@@ -288,9 +310,9 @@ def render(root: Node) -> str:
                 page.indent += 2
             elif tag in ("td", "th"):
                 page.words(" ")
-            todo.append((node, False, pre))
+            todo.append((node, False, pre, seen))
             inside = pre or tag in ("pre", "textarea", "xmp")
-            todo.extend((child, True, inside) for child in reversed(node.children))
+            todo.extend((child, True, inside, seen) for child in reversed(node.children))
             continue
         if tag in BLOCK:
             page.end_line()

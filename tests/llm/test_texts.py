@@ -170,6 +170,14 @@ CASES = {
     "<dl><dt>k<dd>v<dt>l<dd>w</dl>": "k\n  v\nl\n  w",
     "<select><option>a<option>b</select>": "a\nb",
     "<blockquote>q</blockquote>r": "  q\n\nr",
+    "a<!-->b<p>c": "ab\n\nc",
+    "a<!--->b": "ab",
+    "a<!-- x --!>b<p>c": "ab\n\nc",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>": "yes",
+    "<div style='display:none'>no<b style='visibility:visible'>no</b></div>x": "x",
+    "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>": " | yes",
+    "<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>": "aa | b\n   | c\nd  | e",
+    "<ol><li value=7>x<li>y</ol>": "7. x\n8. y",
 }
 
 
