@@ -37,4 +37,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if new_state == state:
             break
         state = new_state
+    else:
+        raise RuntimeError(f"components are not joined after {MOST_ROUNDS} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
