@@ -537,10 +537,13 @@ def dominant_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, raw_tokens, summary_tokens, round(CAST(raw_tokens AS DOUBLE) / summary_tokens, 2) AS ratio FROM (
-    SELECT doc_id, greatest(1, CAST(round_even(length(text) / 4.0, 0) AS BIGINT)) AS raw_tokens, greatest(1, CAST(round_even(length(left(text, 200)) / 4.0, 0) AS BIGINT)) AS summary_tokens FROM documents)"""
+    SELECT doc_id, greatest(1, CAST(round_even(length(text) / 4.0, 0) AS BIGINT)) AS raw_tokens, greatest(1, CAST(round_even(least(length(s), 120) / 4.0, 0) AS BIGINT)) AS summary_tokens FROM (
+    SELECT doc_id, text, CASE WHEN regexp_extract(c, '^(.*?[.!?])(?: |$)', 1) <> '' THEN regexp_extract(c, '^(.*?[.!?])(?: |$)', 1) ELSE c END AS s
+    FROM (SELECT doc_id, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS c FROM documents)))"""
 )
 def show_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("raw_tokens"), T.token_estimate(F.substring("text", 1, 200)).alias("summary_tokens"))
+    """How much shorter a text's one-line summary is."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("raw_tokens"), T.token_estimate(T.first_sentence(F.col("text"))).alias("summary_tokens"))
     return sized.withColumn("ratio", F.round(F.col("raw_tokens") / F.col("summary_tokens"), 2))
 
 
@@ -655,38 +658,35 @@ def caller_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE pairs AS (SELECT DISTINCT l_suppkey AS s, -l_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7), e AS (SELECT s AS src, p AS dst FROM pairs UNION ALL SELECT p, s FROM pairs),
-    walk AS (SELECT [s_suppkey] AS path, 0 AS depth, false AS is_cycle FROM supplier WHERE s_suppkey = 1 UNION ALL
-    SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON path[len(path)] = src WHERE depth < 3 AND NOT is_cycle)
+    f"""WITH RECURSIVE {_EDGES_SQL}, walk AS (SELECT [s_suppkey] AS path, 0 AS depth, false AS is_cycle FROM supplier WHERE s_suppkey = 1 UNION ALL
+    SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON path[len(path)] = src WHERE depth < 2 AND NOT is_cycle)
     SELECT array_to_string(path, '>') AS path, depth, is_cycle FROM walk"""
 )
 def trace_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A path tree that cuts cycles along each path only."""
-    few = table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey")
-    lines = table(spark, sf_dir, "lineitem").join(few, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    pairs = lines.select(F.col("l_suppkey").alias("s"), (-F.col("l_partkey")).alias("p")).distinct()
-    edges = pairs.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")))
+    """A path tree over the whole graph that cuts cycles along each path only."""
     seeds = table(spark, sf_dir, "supplier").where("s_suppkey = 1").select(F.col("s_suppkey").alias("node"))
-    paths = W.trace(edges, seeds, 3)
+    paths = W.trace(_supplier_part(spark, sf_dir), seeds, 2)
     return paths.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth", "is_cycle")
 
 
 @query(
-    """WITH rows AS (SELECT user_id, event_type, value, ts, event_id FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT user_id, event_type, value + 1, ts + INTERVAL 1 DAY, event_id FROM events WHERE event_id % 5 = 0)
+    """WITH rows AS (SELECT user_id, event_type, value, ts, event_id FROM events UNION ALL SELECT user_id, event_type, value + 1, ts + INTERVAL 1 DAY, event_id FROM events WHERE value > 50)
     SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, value DESC) AS r FROM rows) WHERE r = 1"""
 )
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the old version, and new ones, a day later, of those whose value is high."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
-    old = rows.where("event_id % 3 <> 0")
-    new = rows.where("event_id % 5 = 0").withColumns({"value": F.col("value") + 1, "ts": F.col("ts") + F.expr("INTERVAL 1 DAY")})
-    return K.upsert(old, new, ["user_id", "event_type"], ["ts", "event_id", "value"]).select("user_id", "event_type", "value")
+    new = rows.where("value > 50").withColumns({"value": F.col("value") + 1, "ts": F.col("ts") + F.expr("INTERVAL 1 DAY")})
+    return K.upsert(rows, new, ["user_id", "event_type"], ["ts", "event_id", "value"]).select("user_id", "event_type", "value")
 
 
 @query(
-    """SELECT p_partkey, p_name, o_orderkey FROM part JOIN (SELECT l_partkey, min(l_orderkey) AS o_orderkey FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey WHERE p_retailprice > 1000"""
+    """SELECT p_partkey, p_name, o_orderkey FROM part JOIN (SELECT l_partkey, min(l_orderkey) AS o_orderkey FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)"""
 )
 def first_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first heavy site of each expensive definition."""
+    """The first heavy site of each definition that is dearer than most."""
     sites = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.min("l_orderkey").alias("o_orderkey"))
-    part = table(spark, sf_dir, "part").where("p_retailprice > 1000").select("p_partkey", "p_name")
+    part = table(spark, sf_dir, "part")
+    mean = part.agg(F.avg("p_retailprice").alias("mean"))
+    part = part.crossJoin(F.broadcast(mean)).where("p_retailprice > mean").select("p_partkey", "p_name")  # mean: one row
     return part.join(sites, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "p_name", "o_orderkey")

@@ -14,7 +14,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[
     """The latest row of each key over both tables. Combines before the shuffle."""
     rest = [c for c in old.columns if c not in keys and c not in order]
     newest = old.unionByName(new).groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__r"))
-    return newest.select(*keys, *(F.col(f"__r.{c}").alias(c) for c in old.columns if c not in keys))
+    return newest.select(*(F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in old.columns))
 
 
 def pruned(index: DataFrame, seen: DataFrame, under: str, path: str = "path") -> DataFrame:
