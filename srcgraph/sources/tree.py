@@ -6,8 +6,8 @@ Spark's own file source leaves out names that begin with "_" or ".", which sourc
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,19 +16,65 @@ from pyspark.sql import functions as F
 
 # Languages by extension (fixed values).
 LANGUAGES = {
-    ".py": "python", ".cs": "csharp", ".vb": "vbnet", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript",
-    ".aspx": "markup", ".ascx": "markup", ".master": "markup", ".cshtml": "markup", ".razor": "markup",
+    ".py": "python", ".cs": "csharp", ".vb": "vbnet",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
+    ".aspx": "markup", ".ascx": "markup", ".ashx": "markup", ".asmx": "markup", ".master": "markup", ".cshtml": "markup", ".vbhtml": "markup", ".razor": "markup",
+    ".asp": "markup", ".inc": "markup", ".config": "generic",
 }
 
 
+def ignore_pattern(line: str) -> tuple[bool, re.Pattern] | None:
+    """(whether it lets in again, pattern) of one line of an ignore file; None for blanks and comments. A slash
+    inside anchors it to the root, one at the end asks for a directory, ** stands for any folders."""
+    line = line.rstrip("\n")
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    again, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+    only_folder, line = line.endswith("/"), line.rstrip("/")
+    if not line:
+        raise ValueError(f"ignore pattern {line!r} names nothing")
+    anchored, line = "/" in line, line.removeprefix("/")
+    made, i = "", 0
+    while i < len(line):
+        if line.startswith("**/", i):
+            made, i = made + "(?:.*/)?", i + 3
+        elif line.startswith("/**", i) and i + 3 == len(line):
+            made, i = made + "/.*", i + 3
+        elif line[i] == "*":
+            made, i = made + "[^/]*", i + 1
+        elif line[i] == "?":
+            made, i = made + "[^/]", i + 1
+        elif line[i] == "[":
+            end = line.find("]", i + 2)
+            if end < 0:
+                raise ValueError(f"ignore pattern {line!r} has an open bracket")
+            made, i = made + "[" + line[i + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end + 1
+        else:
+            i += line[i] == "\\" and i + 1 < len(line)
+            made, i = made + re.escape(line[i]), i + 1
+    return again, re.compile(("" if anchored else "(?:.*/)?") + made + ("/.*" if only_folder else "(?:/.*)?") + r"\Z", re.S)
+
+
+def is_ignored(path: str, patterns: Sequence[tuple[bool, re.Pattern]]) -> bool:
+    """Whether the last pattern that fits a relative path, a directory's with a slash at its end, leaves it out."""
+    for again, pattern in reversed(patterns):
+        if pattern.match(path):
+            return not again
+    return False
+
+
 def walk(root: str, ignored: Sequence[str] = ()) -> Iterator[tuple[str, int]]:
-    """(path, bytes) under root, sorted; ignored directories are never entered."""
-    out = lambda p: any(fnmatch.fnmatch(part, g) for g in ignored for part in (p, os.path.basename(p)))
+    """(path, bytes) under root, sorted; ignored directories are never entered, unless something is let in
+    again. The tree must be on a file system that all executors share."""
+    patterns = [p for p in map(ignore_pattern, ignored) if p]
+    enters_all = any(again for again, _ in patterns)
+    relative = lambda folder, name: os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
     for folder, folders, names in os.walk(root):
-        folders[:] = sorted(d for d in folders if not out(os.path.relpath(os.path.join(folder, d), root)))
+        folders[:] = sorted(d for d in folders if enters_all or not is_ignored(relative(folder, d) + "/", patterns))
         for name in sorted(names):
             path = os.path.join(folder, name)
-            if not out(os.path.relpath(path, root)):
+            if not is_ignored(relative(folder, name), patterns):
                 yield path, os.path.getsize(path)
 
 
@@ -47,10 +93,16 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "language", "text"])
 
 
-def source_files(spark: SparkSession, root: str, ignored: Sequence[str] = (), indexed: bool = True) -> DataFrame:
-    """(path, language, text, content_hash) of the files with a known extension, or of the others."""
-    known = [(p, LANGUAGES.get(os.path.splitext(p)[1].lower(), "generic"), n) for p, n in walk(root, ignored)]
-    wanted = [(p, lang) for p, lang, _ in known if (lang != "generic") == indexed]
+def languages_for(extensions: Sequence[str] | None = None) -> dict[str, str]:
+    """Languages by extension. A list of extensions replaces the known ones; unknown ones are generic."""
+    return LANGUAGES if extensions is None else {e.lower(): LANGUAGES.get(e.lower(), "generic") for e in extensions}
+
+
+def source_files(spark: SparkSession, root: str, ignored: Sequence[str] = (), indexed: bool = True, extensions: Sequence[str] | None = None) -> DataFrame:
+    """(path, language, text, content_hash) of the files with a listed extension, or of the others."""
+    languages = languages_for(extensions)
+    known = [(p, languages.get(os.path.splitext(p)[1].lower())) for p, _ in walk(root, ignored)]
+    wanted = [(p, lang or "generic") for p, lang in known if (lang is not None) == indexed]
     paths = spark.createDataFrame(wanted, "path string, language string")
     files = paths.repartition(max(1, len(wanted) // 200)).mapInPandas(_read, "path string, language string, text string")
     return files.withColumn("content_hash", F.sha2("text", 256))

@@ -151,3 +151,37 @@ def test_windows_over_a_stream_equal_the_batch(spark):
     want = spark.read.parquet(f"{folder}/events.parquet").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     key = lambda df: sorted((str(r["window"]), r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("w")) == key(want)
+
+
+def test_ignore_patterns():
+    out = lambda path, *lines: tree.is_ignored(path, [p for p in map(tree.ignore_pattern, lines) if p])
+    assert out("a/b.log", "*.log") and out("b.log", "# x", "", "*.log") and not out("b.log", "*.log", "!b.log")
+    assert out("build/x/y.c", "build/") and not out("build", "build/") and out("src/build/y", "build")
+    assert out("docs/a.md", "docs/*.md") and not out("x/docs/a.md", "docs/*.md") and not out("docs/a/b.md", "/docs/*.md")
+    assert out("x/y/z.c", "x/**/z.c") and out("x/z.c", "x/**/z.c") and out("q/x/k", "**/x/**") and out("a1", "a[0-9]") and not out("ab", "a[!b]")
+    try:
+        tree.ignore_pattern("a[b")
+        raise AssertionError
+    except ValueError:
+        pass
+    assert tree.languages_for([".PY", ".zig"]) == {".py": "python", ".zig": "generic"}
+
+
+def test_outputs_are_shortened(spark):
+    from srcgraph.operators import outputs
+
+    failing = "==== test session starts ====\nplatform x\ncollected 3 items\na.py ..F\n==== FAILURES ====\n>  assert 0\n\n==== short test summary info ====\nFAILED a\n==== 1 failed, 2 passed in 0.10s ===="
+    green = "==== test session starts ====\ncollected 2 items\na.py ..\n==== 2 passed in 0.05s ===="
+    jest = "PASS a.js\n\n\nFAIL b.js\n  ✓ fine\n  x broken"
+    cargo = "test a::b ... ok\ntest a::c ... FAILED\ntest result: FAILED"
+    texts = [("f", "pytest", failing), ("g", "pytest", green), ("n", "pytest", "no banner\nhere"), ("j", "npm_test", jest), ("c", "cargo_test", cargo), ("o", "generic", "PASS x\n1\n2")]
+    rows = [(r, tool, i, line) for r, tool, text in texts for i, line in enumerate(text.split("\n"))]
+    lines = spark.createDataFrame(rows, "run string, tool string, line_no int, line string")
+    got = {r["run"]: r["text"] for r in outputs.joined_lines(outputs.compressed(lines)).collect()}
+    assert got["f"].split("\n") == ["collected 3 items", "==== FAILURES ====", ">  assert 0", "", "==== short test summary info ====", "FAILED a", "==== 1 failed, 2 passed in 0.10s ===="]
+    assert got["g"] == "==== 2 passed in 0.05s ====" and got["n"] == "no banner\nhere"
+    assert got["j"] == "\nFAIL b.js\n  x broken" and got["c"] == "test a::c ... FAILED\ntest result: FAILED" and got["o"] == "PASS x\n1\n2"
+    assert {r["text"] for r in outputs.joined_lines(lines.where("run = 'o'"), most=1).collect()} == {"PASS x\n… 2 more"}
+    calls = {"python3.12 -m pytest -q": "pytest", "C:\\bin\\pytest.exe": "pytest", "/usr/bin/npm run test": "npm_test", "git diff": "git_diff", "git push": "generic", "cargo build": "cargo_build", "python x.py": "generic", "python -m": "generic", "mypy": "mypy"}
+    argv = spark.createDataFrame([(k, k.split(" ")) for k in calls] + [("", [])], "k string, argv array<string>")
+    assert {r["k"]: r["t"] for r in argv.select("k", outputs.tool_of(F.col("argv")).alias("t")).collect()} == {**calls, "": "generic"}
