@@ -305,10 +305,10 @@ def _whole(shingles: list[np.ndarray], _: np.ndarray) -> list[pa.Array]:
     return [pa.array([s.tobytes() for s in shingles], pa.binary())]
 
 
-def _sets(texts: DataFrame, ends: DataFrame, sketch, made, schema: str) -> DataFrame:  # noqa: ANN001
-    """f1, f2, id and what `made` makes of the sets in ends (f1, f2, id); only the texts of marked ids are
-    hashed, one for each set and task that has it."""
-    marks = key_filter(ends.select("id"))
+def _sets(texts: DataFrame, ids: DataFrame, sketch, made, schema: str) -> DataFrame:  # noqa: ANN001
+    """f1, f2 and what `made` makes of the sets of the documents in ids (id), and of a few others; only the
+    texts of marked ids are hashed, one for each set and task that has it."""
+    marks = key_filter(ids)
     marks_of = texts.sparkSession.sparkContext.broadcast(marks)
     names = [*KEYS, *(c.split()[0] for c in schema.split(", "))]
 
@@ -329,8 +329,7 @@ def _sets(texts: DataFrame, ends: DataFrame, sketch, made, schema: str) -> DataF
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), *made(sets, levels)], names=names)
         released()
 
-    marked = texts.select(_place("doc_id", 8 * len(marks)).alias("place"), "text").mapInArrow(run, f"f1 long, f2 long, {schema}")
-    return marked.join(ends, KEYS).dropDuplicates(KEYS)
+    return texts.select(_place("doc_id", 8 * len(marks)).alias("place"), "text").mapInArrow(run, f"f1 long, f2 long, {schema}")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,19 +368,19 @@ def able(a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The links among pairs (a, b): prefixes must meet under each further order; only then are the
-    whole sets of what is left made, brought together and compared."""
+    whole sets of what is left made, brought together and compared. One exchange of the whole sets by
+    their keys serves both sides of the pairs."""
     orders = [f"p{k}" for k in range(1, ORDERS)]
-    side = lambda of, c, names: of.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}{c}") for x in names))
-    met = pairs.join(side(sets, "a", orders), "a").join(side(sets, "b", orders), "b")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), *(F.col(x).alias(f"{x}{c}") for x in orders))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
     for p in orders:
         met = met.where(F.arrays_overlap(f"{p}a", f"{p}b"))
-    met = stored(met.select("a", "b"), "met")
-    ends = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    whole = stored(wholes(stored(sets.select(*KEYS, "id").join(ends, "id"), "ends")), "wholes")
-    both = met.join(side(whole, "a", ["shingles"]), "a").join(side(whole, "b", ["shingles"]), "b").select("a", "b", "shinglesa", "shinglesb")
+    met = stored(met.select("a", "b", "a1", "a2", "b1", "b2"), "met")
+    whole = wholes(met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()).groupBy(*KEYS).agg(F.first("shingles").alias("shingles"))
+    part = lambda c: whole.select(F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), F.col("shingles").alias(f"s{c}"))
+    both = met.join(part("a"), ["a1", "a2"]).join(part("b"), ["b1", "b2"]).select("a", "b", "sa", "sb")
     links = stored(both.mapInArrow(_similar, "a long, b long"), "links")
     dropped(met)
-    dropped(whole)
     return links
 
 
@@ -462,7 +461,7 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     several = shared.where("g1 is null")
     keys = several.select(*KEYS).unionByName(twos.select(*KEYS)).unionByName(twos.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"))).distinct()
     ends = stored(keys.join(node, KEYS), "ends")
-    sets = stored(_sets(named, ends, sketch, _attributes, ATTRIBUTES), "sets")
+    sets = stored(_sets(named, ends.select("id"), sketch, _attributes, ATTRIBUTES).join(ends, KEYS).dropDuplicates(KEYS), "sets")
     known = stored(several.select("h", *KEYS, "pos").join(sets.select(*KEYS, "id", "n", *BITS), KEYS).select("h", *COLUMNS), "tokens")
     side = lambda x, a, b: sets.select(F.col("f1").alias(a), F.col("f2").alias(b), F.struct("id", "n", *BITS).alias(x))
     direct = _pairs(twos.join(side("x", "f1", "f2"), KEYS).join(side("y", "g1", "g2"), ["g1", "g2"]).where(alike("x", "y")), "x", "y")
