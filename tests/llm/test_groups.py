@@ -306,3 +306,23 @@ def test_pipeline_stages_take_effect(spark):
             listed = [(r["doc_id"], r["text"]) for r in before.collect()]
             assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute.clustered(listed)}
     assert kept.where("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "one two three", None, None, 13), (3, "one two three", None, None, 13), (None, "four five", "de", "t", 9), (4, "long " * 30_000, "en", "s", 150_000), (5, "x", "fr", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit(7.0), "kept": F.lit("c"), "posteriors": F.lit(1)})
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, SF)
+            assert name == "bpe" or out.columns == docs.columns
+            got = out.collect()
+            assert some is docs or not got
+            found.setdefault(name, got)
+    ids = lambda name: sorted(str(r["doc_id"]) for r in found[name])
+    assert ids("toxicity") == ids("suffix_dedup") == ids("bpe") == ["1", "2", "3", "3", "4", "5", "None"]
+    assert ids("ngram_join") == ["1", "2", "3", "4", "5", "None"] and set(ids("mixing")) == {"1", "2", "3", "4", "5", "None"}
+    cut = {r["doc_id"]: r for r in found["suffix_dedup"]}
+    assert cut[1]["text"] is None and cut[1]["n_chars"] is None and cut[2]["text"] == "" and cut[3]["text"] == "one two three" and cut[4]["text"] == "" and cut[4]["kept"] == "c"
