@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -39,10 +40,10 @@ from pyspark.sql import functions as F
 from .base import dropped, stored
 
 #: The bounded sample that the model is fitted on: rows of each class, bytes of a text, windows of the
-#: ordinary trainer, pieces that mark the toxic trainer's words.
-MAX_TOXIC, MAX_ORDINARY, MAX_TEXT_BYTES, MAX_WINDOWS, MAX_PIECES = 2000, 4000, 1 << 15, 20_000, 400
+#: ordinary trainer, bytes of the pieces that mark the toxic trainer's words.
+MAX_TOXIC, MAX_ORDINARY, MAX_TEXT_BYTES, MAX_WINDOWS, MARK_BYTES = 2000, 4000, 1 << 15, 20_000, 1024
 #: Words of a window; bytes of the dictionaries; the trainer's segment and the substring it counts.
-WINDOW_WORDS, ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, COUNTED = 40, 8192, 3072, 24, 6
+WINDOW_WORDS, ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, COUNTED = 40, 8192, 3072, 16, 6
 #: A shorter dictionary is little more than its header: the trainer had too few samples.
 LEAST_TRAINED = 512
 FOLDS = 5
@@ -107,14 +108,23 @@ def trained(samples: list[bytes], size: int, **shape: int) -> bytes:
 
 
 def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Trained on each occurrence of the words that hold a significant piece."""
-    marks = set(significant(toxic, ordinary)[:MAX_PIECES])
+    """Trained on the words that hold one of the strongest significant pieces (MARK_BYTES of them), once for
+    each text. The trainer takes a segment from each stretch of its samples, so these come mixed."""
+    marks: set[bytes] = set()
+    size = 0
+    for piece in significant(toxic, ordinary):
+        if not any(piece in longer for longer in marks):
+            size += len(piece)
+            if size > MARK_BYTES:
+                break
+            marks.add(piece)
     samples = []
     for text in toxic:
-        for word in text.split():
+        for word in sorted(set(text.split())):
             word = b" " + word[:24]
             if word + b" " in marks or any(word[:k] in marks for k in range(5, min(len(word), 13))):
                 samples.append(word + b" ")
+    random.Random(1).shuffle(samples)
     return trained(samples, TOXIC_BYTES, k=SEGMENT, d=COUNTED)
 
 
