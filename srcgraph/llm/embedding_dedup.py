@@ -22,7 +22,8 @@ The audit compares the links of sampled vectors with brute force over all of the
 share of a vector's links that was found, over sampled vectors that have any, so that vectors with one
 link count as much as those of a large group. All that is counted as a link is one (verified, or by the
 triangle inequality of angles), so the share of the number is the share of the links themselves. The sample
-grows until AUDIT vectors with links are in it, up to MOST_AUDIT vectors. deduplicated() doubles OVERLAP
+grows until AUDIT vectors with links are in it, up to MOST_AUDIT vectors; where none of them has a link, nothing
+was measured and audit_recall is null. deduplicated() doubles OVERLAP
 until the audit reaches LEAST_RECALL; where MOST_OVERLAP does not reach it, all vectors are compared with
 all, which is exact and quadratic.
 
@@ -399,10 +400,11 @@ def audit_sample(nodes: DataFrame) -> dict[int, int]:
     return found
 
 
-def recall_of(wanted: dict[int, int], links: DataFrame) -> float:
-    """Mean share of the links of sampled nodes that (id, links) holds."""
+def recall_of(wanted: dict[int, int], links: DataFrame) -> float | None:
+    """Mean share of the links of sampled nodes that (id, links) holds; None where no sampled node has one,
+    as nothing was measured then."""
     if not wanted:
-        return 1.0
+        return None
     got = {r["id"]: r["links"] for r in links.where(F.col("id").isin(*wanted)).collect()}
     return sum(min(1.0, got.get(i, 0) / n) for i, n in wanted.items()) / len(wanted)
 
@@ -471,7 +473,7 @@ def deduplicated(vectors: DataFrame) -> DataFrame:
         found = stored(found, "found")
         links = stored(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
         recall = recall_of(wanted, links)
-        if recall >= LEAST_RECALL or overlap > MOST_OVERLAP:
+        if recall is None or recall >= LEAST_RECALL or overlap > MOST_OVERLAP:
             break
         overlap *= 2
     joined = components(found.where("root <> id"), "id", "root")
@@ -480,5 +482,5 @@ def deduplicated(vectors: DataFrame) -> DataFrame:
     rows = units.select("vec_id", "dim", "k1", "k2").join(by_node, ["k1", "k2", "dim"], "left")
     component = F.coalesce("__component", "vec_id")
     return rows.select(
-        "vec_id", F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(float(recall)).alias("audit_recall")
+        "vec_id", F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall")
     )
