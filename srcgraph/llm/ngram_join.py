@@ -38,6 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +137,8 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and the sketch's counts of this task in slices."""
-    counts = np.zeros(BUCKETS, np.uint32)
+    """A row for each document, and the sketch's counts of this task in slices, compressed: most are small."""
+    counts, press = np.zeros(BUCKETS, np.uint32), zstandard.ZstdCompressor(level=1)
     for batch in text_slices(batches, "text", SLICE):
         keys, sizes = [], []
         for shingles in sets_of(batch.column(1)):
@@ -148,7 +149,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=SIZED)
     if counts.any():
         none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in counts.reshape(SLICES, -1)], pa.binary())], names=SIZED)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([press.compress(p.tobytes()) for p in counts.reshape(SLICES, -1)], pa.binary())], names=SIZED)
     released()
 
 
@@ -157,9 +158,10 @@ SIZED = ["doc_id", "n", "f1", "f2", "slice", "counts"]
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
+    open_ = zstandard.ZstdDecompressor()
     for batch in batches:
         for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(counts, np.uint32).astype(np.int64)
+            part = np.frombuffer(open_.decompress(counts), np.uint32).astype(np.int64)
             sums[i] = sums[i] + part if i in sums else part
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
 
