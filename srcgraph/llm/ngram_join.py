@@ -6,7 +6,7 @@ tokens. Orders here go by how frequent a token is in all documents (the level of
 sketch over every shingle), then by a hash of their own; so each starts with rare tokens, and tokens
 of passages that many documents share come last.
 
-1. One pass writes each document's size and 128-bit set key, and the sketch's counts.
+1. One pass writes each document's size and 96-bit set key, and the sketch's counts.
 2. Prefix tokens under the first order are shuffled and sorted; tokens that only one set has, or only
    sets of unlike sizes, end there. A token far more frequent than the others is dealt to parts, so
    that no task sorts it whole. Sets that have a token left are read once more for what the filters
@@ -21,7 +21,7 @@ of passages that many documents share come last.
 5. Links make components by alternating star steps.
 
 Every pair of different components passes or fails an exact bound or is verified in the last round, so
-no link between components is lost. Tokens are 64-bit digests and set keys 128-bit ones, taken as equal
+no link between components is lost. Tokens are 64-bit digests and set keys 96-bit ones, taken as equal
 where the digests are.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and link with
@@ -113,8 +113,8 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that do not depend on the order."""
-    return int(mixed(shingles, 0x1234567).sum(dtype=np.uint64).view(np.int64)), int(mixed(shingles, 0x7654321).sum(dtype=np.uint64).view(np.int64))
+    """96 bits that do not depend on the order; they travel with every token."""
+    return int(mixed(shingles, 0x1234567).sum(dtype=np.uint64).view(np.int64)), int(mixed(shingles, 0x7654321).sum(dtype=np.uint64) >> np.uint64(32))
 
 
 def prefix_length(n: int) -> int:
