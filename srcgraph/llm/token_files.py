@@ -1,8 +1,8 @@
 """Token ids in binary files: ids ranked by frequency, in byte-aligned codes of one to four bytes.
 
-1. Texts are encoded by the tokenizers library. Each distinct stretch between white space is encoded once and
-   kept in a bounded table of the worker; no token of a vocabulary that drops white space goes across one, which
-   Encoder checks in the vocabulary file. An end id follows each document.
+1. Texts are encoded by the tokenizers library. Stretches between white space and their words are encoded once and
+   kept in bounded tables of the worker; no token of a vocabulary that drops white space goes across one, which
+   Encoder checks with the library, and encodes whole texts where it does not hold. An end id follows each document.
 2. Ids are counted over the whole corpus, in tables no longer than the vocabulary, and ranked: the most
    frequent is 0.
 3. Rows are dealt by ranges of doc_id, and each task writes blocks, one after another, through Spark's own file
@@ -22,6 +22,7 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,46 +37,94 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import dropped, scratch_dir, stored, text_slices
+from .bpe import byte_symbols
 
 END_ID = 1
-#: Stretches kept by a worker and their longest; ids of a block; bytes of packed ids that one task writes.
-KEPT, LONGEST, BLOCK_IDS, PART_BYTES = 300_000, 48, 1 << 16, 32 << 20
+#: Stretches and words of a generation that a worker keeps, and their longest; ids of a block; bytes of packed ids that one task writes.
+KEPT, LONGEST, BLOCK_IDS, PART_BYTES = 150_000, 48, 1 << 16, 16 << 20
 MARK = b"SVB1"
 HEADER = struct.Struct("<4sIIQQQ")
+# Words of a stretch in lower case: contractions, letters, one digit, other signs (fixed values).
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zÀ-ÖØ-öø-ɏ0-9]+")
+_PLAIN = re.compile(r"[!-~À-ɏ]+").fullmatch
 # White space that str.split() knows and Unicode's White_Space does not (fixed values).
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
 
-class Encoder(dict):
-    """stretch -> its ids, packed as unsigned little-endian integers of `width` bytes."""
+class Kept(dict):
+    """A bounded table: when it is full, a new generation begins, and what is asked for again moves on to it."""
+
+    old: dict = {}
+
+    def turn(self) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
+    def knows(self, key: str) -> bool:
+        if key in self:
+            return True
+        if (found := self.old.get(key)) is not None:
+            self[key] = found
+        return found is not None
+
+
+class Encoder:
+    """Texts to ids, packed as unsigned little-endian integers of `width`. Stretches between white space are looked up
+    in one table, their words in another; words that neither knows go to the library's model. Words are found
+    here only where all characters of a stretch are ASCII or Latin letters up to U+024F; other stretches go to
+    the library whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
-        # White space must part tokens and leave none behind, alone or between two words.
-        probe = self.library.encode("a", add_special_tokens=False).ids
-        self.parted = all(self.library.encode(f"{s}a{s}{s}a{s}", add_special_tokens=False).ids == probe * 2 for s in " \t\n\r\x0b\x0c\x85\xa0  　")
-
-    def __missing__(self, stretch: str) -> bytes:
-        packed = np.array(self.library.encode(stretch, add_special_tokens=False).ids, self.width).tobytes()
-        if len(stretch) <= LONGEST:
-            if len(self) >= KEPT:
-                self.clear()
-            self[stretch] = packed
-        return packed
+        self.stretches, self.words = Kept(), Kept()
+        self.signs = byte_symbols()
+        # White space must part tokens and leave none behind, alone or between two words; so must what parts words.
+        whole = self.ids("a")
+        self.parted = all(self.ids(f"{s}a{s}{s}a{s}") == whole * 2 for s in " \t\n\r\x0b\x0c\x85\xa0  　")
+        probes = ("don't", "A1b22", "--x..y", "'s'tt'", "É×é÷", "we'll've", "a_b", "<|x|>", "ǅİ")
+        self.split = self.parted and all(np.frombuffer(b"".join(map(self.word, _WORD.findall(p.lower()))), self.width).tolist() == self.ids(p) for p in probes)
+
+    def ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def word(self, word: str) -> bytes:
+        """A lower-case word's ids by the model, which takes bytes as signs."""
+        return np.array([t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode())))], self.width).tobytes()
+
+    def stretch(self, stretch: str) -> bytes:
+        if not (self.split and _PLAIN(stretch)) or "<|" in stretch:
+            return np.array(self.ids(stretch), self.width).tobytes()
+        words, out = self.words, []
+        for w in _WORD.findall(stretch.lower()):
+            if words.knows(w):
+                out.append(words[w])
+            else:
+                out.append(self.word(w))
+                if len(w) <= LONGEST:
+                    words[w] = out[-1]
+        return b"".join(out)
 
     def packed(self, text: str) -> bytes:
         if not self.parted or any(c in text for c in SEPARATORS):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+            return np.array(self.ids(text), self.width).tobytes()
+        parts, table = text.split(), self.stretches
+        table.turn()
+        self.words.turn()
+        long: dict[str, bytes] = {}
+        for p in dict.fromkeys(parts):
+            if not table.knows(p):
+                (table if len(p) <= LONGEST else long)[p] = self.stretch(p)
+        return b"".join([table.get(p) or long.get(p, b"") for p in parts] if long else map(table.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
