@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Segments that say nothing about a route (fixed values).
 URL_STOP = ("", "api", "v1", "v2", "v3", "index")
+# Parts of the paths of generated files (fixed values).
+GENERATED = ("/connected services/", "reference.cs", ".g.cs", ".designer.")
 COMMENT_MARKERS = "TODO|FIXME|HACK|XXX|BUG|DEPRECATED|WORKAROUND"
 
 
@@ -58,7 +60,7 @@ def is_test_path(path: Column) -> Column:
     return lowered.rlike(r"(^|/)(tests?|[^/]*\.tests?)/") | stem.rlike(r"(^|[^a-z])(tests?|spec)([^a-z]|$)")
 
 
-def is_generated_path(path: Column, marks: Sequence[str] = (".designer.", ".g.", "/obj/", ".generated.")) -> Column:
+def is_generated_path(path: Column, marks: Sequence[str] = GENERATED) -> Column:
     lowered = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
     found = F.lit(False)
     for mark in marks:

@@ -53,8 +53,10 @@ def resolve_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:
         one(F.coalesce(F.array_contains(owners, F.lower("container")), F.lit(False)), 4) + one(same_file, 3) + one(F.col("trace_path").isNotNull() & (_slashed(F.col("trace_path")) == _slashed(F.col("path"))), 2)
         + one(~F.col("is_test"), 1) + one(~F.col("generated"), 1)
     )
-    best = found.groupBy("trace_id", "line_no").agg(F.max_by(F.struct("name", "container", "path", "line", "end_line"), F.struct(score.alias("s"), (-F.col("sym_seq")).alias("o"))).alias("best"))
-    joined = named.join(best, ["trace_id", "line_no"], "left")
+    frame = ["trace_id", "line_no", "method", "trace_path", "trace_line"]  # numbers may repeat within a trace
+    best = found.groupBy(*frame).agg(F.max_by(F.struct("name", "container", "path", "line", "end_line"), F.struct(score.alias("s"), (-F.col("sym_seq")).alias("o"))).alias("best"))
+    best = best.select("best", *(F.col(c).alias(f"__{c}") for c in frame))
+    joined = named.join(best, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in frame], "left")
     status = F.when(F.col("best").isNotNull(), "project").when(is_framework(F.col("method"), F.col("trace_path")), "external").otherwise("unresolved")
     known = (F.col("best.end_line") >= F.col("best.line")) & F.col("trace_line").isNotNull()
     drift = F.coalesce(known & ~F.col("trace_line").between(F.col("best.line"), F.col("best.end_line")), F.lit(False))

@@ -6,12 +6,14 @@ key; definitions carry name_l, path, container, pmin, pmax, pflags. Unknown arit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tiers and receiver kinds (fixed values).
 CONTRADICTED, NAME_ONLY, FITS, STRONG, EXACT, VERIFIED = -1, 0, 1, 2, 3, 4
 RECV_BARE, RECV_EXPR, RECV_IDENT, RECV_SELF, RECV_NEW = range(5)
+# Kinds that hold members (fixed values).
+CONTAINERS = ("class", "module", "struct", "structure", "record", "interface", "component")
 
 
 def arity_fits(argc: Column, pmin: Column, pmax: Column, pflags: Column) -> Column:
@@ -39,10 +41,19 @@ def tier(fits: Column, implements: Column | None = None, known_type: Column | No
 
 
 def candidates(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each site with each definition of its callee's name, or none, and the tier of the pair. The
-    engine chooses the join; nothing is broadcast by hand, as symbols grow with the corpus."""
+    """Each site with each definition of its callee's name, or none, and the tier of the pair. Where symbols carry
+    kind and bases, a receiver's declared type also fits the types that name it as a base, one step down, and a
+    receiver's name counts as a type only if there is one. The engine chooses the joins; nothing is broadcast by
+    hand, as symbols grow with the corpus."""
     fits = arity_fits(F.col("argc"), F.col("pmin"), F.col("pmax"), F.col("pflags"))
-    return sites.join(symbols, sites["callee_l"] == symbols["name_l"], "left").withColumn("tier", F.when(F.col("name_l").isNotNull(), tier(fits)))
+    if not {"bases", "kind"} <= set(symbols.columns):
+        return sites.join(symbols, sites["callee_l"] == symbols["name_l"], "left").withColumn("tier", F.when(F.col("name_l").isNotNull(), tier(fits)))
+    types = symbols.where(F.col("kind").isin(*CONTAINERS))
+    steps = types.select(F.col("name").alias("container"), F.explode("bases").alias("base")).groupBy("container").agg(F.collect_set(F.lower("base")).alias("__bases"))  # one class's bases
+    known = types.select(F.col("name").alias("recv")).distinct().withColumn("__known", F.lit(True))
+    pairs = sites.join(known, "recv", "left").join(symbols.join(steps, "container", "left"), F.col("callee_l") == F.col("name_l"), "left")
+    implements = F.coalesce(F.array_contains("__bases", F.lower("recv_type")), F.lit(False))
+    return pairs.withColumn("tier", F.when(F.col("name_l").isNotNull(), tier(fits, implements, F.coalesce("__known", F.lit(False))))).drop("__bases", "__known")
 
 
 def edge_tiers(pairs: DataFrame, site_key: str = "site_seq") -> DataFrame:
@@ -52,14 +63,16 @@ def edge_tiers(pairs: DataFrame, site_key: str = "site_seq") -> DataFrame:
 
 def best_definition(pairs: DataFrame, site_key: str = "site_seq") -> DataFrame:
     """One definition for each site. Tiers outrank the plain order only where one is STRONG, or where
-    contradictions leave exactly one place."""
-    site = Window.partitionBy(site_key)
-    gate = (F.max("tier").over(site) >= STRONG) | (
-        (F.min("tier").over(site) == CONTRADICTED) & (F.size(F.collect_set(F.when(F.col("tier") != CONTRADICTED, F.struct("path", "line"))).over(site)) == 1)
-    )
-    order = Window.partitionBy(site_key).orderBy(F.when(F.col("__gate"), -F.col("tier")).otherwise(0), "is_test", "generated", "not_logic", "path", "sym_seq")
-    ranked = pairs.where("name_l is not null").withColumn("__gate", gate).withColumn("__r", F.row_number().over(order))
-    return ranked.where("__r = 1").drop("__gate", "__r")
+    contradictions leave exactly one place. Both picks are aggregates that combine before the shuffle."""
+    row = F.struct(*(F.col(c) for c in pairs.columns if c != site_key))
+    order = ["is_test", "generated", "not_logic", "path", "sym_seq"]
+    place = F.when(F.col("tier") != CONTRADICTED, F.struct("path", "line"))
+    picked = pairs.where("name_l is not null").groupBy(site_key).agg(
+        F.max("tier").alias("most"), F.min("tier").alias("least"), F.min(place).alias("one"), F.max(place).alias("other"),
+        F.min_by(row, F.struct(*order)).alias("first"), F.min_by(row, F.struct((-F.col("tier")).alias("t"), *order)).alias("likely"),
+    )
+    gate = (F.col("most") >= STRONG) | F.coalesce((F.col("least") == CONTRADICTED) & (F.col("one") == F.col("other")), F.lit(False))
+    return picked.select(site_key, F.when(gate, F.col("likely")).otherwise(F.col("first")).alias("r")).select(site_key, "r.*").select(pairs.columns)
 
 
 def unanimous(pairs: DataFrame, by: str, site_key: str = "site_seq") -> DataFrame:

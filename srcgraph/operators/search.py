@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from srcgraph.functions import text as T
+from srcgraph.jobs.scratch import stored
+
+# Words that say nothing about code (fixed values).
+STOP_WORDS = tuple("the a an is are to in on of for and or when does do how what why with by from get set case cases code data value result request".split())
 
 
 def find_lines(docs: DataFrame, key: str, text: str, pattern: str, excerpt: int = 160) -> DataFrame:
@@ -35,17 +40,16 @@ def cooccurrence(docs: DataFrame, key: str, text: str, terms: Sequence[str]) ->
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi scores of the texts that hold a term. Lengths and hits come from one pass over the
-    texts; what is joined is one row of totals and one row for each term."""
-    wanted = F.array(*map(F.lit, terms))
+    """Okapi scores of the texts that hold a term. Texts are split once: their lengths and hits are written as small
+    rows, which give both the totals (one row) and the scores."""
     words = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
-    per_text = docs.select(key, words.alias("w")).select(
-        key, F.size("w").alias("len"), F.map_from_arrays(wanted, F.transform(wanted, lambda t: F.size(F.filter("w", lambda x: x == t)))).alias("tf")
-    )
-    totals = per_text.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col("tf")[t] > 0).alias(f"df{i}") for i, t in enumerate(terms)))
+    count = lambda t: F.size(F.filter("hits", lambda x: x == t))
+    split = docs.select(key, words.alias("w")).select(key, F.size("w").alias("len"), F.filter("w", lambda x: x.isin(*terms)).alias("hits"))
+    per_text = stored(split.select(key, "len", *(count(t).alias(f"tf{i}") for i, t in enumerate(terms))), "bm25")
+    totals = per_text.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        tf = F.col("tf")[t]
+    for i in range(len(terms)):
+        tf = F.col(f"tf{i}")
         idf = F.log(F.lit(1.0) + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     return per_text.crossJoin(F.broadcast(totals)).select(key, score.alias("score")).where("score > 0")  # totals: one row
@@ -77,42 +81,46 @@ def spoken(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " "), F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
 
 
-def brief(symbols: DataFrame, files: DataFrame, docs: DataFrame, ranks: DataFrame, question: str, stop: Sequence[str] = ()) -> DataFrame:
+def brief(symbols: DataFrame, files: DataFrame, docs: DataFrame, ranks: DataFrame, question: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Production methods and functions with the score that a question of some words gives them:
-    (path, name, line, name_score, rel, bm25, score), those that nothing speaks for left out.
+    (sym_seq, path, name, line, name_score, rel, bm25, score), those that nothing speaks for left out. A question
+    of stop words gives no row.
 
     symbols: name, path, line, kind, is_test, generated, sym_seq; files: path, text; docs: sym_seq, doc (one line
-    on a symbol); ranks: node (lower-case name), freq, rank. A term weighs less, the more files hold it."""
-    terms = [t for t in dict.fromkeys(question.lower().split()) if len(t) > 1 and t not in stop]
-    counts = ident_freq_by(files, "path", "text")
-    hits = None
-    for term in terms:
-        own = counts.where(T.matches(F.col("ident"), term)).select("path", "n", F.lit(term).alias("term"))
-        hits = own if hits is None else hits.unionByName(own)
-    per_file = hits.groupBy("term", "path").agg(F.sum("n").alias("n"))
-    weights = per_file.groupBy("term").agg((F.lit(1.0) / (1 + F.log1p(F.count(F.lit(1))))).alias("weight"))
-    relevant = per_file.join(F.broadcast(weights), "term").groupBy("path").agg(F.sum(F.col("n") * F.col("weight")).alias("rel"))  # weights: a row for each term
-    top = relevant.agg(F.max("rel").alias("most"))
-    relevant = relevant.crossJoin(F.broadcast(top)).select("path", (F.col("rel") / F.col("most")).alias("rel"))  # top: one row
+    on a symbol); ranks: node (lower-case name), rank. A term weighs less, the more symbols' names it matches."""
     pool = symbols.where("kind in ('method', 'function') and not is_test and not generated").select("sym_seq", "name", "path", "line")
-    named = F.lit(0.0)
-    by_term = weights.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))  # one row
-    for term in terms:
-        exact = F.when(T.collapsed(F.col("name")) == term, 3.0).otherwise(1.0)
-        named = named + F.when(T.matches(F.col("name"), term), exact * F.coalesce(F.col("w")[term], F.lit(1.0))).otherwise(0.0)
+    said = [t for t in dict.fromkeys(question.split()) if len(t) > 1 and t.lower() not in stop]
+    terms = [t for t in dict.fromkeys("".join(c for c in t.lower() if c.isascii() and c.isalnum()) for t in said) if t]
+    if not terms:
+        zero = F.lit(0.0)
+        return pool.select("sym_seq", "path", "name", "line", zero.alias("name_score"), zero.alias("rel"), zero.alias("bm25"), zero.alias("score")).limit(0)
+    # One row with a number for each term.
+    matched = symbols.agg(*(F.count_if(T.matches(F.col("name"), t)).alias(f"n{i}") for i, t in enumerate(terms))).first()
+    weight = {t: 1.0 / (1.0 + math.log1p(matched[f"n{i}"])) for i, t in enumerate(terms)}
+
+    def total(name: Column, exact: float) -> Column:
+        """Weights of the terms that a name matches, those that are the whole name times `exact`."""
+        found = F.lit(0.0)
+        for t, w in weight.items():
+            found = found + F.when(T.matches(name, t), w * F.when(T.collapsed(name) == t, exact).otherwise(1.0)).otherwise(0.0)
+        return found
+
+    idents = files.select("path", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))).alias("ident"))
+    counts = stored(idents.groupBy("path", "ident").agg(F.count(F.lit(1)).alias("n")), "idents")
+    # The terms are held against each distinct identifier once.
+    telling = counts.groupBy("ident").agg(F.sum("n").alias("n")).select("ident", total(F.col("ident"), 1.0).alias("w")).where("w > 0")
+    relevant = counts.join(telling, "ident").groupBy("path").agg(F.sum(F.col("n") * F.col("w")).alias("rel"))
+    freq = counts.groupBy(F.lower("ident").alias("node")).agg(F.least(F.sum("n"), F.lit(300)).alias("freq"))
     texts = pool.join(docs, "sym_seq", "left").select("sym_seq", F.concat_ws(" ", F.array_join(spoken(F.col("name")), " "), F.array_join(spoken(F.coalesce("doc", F.lit(""))), " ")).alias("said"))
     okapi = bm25(texts, "sym_seq", "said", terms)
-    best = okapi.agg(F.max("score").alias("most"))
-    okapi = okapi.crossJoin(F.broadcast(best)).select("sym_seq", (F.col("score") / F.col("most")).alias("bm25"))  # best: one row
-    strongest = ranks.agg(F.max("rank").alias("most"))
-    ranked = ranks.crossJoin(F.broadcast(strongest)).select("node", F.least("freq", F.lit(300)).alias("freq"), (F.col("rank") / F.col("most")).alias("pr"))  # one row
-    joined = pool.crossJoin(F.broadcast(by_term)).join(relevant, "path", "left").join(okapi, "sym_seq", "left").join(ranked, F.lower("name") == F.col("node"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    scored = joined.select("sym_seq", "path", "name", "line", named.alias("name_score"), zero("rel").alias("rel"), zero("bm25").alias("bm25"), zero("freq").alias("freq"), zero("pr").alias("pr"))
-    kept = scored.where("name_score > 0 or rel >= 0.5 or bm25 > 0")
-    score = 100 * F.col("name_score") + 40 * F.col("rel") + 35 * F.col("bm25") + 0.05 * F.col("freq") + 30 * F.col("pr")
-    return kept.select("sym_seq", "path", "name", "line", "name_score", "rel", "bm25", score.alias("score"))
 
+    def scaled(df: DataFrame, column: str, name: str) -> DataFrame:
+        most = df.agg(F.max(column).alias("__most"))  # one row
+        return df.crossJoin(F.broadcast(most)).withColumn(name, F.when(F.col("__most") > 0, F.col(column) / F.col("__most")).otherwise(0.0)).drop("__most")
 
-def ident_freq_by(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return identifiers(docs, key, text).groupBy(key, "ident").agg(F.count(F.lit(1)).alias("n"))
+    joined = pool.withColumn("node", F.lower("name")).join(scaled(relevant, "rel", "rel"), "path", "left").join(scaled(okapi, "score", "bm25").drop("score"), "sym_seq", "left")
+    joined = joined.join(freq, "node", "left").join(scaled(ranks.select("node", "rank"), "rank", "pr").drop("rank"), "node", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    scored = joined.select("sym_seq", "path", "name", "line", total(F.col("name"), 3.0).alias("name_score"), zero("rel").alias("rel"), zero("bm25").alias("bm25"), zero("freq").alias("freq"), zero("pr").alias("pr"))
+    score = 100 * F.col("name_score") + 40 * F.col("rel") + 35 * F.col("bm25") + 0.05 * F.col("freq") + 30 * F.col("pr")
+    return scored.where("name_score > 0 or rel >= 0.5 or bm25 > 0").select("sym_seq", "path", "name", "line", "name_score", "rel", "bm25", score.alias("score"))
