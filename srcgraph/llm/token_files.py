@@ -52,22 +52,16 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
 
-class Kept(dict):
-    """A bounded table: when it is full, a new generation begins, and what is asked for again moves on to it."""
+class Kept:
+    """A bounded table: when `now` is full it becomes `old`, and what is asked for again moves on."""
 
-    old: dict = {}
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def turn(self) -> None:
-        if len(self) > KEPT:
-            self.old = dict(self)
-            self.clear()
-
-    def knows(self, key: str) -> bool:
-        if key in self:
-            return True
-        if (found := self.old.get(key)) is not None:
-            self[key] = found
-        return found is not None
+        if len(self.now) > KEPT:
+            self.now, self.old = {}, self.now
 
 
 class Encoder:
@@ -99,32 +93,36 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """A lower-case word's ids by the model, which takes bytes as signs."""
-        return np.array([t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode())))], self.width).tobytes()
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode())))]
+        return struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
 
     def stretch(self, stretch: str) -> bytes:
         if not (self.split and _PLAIN(stretch)) or "<|" in stretch:
             return np.array(self.ids(stretch), self.width).tobytes()
-        words, out = self.words, []
+        now, old, out = self.words.now, self.words.old, []
         for w in _WORD.findall(stretch.lower()):
-            if words.knows(w):
-                out.append(words[w])
-            else:
-                out.append(self.word(w))
+            ids = now.get(w)
+            if ids is None:
+                ids = old.get(w) or self.word(w)
                 if len(w) <= LONGEST:
-                    words[w] = out[-1]
-        return b"".join(out)
+                    now[w] = ids
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def packed(self, text: str) -> bytes:
         if not self.parted or any(c in text for c in SEPARATORS):
             return np.array(self.ids(text), self.width).tobytes()
-        parts, table = text.split(), self.stretches
-        table.turn()
+        self.stretches.turn()
         self.words.turn()
+        parts, now, old = text.split(), self.stretches.now, self.stretches.old
         long: dict[str, bytes] = {}
         for p in dict.fromkeys(parts):
-            if not table.knows(p):
-                (table if len(p) <= LONGEST else long)[p] = self.stretch(p)
-        return b"".join([table.get(p) or long.get(p, b"") for p in parts] if long else map(table.__getitem__, parts))
+            if p not in now:
+                ids = old.get(p)
+                if ids is None:
+                    ids = self.stretch(p)
+                (now if len(p) <= LONGEST else long)[p] = ids
+        return b"".join([now[p] if p in now else long[p] for p in parts] if long else map(now.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
