@@ -53,7 +53,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_links.linked(table(spark, sf_dir, "conversations"))
+    return quote_links.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

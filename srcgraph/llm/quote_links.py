@@ -4,17 +4,22 @@ Each message is parsed into its own text and its quoted passages with their nest
 paragraphs and lines, and quoted ones, are normalised and hashed; a quoted passage belongs to the
 first message of its conversation that holds it as its own text. A message replies to the message
 of its least nested, then longest passage that is found. Following replies up gives each message its
-thread, and conversations come ordered by thread and turn, so that a reply stands behind what it
-answers, without the quotes.
+thread, and conversations come in reply order, without the quotes: a message is followed by its replies,
+the earliest first, each with all of its own replies. conversations() writes them as texts of PIECE messages
+at most, as a conversation may be long.
 
 Passages are looked up by (conversation, hash) against one row for each of them, made with map-side
-aggregation, so that a phrase that many messages share costs no pairs. Threads are found by pointer
-doubling: rounds grow with the logarithm of the longest reply chain.
+aggregation, so that a phrase that many messages share costs no pairs. Threads and places are found by pointer
+doubling: rounds grow with the logarithm of the longest chain. Replies to one message are put in order by a
+sort over all rows, so that neither a conversation nor the replies to one message are one task's work.
 
 Defined cases: null and empty texts have an empty body; a quote of nothing that was said before, or
 of the message itself, links with nothing; messages without a link start a thread of their own;
-null conversations or turns link with nothing; repeated (conversation, turn) rows are one message for
-links and stay rows of their own; an empty table gives an empty result; further columns are ignored.
+null conversations or turns link with nothing and are conversations of their own; repeated (conversation, turn)
+rows are one message for links; those of one role and text come once in a conversation, others one after
+another in order of a digest; passages that several messages of a turn hold tie and mean that turn; very long
+texts are parsed whole, one at a time; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +29,18 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored, text_slices
+from .base import dropped, stored, text_slices
 
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 #: Lines that announce a quote: "On ... wrote:" and its like.
 ANNOUNCES = re.compile(r"^\s*\S.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
 SPACES = re.compile(r"\s+")
-MOST_ROUNDS = 40
+#: Messages of one text; rounds of doubling, more than any chain of practical length needs.
+PIECE, MOST_ROUNDS = 64, 48
 
 
 def normal(text: str) -> str:
@@ -98,17 +105,109 @@ def threaded(links: DataFrame) -> DataFrame:
         up = state.select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("__next"), F.col("depth").alias("__more"))
         joined = state.join(up, ["conv_id", "thread_turn"], "left")
         if joined.where("__next is not null").isEmpty():
-            break
-        state = stored(
+            return state
+        following = stored(
             joined.select("conv_id", "turn", F.coalesce("__next", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth")), "threads"
         )
-    return state
+        dropped(state)
+        state = following
+    raise RuntimeError(f"threads are not followed to their ends after {MOST_ROUNDS} rounds")
+
+
+def following(rows: DataFrame, group: list[str], order: list[str], column: str) -> DataFrame:
+    """rows with `next`, the value of a column in the next row of the same group: all rows are sorted by group and order
+    over the cluster, and the first row of each part, which the driver sees, continues the part before it."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    at = [rows.columns.index(c) for c in (*group, column)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, first = TaskContext.get().partitionId(), None, True
+
+        def given(table: pa.Table, following_row: tuple | None) -> pa.RecordBatch:
+            keys = [tuple(r) for r in zip(*(table.column(i).to_pylist() for i in at[:-1]), strict=True)]
+            values = table.column(at[-1]).to_pylist()
+            behind = [*zip(keys[1:], values[1:], strict=True), following_row]
+            found = [b[1] if b and b[0] == k else None for k, b in zip(keys, behind, strict=True)]
+            ends = [first and i == 0 for i in range(len(keys))]
+            columns = [*table.columns, pa.array(found, table.schema.field(at[-1]).type), pa.array([part] * len(keys), pa.int32()), pa.array(ends), pa.array([following_row is None and i == len(keys) - 1 for i in range(len(keys))])]
+            return pa.Table.from_arrays(columns, names=[*table.schema.names, "next", "part", "first", "last"]).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                head = tuple(table.column(i)[0].as_py() for i in at)
+                yield given(held, (head[:-1], head[-1]))
+                first = False
+            held = table
+        if held is not None:
+            yield given(held, None)
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + f", next {kinds[column]}, part int, first boolean, last boolean"
+    sorted_rows = rows.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    found = stored(sorted_rows.mapInArrow(run, schema), "following")
+    heads = sorted(found.where("first").select("part", F.struct(*group).alias("g"), column).collect(), key=lambda r: r["part"])  # a row for each part
+    patches = [(a["part"], tuple(b["g"]), b[column]) for a, b in zip(heads, heads[1:], strict=False)]
+    inner = ", ".join(f"`{g}`: {kinds[g]}" for g in group)
+    patch = rows.sparkSession.createDataFrame(patches, f"part int, __g struct<{inner}>, __v {kinds[column]}").withColumn("last", F.lit(True))
+    same = F.struct(*group).eqNullSafe(F.col("__g"))
+    return found.join(F.broadcast(patch), ["part", "last"], "left").withColumn("next", F.when(F.col("last") & same, F.col("__v")).otherwise(F.col("next"))).select(*rows.columns, "next")
+
+
+def placed(elements: DataFrame) -> DataFrame:
+    """(conv_id, id, place) of (conv_id, turn, id, reply_turn): places in reply order, from 0. A message is followed by
+    its first reply, else by the next reply to what it answers, or to what that answers, and so on."""
+    heads = elements.groupBy("conv_id", "turn").agg(F.min("id").alias("parent"))
+    named = elements.join(heads.withColumnRenamed("turn", "reply_turn"), ["conv_id", "reply_turn"], "left").select("conv_id", "turn", "id", "parent")
+    beside = stored(following(stored(named, "named"), ["conv_id", "parent"], ["turn", "id"], "id"), "beside")
+    child = beside.where("parent is not null").groupBy("conv_id", F.col("parent").alias("id")).agg(F.min(F.struct("turn", "id"))["id"].alias("child"))
+    # Where there is no next sibling, ask the parent, and so on.
+    state = stored(beside.select("conv_id", "id", "next", F.when(F.col("next").isNull(), F.col("parent")).alias("up")), "after")
+    state = _doubled(state, "up", lambda own, other: {"next": F.coalesce(own("next"), other("next"))}, "after")
+    chain = state.join(child, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("child", "next").alias("next"), F.lit(1).cast("long").alias("left"))
+    ranked = _doubled(stored(chain, "chain"), "next", lambda own, other: {"left": own("left") + F.coalesce(other("left"), F.lit(0))}, "chain")
+    totals = ranked.groupBy("conv_id").agg(F.max("left").alias("total"))
+    return ranked.join(totals, "conv_id").select("conv_id", "id", (F.col("total") - F.col("left")).alias("place"))
+
+
+def _doubled(state: DataFrame, pointer: str, combined, name: str) -> DataFrame:  # noqa: ANN001
+    """Pointer doubling over (conv_id, id): until no pointer is left, each row takes in what its pointer's row knows,
+    and that row's pointer."""
+    kept = [c for c in state.columns if c not in ("conv_id", "id", pointer)]
+    for _ in range(MOST_ROUNDS):
+        if state.where(F.col(pointer).isNotNull()).isEmpty():
+            return state
+        other = state.select("conv_id", F.col("id").alias(pointer), *(F.col(c).alias(f"__{c}") for c in kept), F.col(pointer).alias("__pointer"))
+        made = combined(lambda c: F.col(c), lambda c: F.col(f"__{c}"))
+        joined = state.join(other, ["conv_id", pointer], "left")
+        values = {c: made.get(c, F.col(c)).alias(c) for c in kept}
+        # What is found needs no pointer any more, where the pointer leads to a value and not along a chain.
+        rest: Column = F.when(values["next"].isNull(), F.col("__pointer")) if "next" in values else F.col("__pointer")
+        following_state = stored(joined.select("conv_id", "id", *values.values(), rest.alias(pointer)), name)
+        dropped(state)
+        state = following_state
+    raise RuntimeError(f"{name} is not followed to its ends after {MOST_ROUNDS} rounds")
+
+
+def conversations(messages: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(conv_id, piece, n_messages, turns, text): each conversation in reply order, in texts of `piece` messages at most."""
+    rows = stored(linked(messages), "linked")
+    whole = rows.where("conv_id is not null and turn is not null").withColumn("id", F.xxhash64("turn", "role", "body"))
+    elements = whole.groupBy("conv_id", "turn", "id").agg(F.min("reply_turn").alias("reply_turn"), F.first("message").alias("message"))
+    elements = stored(elements, "elements")
+    places = placed(elements.select("conv_id", "turn", "id", "reply_turn"))
+    put = elements.join(places, ["conv_id", "id"]).withColumn("piece", F.floor(F.col("place") / piece))
+    texts = put.groupBy("conv_id", "piece").agg(F.array_sort(F.collect_list(F.struct("place", "turn", "message"))).alias("m"))  # `piece` messages at most
+    made = texts.select("conv_id", "piece", F.size("m").alias("n_messages"), F.transform("m", lambda x: x.turn).alias("turns"), F.array_join(F.transform("m", lambda x: x.message), "").alias("text"))
+    alone = rows.where("conv_id is null or turn is null").select("conv_id", F.lit(0).cast("long").alias("piece"), F.lit(1).alias("n_messages"), F.array("turn").alias("turns"), F.col("message").alias("text"))
+    return made.unionByName(alone)
 
 
 def linked(messages: DataFrame) -> DataFrame:
     """Each message of (conv_id, turn, role, text) without its quotes: body, n_quotes, reply_turn,
-    thread_turn and depth, and `message`, its place in the chat format. Conversations read in the
-    order (conv_id, thread_turn, turn)."""
+    thread_turn and depth, and `message`, as the chat format writes it."""
     parsed = stored(
         messages.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(
             _parsed,

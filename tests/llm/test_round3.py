@@ -12,7 +12,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from srcgraph.llm import hard_negatives, queries, spelling, token_files
+from srcgraph.llm import hard_negatives, queries, quote_links, spelling, token_files
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 VECTORS = "vec_id long, label int, embedding array<double>, whole string, n long"
@@ -180,3 +180,80 @@ def test_one_edit_keeps_reduced_words_within_one_edit(spark):
         full = {r["r"][:i] + r["r"][i + 1 :] for i in range(7)} | {r["r"][:i] + c + r["r"][i + 1 :] for i in range(7) for c in "abc" if c < r["r"][i]}
         assert set(r["near"]) == full
         assert len(r["near"]) == len(full)
+
+
+def replied(rows):
+    """Reply-ordered turns of each conversation, by plain recursion over what each message quotes."""
+    held = {}
+    for conv, turn, _, text in rows:
+        held.setdefault(conv, {}).setdefault(turn, []).append(text or "")
+    out = {}
+    for conv, turns in held.items():
+        own = {}
+        for turn in sorted(turns):
+            for text in turns[turn]:
+                body = [line for line in text.split("\n") if not line.startswith(">")]
+                for part in quote_links.parts(body):
+                    own.setdefault(part, turn)
+        children, roots = {}, []
+        for turn in sorted(turns):
+            found = []
+            for text in turns[turn]:
+                level, block = 0, []
+                for line in [*text.split("\n"), ""]:
+                    deep = len(line) - len(line.lstrip("> ")) if line.startswith(">") else 0
+                    deep = line[:deep].count(">")
+                    if deep != level:
+                        found += [(-level, len(p), own[p]) for p in quote_links.parts(block) if level and own.get(p, turn) < turn]
+                        level, block = deep, []
+                    block.append(line.lstrip("> ") if deep else line)
+            if found:
+                children.setdefault(max(found)[2], []).append(turn)
+            else:
+                roots.append(turn)
+        order, todo = [], roots[::-1]
+        while todo:
+            turn = todo.pop()
+            order.append(turn)
+            todo += children.get(turn, [])[::-1]
+        out[conv] = order
+    return out
+
+
+def test_conversations_come_in_reply_order(spark):
+    rng, rows = random.Random(6), []
+    for conv in range(25):
+        said = []
+        for turn in range(rng.randint(1, 30)):
+            body = f"message {conv} {turn} {rng.random()}\nsecond line {turn}{conv}"
+            text = body
+            if said and rng.random() < 0.8:
+                t, earlier = rng.choice(said)
+                quoted = "\n".join("> " + x for x in earlier.split("\n"))
+                deeper = "\n> > " + rng.choice(said)[1].split("\n")[0] if rng.random() < 0.4 else ""
+                text = f"{quoted}{deeper}\n{body}" if rng.random() < 0.5 else f"{body}\n{quoted}{deeper}"
+            said.append((turn, body))
+            rows.append((conv, turn * 2, "user", text))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("id", F.lit("x")).repartition(3)
+    got = {}
+    for r in sorted(quote_links.conversations(df, piece=7).collect(), key=lambda r: (r["conv_id"], r["piece"])):
+        assert r["n_messages"] == len(r["turns"]) <= 7
+        assert ">" not in r["text"].replace("|>", "")
+        got.setdefault(r["conv_id"], []).extend(r["turns"])
+    assert got == replied(rows)
+
+
+def test_conversations_of_odd_rows(spark):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "user", "> hello there\nyes"), (1, 1, "user", "> hello there\nyes"), (1, 1, "bot", "no"), (1, None, "user", "lost"), (None, 3, "user", "x"), (None, 3, None, None), (2, 5, "user", None)]
+    rows += [(7, t, "user", f"line {t}" if not t else f"> line {t - 1}\nline {t}") for t in range(300)] + [(8, 0, "user", "start")] + [(8, t, "user", f"> start\nreply {t}") for t in range(1, 200)]
+    rows += [(9, 0, "user", "word " * 60_000), (9, 1, "user", "> " + "word " * 60_000 + "\nlong")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    made = quote_links.conversations(df).collect()
+    got = {}
+    for r in sorted((r for r in made if r["conv_id"] is not None), key=lambda r: (r["conv_id"], r["turns"] == [None], r["piece"])):
+        got.setdefault(r["conv_id"], []).extend(r["turns"])
+    assert got.pop(1)[-1] is None and got == {2: [5], 7: list(range(300)), 8: list(range(200)), 9: [0, 1]}
+    assert sorted(r["n_messages"] for r in made if r["conv_id"] == 1) == [1, 3]
+    assert sum(r["conv_id"] is None for r in made) == 2
+    assert quote_links.conversations(df.limit(0)).count() == 0
