@@ -3,6 +3,7 @@ nothing names goes. A version is written whole beside the old one and then point
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -44,3 +45,41 @@ def publish(df: DataFrame, root: str) -> str:
 def current(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.parquet(f"{root}/current").first()[0]
     return spark.read.parquet(f"{root}/versions/{version}")
+
+
+def append_blobs(blobs: DataFrame, root: str) -> None:
+    """Add (content_hash, ...) rows that the store does not hold yet, each hash once. Write-once: what is there is
+    never written again; an interrupted write leaves nothing that a reader sees, and running it again adds only
+    what is missing."""
+    folder = f"{root}/blobs"
+    new = blobs.dropDuplicates(["content_hash"])
+    if exists(blobs.sparkSession, folder):
+        new = new.join(blobs.sparkSession.read.parquet(folder).select("content_hash"), "content_hash", "left_anti")
+    new.write.mode("append").parquet(folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever file system its path names."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def entries(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each path of the current index, with its blob; paths may share one."""
+    return current(spark, root).join(spark.read.parquet(f"{root}/blobs"), "content_hash")
+
+
+def cleared(index: DataFrame, paths: DataFrame) -> DataFrame:
+    """The index without some paths; their blobs stay where other paths name them (referenced())."""
+    return index.join(paths.select("path"), "path", "left_anti")
+
+
+def recall(spark: SparkSession, root: str, content_hash: str) -> DataFrame:
+    """The blob of a hash: 64 hex digits, or ValueError; KeyError where the store does not hold it."""
+    if not re.fullmatch("[0-9a-f]{64}", content_hash):
+        raise ValueError(f"{content_hash!r} is no hash of 64 hex digits")
+    found = spark.read.parquet(f"{root}/blobs").where(F.col("content_hash") == content_hash)
+    if found.isEmpty():
+        raise KeyError(content_hash)
+    return found

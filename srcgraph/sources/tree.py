@@ -1,16 +1,14 @@
 """Source trees and text feeds as DataFrames.
 
-The lister runs on the driver over one shared tree (names and sizes only); texts are read by tasks.
-Spark's own file source leaves out names that begin with "_" or ".", which source trees have.
+Trees are read by the data source in datasource.py; what belongs to one is decided here.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,33 +62,17 @@ def is_ignored(path: str, patterns: Sequence[tuple[bool, re.Pattern]]) -> bool:
     return False
 
 
-def walk(root: str, ignored: Sequence[str] = ()) -> Iterator[tuple[str, int]]:
-    """(path, bytes) under root, sorted; ignored directories are never entered, unless something is let in
-    again. The tree must be on a file system that all executors share."""
-    patterns = [p for p in map(ignore_pattern, ignored) if p]
-    enters_all = any(again for again, _ in patterns)
-    relative = lambda folder, name: os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(d for d in folders if enters_all or not is_ignored(relative(folder, d) + "/", patterns))
-        for name in sorted(names):
-            path = os.path.join(folder, name)
-            if not is_ignored(relative(folder, name), patterns):
-                yield path, os.path.getsize(path)
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, language in zip(batch["path"], batch["language"], strict=True):
-            with open(path, "rb") as f:
-                data = f.read()
-            for encoding in ("utf-8-sig", "utf-8", "latin-1"):
-                try:
-                    rows.append((path, language, data.decode(encoding)))
-                    break
-                except UnicodeDecodeError:
-                    continue
-        yield pd.DataFrame(rows, columns=["path", "language", "text"])
+def decoded(path: str) -> tuple[str, str]:
+    """A file's text, by the first encoding that fits its bytes, and their digest."""
+    with open(path, "rb") as f:
+        data = f.read()
+    digest = hashlib.sha256(data).hexdigest()
+    for encoding in ("utf-8-sig", "utf-8"):
+        try:
+            return data.decode(encoding), digest
+        except UnicodeDecodeError:
+            continue
+    return data.decode("latin-1"), digest
 
 
 def languages_for(extensions: Sequence[str] | None = None) -> dict[str, str]:
@@ -99,13 +81,13 @@ def languages_for(extensions: Sequence[str] | None = None) -> dict[str, str]:
 
 
 def source_files(spark: SparkSession, root: str, ignored: Sequence[str] = (), indexed: bool = True, extensions: Sequence[str] | None = None) -> DataFrame:
-    """(path, language, text, content_hash) of the files with a listed extension, or of the others."""
-    languages = languages_for(extensions)
-    known = [(p, languages.get(os.path.splitext(p)[1].lower())) for p, _ in walk(root, ignored)]
-    wanted = [(p, lang or "generic") for p, lang in known if (lang is not None) == indexed]
-    paths = spark.createDataFrame(wanted, "path string, language string")
-    files = paths.repartition(max(1, len(wanted) // 200)).mapInPandas(_read, "path string, language string, text string")
-    return files.withColumn("content_hash", F.sha2("text", 256))
+    """(path, language, text, content_hash) of the files with a listed extension, or of the others: the data source
+    source_tree with its options."""
+    from srcgraph.sources import datasource
+
+    datasource.register(spark)
+    reader = spark.read.format("source_tree").option("ignored", "\n".join(ignored)).option("indexed", str(indexed).lower())
+    return (reader.option("extensions", ",".join(extensions)) if extensions is not None else reader).load(root)
 
 
 def json_lines(lines: DataFrame, schema: str, required: Sequence[str], column: str = "value") -> DataFrame:

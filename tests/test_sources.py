@@ -185,3 +185,41 @@ def test_outputs_are_shortened(spark):
     calls = {"python3.12 -m pytest -q": "pytest", "C:\\bin\\pytest.exe": "pytest", "/usr/bin/npm run test": "npm_test", "git diff": "git_diff", "git push": "generic", "cargo build": "cargo_build", "python x.py": "generic", "python -m": "generic", "mypy": "mypy"}
     argv = spark.createDataFrame([(k, k.split(" ")) for k in calls] + [("", [])], "k string, argv array<string>")
     assert {r["k"]: r["t"] for r in argv.select("k", outputs.tool_of(F.col("argv")).alias("t")).collect()} == {**calls, "": "generic"}
+
+
+def test_trees_are_read_by_folder_and_filters_reach_them(spark, tmp_path):
+    from srcgraph.sources import datasource
+
+    for name in ("a/x/one.py", "a/x/deep/er/two.py", "a/y/three.cs", "b/four.py", "five.py", "build/z/six.py", "a/x/_p.py", "a/notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}")
+    reader = datasource.TreeReader({"path": str(tmp_path), "ignored": "build/"})
+    planned = {(p.path.removeprefix(str(tmp_path)), p.deep) for p in reader.partitions()}
+    assert planned == {("", False), ("/a", False), ("/b", False), ("/a/x", True), ("/a/y", True)}
+    found = tree.source_files(spark, str(tmp_path), ["build/"])
+    names = lambda df: sorted(r["path"].removeprefix(str(tmp_path) + "/") for r in df.collect())
+    assert names(found) == ["a/x/_p.py", "a/x/deep/er/two.py", "a/x/one.py", "a/y/three.cs", "b/four.py", "five.py"]
+    assert found.rdd.getNumPartitions() == 5
+    assert names(found.where("language = 'csharp'")) == ["a/y/three.cs"]
+    only = found.where(F.col("path").startswith(f"{tmp_path}/a/x"))
+    assert names(only) == ["a/x/_p.py", "a/x/deep/er/two.py", "a/x/one.py"] and only.rdd.getNumPartitions() == 3
+    assert names(found.where(F.col("path") == f"{tmp_path}/five.py")) == ["five.py"]
+    assert names(tree.source_files(spark, str(tmp_path), [], extensions=[".txt"])) == ["a/notes.txt"]
+
+
+def test_changed_files_come_from_git(spark, tmp_path):
+    import subprocess
+
+    from srcgraph.sources import datasource
+
+    git = lambda *words: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@example.org", *words], check=True, capture_output=True)
+    git("init", "-q")
+    for name in ("keep.py", "edit me.py", "gone.py"):
+        (tmp_path / name).write_text("1")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    (tmp_path / "edit me.py").write_text("2")
+    (tmp_path / "gone.py").unlink()
+    datasource.register(spark)
+    rows = spark.read.format("changed_files").load(str(tmp_path)).collect()
+    assert {(r["path"].rsplit("/", 1)[1], r["status"]) for r in rows} == {("edit me.py", "M"), ("gone.py", "D")}

@@ -26,3 +26,33 @@ def test_traces_mark_a_cycle_once_and_stop(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
     got = sorted((r["path"], r["is_cycle"]) for r in W.trace(edges, spark.createDataFrame([(1,)], "node long"), 5).collect())
     assert got == [([1], False), ([1, 2], False), ([1, 2, 1], True), ([1, 2, 3], False)]
+
+
+def test_blobs_are_written_once_and_recalled(spark, tmp_path):
+    import hashlib
+
+    import pytest
+
+    root = str(tmp_path / "store")
+    named = lambda *texts: spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), t) for t in texts], "content_hash string, text string")
+    K.append_blobs(named("one", "two", "two"), root)
+    K.append_blobs(named("two", "three"), root)  # as after a write that was cut off half-way
+    assert sorted(r["text"] for r in spark.read.parquet(f"{root}/blobs").collect()) == ["one", "three", "two"]
+    index = named("one", "one", "two").rdd.zipWithIndex().map(lambda x: (f"p{x[1]}", x[0][0])).toDF("path string, content_hash string")
+    K.publish(index, root)
+    assert sorted((r["path"], r["text"]) for r in K.entries(spark, root).collect()) == [("p0", "one"), ("p1", "one"), ("p2", "two")]
+    left = K.cleared(K.current(spark, root), spark.createDataFrame([("p0",), ("p2",)], "path string"))
+    K.publish(left, root)
+    assert [r["text"] for r in K.referenced(spark.read.parquet(f"{root}/blobs"), K.current(spark, root)).collect()] == ["one"]
+    assert K.recall(spark, root, hashlib.sha256(b"two").hexdigest()).first()["text"] == "two"
+    with pytest.raises(KeyError):
+        K.recall(spark, root, "0" * 64)
+    with pytest.raises(ValueError, match="64 hex"):
+        K.recall(spark, root, "xyz")
+
+
+def test_a_version_without_its_pointer_is_not_seen(spark, tmp_path):
+    root = str(tmp_path / "t")
+    K.publish(spark.createDataFrame([("a", 1)], "path string, at int"), root)
+    spark.createDataFrame([("b", 2)], "path string, at int").write.parquet(f"{root}/versions/halfway")
+    assert [tuple(r) for r in K.current(spark, root).collect()] == [("a", 1)]
