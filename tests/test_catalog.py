@@ -4,7 +4,7 @@ import oracle
 import pytest
 from conftest import SF
 
-from srcgraph.jobs import code, linked  # noqa: F401
+from srcgraph.jobs import code, feeds, linked  # noqa: F401
 from srcgraph.jobs.catalog import ORACLE_SQL, QUERIES
 
 
