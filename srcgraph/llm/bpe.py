@@ -36,6 +36,20 @@ WINDOW, WORDS_KEPT, PIECE = 4096, 150_000, 1 << 16
 # Unicode's White_Space characters (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
+# What a vocabulary file asks for before and after the merges, as far as it is done here (fixed values).
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+
 
 def byte_symbols() -> dict[int, str]:
     """Each byte's printable stand-in: visible Latin-1 characters stand for themselves, the others
@@ -66,6 +80,9 @@ class Transducer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        for part, known in KNOWN.items():
+            if spec.get(part) != known:
+                raise ValueError(f"{path}: this transducer does not do its {part}")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = dict(model["vocab"])

@@ -11,7 +11,8 @@ shared folder; an iteration is one aggregation of a few sums with map-side combi
 of a document is an expression of its posteriors, so nothing but those sums reaches the driver.
 
 Defined cases: null and empty texts have no tokens, the classes' priors as posteriors, and the rate
-that these give; labelled rows without a domain are left out; with no labelled row every rate is 1;
+that these give; very long texts are scored whole (those of the sample are bounded); of posteriors that tie the first
+domain in order is the likeliest; labelled rows without a domain are left out; with no labelled row every rate is 1;
 domains that no document belongs to are left out of the fit; domains that the weights do not
 mention keep their share, and the weights divide the rest; repeated rows are rows of their own; an empty table gives an empty
 result; other columns stay, clashing names are replaced.
@@ -19,6 +20,7 @@ result; other columns stay, clashing names are replaced.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -97,11 +99,14 @@ def targets_of(totals: list[float], domains: tuple[str, ...], weights: Mapping[s
     return [s * budget for s in shares]
 
 
-def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float], tokens: float | None = None) -> Column:
-    """The rate as an expression of the column `posteriors`; members has n_tokens and posteriors."""
+def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float], tokens: float | None = None) -> tuple[Column, float]:
+    """The rate as an expression of the column `posteriors`, and how far the domains' totals stay from their targets:
+    the largest difference relative to a domain's share before. The fit ends within TOLERANCE, or where a step no longer
+    changes that, as targets may be out of reach; after MOST_ROUNDS it ends with what is left, and says so.
+    members has n_tokens and posteriors."""
     rate = F.lit(1.0)
     if not domains:
-        return rate
+        return rate, 0.0
     narrow = members.select("n_tokens", *(F.col("posteriors")[i].alias(f"p{i}") for i in range(len(domains))))
     p = [F.col(f"p{i}") for i in range(len(domains))]
 
@@ -112,16 +117,20 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: Mapping[str
     shares = totals(F.lit(1.0))
     wanted = targets_of(shares, domains, weights, tokens)
     live = [i for i, s in enumerate(shares) if s > 0]
-    now, steps = shares, []
-    for _ in range(MOST_ROUNDS):
+    now, steps, before = shares, [], None
+    for turn in range(MOST_ROUNDS + 1):
         errors = {i: (now[i] - wanted[i]) / shares[i] for i in live}
-        if not errors or max(abs(e) for e in errors.values()) < TOLERANCE:
+        error = max((abs(e) for e in errors.values()), default=0.0)
+        if error < TOLERANCE or (before is not None and all(abs(errors[i] - before[i]) < TOLERANCE / 100 for i in live)):
+            break
+        if turn == MOST_ROUNDS:
+            warnings.warn(f"rates still move after {MOST_ROUNDS} rounds; totals are within {error:.2g} of their targets", stacklevel=2)
             break
         steps.append(errors)
-        rate = _stepped(rate, errors, p)
+        before, rate = errors, _stepped(rate, errors, p)
         now = totals(rate)
     listed = [F.col("posteriors")[i] for i in range(len(domains))]
-    return reduce(lambda r, e: _stepped(r, e, listed), steps, F.lit(1.0))
+    return reduce(lambda r, e: _stepped(r, e, listed), steps, F.lit(1.0)), error
 
 
 def _stepped(rate: Column, errors: Mapping[int, float], p: list[Column]) -> Column:
@@ -130,11 +139,12 @@ def _stepped(rate: Column, errors: Mapping[int, float], p: list[Column]) -> Colu
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], keys: list[str], tokens: float | None = None) -> DataFrame:
-    """keys, n_tokens, posteriors, domain (the likeliest) and rate of each row."""
+    """keys, n_tokens, posteriors, domain (the likeliest) and rate of each row, and target_error, how far the fitted
+    totals stay from the targets."""
     classifier = fit_classifier(labelled)
     members = stored(with_posteriors(docs.select(*keys, "text"), classifier).select(*keys, "n_tokens", "posteriors"), "posteriors")
-    rate = fit_rates(members, classifier.domains, weights, tokens)
-    return members.withColumns({"domain": domain_of(classifier.domains), "rate": rate})
+    rate, error = fit_rates(members, classifier.domains, weights, tokens)
+    return members.withColumns({"domain": domain_of(classifier.domains), "rate": rate, "target_error": F.lit(error)})
 
 
 def domain_of(domains: tuple[str, ...]) -> Column:
@@ -150,7 +160,7 @@ def resampled(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]
     classifier = fit_classifier(labelled)
     scored = with_posteriors(docs.withColumn("__row", F.struct(*docs.columns)), classifier).select("__row", "n_tokens", "posteriors")
     members = stored(scored, "members")
-    rate = F.round(fit_rates(members.select("n_tokens", "posteriors"), classifier.domains, weights, tokens), 3)
+    rate = F.round(fit_rates(members.select("n_tokens", "posteriors"), classifier.domains, weights, tokens)[0], 3)
     luck = F.pmod(F.xxhash64(F.col("__row.doc_id").cast("string"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(rate + luck).cast("int")
     return members.select("__row", F.explode(F.array_repeat(F.lit(0), copies))).select("__row.*")
