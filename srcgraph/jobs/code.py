@@ -68,7 +68,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library(spark, sf_dir).unionByName(programs(spark, sf_dir))
 
 
-def _resolved(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolved(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Symbols, sites, and the candidates of each site with their tier. Each text is scanned once; its facts,
     the symbols and the sites are written and read again."""
     facts = stored(X.scanned(files), "facts")
@@ -89,7 +89,7 @@ _LINES = """calls AS (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag =
 def source_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who calls each name, from which declaration, and the best evidence among its sites; no evidence counts as none,
     whether nothing is known or all is contradicted."""
-    _, _, pairs = _resolved(sources(spark, sf_dir))
+    _, _, pairs = resolved(sources(spark, sf_dir))
     per_site = pairs.groupBy("callee", "caller", "caller_path", "line").agg(F.max("tier").alias("tier"))
     return per_site.groupBy("callee", "caller").agg(F.count(F.lit(1)).alias("n_sites"), F.greatest(F.lit(0), F.max("tier")).alias("tier"))
 
@@ -100,7 +100,7 @@ def source_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_deadcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods that no text calls; a part's two methods are one name."""
-    defined, sites, _ = _resolved(sources(spark, sf_dir))
+    defined, sites, _ = resolved(sources(spark, sf_dir))
     return X.dead(defined, sites).select("name").distinct()
 
 
@@ -111,7 +111,7 @@ def source_deadcode(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (caller>callee) whose every site means one and the same place."""
-    _, _, pairs = _resolved(sources(spark, sf_dir))
+    _, _, pairs = resolved(sources(spark, sf_dir))
     named = pairs.withColumns({"site_seq": F.struct("caller_path", "line"), "edge": F.concat("caller", F.lit(">"), "callee")}).drop("line").withColumnRenamed("def_line", "line")
     return resolve.unanimous(named, "edge")
 
@@ -122,7 +122,7 @@ def source_unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The definition that each site means: the fitting one where evidence decides, else the first in order."""
-    _, _, pairs = _resolved(sources(spark, sf_dir))
+    _, _, pairs = resolved(sources(spark, sf_dir))
     best = resolve.best_definition(pairs.withColumn("site_seq", F.struct("caller_path", "line")).drop("line").withColumnRenamed("def_line", "line"))
     return best.groupBy("caller", "callee", "path").agg(F.count(F.lit(1)).alias("n"))
 
@@ -130,7 +130,7 @@ def source_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LINES} SELECT 'p' || l_partkey AS callee, count(*) FILTER (fits_l <> fits_k) AS narrowed, count(*) AS n_sites FROM calls GROUP BY 1")
 def source_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites whose name has several places and of which contradictions leave exactly one."""
-    _, _, pairs = _resolved(sources(spark, sf_dir))
+    _, _, pairs = resolved(sources(spark, sf_dir))
     place = F.struct("path", "def_line")
     per_site = pairs.groupBy("callee", "caller_path", "line").agg(F.size(F.collect_set(place)).alias("places"), F.size(F.collect_set(F.when(F.col("tier") != resolve.CONTRADICTED, place))).alias("left"))
     return per_site.groupBy("callee").agg(F.count_if((F.col("places") > 1) & (F.col("left") == 1)).alias("narrowed"), F.count(F.lit(1)).alias("n_sites"))
@@ -187,7 +187,7 @@ def source_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded calls beside the static ones: the first two lines of each order were seen to run."""
-    defined, sites, _ = _resolved(sources(spark, sf_dir))
+    defined, sites, _ = resolved(sources(spark, sf_dir))
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
     caller, callee = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("L"), F.floor(F.col("l_partkey") / BUCKET).cast("string"), F.lit(".p"), F.col("l_partkey").cast("string"))
     recorded = lines.groupBy(caller.alias("caller"), callee.alias("callee")).agg(F.count(F.lit(1)).alias("count"))
@@ -204,7 +204,7 @@ def source_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter text over symbols with their number of call sites and their rank."""
     _, condition = ask.filtered('symbols kind=method callers>25 name~"P1" path~lib/ is_test=no pagerank>0')
-    defined, sites, pairs = _resolved(sources(spark, sf_dir))
+    defined, sites, pairs = resolved(sources(spark, sf_dir))
     return ranked(defined, sites, pairs).where(condition).select("qualified", "callers")
 
 
@@ -229,7 +229,7 @@ def ranked(defined: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
 def source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter text over edges: those with evidence, from some callers, of fewer than three arguments."""
     _, condition = ask.filtered("edges tier>=ok caller~O1 argc<3 verified=no")
-    _, sites, pairs = _resolved(sources(spark, sf_dir))
+    _, sites, pairs = resolved(sources(spark, sf_dir))
     edges = sites.join(resolve.edge_tiers(pairs), "site_seq").withColumn("is_test", F.col("caller_is_test"))
     return edges.where(condition).groupBy("caller", "callee", "tier").agg(F.count(F.lit(1)).alias("n"))
 
@@ -254,7 +254,7 @@ def _brief_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _brief(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = stored(sources(spark, sf_dir), "sources")
-    defined, sites, pairs = _resolved(files)
+    defined, sites, pairs = resolved(files)
     cut = stored(X.bodies(defined, files).select("path", "line", "at", T.token_estimate(F.col("body")).alias("size"), "doc"), "bodies")
     docs = defined.join(cut, ["path", "line", "at"]).select("sym_seq", F.concat_ws(" ", F.lit("part number in"), "container", "doc").alias("doc"))
     scored = S.brief(defined, files, docs, W.pagerank(name_edges(sites, pairs), rounds=10), QUESTION, stop=(*S.STOP_WORDS, "which"))
@@ -305,7 +305,7 @@ def desks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of one name in all classes: the declared type of the receiver decides, itself or as a base; a receiver with
     two types decides nothing, and a call within an interpolated string has no argument count."""
-    _, _, pairs = _resolved(desks(spark, sf_dir))
+    _, _, pairs = resolved(desks(spark, sf_dir))
     count = lambda tier: F.count_if(F.col("tier") == tier)
     return pairs.groupBy(F.col("caller_container").alias("desk"), F.coalesce("recv", F.lit("")).alias("recv")).agg(count(resolve.EXACT).alias("exact"), count(resolve.FITS).alias("fits"), count(resolve.NAME_ONLY).alias("unknown"))
 

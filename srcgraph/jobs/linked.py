@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcgraph.operators import digest as D
 from srcgraph.operators import extract as X
 from srcgraph.operators import names as N
 from srcgraph.operators import repos as P
 from srcgraph.operators import walk as W
 
 from .catalog import query, table
-from .code import BUCKET, sources
+from .code import _LINES, BUCKET, pages, resolved, sources
 from .scratch import stored
 
 
@@ -170,3 +171,48 @@ def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = sold.groupBy("c_nationkey", "s_nationkey").agg(F.sum("n").alias("n")).join(name("c_nationkey", "x"), "c_nationkey").join(name("s_nationkey", "y"), "s_nationkey")
     edges = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").cast("double").alias("weight"))
     return W.community_stats(edges, members)
+
+
+@query(
+    f"""WITH d AS (SELECT p_partkey // {BUCKET} AS k, count(*) AS n FROM part WHERE starts_with('p' || p_partkey, 'p17') GROUP BY 1),
+    r AS (SELECT o_custkey AS c, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE starts_with('p' || l_partkey, 'p17') GROUP BY 1)
+    SELECT 'lib/L' || k || '.cs' AS path, n AS defs, n AS refs, TRUE AS entry FROM d UNION ALL SELECT 'alt/K' || k || '.cs', n, n, TRUE FROM d UNION ALL SELECT 'app/C' || c || '.cs', 0, n, FALSE FROM r"""
+)
+def source_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that define or use what a word matches."""
+    files = sources(spark, sf_dir)
+    return D.digest(files, X.symbols(files), "p17").select("path", "defs", "refs", "entry")
+
+
+@query(
+    f"""WITH {_LINES}, s AS (SELECT l_partkey AS p, min(tier) AS least FROM tiered GROUP BY 1)
+    SELECT 'p' || p AS callee, 2 AS definitions, CASE WHEN least = 3 THEN 'lib/L' || (p // {BUCKET}) || '.cs' END AS resolved FROM s"""
+)
+def source_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Called names with several definitions, and the one that all their sites mean."""
+    defined, _, pairs = resolved(sources(spark, sf_dir))
+    return D.ambiguity(defined, pairs).select("callee", "definitions", "resolved")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS w FROM part), a AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word FROM part),
+    s AS (SELECT name, array_to_string(w, '_') AS query, array_to_string(w[i:], '') AS suffix, array_to_string(w, '') AS whole FROM n, unnest(range(1, len(w) + 1)) AS u(i)),
+    m AS (SELECT DISTINCT word, query FROM (SELECT DISTINCT word FROM a) JOIN s ON starts_with(suffix, word) OR starts_with(word, whole))
+    SELECT DISTINCT id, query FROM a JOIN m USING (word)"""
+)
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that concern a name: each part is one on the words of its name, and each distinct name is asked for."""
+    part = table(spark, sf_dir, "part")
+    records = part.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("affects"))
+    return D.concerning(records, part.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("query")).distinct())
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 8 AS gap FROM supplier),
+    t AS (SELECT *, length('public class Web' || k || 'x{x    [HttpGet("/supplier/' || k || '/{id}")]x') + gap + length('    public int Get' || k || '()x    {x        return 0;x    }x}x') AS n FROM s)
+    SELECT 'web/S' || k || '.cs' AS path, 'web/S' || k || '.cs: csharp, ' || greatest(1, CAST(round_even(n / 4.0, 0) AS BIGINT)) || ' tokens' || chr(10) || 'class Web' || k || ' L1' || chr(10) || 'method Web' || k || '.Get' || k || ' L' || (4 + gap) AS summary FROM t"""
+)
+def source_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short summary of each file."""
+    files = pages(spark, sf_dir)
+    return D.summaries(files, X.symbols(files))

@@ -94,3 +94,24 @@ def test_coupling_counts_the_first_other_file(spark):
     defined = spark.createDataFrame([("f", "b"), ("f", "a"), ("f", "c"), ("g", "a"), ("h", "b")], "name_l string, path string")
     sites = spark.createDataFrame([("f", "a", "m", False), ("f", "b", "m", False), ("f", "b", "m", False), ("g", "a", "m", False), ("h", "a", None, False), ("h", "a", "m", True), ("h", "c", "m", False)], "callee_l string, caller_path string, caller string, caller_is_test boolean")
     assert {tuple(r) for r in linked.file_coupling(sites, defined).collect()} == {("a", "b", 3), ("b", "c", 1)}
+
+
+def test_digests_summaries_and_decisions(spark):
+    from srcgraph.operators import digest as D
+    from srcgraph.operators import extract as X
+
+    cs = "// Keeps orders. More text.\nusing System.Linq;\nusing A = Shop.Core;\npublic class Order {\n    public int Total(int a) { return getTotal(a) + Sum; }\n    public int Sum { get; set; }\n}\n"
+    py = '"""Totals of a day."""\nimport os, sys\nfrom json import loads\n\ndef get_total(x):\n    return x\n'
+    rows = [("src/Order.cs", "csharp", cs), ("day.py", "python", py), ("tests/test_total.py", "python", "from day import get_total\n\ndef test_total():\n    get_total(1)\n"), ("e.py", "python", "")]
+    files = spark.createDataFrame(rows, "path string, language string, text string")
+    defined = X.symbols(files)
+    got = {r["path"]: (r["defs"], r["refs"], r["purpose_only"], r["entry"]) for r in D.digest(files, defined, "total", D.purposes(files)).collect()}
+    assert got == {"src/Order.cs": (1, 2, False, True), "day.py": (1, 2, False, True), "tests/test_total.py": (1, 3, False, False)}
+    assert {r["path"]: r["purpose"] for r in D.purposes(files).collect()} == {"src/Order.cs": "Keeps orders.", "day.py": "Totals of a day."}
+    assert {(r["path"], r["dependency"]) for r in D.dependencies(files).collect()} == {("src/Order.cs", "System.Linq"), ("src/Order.cs", "Shop.Core"), ("day.py", "os"), ("day.py", "json"), ("tests/test_total.py", "day")}
+    text = {r["path"]: r["summary"] for r in D.summaries(files, defined).collect()}
+    assert text["src/Order.cs"].split("\n")[1:] == ["Keeps orders.", "class Order L4", "method Order.Total L5", "property Order.Sum L6", "uses Shop.Core, System.Linq"] and text["e.py"] == "e.py: python, 1 tokens"
+    assert {r["name"] for r in D.definitions(defined, "total").collect()} == {"Total", "get_total"} and {r["name"] for r in D.definitions(defined, "gettotal", exact=True).collect()} == {"get_total"}
+    records = spark.createDataFrame([(1, ["CaseProcessor"]), (2, ["other", "Case"]), (3, [])], "id int, affects array<string>")
+    asked = spark.createDataFrame([("HandleCaseProcessor",), ("proc",), ("",)], "query string")
+    assert {tuple(r) for r in D.concerning(records, asked).collect()} == {(1, "HandleCaseProcessor"), (2, "HandleCaseProcessor"), (1, "proc")}
