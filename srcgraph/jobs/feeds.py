@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srcgraph.functions import text as T
 from srcgraph.operators import events as E
 from srcgraph.operators import outputs as O
+from srcgraph.operators import store as K
 from srcgraph.sources import tree
 
 from .catalog import query, table
@@ -62,3 +63,19 @@ def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(kind == "click", _join("# ", body)).when(kind == "view", F.substring(body, 1, 12)).when(kind == "signup", _join('{"user": ', _text("user_id"), "}")).otherwise(body)
     rows = tree.json_lines(table(spark, sf_dir, "events").select(F.coalesce(value, F.lit("")).alias("value")), "user long, k long", ["user", "k"])
     return rows.groupBy(F.col("user").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+
+
+@query(
+    """WITH i AS (SELECT source || '/' || doc_id AS path, md5(text) AS content_hash, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS seen FROM documents d),
+    k AS (SELECT * FROM i WHERE NOT starts_with(path, 'src1') OR seen)
+    SELECT content_hash, count(*) AS paths, min(path) AS first_path FROM k GROUP BY 1"""
+)
+def index_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of documents by path and content: paths under a prefix that a walk has not seen go, and contents
+    that no path names go with them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _join(F.col("source"), "/", _text("doc_id")).alias("path"), F.md5("text").alias("content_hash"))
+    index = docs.select("path", "content_hash")
+    seen = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("path")
+    left = K.pruned(index, seen, "src1")
+    blobs = K.referenced(index.select("content_hash").distinct(), left)
+    return left.join(blobs, "content_hash").groupBy("content_hash").agg(F.count(F.lit(1)).alias("paths"), F.min("path").alias("first_path"))
