@@ -160,8 +160,8 @@ def frequencies(encoded: DataFrame, size: int, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in unpacked(batch.column(0), width):
-                counts += np.bincount(ids, minlength=size)
+            if batch.num_rows:
+                counts += np.bincount(np.concatenate(unpacked(batch.column(0), width)), minlength=size)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
@@ -239,11 +239,11 @@ def write(encoded: DataFrame, order: np.ndarray, width: str, folder: str) -> Non
             made = block(part, before, docs, [len(h) for h in held], ranks.value[np.concatenate(held)])
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["block"])
 
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                docs.append(names[i])
-                held.append(unpacked(batch.column(1).slice(i, 1), width)[0])
+            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs.append(name)
+                held.append(np.frombuffer(press.decompress(ids.as_buffer()), width))
                 open_ += len(held[-1])
                 if open_ >= BLOCK_IDS:
                     yield closed()
