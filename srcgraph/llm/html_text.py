@@ -2,9 +2,11 @@
 
 All visible text comes out: blocks on lines of their own, paragraphs and headings apart by an empty
 line, lists with bullets or numbers and their depth, table cells in aligned columns, preformatted
-text as it is. Scripts, styles, the head, hidden elements and comments are not visible.
+text as it is. Scripts, styles, the head, hidden elements and comments are not visible; nor is what the page's own
+style rules hide, as far as their selectors are single elements (a tag, classes, an id), or what a closed
+<details> holds. Cells with lists, line breaks or tables within keep their lines.
 
-Both passes use explicit stacks, so depth is not bounded by recursion, and each page is a row of
+Passes use explicit stacks; only tables within tables recurse, and DEEPEST bounds those. Each page is a row of
 its own: no shuffle.
 
 Defined cases: null or empty markup renders to the empty text; unclosed and misnested tags are
@@ -54,10 +56,10 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "hidden", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.hidden = tag, attributes, [], False
 
 
 def tree(markup: str) -> Node:
@@ -124,7 +126,9 @@ def tree(markup: str) -> Node:
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(markup, at)
             inner = markup[at : stop.start() if stop else end]
-            if tag not in HIDDEN:
+            if tag == "style":
+                node.children.append(inner)
+            elif tag not in HIDDEN:
                 node.children.append(html.unescape(inner))
             at = stop.start() if stop else end
             stack.append(node)
@@ -137,8 +141,50 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attributes)}
 
 
+#: One rule of a style sheet without nested blocks; a selector of one element.
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+SHOWS = re.compile(r"(?:^|;)display:([a-z-]+)(!important)?")
+
+
+def rules(sheet: str) -> list[tuple[tuple, str, frozenset, frozenset, bool]]:
+    """(weight, tag, classes, ids, hides) of the rules that set display, in order. Blocks of @-rules are passed over."""
+    flat = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)
+    flat = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*(?:\}|\Z))", "", flat)
+    found = []
+    for n, m in enumerate(RULE.finditer(flat)):
+        shown_as = SHOWS.findall(SPACE.sub("", m[2].lower()))
+        for one in m[1].split(",") if shown_as else ():
+            part = SELECTOR.fullmatch(one.strip())
+            if part and part[0]:
+                names = re.findall(r"([.#])([\w-]+)", part[2])
+                classes, ids = (frozenset(x for sign, x in names if sign == s) for s in ".#")
+                tag = (part[1] or "*").lower()
+                found.append(((bool(shown_as[-1][1]), len(ids), len(classes), tag != "*", n), tag, classes, ids, shown_as[-1][0] == "none"))
+    return sorted(found, key=lambda r: r[0])
+
+
+def marked(root: Node) -> Node:
+    """The tree with what style rules hide marked, and closed <details> without what they hold."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        if node.tag == "details" and "open" not in attributes(node):
+            node.children = [c for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
+        todo.extend(c for c in node.children if not isinstance(c, str))
+    listed = rules("\n".join(c for n in nodes if n.tag == "style" for c in n.children if isinstance(c, str)))
+    for node in nodes if listed else ():
+        found = attributes(node) if node.attributes else {}
+        classes, own = set(found.get("class", "").split()), found.get("id")
+        for weight, tag, wanted, ids, hides in listed:
+            if tag in ("*", node.tag) and wanted <= classes and ids <= {own} and (weight[0] or not SHOWS.search(style_of(found))):
+                node.hidden = hides
+    return root
+
+
 def visible(node: Node) -> bool:
-    if node.tag in HIDDEN:
+    if node.hidden or node.tag in HIDDEN:
         return False
     if not node.attributes or not node.attributes.strip():
         return True
@@ -206,8 +252,18 @@ class Page:
         return "\n".join(self.lines)
 
 
+#: Elements that make a cell keep its lines.
+LINED = frozenset("ul ol menu dl pre br table".split())
+
+
 def cell_text(node: Node, inherited: bool) -> str:
-    return SPACE.sub(" ", " ".join(render(node, shown(node, inherited)).split("\n"))).strip(" ")
+    """One line, or several where the cell holds what is made of lines."""
+    made, todo = render(node, shown(node, inherited)), [node]
+    while todo:
+        if todo[-1].tag in LINED and todo[-1] is not node:
+            return "\n".join(line for line in made.split("\n") if line.strip())
+        todo.extend(c for c in todo.pop().children if not isinstance(c, str))
+    return SPACE.sub(" ", " ".join(made.split("\n"))).strip(" ")
 
 
 def span(node: Node, name: str = "colspan") -> int:
@@ -252,16 +308,18 @@ def table_lines(table: Node, inherited: bool) -> list[str]:
     for row in rows:
         for at, value, n in row:
             if n == 1:
-                widths[at] = max(widths.get(at, 0), len(value))
-    lines = lead
+                widths[at] = max(widths.get(at, 0), *map(len, value.split("\n")))
+    lines = [line for value in lead for line in value.split("\n")]
     for row in rows:
-        parts, column = [], 0
-        for at, value, n in row:
-            parts += ["".ljust(widths.get(c, 0)) for c in range(column, at)]
-            parts.append(value.ljust(sum(widths.get(at + i, 0) for i in range(n)) + 3 * (n - 1)))
-            column = at + n
-        if line := " | ".join(parts).rstrip(" |"):
-            lines.append(line)
+        split = [(at, value.split("\n"), n) for at, value, n in row]
+        for k in range(max((len(v) for _, v, _ in split), default=0)):
+            parts, column = [], 0
+            for at, values, n in split:
+                parts += ["".ljust(widths.get(c, 0)) for c in range(column, at)]
+                parts.append((values[k] if k < len(values) else "").ljust(sum(widths.get(at + i, 0) for i in range(n)) + 3 * (n - 1)))
+                column = at + n
+            if line := " | ".join(parts).rstrip(" |"):
+                lines.append(line)
     return lines
 
 
@@ -295,8 +353,10 @@ def render(root: Node, seen: bool = True) -> str:
                 page.gap = True
                 continue
             if tag in ("ul", "ol", "menu"):
-                start = attributes(node).get("start", "") if tag == "ol" and node.attributes else ""
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
+                found = attributes(node) if tag == "ol" and node.attributes else {}
+                down, start = "reversed" in found, found.get("start", "")
+                first = sum(not isinstance(c, str) and c.tag == "li" and visible(c) for c in node.children) if down else 1
+                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else first, -1 if down else 1])
                 page.indent += 2 if tag != "ol" else 3
             elif tag == "li":
                 ordered = lists and lists[-1][0]
@@ -305,7 +365,7 @@ def render(root: Node, seen: bool = True) -> str:
                     lists[-1][1] = int(own)
                 page.mark = f"{lists[-1][1]}. " if ordered else "- "
                 if ordered:
-                    lists[-1][1] += 1
+                    lists[-1][1] += lists[-1][2]
             elif tag in ("blockquote", "dd"):
                 page.indent += 2
             elif tag in ("td", "th"):
@@ -330,7 +390,7 @@ def render(root: Node, seen: bool = True) -> str:
 
 def extract(markup: str) -> str:
     """The visible text of a page."""
-    return render(tree(markup))
+    return render(marked(tree(markup)))
 
 
 def extract_pages(df: DataFrame, keys: list[str], column: str = "html") -> DataFrame:
