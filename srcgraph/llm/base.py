@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcgraph.jobs import scratch
+from srcgraph.jobs.scratch import dropped, scratch_dir  # noqa: F401  the operators take them from here
+
 #: Rows and bytes of one slice of an Arrow batch; a single longer text still comes whole.
 SLICE_ROWS, SLICE_BYTES, ARROW_ROWS = 512, 8 << 20, 1024
 ARROW = {
@@ -33,35 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary one serves a local
-    master only: on a cluster, other machines would not see it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it again: lineage ends here, and a
-    lost executor costs nothing that was computed before."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    """scratch.stored, with batches of texts bounded."""
+    bounded_batches(df.sparkSession)
+    return scratch.stored(df, name)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
