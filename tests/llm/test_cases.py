@@ -123,3 +123,58 @@ def test_layout_equals_a_plain_renderer():
                 wide = max(len(r[0]) for r in rows)
                 want.append([f"{r[0].ljust(wide)} | {r[1]}" for r in rows])
         assert html_text.extract("".join(markup)) == "\n\n".join("\n".join(block) for block in want), "".join(markup)
+
+
+def plain_crc(bits):
+    value = 0xFFFF
+    for bit in bits:
+        top = value >> 15 ^ bit
+        value = (value << 1) & 0xFFFF
+        value ^= 0x8005 if top else 0
+    return value
+
+
+@pytest.mark.parametrize(("second", "index", "mode", "bits"), [
+    (0xFE, 8, 0, 256), (0xFE, 8, 3, 128), (0xFE, 8, 0x40 >> 6 | 0, 4 * (4 + 32)), (0xFC, 10, 3, None), (0xFC, 10, 0, None), (0xFC, 2, 3, None), (0xF4, 8, 3, None),
+])
+def test_checksums_of_layers_one_and_two(second, index, mode, bits):
+    rng = random.Random(second + index + mode)
+    word = bytes((0xFF, second, index << 4 | 1 << 2, mode << 6))
+    h = media.header(word)
+    assert h.protected and h.layer in (1, 2)
+    frames = []
+    for _ in range(5):
+        body = rng.randbytes(h.size - 6)
+        flat = [b >> k & 1 for b in word[2:] + body for k in range(7, -1, -1)]
+        count = media.covered_bits(h, body)
+        assert bits is None or count == bits
+        frames.append(word + plain_crc(flat[: 16 + count]).to_bytes(2) + body)
+    found = media.read_stream(b"".join(frames))
+    assert (found.checked, found.bad, len(found.offsets), found.samples) == (5, 0, 5, 5 * h.samples)
+    wrong = bytearray(b"".join(frames))
+    wrong[h.size + 6] ^= 0x80
+    assert media.read_stream(bytes(wrong)).bad == 1
+
+
+def test_allocation_of_layer_two_is_counted_by_hand():
+    # 48 kHz mono at 160 kbit/s: 11 subbands of 4 bits, 12 of 3, 4 of 2; nothing chosen, then all.
+    h = media.header(bytes((0xFF, 0xFC, 9 << 4 | 1 << 2, 0xC0)))
+    assert media.covered_bits(h, bytes(200)) == 44 + 36 + 8 and media.covered_bits(h, b"\xff" * 200) == 88 + 2 * 27
+
+
+def test_tables_tags_and_free_format():
+    word = bytes((0xFF, 0xFB, 9 << 4, 0xC0))
+    size = media.header(word).size
+    vbri = b"VBRI" + (1).to_bytes(2) + bytes(4) + (9000).to_bytes(4) + (3).to_bytes(4) + (2).to_bytes(2) + (1).to_bytes(2) + (2).to_bytes(2) + (1).to_bytes(2) + b"abcd"
+    head = (word + bytes(32) + vbri).ljust(size, b"\0")
+    found = media.read_stream(head + 3 * word.ljust(size, b"\1"))
+    assert found.vbr == (3, 9000, b"abcd") and len(found.offsets) == 3
+    text = b"\0k\0" + b"v\xff\x00w" * 40
+    frame = b"TXXX" + media._syncsafe(len(text)) + b"\0\x02" + text
+    tag = b"ID3\x04\0\x00" + media._syncsafe(len(frame)) + frame
+    assert media.read_stream(tag + word.ljust(size, b"\1")).tags == {"k": "v\xffw" * 40}
+    old = b"TXXX" + len(b"\0k\0v\xffw").to_bytes(4) + b"\0\0" + b"\0k\0v\xff\x00w"
+    assert media.read_stream(b"ID3\x03\0\x80" + media._syncsafe(len(old)) + old + word.ljust(size, b"\1")).tags == {"k": "v\xffw"}
+    free = bytes((0xFF, 0xFB, 0, 0xC0))
+    got = media.read_stream(b"".join(free.ljust(500, b"\2") for _ in range(4)))
+    assert got.offsets == [0, 500, 1000, 1500] and got.samples == 4 * 1152 and got.skipped == 0
