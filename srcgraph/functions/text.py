@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 URL_STOP = ("", "api", "v1", "v2", "v3", "index")
 # Parts of the paths of generated files (fixed values).
 GENERATED = ("/connected services/", "reference.cs", ".g.cs", ".designer.")
+# Words in the names of files that are entered from outside (fixed values).
+ENTRIES = "controller|consumer|processor|handler|endpoint|worker|program|startup"
 COMMENT_MARKERS = "TODO|FIXME|HACK|XXX|BUG|DEPRECATED|WORKAROUND"
 
 
@@ -60,6 +62,11 @@ def is_test_path(path: Column) -> Column:
     return lowered.rlike(r"(^|/)(tests?|[^/]*\.tests?)/") | stem.rlike(r"(^|[^a-z])(tests?|spec)([^a-z]|$)")
 
 
+def is_entry_path(path: Column) -> Column:
+    """Whether a file's name says that it is entered from outside."""
+    return F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1).rlike(f"(?i)({ENTRIES})")
+
+
 def is_generated_path(path: Column, marks: Sequence[str] = GENERATED) -> Column:
     lowered = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
     found = F.lit(False)

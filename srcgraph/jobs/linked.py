@@ -216,3 +216,32 @@ def source_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short summary of each file."""
     files = pages(spark, sf_dir)
     return D.summaries(files, X.symbols(files))
+
+
+def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sources() and tests/T<customer>.cs: a method that calls those of the customer's orders."""
+    line = _join("        o", _text("o_orderkey"), "();\n")
+    lines = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", line.alias("l")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "l"))), lambda x: x.l), "").alias("b"))
+    k = _text("o_custkey")
+    text = _join("public class T", k, "\n{\n    public void check", k, "()\n    {\n", F.col("b"), "    }\n}\n")
+    return sources(spark, sf_dir).unionByName(lines.select(_join("tests/T", k, ".cs").alias("path"), F.lit("csharp").alias("language"), text.alias("text")))
+
+
+_COVERED = """t AS (SELECT o_custkey AS c, min(o_orderkey) AS o, min('o' || o_orderkey) AS via FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE starts_with('p' || l_partkey, 'p17') GROUP BY 1)"""
+
+
+@query(f"WITH {_COVERED} SELECT 'check' || c AS name, 'T' || c AS container, 'tests/T' || c || '.cs' AS path, 3 AS line, 2 AS depth, via FROM t")
+def source_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests that reach the parts that a word matches, through the orders that call them."""
+    defined, sites, _ = resolved(tested(spark, sf_dir))
+    return D.covering_tests(sites, defined, "p17")
+
+
+@query(
+    f"""WITH {_COVERED}, f AS (SELECT 'T' || c || '.check' || c AS n, row_number() OVER (ORDER BY 'tests/T' || c || '.cs') AS r, count(*) OVER () AS k FROM t)
+    SELECT 'dotnet test --filter "' || string_agg('FullyQualifiedName~' || n, '|' ORDER BY r) || '"' || CASE WHEN max(k) > 12 THEN '   # +' || (max(k) - 12) || ' more not included' ELSE '' END AS command FROM f WHERE r <= 12"""
+)
+def source_test_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command that runs the nearest of those tests."""
+    defined, sites, _ = resolved(tested(spark, sf_dir))
+    return D.test_command(D.covering_tests(sites, defined, "p17"))

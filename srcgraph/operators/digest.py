@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcgraph.functions import text as T
-from srcgraph.operators import resolve
+from srcgraph.operators import resolve, walk
 from srcgraph.operators.names import matching
 
 #: Symbols and dependencies that a summary names; kinds in the order in which it names them.
@@ -20,6 +20,10 @@ _DEPENDS = {
     "python": (r"(?m)^import\s+(\w+)", r"(?m)^from\s+(\w+)"),
     "javascript": (r"\bfrom\s*[\"']([^\"']+)[\"']", r"\brequire\(\s*[\"']([^\"']+)[\"']", r"(?m)^\s*import\s*[\"']([^\"']+)[\"']"),
 }
+#: Names of a test filter; test runners by suffix, and how they are asked for some tests.
+MOST_NAMES = 12
+RUNNERS = {"cs": "dotnet", "vb": "dotnet", "py": "pytest", "ts": "jest", "tsx": "jest", "js": "jest", "jsx": "jest"}
+_FILTERS = {"dotnet": ('dotnet test --filter "', "FullyQualifiedName~", "|"), "pytest": ('python -m pytest -k "', "", " or "), "jest": ('npx jest -t "', "", "|")}
 _DEPENDS["typescript"] = _DEPENDS["javascript"]
 
 
@@ -102,3 +106,39 @@ def summaries(files: DataFrame, defined: DataFrame) -> DataFrame:
     head = F.concat("path", F.lit(": "), F.coalesce("language", F.lit("generic")), F.lit(", "), F.col("tokens").cast("string"), F.lit(" tokens"))
     parts = F.concat(F.array(head, F.col("purpose")), F.coalesce(F.transform("s", lambda x: x.t), F.array().cast("array<string>")), F.array(more, F.concat(F.lit("uses "), "uses")))
     return met.select("path", F.array_join(F.array_compact(parts), "\n").alias("summary"))
+
+
+def covering_tests(sites: DataFrame, defined: DataFrame, query: str, depth: int = 4) -> DataFrame:
+    """(name, container, path, line, depth, via): test methods that reach a symbol whose name a query matches, through
+    any callers, with the least number of steps and the call that leads there."""
+    calls = sites.where("caller is not null").select(F.col("callee_l").alias("src"), F.lower("caller").alias("dst")).distinct()
+    seeds = defined.where(T.matches(F.col("name"), query)).select(F.col("name_l").alias("node")).distinct()
+    reached = walk.reach(calls, seeds, depth - 1)
+    found = sites.where("caller_is_test and caller is not null").join(reached, F.col("callee_l") == F.col("node"))
+    rows = found.select(F.col("caller").alias("name"), F.col("caller_container").alias("container"), F.col("caller_path").alias("path"), F.col("caller_line").alias("line"), (F.col("depth") + 1).alias("depth"), F.col("callee_l").alias("via"))
+    return rows.groupBy("name", "container", "path", "line").agg(F.min(F.struct("depth", "via")).alias("b")).select("name", "container", "path", "line", "b.depth", "b.via")
+
+
+def test_command(tests: DataFrame) -> DataFrame:
+    """(command): one row with a command that runs the nearest MOST_NAMES of the found tests by the runner that most of
+    them belong to, and how many more there are; no row where no runner is known."""
+    suffix = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    runner = F.coalesce(*(F.when(suffix == s, r) for s, r in RUNNERS.items()))
+    known = tests.withColumn("runner", runner).where("runner is not null")
+    most = known.groupBy("runner").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "runner").limit(1).select("runner")
+    full = F.when(F.col("container").isNotNull() & (F.col("container") != ""), F.concat("container", F.lit("."), "name")).otherwise(F.col("name"))
+    names = known.join(F.broadcast(most), "runner").groupBy("runner", full.alias("full")).agg(F.min(F.struct("depth", "path", "line")).alias("o"))  # most: one row
+    count = names.groupBy("runner").agg(F.count(F.lit(1)).alias("n"))
+    best = names.orderBy("o", "full").limit(MOST_NAMES).groupBy("runner").agg(F.array_sort(F.collect_list(F.struct("o", "full"))).alias("b"))
+    command = F.lit(None).cast("string")
+    for name, (head, mark, between) in _FILTERS.items():
+        full_names = F.transform("b", lambda x: x.full)
+        shown = full_names if name == "dotnet" else F.transform(full_names, T.short_name)
+        listed = F.array_join(F.transform(shown, _marked(mark)), between)
+        command = F.when(F.col("runner") == name, F.concat(F.lit(head), listed, F.lit('"'))).otherwise(command)
+    more = F.when(F.col("n") > MOST_NAMES, F.concat(F.lit("   # +"), (F.col("n") - MOST_NAMES).cast("string"), F.lit(" more not included"))).otherwise("")
+    return best.join(F.broadcast(count), "runner").select(F.concat(command, more).alias("command"))  # one row
+
+
+def _marked(mark: str):  # noqa: ANN202
+    return lambda x: F.concat(F.lit(mark), x)

@@ -172,8 +172,8 @@ def callers(sites: DataFrame, name: str) -> DataFrame:
 
 
 def dead(defined: DataFrame, sites: DataFrame) -> DataFrame:
-    """Production methods and functions that nothing calls."""
-    live = defined.where("kind in ('method', 'function') and not is_test and not generated")
+    """Production methods and functions that nothing calls; files that are entered from outside are left out."""
+    live = defined.where("kind in ('method', 'function') and not is_test and not generated").where(~T.is_entry_path(F.col("path")))
     return live.join(sites.select(F.col("callee_l").alias("name_l")).distinct(), "name_l", "left_anti").select("path", "name", "line")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcgraph.functions import text as T
+
 from . import resolve
 
 # Beginnings of framework names, and parts of framework paths (fixed values).
@@ -35,15 +37,11 @@ def is_framework(method: Column, path: Column) -> Column:
     return found
 
 
-def short_of(name: Column) -> Column:
-    return F.lower(F.element_at(F.split(name, "[.#]"), -1))
-
-
 def resolve_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     """frames (trace_id, line_no, method, path, line) with status project, external or unresolved, the
     symbol that explains each best (its class, file name, path, production code, in this order of weight;
     the smaller sym_seq on a tie) and drift, where the frame's line is outside the symbol's extent."""
-    named = frames.select("trace_id", "line_no", "method", F.col("path").alias("trace_path"), F.col("line").alias("trace_line")).withColumn("name_l", short_of(F.col("method")))
+    named = frames.select("trace_id", "line_no", "method", F.col("path").alias("trace_path"), F.col("line").alias("trace_line")).withColumn("name_l", F.lower(T.short_name(F.col("method"))))
     found = named.join(symbols.select("name_l", "name", "container", "path", "line", "end_line", "is_test", "generated", "sym_seq"), "name_l")
     owners = F.transform(F.slice(F.split("method", "[.#]"), 1, F.size(F.split("method", "[.#]")) - 1), F.lower)
     base = lambda p: F.element_at(F.split(_slashed(p), "/"), -1)

@@ -115,3 +115,23 @@ def test_digests_summaries_and_decisions(spark):
     records = spark.createDataFrame([(1, ["CaseProcessor"]), (2, ["other", "Case"]), (3, [])], "id int, affects array<string>")
     asked = spark.createDataFrame([("HandleCaseProcessor",), ("proc",), ("",)], "query string")
     assert {tuple(r) for r in D.concerning(records, asked).collect()} == {(1, "HandleCaseProcessor"), (2, "HandleCaseProcessor"), (1, "proc")}
+
+
+def test_tests_that_reach_a_symbol_and_their_command(spark):
+    from srcgraph.operators import digest as D
+    from srcgraph.operators import extract as X
+
+    rows = [
+        ("src/a.py", "python", "def save():\n    return 1\n\ndef mid():\n    save()\n"),
+        ("tests/test_a.py", "python", "def test_near():\n    save()\n\ndef helper():\n    mid()\n\ndef test_far():\n    helper()\n    mid()\n"),
+        ("tests/b.test.ts", "typescript", "function other() {\n  nothing();\n}\n"),
+        ("src/Worker.cs", "csharp", "public class W {\n    public void Lonely() { }\n}\n"),
+    ]
+    files = spark.createDataFrame(rows, "path string, language string, text string")
+    defined = X.symbols(files)
+    sites = X.call_sites(files, defined)
+    found = D.covering_tests(sites, defined, "save")
+    assert {(r["name"], r["depth"], r["via"]) for r in found.collect()} == {("test_near", 1, "save"), ("helper", 2, "mid"), ("test_far", 2, "mid")}
+    assert D.test_command(found).collect()[0]["command"] == 'python -m pytest -k "test_near or helper or test_far"'
+    assert D.test_command(found.limit(0)).count() == 0
+    assert {r["name"] for r in X.dead(defined, sites).collect()} == set()
