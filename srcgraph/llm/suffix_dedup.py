@@ -275,8 +275,8 @@ def _cut(with_text: bool):  # noqa: ANN202
                     at = b
                 kept.append(data[at:])
                 kept = b"".join(kept)
-                # A character that is cut through is not text any more.
-                rest = kept.decode("utf-8", "ignore") if with_text else None
+                # A character that is cut through is not text any more. A text that keeps all its bytes does not travel.
+                rest = kept.decode("utf-8", "ignore") if with_text and len(spans) else None
                 for values, value in zip(out, (len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans.ravel().tolist(), rest), strict=True):
                     values.append(value)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
@@ -296,7 +296,8 @@ def classes_of(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def removed_by_class(classes: DataFrame, with_text: bool = False) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept_sha256, spans, kept) for each text; kept is null without with_text."""
+    """(k1, k2, n_removed, n_spans, kept_sha256, spans, kept) for each text; kept is null without with_text, and for a text that
+    keeps all its bytes."""
     long = classes.where(F.octet_length("text") >= WINDOW)
     # All three readers of the texts take the same columns, so that one exchange serves them.
     anchors = long.select("k1", "k2", "text", "copies").mapInArrow(_anchors, "h long, k1 long, k2 long, p long")
