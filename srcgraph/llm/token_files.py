@@ -41,7 +41,7 @@ from .bpe import byte_symbols
 
 END_ID = 1
 #: Stretches and words of a generation that a worker keeps, and their longest; ids of a block; bytes of packed ids that one task writes.
-KEPT, LONGEST, BLOCK_IDS, PART_BYTES = 150_000, 48, 1 << 16, 16 << 20
+KEPT, LONGEST, BLOCK_IDS, PART_BYTES = 200_000, 48, 1 << 16, 16 << 20
 MARK = b"SVB1"
 HEADER = struct.Struct("<4sIIQQQ")
 # Words of a stretch in lower case: contractions, letters, one digit, other signs (fixed values).
@@ -97,10 +97,12 @@ class Encoder:
         return struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
 
     def stretch(self, stretch: str) -> bytes:
-        if not (self.split and _PLAIN(stretch)) or "<|" in stretch:
+        ascii_only = stretch.isascii()
+        if not (self.split and (ascii_only or _PLAIN(stretch))) or "<|" in stretch:
             return np.array(self.ids(stretch), self.width).tobytes()
         now, old, out = self.words.now, self.words.old, []
-        for w in _WORD.findall(stretch.lower()):
+        low = stretch.lower()
+        for w in (low,) if ascii_only and low.isalpha() else _WORD.findall(low):
             ids = now.get(w)
             if ids is None:
                 ids = old.get(w) or self.word(w)
@@ -115,14 +117,21 @@ class Encoder:
         self.stretches.turn()
         self.words.turn()
         parts, now, old = text.split(), self.stretches.now, self.stretches.old
-        long: dict[str, bytes] = {}
-        for p in dict.fromkeys(parts):
-            if p not in now:
+        found = list(map(now.get, parts))
+        unknown = found.count(None)
+        at = -1
+        for _ in range(unknown):
+            at = found.index(None, at + 1)
+            p = parts[at]
+            ids = now.get(p)  # an earlier place of this text may have learnt it
+            if ids is None:
                 ids = old.get(p)
                 if ids is None:
                     ids = self.stretch(p)
-                (now if len(p) <= LONGEST else long)[p] = ids
-        return b"".join([now[p] if p in now else long[p] for p in parts] if long else map(now.__getitem__, parts))
+                if len(p) <= LONGEST:
+                    now[p] = ids
+            found[at] = ids
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
