@@ -181,11 +181,14 @@ def _doubled(state: DataFrame, pointer: str, combined, name: str) -> DataFrame:
             return state
         other = state.select("conv_id", F.col("id").alias(pointer), *(F.col(c).alias(f"__{c}") for c in kept), F.col(pointer).alias("__pointer"))
         made = combined(lambda c: F.col(c), lambda c: F.col(f"__{c}"))
-        joined = state.join(other, ["conv_id", pointer], "left")
+        # Rows without a pointer are done; only the others ask.
+        joined = state.where(F.col(pointer).isNotNull()).join(other, ["conv_id", pointer], "left")
         values = {c: made.get(c, F.col(c)).alias(c) for c in kept}
         # What is found needs no pointer any more, where the pointer leads to a value and not along a chain.
         rest: Column = F.when(values["next"].isNull(), F.col("__pointer")) if "next" in values else F.col("__pointer")
-        following_state = stored(joined.select("conv_id", "id", *values.values(), rest.alias(pointer)), name)
+        columns = ["conv_id", "id", *kept, pointer]
+        asked = joined.select("conv_id", "id", *values.values(), rest.alias(pointer)).select(columns)
+        following_state = stored(asked.unionByName(state.where(F.col(pointer).isNull()).select(columns)), name)
         dropped(state)
         state = following_state
     raise RuntimeError(f"{name} is not followed to its ends after {MOST_ROUNDS} rounds")
