@@ -90,5 +90,6 @@ def map_texts(df: DataFrame, keys: list[str], column: str, one: Callable[[str],
             rows = [one(text) for text in batch.column(len(keys)).to_pylist()]
             made = [pa.array(values, ARROW[kind]) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *made], names=[*keys, *names])
+        released()
 
     return kept.mapInArrow(run, out_schema)

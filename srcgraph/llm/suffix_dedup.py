@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import stored, text_slices
+from .base import released, stored, text_slices
 
 WINDOW, GRAM = 200, 64
 #: Bytes where a digit begins and ends.
 DIGITS = ((0, 64), (64, 128), (128, 200))
-#: Occurrences of an anchor that one task compares; bytes hashed at a time.
-HOT, CHUNK = 20_000, 1 << 21
+#: Occurrences of an anchor that one task compares; bytes hashed at a time, which takes some fifty times that.
+HOT, CHUNK = 20_000, 1 << 19
 PLACES = np.uint64((1 << 24) - 1)
 
 
@@ -50,16 +50,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Digests of all substrings of 1, 2, 4 ... most bytes."""
+def _powers(data: np.ndarray, *sizes: int) -> dict[int, np.ndarray]:
+    """Digests of all substrings of each of these sizes (powers of two); no others are kept."""
     h, n = _mixed((data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), 1
-    found = {1: h}
+    found = {n: h} if n in sizes else {}
     factor = 0xBF58476D1CE4E5B9
-    while n < most and len(h) > n:
-        h = h[:-n] * np.uint64(factor) + h[n:]
+    while n < max(sizes) and len(h) > n:
+        longer = h[:-n] * np.uint64(factor)
+        longer += h[n:]
+        h = longer
         factor = (factor * factor | 1) & ((1 << 64) - 1)
         n *= 2
-        found[n] = h
+        if n in sizes:
+            found[n] = h
     return found
 
 
@@ -69,10 +72,25 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 def digits_of(data: np.ndarray) -> list[np.ndarray]:
     """Digests of the digits of each window that starts in data, one array for each of DIGITS."""
-    p, n = _powers(data, 64), len(data) - WINDOW + 1
+    p, n = _powers(data, 64, *(z - a - 64 for a, z in DIGITS if z - a > 64)), len(data) - WINDOW + 1
     return [p[64][a : a + n] if z - a == 64 else p[64][a : a + n] * np.uint64(0x94D049BB133111EB) + p[z - a - 64][a + 64 : a + 64 + n] for a, z in DIGITS]
 
 
+def digits_of_contexts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The same for the windows of contexts, which lie in data between the places `at`. About CHUNK bytes are
+    hashed at a time, so that a group of any size takes no more than its windows' own digests."""
+    ends = np.r_[0, np.cumsum(np.diff(at) - WINDOW + 1)]
+    out = [np.empty(ends[-1], np.uint64) for _ in DIGITS]
+    a = 0
+    while a < len(at) - 1:
+        z = max(a + 1, int(np.searchsorted(at, at[a] + CHUNK, "right")) - 1)
+        place = np.arange(ends[a], ends[z]) + np.repeat(at[a:z] - at[a] - ends[a:z], np.diff(ends[a : z + 1]))
+        for digests, found in zip(out, digits_of(data[at[a] : at[z]]), strict=True):
+            digests[ends[a] : ends[z]] = found[place]
+        a = z
+    return out
+
+
 def window_digests(digits: list[np.ndarray]) -> np.ndarray:
     h = digits[0]
     for d in digits[1:]:
@@ -149,6 +167,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, digest, place, _, _ = filed(data, starts, ends)
             row = rows[text]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest.view(np.int64), k1[row], k2[row], place + offset[text])], names=["h", "k1", "k2", "p"])
+    released()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +201,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[:7] = [np.concatenate(v) for v in out[:7]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["h", "part", "parts", "k1", "k2", "lo", "own", "context"])
+    released()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +225,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = joined.num_rows - cut
     if held:
         yield from _equal(pa.Table.from_batches(held).combine_chunks())
+    released()
 
 
 def _equal(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -225,7 +246,7 @@ def _equal(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         counts = np.diff(at) - WINDOW + 1
         row = np.repeat(np.arange(a, z), counts)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        digits = [d[at[row - a] + shift] for d in digits_of(data)]
+        digits = digits_of_contexts(data, at)
         digest = window_digests(digits)
         group = equal_groups(digits)
         repeated = group >= 0
@@ -281,6 +302,7 @@ def _cut(with_text: bool):  # noqa: ANN202
                     values.append(value)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([k1, k2, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+        released()
 
     return run
 
