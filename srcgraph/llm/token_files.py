@@ -1,8 +1,9 @@
 """Token ids in binary files: ids ranked by frequency, in byte-aligned codes of one to four bytes.
 
-1. Texts are encoded by the tokenizers library. Stretches between white space and their words are encoded once and
-   kept in bounded tables of the worker; no token of a vocabulary that drops white space goes across one, which
-   Encoder checks with the library, and encodes whole texts where it does not hold. An end id follows each document.
+1. Texts are encoded by the tokenizers library. Stretches between white space and their words are encoded once, in lower
+   case where the text is plain, and kept in bounded tables of the worker; no token of a vocabulary that drops white
+   space goes across one, which Encoder checks with the library, and encodes whole texts where it does not hold. An
+   end id follows each document.
 2. Ids are counted over the whole corpus, in tables no longer than the vocabulary, and ranked: the most
    frequent is 0.
 3. Rows are dealt by ranges of doc_id, and each task writes blocks, one after another, through Spark's own file
@@ -26,6 +27,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -44,9 +46,9 @@ END_ID = 1
 KEPT, LONGEST, BLOCK_IDS, PART_BYTES = 200_000, 48, 1 << 16, 16 << 20
 MARK = b"SVB1"
 HEADER = struct.Struct("<4sIIQQQ")
-# Words of a stretch in lower case: contractions, letters, one digit, other signs (fixed values).
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zÀ-ÖØ-öø-ɏ0-9]+")
-_PLAIN = re.compile(r"[!-~À-ɏ]+").fullmatch
+# Words in lower case, white space aside: contractions, letters, one digit, other signs (fixed values).
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^\sa-zÀ-ÖØ-öø-ɏ0-9]+")
+_PLAIN = re.compile(r"[ \t\n\r\x0b\x0c!-~À-ɏ]+").fullmatch
 # White space that str.split() knows and Unicode's White_Space does not (fixed values).
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -68,7 +70,7 @@ class Encoder:
     """Texts to ids, packed as unsigned little-endian integers of `width`. Stretches between white space are looked up
     in one table, their words in another; words that neither knows go to the library's model. Words are found
     here only where all characters of a stretch are ASCII or Latin letters up to U+024F; other stretches go to
-    the library whole."""
+    the library whole. A text of such characters alone, with no special token, is put in lower case first."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
@@ -81,7 +83,8 @@ class Encoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self.stretches, self.words = Kept(), Kept()
-        self.signs = byte_symbols()
+        self.unit = "H" if self.width == "<u2" else "I"
+        self.signs = {b: s for b, s in byte_symbols().items() if chr(b) != s}
         # White space must part tokens and leave none behind, alone or between two words; so must what parts words.
         whole = self.ids("a")
         self.parted = all(self.ids(f"{s}a{s}{s}a{s}") == whole * 2 for s in " \t\n\r\x0b\x0c\x85\xa0  　")
@@ -93,45 +96,55 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """A lower-case word's ids by the model, which takes bytes as signs."""
-        ids = [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode())))]
-        return struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.signs))]
+        return array(self.unit, ids).tobytes()
+
+    def known(self, word: str) -> bytes:
+        ids = self.words.now.get(word)
+        if ids is None:
+            ids = self.words.old.get(word) or self.word(word)
+            if len(word) <= LONGEST:
+                self.words.now[word] = ids
+        return ids
 
     def stretch(self, stretch: str) -> bytes:
         ascii_only = stretch.isascii()
         if not (self.split and (ascii_only or _PLAIN(stretch))) or "<|" in stretch:
             return np.array(self.ids(stretch), self.width).tobytes()
-        now, old, out = self.words.now, self.words.old, []
         low = stretch.lower()
-        for w in (low,) if ascii_only and low.isalpha() else _WORD.findall(low):
-            ids = now.get(w)
-            if ids is None:
-                ids = old.get(w) or self.word(w)
-                if len(w) <= LONGEST:
-                    now[w] = ids
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        if low.isalpha():
+            return self.known(low)
+        if low[:-1].isalpha():
+            return self.known(low[:-1]) + self.known(low[-1])
+        return b"".join(map(self.known, _WORD.findall(low)))
 
     def packed(self, text: str) -> bytes:
         if not self.parted or any(c in text for c in SEPARATORS):
             return np.array(self.ids(text), self.width).tobytes()
         self.stretches.turn()
         self.words.turn()
-        parts, now, old = text.split(), self.stretches.now, self.stretches.old
-        found = list(map(now.get, parts))
-        unknown = found.count(None)
-        at = -1
-        for _ in range(unknown):
-            at = found.index(None, at + 1)
-            p = parts[at]
-            ids = now.get(p)  # an earlier place of this text may have learnt it
+        if self.split and "<|" not in text and (text.isascii() or _PLAIN(text)):
+            text = text.lower()  # so that a word is learnt once, in whatever case it stands
+        return b"".join(looked_up(text.split(), self.stretches, self.stretch))
+
+
+def looked_up(parts: list[str], table: Kept, made: Callable[[str], bytes]) -> list[bytes]:
+    """The ids of each part: known ones by one pass, the others from an older generation or by `made`."""
+    now, old = table.now, table.old
+    found = list(map(now.get, parts))
+    at = -1
+    for _ in range(found.count(None)):
+        at = found.index(None, at + 1)
+        p = parts[at]
+        ids = now.get(p)  # an earlier place of this text may have learnt it
+        if ids is None:
+            ids = old.get(p)
             if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    ids = self.stretch(p)
-                if len(p) <= LONGEST:
-                    now[p] = ids
-            found[at] = ids
-        return b"".join(found)
+                ids = made(p)
+            if len(p) <= LONGEST:
+                now[p] = ids
+        found[at] = ids
+    return found
 
 
 @lru_cache(maxsize=2)

@@ -1,11 +1,12 @@
-"""Tests of the fourth round: memory of large groups."""
+"""Tests of the fourth round: memory of large groups, words of token files."""
 
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from srcgraph.llm import suffix_dedup
+from srcgraph.llm import suffix_dedup, token_files
 
 
 def contexts(n, size, seed=1):
@@ -41,3 +42,16 @@ def test_digests_of_contexts_do_not_depend_on_pieces(monkeypatch):
         monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
         for a, b in zip(suffix_dedup.digits_of_contexts(data, at), whole, strict=True):
             assert (a == b[places]).all()
+
+
+def test_stretches_are_learnt_once_in_whatever_case():
+    """`Word,` and `word,` were kept and encoded each on its own."""
+    machine = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    machine.words, machine.stretches = token_files.Kept(), token_files.Kept()
+    text = "Zweifel, zweifel,\nZWEIFEL, Été été's\té İx x÷ 'S a1 don'"
+    assert np.frombuffer(machine.packed(text), machine.width).tolist() == machine.ids(text)
+    assert [s for s in machine.stretches.now if s.startswith(("Z", "z", "É", "é"))] == ["zweifel,", "été", "été's", "é"]
+    # Case is kept where special tokens may stand, and beside other characters.
+    for odd in ("Zweifel　été", "a\xa0b", "<|EndOfText|> Zweifel", "<|endoftext|>", "日本 zweifel", "ΣΑΣ Σ"):
+        assert np.frombuffer(machine.packed(odd), machine.width).tolist() == machine.ids(odd)
+    assert "Zweifel" in machine.stretches.now
