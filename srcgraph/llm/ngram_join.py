@@ -182,14 +182,14 @@ def levels_of(counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _prefix_rows(sketch) -> object:  # noqa: ANN001
-    """(h, part, n, f1, f2, pos) for each prefix token under the first order; part is -1 where the
-    token's rows stay together."""
+    """(h, f1, f2 and n, part + 1 and pos) for each prefix token under the first order, two numbers of 32 bits in one:
+    these rows are most of what is shuffled. part is -1 where the token's rows stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, bound = sketch.value
         seen: set = set()
         for batch in text_slices(batches, "text", SLICE):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(4)]
             for shingles in sets_of(batch.column(0)):
                 key = set_key(shingles)
                 if not len(shingles) or key in seen:
@@ -199,17 +199,25 @@ def _prefix_rows(sketch) -> object:  # noqa: ANN001
                 tokens = prefix(shingles, levels, 0)
                 split = np.ceil(np.exp2((levels[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)] + 1.0) / 8) / bound).astype(np.int64)
                 out[0].append(tokens.view(np.int64))
-                out[1].append(np.where(split > 1, (key[0] & 0x7FFFFFFF) % split, -1))
-                for k, v in enumerate((len(shingles), *key)):
-                    out[k + 2].append(np.full(len(tokens), v, np.int64))
-                out[5].append(np.arange(len(tokens)))
+                out[1].append(np.full(len(tokens), key[0], np.int64))
+                out[2].append(np.full(len(tokens), key[1] << 32 | len(shingles), np.uint64).view(np.int64))
+                out[3].append(np.where(split > 1, (key[0] & 0x7FFFFFFF) % split + 1, 0) << 32 | np.arange(len(tokens)))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "part", "n", "f1", "f2", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "f1", "sized", "placed"])
         released()
 
     return run
 
 
+PACKED = "h long, f1 long, sized long, placed long"
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(h, part, n, f1, f2, pos) of _prefix_rows."""
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    return rows.select("h", (F.shiftright("placed", 32) - 1).alias("part").cast("long"), low("sized").alias("n"), "f1", F.shiftrightunsigned("sized", 32).alias("f2"), low("placed").alias("pos"))
+
+
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The overlap that sets of a and b tokens need."""
     return -(-SIMILARITY * (a + b) // (100 + SIMILARITY))
@@ -457,8 +465,8 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     rows = sized.where("slice is null").select("doc_id", "n", "f1", "f2")
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
     named = texts.where("doc_id is not null")
-    tokens = named.select("text").mapInArrow(_prefix_rows(sketch), "h long, part long, n long, f1 long, f2 long, pos long")
-    shared = stored(tokens.repartition("h", "part").sortWithinPartitions("h", "part", "n", "f1", "f2").mapInArrow(_shared, "h long, n long, f1 long, f2 long, pos long, g1 long, g2 long"), "shared")
+    tokens = named.select("text").mapInArrow(_prefix_rows(sketch), PACKED)
+    shared = stored(unpacked(tokens.repartition(F.col("h"), F.shiftright("placed", 32))).sortWithinPartitions("h", "part", "n", "f1", "f2").mapInArrow(_shared, "h long, n long, f1 long, f2 long, pos long, g1 long, g2 long"), "shared")
     twos = stored(shared.where("g1 is not null").select(*KEYS, "g1", "g2").distinct(), "twos")
     several = shared.where("g1 is null")
     keys = several.select(*KEYS).unionByName(twos.select(*KEYS)).unionByName(twos.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"))).distinct()

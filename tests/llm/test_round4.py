@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from srcgraph.llm import suffix_dedup, token_files
+from srcgraph.llm import ngram_join, suffix_dedup, token_files
 
 
 def contexts(n, size, seed=1):
@@ -55,3 +55,13 @@ def test_stretches_are_learnt_once_in_whatever_case():
     for odd in ("Zweifel　été", "a\xa0b", "<|EndOfText|> Zweifel", "<|endoftext|>", "日本 zweifel", "ΣΑΣ Σ"):
         assert np.frombuffer(machine.packed(odd), machine.width).tolist() == machine.ids(odd)
     assert "Zweifel" in machine.stretches.now
+
+
+def test_prefix_rows_are_packed_and_come_back(spark):
+    """A row for each prefix token had six numbers of 64 bits in the shuffle."""
+    names = [c.split()[0] for c in ngram_join.PACKED.split(", ")]
+    assert len(names) == 4
+    f1, f2, n, part, pos = -(1 << 62), (1 << 32) - 1, (1 << 31) - 1, 7, 12345
+    made = [(1, f1, int(np.uint64(f2 << 32 | n).view(np.int64)), (part + 1) << 32 | pos), (2, 3, 4 << 32 | 5, 6)]
+    got = {tuple(r) for r in ngram_join.unpacked(spark.createDataFrame(made, ngram_join.PACKED)).collect()}
+    assert got == {(1, part, n, f1, f2, pos), (2, -1, 5, 3, 4, 6)}
