@@ -16,8 +16,9 @@ of passages that many documents share come last.
    least. When little is left apart, all pairs of different components that share a token are formed:
    sets outside a token's largest component ask, so what is joined already makes no pairs.
 4. A candidate is dropped by size, by the place of its token, by parity bits (a lower bound of the
-   difference of two sets), and where its prefixes do not meet under each of the other orders. Only
-   what passes all of them is verified by the whole sets.
+   difference of two sets), and where its prefixes do not meet under each of the other orders. Then
+   parity bits that grow with the sets bound the difference closely. Only what passes all of them is
+   verified by the whole sets.
 5. Links make components by alternating star steps.
 
 Every pair of different components passes or fails an exact bound or is verified in the last round, so
@@ -47,7 +48,7 @@ from .components import components
 
 #: Least similarity in hundredths; words of a shingle; buckets of the count sketch; orders in use.
 SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 22, 3
-#: Slices that the sketch and the key filter are summed in; parity bits of a set; bits of the key filter
+#: Slices that the sketch and the key filter are summed in; least parity bits of a set; bits of the key filter
 #: for each key, and at most; rows of a token that stay together; set keys that a task remembers.
 SLICES, PARITY, KEY_BITS, MOST_KEY_BITS, HOT, SEEN = 256, 128, 32, 1 << 27, 1 << 16, 50_000
 #: Rounds in which sets meet pivots only, before all that is apart is compared.
@@ -129,13 +130,26 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     return shingles[first[np.argsort(rank[first])]]
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """PARITY bits: how many tokens fall in each, odd or even. Two sets differ in at least as many
+def parity(shingles: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """Bits, a power of two: how many tokens fall in each, odd or even. Two sets differ in at least as many
     tokens as these bits differ."""
-    odd = np.bincount((mixed(shingles, 0xBADA55) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    odd = np.bincount((mixed(shingles, 0xBADA55) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide(shingles: np.ndarray) -> bytes:
+    """Two to four parity bits a token: so many do not fill up with sets that differ in a quarter."""
+    return parity(shingles, max(PARITY, 1 << (2 * len(shingles) - 1).bit_length())).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many tokens two sets differ at least, by their wide bits; more bits fold to those of the smaller set."""
+    x, y = sorted((np.frombuffer(v, np.uint64) for v in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and the sketch's counts of this task in slices, compressed: most are small."""
     counts, press = np.zeros(BUCKETS, np.uint32), zstandard.ZstdCompressor(level=1)
@@ -283,32 +297,41 @@ def _bits(bits: int):  # noqa: ANN202
     return run
 
 
-def _place(doc_id: str, bits: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(bits))
+def _places(digest: Column, bits: int) -> list[Column]:
+    """The two bits of an id, from the halves of its digest."""
+    return [part.bitwiseAND(F.lit(bits - 1)) for part in (digest, F.shiftrightunsigned(digest, 32))]
+
+
+def marked(digests: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether both bits of each id are set."""
+    set_at = lambda at: marks[at >> 3] >> (at & 7) & 1 == 1
+    mask = 8 * len(marks) - 1
+    return set_at(digests & mask) & set_at((digests >> 32) & mask)
 
 
 def key_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each id, at most MOST_KEY_BITS of them (16 MB): texts without a mark need not be hashed
+    """Two bits for each id, at most MOST_KEY_BITS in all (16 MB): texts without a mark need not be hashed
     again; a wrong mark costs no more than that. What is shuffled grows with the ids."""
     bits = min(MOST_KEY_BITS, 1 << max(16, (KEY_BITS * ids.count()).bit_length()))
     width = bits // SLICES
-    rows = ids.select(_place("id", bits).alias("at")).select(F.floor(F.col("at") / width).cast("long").alias("slice"), F.pmod("at", F.lit(width)).alias("place")).distinct()
+    rows = ids.select(F.explode(F.array(*_places(F.xxhash64("id"), bits))).alias("at")).select(F.floor(F.col("at") / width).cast("long").alias("slice"), F.pmod("at", F.lit(width)).alias("place")).distinct()
     total = np.zeros((SLICES, width // 8), np.uint8)
     for row in rows.repartition("slice").mapInArrow(_bits(bits), "slice long, bits binary").collect():
         total[row[0]] |= np.frombuffer(row[1], np.uint8)
     return total.ravel()
 
 
-ATTRIBUTES = ", ".join(["n long", *(f"q{i} long" for i in range(PARITY // 64)), *(f"p{k} array<int>" for k in range(1, ORDERS))])
+ATTRIBUTES = ", ".join(["n long", *(f"q{i} long" for i in range(PARITY // 64)), "wide binary", *(f"p{k} array<smallint>" for k in range(1, ORDERS))])
 KEYS = ["f1", "f2"]
 
 
 def _attributes(shingles: list[np.ndarray], levels: np.ndarray) -> list[pa.Array]:
     """What the filters need of each set: its size, parity bits and the prefixes under the further
-    orders, a token as 32 bits of its hash (which may only let a pair pass that does not meet)."""
+    orders, a token as 16 bits of its hash (which may only let a pair pass that does not meet; of
+    large sets many do, and the wide bits drop them)."""
     bits = np.array([parity(s) for s in shingles], np.int64).reshape(len(shingles), PARITY // 64)
-    lists = [pa.array([(prefix(s, levels, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in shingles], pa.list_(pa.int32())) for k in range(1, ORDERS)]
-    return [pa.array([len(s) for s in shingles], pa.int64()), *(pa.array(b) for b in bits.T), *lists]
+    lists = [pa.array([(prefix(s, levels, k) >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in shingles], pa.list_(pa.int16())) for k in range(1, ORDERS)]
+    return [pa.array([len(s) for s in shingles], pa.int64()), *(pa.array(b) for b in bits.T), pa.array([wide(s) for s in shingles], pa.binary()), *lists]
 
 
 def _whole(shingles: list[np.ndarray], _: np.ndarray) -> list[pa.Array]:
@@ -326,8 +349,7 @@ def _sets(texts: DataFrame, ids: DataFrame, sketch, made, schema: str) -> DataFr
         levels, bits = sketch.value[0], marks_of.value
         seen: set = set()
         for batch in batches:
-            at = np.asarray(batch.column(0))
-            for part in text_slices(iter([batch.filter(pa.array(bits[at >> 3] >> (at & 7) & 1 == 1))]), "text", SLICE):
+            for part in text_slices(iter([batch.filter(pa.array(marked(np.asarray(batch.column(0)), bits)))]), "text", SLICE):
                 sets, keys = [], []
                 for s in sets_of(part.column(1)):
                     key = set_key(s)
@@ -339,7 +361,16 @@ def _sets(texts: DataFrame, ids: DataFrame, sketch, made, schema: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), *made(sets, levels)], names=names)
         released()
 
-    return texts.select(_place("doc_id", 8 * len(marks)).alias("place"), "text").mapInArrow(run, f"f1 long, f2 long, {schema}")
+    return texts.select(F.xxhash64("doc_id").alias("digest"), "text").mapInArrow(run, f"f1 long, f2 long, {schema}")
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, their keys, sizes and wide bits) whose difference leaves room for the overlap that they need."""
+    for batch in batches:
+        na, nb = (np.asarray(batch.column(i)) for i in (6, 7))
+        least = [differing(a, b) for a, b in zip(batch.column(8).to_pylist(), batch.column(9).to_pylist(), strict=True)]
+        keep = np.array(least, np.int64) <= na + nb - 2 * needed(na, nb)
+        yield batch.filter(pa.array(keep)).select(range(6))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,15 +408,16 @@ def able(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The links among pairs (a, b): prefixes must meet under each further order; only then are the
-    whole sets of what is left made, brought together and compared. One exchange of the whole sets by
-    their keys serves both sides of the pairs."""
+    """The links among pairs (a, b): prefixes must meet under each further order, and wide bits must leave room for
+    a link; only then are the whole sets of what is left made, brought together and compared. One exchange of
+    the whole sets by their keys serves both sides of the pairs."""
     orders = [f"p{k}" for k in range(1, ORDERS)]
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), *(F.col(x).alias(f"{x}{c}") for x in orders))
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), *(F.col(x).alias(f"{x}{c}") for x in ("n", "wide", *orders)))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     for p in orders:
         met = met.where(F.arrays_overlap(f"{p}a", f"{p}b"))
-    met = stored(met.select("a", "b", "a1", "a2", "b1", "b2"), "met")
+    near = met.select("a", "b", "a1", "a2", "b1", "b2", "na", "nb", "widea", "wideb").mapInArrow(_near, "a long, b long, a1 long, a2 long, b1 long, b2 long")
+    met = stored(near, "met")
     whole = wholes(met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()).groupBy(*KEYS).agg(F.first("shingles").alias("shingles"))
     part = lambda c: whole.select(F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), F.col("shingles").alias(f"s{c}"))
     both = met.join(part("a"), ["a1", "a2"]).join(part("b"), ["b1", "b2"]).select("a", "b", "sa", "sb")
