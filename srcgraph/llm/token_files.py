@@ -30,6 +30,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ HEADER = struct.Struct("<4sIIQQQ")
 # Words in lower case, white space aside: contractions, letters, one digit, other signs (fixed values).
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^\sa-zÀ-ÖØ-öø-ɏ0-9]+")
 _PLAIN = re.compile(r"[ \t\n\r\x0b\x0c!-~À-ɏ]+").fullmatch
+_ID = attrgetter("id")
 # White space that str.split() knows and Unicode's White_Space does not (fixed values).
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -96,27 +98,33 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """A lower-case word's ids by the model, which takes bytes as signs."""
-        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.signs))]
-        return array(self.unit, ids).tobytes()
+        tokens = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.signs))
+        return array(self.unit, map(_ID, tokens)).tobytes()
 
     def known(self, word: str) -> bytes:
+        """A lower-case word's ids. One that stands as a stretch is not kept a second time."""
         ids = self.words.now.get(word)
         if ids is None:
-            ids = self.words.old.get(word) or self.word(word)
-            if len(word) <= LONGEST:
-                self.words.now[word] = ids
+            ids = self.stretches.now.get(word)
+            if ids is None:
+                ids = self.words.old.get(word) or self.stretches.old.get(word) or self.word(word)
+                if len(word) <= LONGEST:
+                    self.words.now[word] = ids
         return ids
 
+    def low(self, stretch: str) -> bytes:
+        """The ids of a stretch of plain characters in lower case, which is not in the table of stretches."""
+        if stretch.isalpha():
+            return self.words.now.get(stretch) or self.words.old.get(stretch) or self.word(stretch)
+        first = stretch[:-1]
+        if first.isalpha():
+            return self.known(first) + self.known(stretch[-1])
+        return b"".join(map(self.known, _WORD.findall(stretch)))
+
     def stretch(self, stretch: str) -> bytes:
-        ascii_only = stretch.isascii()
-        if not (self.split and (ascii_only or _PLAIN(stretch))) or "<|" in stretch:
+        if not (self.split and (stretch.isascii() or _PLAIN(stretch))) or "<|" in stretch:
             return np.array(self.ids(stretch), self.width).tobytes()
-        low = stretch.lower()
-        if low.isalpha():
-            return self.known(low)
-        if low[:-1].isalpha():
-            return self.known(low[:-1]) + self.known(low[-1])
-        return b"".join(map(self.known, _WORD.findall(low)))
+        return self.low(stretch.lower())
 
     def packed(self, text: str) -> bytes:
         if not self.parted or any(c in text for c in SEPARATORS):
@@ -124,7 +132,8 @@ class Encoder:
         self.stretches.turn()
         self.words.turn()
         if self.split and "<|" not in text and (text.isascii() or _PLAIN(text)):
-            text = text.lower()  # so that a word is learnt once, in whatever case it stands
+            # So that a word is learnt once, in whatever case it stands; no stretch need be looked at again.
+            return b"".join(looked_up(text.lower().split(), self.stretches, self.low))
         return b"".join(looked_up(text.split(), self.stretches, self.stretch))
 
 

@@ -1,12 +1,13 @@
-"""Tests of the fifth round: what reaches the verification of the n-gram join."""
+"""Tests of the fifth round: what reaches the verification of the n-gram join, words of token files."""
 
 import random
 
 import brute
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from srcgraph.llm import ngram_join
+from srcgraph.llm import ngram_join, token_files
 
 
 def pairs_of_sets(share, n=900, seed=1):
@@ -71,3 +72,21 @@ def test_few_ids_without_a_mark_pass_the_key_filter(spark):
     digests = lambda df: np.array([r[0] for r in df.select(F.xxhash64("id")).collect()])
     assert ngram_join.marked(digests(ids), marks).all()
     assert ngram_join.marked(digests(spark.range(1_000_000, 1_040_000)), marks).mean() < 0.008
+
+
+def test_words_that_stand_alone_are_kept_once(monkeypatch):
+    """A word that is a stretch was kept in both tables and looked up in both."""
+    machine = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    machine.words, machine.stretches = token_files.Kept(), token_files.Kept()
+    learnt, word = [], machine.word
+    monkeypatch.setattr(machine, "word", lambda w: learnt.append(w) or word(w))
+    for text in ("zweifel été zweifel", "Zweifel, été's hund,\thund", "hund katze, été"):
+        assert np.frombuffer(machine.packed(text), machine.width).tolist() == machine.ids(text)
+    assert sorted(learnt) == sorted(["zweifel", "été", ",", "'s", "hund", "katze"])
+    assert not machine.words.now.keys() & {"zweifel", "été", "katze,"} and {"zweifel", "été", "katze,"} <= machine.stretches.now.keys()
+    # An older generation of either table still knows its words.
+    monkeypatch.setattr(token_files, "KEPT", 0)
+    learnt.clear()
+    text = "zweifel. ZWEIFEL katze hund. été"
+    assert np.frombuffer(machine.packed(text), machine.width).tolist() == machine.ids(text)
+    assert sorted(learnt) == ["."]
