@@ -47,7 +47,7 @@ def edited(rng, base, words):
 
 
 def test_whole_sets_are_made_for_close_pairs_only(spark, monkeypatch):
-    """Pairs of similarity 0.6 to 0.75 share rare tokens and were all verified by whole sets."""
+    """Results beside brute force; sets this small were kept from verification by the older filters too."""
     rng = random.Random(2)
     bases = [[f"w{rng.randrange(10**9)}" for _ in range(600)] for _ in range(12)]
     docs = [(10 * i + k, edited(rng, base, words)) for i, base in enumerate(bases) for k, words in enumerate((1, 8, 26))]
