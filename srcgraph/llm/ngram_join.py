@@ -13,8 +13,9 @@ of passages that many documents share come last.
    need.
 3. Sets that share a token become candidates in rounds. First each set meets the pivot of each of its
    tokens, one row a set and token; a round joins near copies around the copy that was changed
-   least. When little is left apart, all pairs of different components that share a token are formed:
-   sets outside a token's largest component ask, so what is joined already makes no pairs.
+   least. When little is left apart, or comparing it is cheap and lets no more pairs pass than would
+   meet pivots, all pairs of different components that share a token are formed: sets outside a token's
+   largest component ask, so what is joined already makes no pairs.
 4. A candidate is dropped by size, by the place of its token, by parity bits (a lower bound of the
    difference of two sets), and where its prefixes do not meet under each of the other orders. Then
    parity bits that grow with the sets bound the difference closely. Only what passes all of them is
@@ -51,10 +52,11 @@ SIMILARITY, WORDS, BUCKETS, ORDERS = 80, 5, 1 << 22, 3
 #: Slices that the sketch and the key filter are summed in; least parity bits of a set; bits of the key filter
 #: for each key, and at most; rows of a token that stay together; set keys that a task remembers.
 SLICES, PARITY, KEY_BITS, MOST_KEY_BITS, HOT, SEEN = 256, 128, 32, 1 << 27, 1 << 16, 50_000
-#: Rounds in which sets meet pivots only, before all that is apart is compared.
-MOST_PIVOTS = 3
-#: Bytes of text hashed at a time: digests take some tens of times that.
-SLICE = 1 << 20
+#: Rounds in which sets meet pivots only, before all that is apart is compared; comparisons by the filters that cost
+#: less than such a round.
+MOST_PIVOTS, CHEAP = 3, 1 << 24
+#: Bytes of text hashed at a time: digests take some tens of times that. Ids whose places a task tells at a time.
+SLICE, CHUNK = 1 << 20, 1 << 18
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LETTERS = (np.arange(256, dtype=np.uint64) + np.uint64(0x51ED)) * _M2
 _LETTERS ^= _LETTERS >> np.uint64(31)
@@ -282,26 +284,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield decided(held, True)[0]
 
 
+def _places(bits: int):  # noqa: ANN202
+    """(slice, places in it) of the two bits of each id, from the halves of its digest; a task tells a place once a CHUNK."""
+
+    def told(digests: np.ndarray) -> pa.RecordBatch:
+        at = np.unique(np.r_[digests & (bits - 1), (digests >> 32) & (bits - 1)])
+        slices, begins = np.unique(at // (bits // SLICES), return_index=True)
+        places = [p.astype(np.uint32).tobytes() for p in np.split(at % (bits // SLICES), begins[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(places, pa.binary())], names=["slice", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.asarray(batch.column(0)))
+            if sum(map(len, held)) >= CHUNK:
+                yield told(np.concatenate(held))
+                held = []
+        if held:
+            yield told(np.concatenate(held))
+
+    return run
+
+
 def _bits(bits: int):  # noqa: ANN202
-    """Bit arrays of SLICES slices from rows of (slice, place)."""
+    """Bit arrays of SLICES slices from rows of (slice, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            slices, places = (np.asarray(c) for c in batch.columns)
-            for s in np.unique(slices).tolist():
-                at = places[slices == s]
+            for s, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(places, np.uint32)
                 np.bitwise_or.at(found.setdefault(s, np.zeros(bits // SLICES // 8, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([f.tobytes() for f in found.values()], pa.binary())], names=["slice", "bits"])
 
     return run
 
 
-def _places(digest: Column, bits: int) -> list[Column]:
-    """The two bits of an id, from the halves of its digest."""
-    return [part.bitwiseAND(F.lit(bits - 1)) for part in (digest, F.shiftrightunsigned(digest, 32))]
-
-
 def marked(digests: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Whether both bits of each id are set."""
     set_at = lambda at: marks[at >> 3] >> (at & 7) & 1 == 1
@@ -311,11 +329,11 @@ def marked(digests: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def key_filter(ids: DataFrame) -> np.ndarray:
     """Two bits for each id, at most MOST_KEY_BITS in all (16 MB): texts without a mark need not be hashed
-    again; a wrong mark costs no more than that. What is shuffled grows with the ids."""
+    again; a wrong mark costs no more than that. What is shuffled grows with the ids, which may repeat;
+    they are read twice, so they come best from a table."""
     bits = min(MOST_KEY_BITS, 1 << max(16, (KEY_BITS * ids.count()).bit_length()))
-    width = bits // SLICES
-    rows = ids.select(F.explode(F.array(*_places(F.xxhash64("id"), bits))).alias("at")).select(F.floor(F.col("at") / width).cast("long").alias("slice"), F.pmod("at", F.lit(width)).alias("place")).distinct()
-    total = np.zeros((SLICES, width // 8), np.uint8)
+    rows = ids.select(F.xxhash64("id")).mapInArrow(_places(bits), "slice long, places binary")
+    total = np.zeros((SLICES, bits // SLICES // 8), np.uint8)
     for row in rows.repartition("slice").mapInArrow(_bits(bits), "slice long, bits binary").collect():
         total[row[0]] |= np.frombuffer(row[1], np.uint8)
     return total.ravel()
@@ -418,7 +436,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], D
         met = met.where(F.arrays_overlap(f"{p}a", f"{p}b"))
     near = met.select("a", "b", "a1", "a2", "b1", "b2", "na", "nb", "widea", "wideb").mapInArrow(_near, "a long, b long, a1 long, a2 long, b1 long, b2 long")
     met = stored(near, "met")
-    whole = wholes(met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()).groupBy(*KEYS).agg(F.first("shingles").alias("shingles"))
+    if not met.count():
+        return met.select("a", "b")
+    whole = wholes(met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id")))).groupBy(*KEYS).agg(F.first("shingles").alias("shingles"))
     part = lambda c: whole.select(F.col("f1").alias(f"{c}1"), F.col("f2").alias(f"{c}2"), F.col("shingles").alias(f"s{c}"))
     both = met.join(part("a"), ["a1", "a2"]).join(part("b"), ["b1", "b2"]).select("a", "b", "sa", "sb")
     links = stored(both.mapInArrow(_similar, "a long, b long"), "links")
@@ -430,7 +450,7 @@ COLUMNS = ["id", "n", "pos", *BITS]
 
 
 def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
-    return met.select(F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")).distinct()
+    return met.select(F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
 
 
 def _beside_pivots(rows: DataFrame, pool: DataFrame) -> DataFrame:
@@ -461,7 +481,8 @@ def _all_apart(apart: DataFrame) -> DataFrame:
 
 def _linked(tokens: DataFrame, direct: DataFrame, sets: DataFrame, wholes: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(id, component) of the sets that have a link. direct: pairs that join the first round. A pivot meets
-    all others of its token and is done."""
+    all others of its token and is done. A round costs some twenty exchanges however little it joins, so all
+    that is apart is compared at once where that is cheap and no more pairs pass than a round would make."""
     links, joined, rows, last = None, None, tokens, False
     for turn in range(MOST_PIVOTS + 1):
         if turn:
@@ -470,19 +491,22 @@ def _linked(tokens: DataFrame, direct: DataFrame, sets: DataFrame, wholes: Calla
             if not left["n"]:
                 break
             last = turn == MOST_PIVOTS or left["work"] <= 8 * left["n"]
-        if last:
-            pairs = _all_apart(apart)
-        else:
+            if last or left["work"] <= CHEAP:
+                pairs = stored(_all_apart(apart).distinct(), "pairs")
+                last = last or pairs.count() <= left["n"]
+                if not last:
+                    dropped(pairs)
+        if not last:
             # Later rounds take the pivots from outside a token's largest component.
             beside = _beside_pivots(apart, apart.where("c <> big")) if turn else _beside_pivots(rows, rows)
             pairs = _pairs(beside.where(able("r", "p")), "r", "p")
-            pairs = pairs if turn else pairs.unionByName(direct).distinct()
+            pairs = stored((pairs if turn else pairs.unionByName(direct)).distinct(), "pairs")
             rows = beside.select("h", "r.*")
-        pairs = stored(pairs, "pairs")
         found = _verified(pairs, sets, wholes)
         dropped(pairs)
-        links = found if links is None else links.unionByName(found)
-        joined = components(links, "a", "b")
+        if joined is None or found.count():
+            links = found if links is None else links.unionByName(found)
+            joined = components(links, "a", "b")
         if last:
             break
     return joined
