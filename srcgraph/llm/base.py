@@ -59,8 +59,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLIC
             yield batch.slice(start)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
+
+
+def gathered(df: DataFrame) -> Iterator[tuple]:
+    """The rows of a bounded table with texts, for the driver. Tasks compress them, so that its JVM, which holds what
+    it gets some times over, passes on only that; they are unpacked batch by batch."""
+    for packed in df.mapInArrow(_packed, "packed binary").toArrow().column(0):
+        for batch in pa.ipc.open_stream(packed.as_buffer()):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 def released() -> None:
-    """At a task's end: Python workers live on, so free memory goes back to the system."""
+    """At a task's end, and where the driver has fitted a model: Python lives on, so free memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)

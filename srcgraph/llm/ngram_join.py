@@ -173,28 +173,33 @@ SIZED = ["doc_id", "n", "f1", "f2", "slice", "counts"]
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of whole slices, as what other tasks and the driver need: their levels, compressed, and their sum."""
     sums: dict[int, np.ndarray] = {}
-    open_ = zstandard.ZstdDecompressor()
+    open_, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             part = np.frombuffer(open_.decompress(counts), np.uint32).astype(np.int64)
             sums[i] = sums[i] + part if i in sums else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+    made = [pa.array([press.compress(levels_of(s).tobytes()) for s in sums.values()], pa.binary()), pa.array([int(s.sum()) for s in sums.values()], pa.int64())]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *made], names=["slice", "levels", "n"])
 
 
-def sketch_of(sized: DataFrame) -> np.ndarray:
-    """The sketch's BUCKETS counts over all documents: 32 MB whatever the corpus."""
-    sums = sized.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_summed, "slice int, counts binary")
-    total = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for row in sums.collect():
-        total[row[0]] += np.frombuffer(row[1], np.int64)
-    return total.ravel()
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Levels of counts, eight for each doubling."""
+    return np.minimum(np.floor(8 * np.log2(counts + 1)), 255).astype(np.uint8)
 
 
-def levels_of(counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Levels of the counts (eight for each doubling), and the count beyond which a token's rows are dealt
-    to parts: only those of tokens far more frequent than the others."""
-    return np.minimum(np.floor(8 * np.log2(counts + 1)), 255).astype(np.uint8), max(HOT, 16 * int(counts.mean()))
+def sketch_of(sized: DataFrame) -> tuple[np.ndarray, int]:
+    """The levels of the sketch's BUCKETS counts over all documents, 4 MB whatever the corpus, and the count beyond
+    which a token's rows are dealt to parts: only those of tokens far more frequent than the others. The counts
+    themselves, eight times as large, stay with the tasks; the driver gets compressed levels as Arrow."""
+    levels, n, open_ = np.zeros((SLICES, BUCKETS // SLICES), np.uint8), 0, zstandard.ZstdDecompressor()
+    sums = sized.where("slice is not null").select("slice", "counts").repartition("slice")
+    for batch in sums.mapInArrow(_summed, "slice int, levels binary, n long").toArrow().to_batches():
+        for i, packed, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            levels[i] = np.frombuffer(open_.decompress(packed), np.uint8)
+            n += k
+    return levels.ravel(), max(HOT, 16 * (n // BUCKETS))
 
 
 def _prefix_rows(sketch) -> object:  # noqa: ANN001
@@ -334,8 +339,9 @@ def key_filter(ids: DataFrame) -> np.ndarray:
     bits = min(MOST_KEY_BITS, 1 << max(16, (KEY_BITS * ids.count()).bit_length()))
     rows = ids.select(F.xxhash64("id")).mapInArrow(_places(bits), "slice long, places binary")
     total = np.zeros((SLICES, bits // SLICES // 8), np.uint8)
-    for row in rows.repartition("slice").mapInArrow(_bits(bits), "slice long, bits binary").collect():
-        total[row[0]] |= np.frombuffer(row[1], np.uint8)
+    for batch in rows.repartition("slice").mapInArrow(_bits(bits), "slice long, bits binary").toArrow().to_batches():
+        for i, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[i] |= np.frombuffer(found, np.uint8)
     return total.ravel()
 
 
@@ -517,7 +523,7 @@ def clustered(docs: DataFrame, column: str = "text") -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     sized = stored(texts.mapInArrow(_sized, "doc_id long, n long, f1 long, f2 long, slice int, counts binary"), "sized")
-    sketch = spark.sparkContext.broadcast(levels_of(sketch_of(sized)))
+    sketch = spark.sparkContext.broadcast(sketch_of(sized))
     rows = sized.where("slice is null").select("doc_id", "n", "f1", "f2")
     node = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
     named = texts.where("doc_id is not null")

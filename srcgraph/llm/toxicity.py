@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import dropped, stored
+from .base import dropped, gathered, released, stored
 
 #: The bounded sample that the model is fitted on: rows of each class, bytes of a text, windows of the
 #: ordinary trainer, bytes of the pieces that mark the toxic trainer's words.
@@ -206,8 +207,8 @@ def fit_rows(rows: list[tuple[str, int, int]], measured: Callable[[list, tuple[M
     for text, toxic, _ in rows:
         halves[digest_of(text)[-1] & 1][toxic].append(lowered(text))
     ordinary = halves[0][0] + halves[1][0]
-    samples = [w[i : i + 256] for t in ordinary for w in [b" ".join(t.split())] for i in range(0, len(w), 256)][:MAX_WINDOWS]
-    base = trained(samples, ORDINARY_BYTES)
+    samples = (w[i : i + 256] for t in ordinary for w in [b" ".join(t.split())] for i in range(0, len(w), 256))
+    base = trained(list(islice(samples, MAX_WINDOWS)), ORDINARY_BYTES)
     # Two halves: each is measured with the words that the other one gave.
     drafts = tuple(Model(base, toxic_dictionary(halves[1 - k][1], halves[1 - k][0]), ()) for k in (0, 1))
     found = {(digest, toxic): row for digest, toxic, row in measured(rows, drafts)}
@@ -240,8 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         spread = sample.select("__text", "__toxic").repartition(SPREAD)
         return [tuple(r) for r in spread.mapInArrow(run, "digest binary, toxic int, row array<double>").collect()]
 
-    model = fit_rows([tuple(r) for r in sample.collect()], measured)
+    model = fit_rows(list(gathered(sample)), measured)
     dropped(sample)
+    released()
     return model
 
 
