@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcgraph.functions import text as T
+from srcgraph.jobs.scratch import bucketed, stored
 from srcgraph.operators import resolve, walk
 from srcgraph.operators.names import matching
 
@@ -110,8 +111,9 @@ def summaries(files: DataFrame, defined: DataFrame) -> DataFrame:
 
 def covering_tests(sites: DataFrame, defined: DataFrame, query: str, depth: int = 4) -> DataFrame:
     """(name, container, path, line, depth, via): test methods that reach a symbol whose name a query matches, through
-    any callers, with the least number of steps and the call that leads there."""
-    calls = sites.where("caller is not null").select(F.col("callee_l").alias("src"), F.lower("caller").alias("dst")).distinct()
+    any callers, with the least number of steps and the call that leads there. Calls of unknown names change nothing:
+    no step leads to them. The calls are dealt by their callee once, for all steps."""
+    calls = bucketed(sites.where("caller is not null").select(F.col("callee_l").alias("src"), F.lower("caller").alias("dst")), "src", "calls")
     seeds = defined.where(T.matches(F.col("name"), query)).select(F.col("name_l").alias("node")).distinct()
     reached = walk.reach(calls, seeds, depth - 1)
     found = sites.where("caller_is_test and caller is not null").join(reached, F.col("callee_l") == F.col("node"))
@@ -124,7 +126,7 @@ def test_command(tests: DataFrame) -> DataFrame:
     them belong to, and how many more there are; no row where no runner is known."""
     suffix = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
     runner = F.coalesce(*(F.when(suffix == s, r) for s, r in RUNNERS.items()))
-    known = tests.withColumn("runner", runner).where("runner is not null")
+    known = stored(tests.withColumn("runner", runner).where("runner is not null"), "tests")
     most = known.groupBy("runner").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "runner").limit(1).select("runner")
     full = F.when(F.col("container").isNotNull() & (F.col("container") != ""), F.concat("container", F.lit("."), "name")).otherwise(F.col("name"))
     names = known.join(F.broadcast(most), "runner").groupBy("runner", full.alias("full")).agg(F.min(F.struct("depth", "path", "line")).alias("o"))  # most: one row
