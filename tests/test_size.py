@@ -8,7 +8,7 @@ from test_code import files, plain_enclosing
 
 from srcgraph.functions import scan
 from srcgraph.jobs import code, scratch
-from srcgraph.operators import asof, digest, resolve
+from srcgraph.operators import asof, digest, repos, resolve
 from srcgraph.operators import extract as X
 
 
@@ -79,3 +79,12 @@ def test_calls_are_dealt_once_for_all_steps(spark):
     edges = scratch.bucketed(spark.range(100).select((F.col("id") % 7).cast("string").alias("src"), "id"), "src", "edges")
     met = edges.hint("merge").join(spark.range(7).select(F.col("id").cast("string").alias("src")), "src")
     assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and met.count() == 100
+
+
+def test_pairs_of_calls_and_routes_are_not_shuffled(spark):
+    calls = spark.range(60).select(F.lit("shop").alias("repo"), F.col("id").cast("string").alias("caller"), F.lit("c").alias("path"), F.lit(1).alias("line"), F.lit("/a/b").alias("url"), F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+    routes = spark.range(40).select(F.lit("api").alias("repo"), F.col("id").cast("string").alias("target"), F.lit("r").alias("path"), F.lit(1).alias("line"), F.lit("/b/c/a").alias("route"), F.array(F.lit("b"), F.lit("c"), F.lit("a")).alias("tokens"))
+    # Rows that say the same count once; the words of both of a route's rows count.
+    found = repos.suggested(calls.unionByName(calls), routes.unionByName(routes.withColumn("tokens", F.array(F.lit("z")))))
+    assert found.count() == 2400 and {tuple(r["evidence"]) for r in found.select("evidence").distinct().collect()} == {("a", "b")}
+    assert not plan(found).startswith("Aggregate")  # before, each pair went through an exchange
