@@ -37,12 +37,14 @@ def definitions(defined: DataFrame, query: str, exact: bool = False) -> DataFram
 
 def digest(files: DataFrame, defined: DataFrame, query: str, purposes: DataFrame | None = None) -> DataFrame:
     """(path, defs, refs, purpose_only, is_test, entry) of the files that define or use what a query matches, or whose
-    purpose names it; entry: production files that define it, ordered by refs, then defs. Each distinct identifier
-    is held against the query once."""
+    purpose names it; entry: production files that define it, ordered by refs, then defs. Identifiers that
+    do not match stay where their text is."""
     hits = defined.where(T.matches(F.col("name"), query)).groupBy("path").agg(F.count(F.lit(1)).alias("defs"))
-    idents = files.select("path", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))).alias("ident")).groupBy("path", "ident").agg(F.count(F.lit(1)).alias("n"))
-    wanted = idents.select("ident").distinct().where(T.matches(F.col("ident"), query))
-    refs = idents.join(wanted, "ident").groupBy("path").agg(F.sum("n").alias("refs"))
+    # A name that matches holds the query once its joining signs are gone, and so does its text.
+    wanted = "".join(c for c in query.lower() if c.isascii() and c.isalnum())
+    holds = lambda c: F.contains(F.lower(F.translate(c, "_$", "")), F.lit(wanted))
+    idents = files.where(holds("text")).select("path", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))).alias("ident"))
+    refs = idents.where(holds("ident")).where(T.matches(F.col("ident"), query)).groupBy("path").agg(F.count(F.lit(1)).alias("refs"))
     met = hits.join(refs, "path", "full_outer")
     if purposes is not None:
         said = purposes.where(F.lower("purpose").rlike(rf"\b\Q{query.lower()}\E")).select("path", F.lit(True).alias("said"))
@@ -113,7 +115,7 @@ def covering_tests(sites: DataFrame, defined: DataFrame, query: str, depth: int
     """(name, container, path, line, depth, via): test methods that reach a symbol whose name a query matches, through
     any callers, with the least number of steps and the call that leads there. Calls of unknown names change nothing:
     no step leads to them. The calls are dealt by their callee once, for all steps."""
-    calls = bucketed(sites.where("caller is not null").select(F.col("callee_l").alias("src"), F.lower("caller").alias("dst")), "src", "calls")
+    calls = bucketed(sites.where("caller is not null").select(F.col("callee_l").alias("src"), F.lower("caller").alias("dst")), ["src"], "calls")
     seeds = defined.where(T.matches(F.col("name"), query)).select(F.col("name_l").alias("node")).distinct()
     reached = walk.reach(calls, seeds, depth - 1)
     found = sites.where("caller_is_test and caller is not null").join(reached, F.col("callee_l") == F.col("node"))

@@ -18,15 +18,32 @@ def _wanted(query: str) -> Column:
 
 def matching(names: DataFrame, queries: DataFrame, name: str, query: str, on: list[str] | None = None) -> DataFrame:
     """Distinct (on..., name, query) where a run of words at the end of the name begins with the query's words: the
-    match that text.matches makes for one query, for two tables. A name comes with the first letters of its
-    suffixes, one to KEY of them, a query with its first KEY, so that both meet by equality and only what agrees
-    so far is compared. Empty queries match nothing."""
+    match that text.matches makes for one query, for two tables. A name comes once for each of its suffixes, with its
+    first KEY letters; a query of as many letters meets it by these. A shorter query first meets the distinct
+    beginnings of suffixes that begin with it, each of which stands for a match. Empty queries match nothing."""
     on = on or []
-    by_name = names.select(*on, name).distinct().select(*on, name, F.explode(F.array_distinct(T.suffixes(F.col(name)))).alias("__s"))
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("__s"), F.lit(KEY))), lambda i: F.substring(F.col("__s"), F.lit(1), i))
-    keyed = by_name.select(*on, name, "__s", F.explode(heads).alias("__k"))
-    asked = queries.select(*on, query).distinct().withColumn("__q", _wanted(query)).where("__q <> ''").withColumn("__k", F.substring("__q", 1, KEY))
-    return keyed.join(asked, [*on, "__k"]).where(F.startswith("__s", F.col("__q"))).select(*on, name, query).distinct()
+    keyed = by_suffix(names.select(*on, name).distinct(), name, on)
+    return matched(keyed, beginnings(keyed, on), queries, name, query, on)
+
+
+def by_suffix(names: DataFrame, name: str, on: list[str]) -> DataFrame:
+    """(on..., name, __s, __k): the suffixes of distinct names with the letters that queries meet them by."""
+    return names.select(*on, name, F.explode(F.array_distinct(T.suffixes(F.col(name)))).alias("__s")).withColumn("__k", F.substring("__s", 1, KEY))
+
+
+def beginnings(keyed: DataFrame, on: list[str]) -> DataFrame:
+    """(on..., __k, __q): the keys that a shorter query begins."""
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("__k"), F.lit(KEY - 1))), lambda i: F.substring(F.col("__k"), F.lit(1), i))
+    return keyed.select(*on, "__k").distinct().where("__k <> ''").select(*on, "__k", F.explode(heads).alias("__q"))
+
+
+def matched(keyed: DataFrame, begun: DataFrame, queries: DataFrame, name: str, query: str, on: list[str]) -> DataFrame:
+    """matching(), with what by_suffix and beginnings make of the names."""
+    asked = queries.select(*on, query).distinct().withColumn("__q", _wanted(query)).where("__q <> ''")
+    short = asked.where(F.length("__q") < KEY).join(begun, [*on, "__q"])
+    long = asked.where(F.length("__q") >= KEY).withColumn("__k", F.substring("__q", 1, KEY))
+    columns = [*on, query, "__q", "__k"]
+    return keyed.join(long.select(columns).unionByName(short.select(columns)), [*on, "__k"]).where(F.startswith("__s", F.col("__q"))).select(*on, name, query).distinct()
 
 
 def matching_exactly(names: DataFrame, queries: DataFrame, name: str, query: str, on: list[str] | None = None) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from test_code import files, plain_enclosing
 
 from srcgraph.functions import scan
+from srcgraph.functions import text as T
 from srcgraph.jobs import code, scratch
-from srcgraph.operators import asof, digest, repos, resolve
+from srcgraph.operators import asof, digest, frames, repos, resolve
 from srcgraph.operators import extract as X
+from srcgraph.operators import names as N
 
 
 def plan(df) -> str:
@@ -76,7 +78,7 @@ def test_calls_are_dealt_once_for_all_steps(spark):
     defined = X.symbols(texts)
     found = lambda sites: {(r["name"], r["depth"], r["via"]) for r in digest.covering_tests(sites, defined, "low").collect()}
     assert found(X.calls(texts)) == found(X.call_sites(texts, defined)) == {("check", 3, "top")}
-    edges = scratch.bucketed(spark.range(100).select((F.col("id") % 7).cast("string").alias("src"), "id"), "src", "edges")
+    edges = scratch.bucketed(spark.range(100).select((F.col("id") % 7).cast("string").alias("src"), "id"), ["src"], "edges")
     met = edges.hint("merge").join(spark.range(7).select(F.col("id").cast("string").alias("src")), "src")
     assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and met.count() == 100
 
@@ -88,3 +90,30 @@ def test_pairs_of_calls_and_routes_are_not_shuffled(spark):
     found = repos.suggested(calls.unionByName(calls), routes.unionByName(routes.withColumn("tokens", F.array(F.lit("z")))))
     assert found.count() == 2400 and {tuple(r["evidence"]) for r in found.select("evidence").distinct().collect()} == {("a", "b")}
     assert not plan(found).startswith("Aggregate")  # before, each pair went through an exchange
+
+
+def test_names_are_keyed_once_for_all_steps(spark):
+    names = spark.createDataFrame([("LoadOrder",), ("order12x",), ("x",), ("orders",), ("é",), ("",)], "name string")
+    asked = spark.createDataFrame([("o",), ("order",), ("Order-1",), ("orders2",), ("x",), ("12x",), ("loadorderx",), ("",)], "query string")
+    want = {(n["name"], q["query"]) for q in asked.collect() for n in names.where(T.matches(F.col("name"), q["query"])).collect()}
+    found = N.matching(names, asked, "name", "query")
+    assert {(r["name"], r["query"]) for r in found.collect()} == want and len(want) > 8
+    keyed = N.by_suffix(names, "name", [])
+    assert keyed.count() == 7  # before, one row for each of a suffix's first letters
+
+
+def test_frames_are_looked_up_by_method_and_path(spark):
+    rows = spark.createDataFrame([("t", i, "A.low", "a.cs", i) for i in range(1, 9)] + [("t", 9, "A.low", None, 3), ("t", 9, None, None, None)], "trace_id string, line_no int, method string, path string, line int")
+    defined = X.symbols(spark.createDataFrame([("a.cs", "csharp", "class A {\n    void low() {\n    }\n}\n")], "path string, language string, text string"))
+    found = frames.resolve_frames(rows, defined)
+    assert sorted((r["line_no"], r["status"], r["drift"]) for r in found.collect()) == [(i, "project", i not in (2, 3)) for i in range(1, 9)] + [(9, "project", False), (9, "unresolved", False)]
+    assert not any("trace_id" in line for line in plan(found).splitlines() if "Aggregate" in line)
+
+
+def test_only_identifiers_that_match_leave_their_text(spark):
+    rows = [("a.cs", "csharp", "class A {\n    void p_17() { }\n    void q() { p_17(); xp17(); P17b(); $p17(); other(); }\n}\n"), ("b.cs", "csharp", "class B { }\n")]
+    texts = spark.createDataFrame(rows, "path string, language string, text string")
+    found = digest.digest(texts, X.symbols(texts), "p17")
+    assert [(r["path"], r["defs"], r["refs"], r["entry"]) for r in found.collect()] == [("a.cs", 1, 4, True)]
+    assert "contains" in plan(found).lower()
+    assert "calls" not in X.symbols(texts)._jdf.queryExecution().analyzed().toString()  # sites are not made for symbols
