@@ -41,8 +41,10 @@ def resolve_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     """frames (trace_id, line_no, method, path, line) with status project, external or unresolved, the
     symbol that explains each best (its class, file name, path, production code, in this order of weight;
     the smaller sym_seq on a tie) and drift, where the frame's line is outside the symbol's extent."""
-    named = frames.select("trace_id", "line_no", "method", F.col("path").alias("trace_path"), F.col("line").alias("trace_line")).withColumn("name_l", F.lower(T.short_name(F.col("method"))))
-    found = named.join(symbols.select("name_l", "name", "container", "path", "line", "end_line", "is_test", "generated", "sym_seq"), "name_l")
+    named = frames.select("trace_id", "line_no", "method", F.col("path").alias("trace_path"), F.col("line").alias("trace_line"))
+    # What explains a frame hangs on its method and path alone, so each pair of them is looked up once.
+    asked = named.select("method", "trace_path").distinct().withColumn("name_l", F.lower(T.short_name(F.col("method"))))
+    found = asked.join(symbols.select("name_l", "name", "container", "path", "line", "end_line", "is_test", "generated", "sym_seq"), "name_l")
     owners = F.transform(F.slice(F.split("method", "[.#]"), 1, F.size(F.split("method", "[.#]")) - 1), F.lower)
     base = lambda p: F.element_at(F.split(_slashed(p), "/"), -1)
     same_file = F.col("trace_path").isNotNull() & (base(F.col("trace_path")) == base(F.col("path")))
@@ -51,7 +53,7 @@ def resolve_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:
         one(F.coalesce(F.array_contains(owners, F.lower("container")), F.lit(False)), 4) + one(same_file, 3) + one(F.col("trace_path").isNotNull() & (_slashed(F.col("trace_path")) == _slashed(F.col("path"))), 2)
         + one(~F.col("is_test"), 1) + one(~F.col("generated"), 1)
     )
-    frame = ["trace_id", "line_no", "method", "trace_path", "trace_line"]  # numbers may repeat within a trace
+    frame = ["method", "trace_path"]
     best = found.groupBy(*frame).agg(F.max_by(F.struct("name", "container", "path", "line", "end_line"), F.struct(score.alias("s"), (-F.col("sym_seq")).alias("o"))).alias("best"))
     best = best.select("best", *(F.col(c).alias(f"__{c}") for c in frame))
     joined = named.join(best, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in frame], "left")
