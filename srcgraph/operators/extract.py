@@ -82,7 +82,7 @@ def _read(files: DataFrame, facts: Callable[[str, str], tuple[list, ...]], lists
 def symbols(files: DataFrame) -> DataFrame:
     """Declarations of texts, or of what scanned() made of them: names, kinds, containers, extents (end_line 0:
     unknown), bases and parameter counts (-1: unknown), as resolve.candidates takes them."""
-    facts = files if "symbols" in files.columns else scanned(files)
+    facts = files if "symbols" in files.columns else _read(files, lambda language, text: (scan.Source(text, language).symbols,), {"symbols": SYMBOL})
     found = facts.select("path", "language", F.explode("symbols").alias("s")).select("path", "language", "s.*")
     path = F.col("path")
     bases = F.when(F.col("bases") == "", F.array().cast("array<string>")).otherwise(F.split("bases", ","))
